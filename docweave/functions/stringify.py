@@ -13,25 +13,59 @@ from docweave.functions.names import quoted
 SNAPSHOT_DIGITS = 10
 
 
+def _shortest(value: Column) -> Column:
+    """Digits that read back as ``value``.  Java's own text may have one digit too many, but only
+    when it is long; 16 and 17 digits are tried then."""
+    java = value.cast("string")
+    sixteen, seventeen = F.format_string("%.15e", value), F.format_string("%.16e", value)
+    return (
+        F.when(F.length(java) < 18, java)
+        .when(sixteen.try_cast("double") == value, sixteen)
+        .when(seventeen.try_cast("double") == value, seventeen)
+        .otherwise(java)
+    )
+
+
 def float_text(value: Column) -> Column:
     """Shortest text of a float: plain from 1e-4 up to 1e16, with an exponent beyond; NaN is missing."""
-    java = value.cast("string")
+    digits = F.lower(_shortest(value))
     size = F.abs(value)
     # 17 digits before the point and 21 after hold every float of the plain range.
-    digits = F.regexp_replace(java.try_cast("decimal(38,21)").cast("string"), "0+$", "")
-    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
-    exponent = F.regexp_replace(F.regexp_replace(java, r"\.0E", "E"), r"E(-?)(\d)$", "E${1}0${2}")
-    exponent = F.replace(F.regexp_replace(exponent, r"E(\d)", "e+$1"), F.lit("E-"), F.lit("e-"))
+    plain = F.regexp_replace(digits.try_cast("decimal(38,21)").cast("string"), "0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    exponent = F.regexp_replace(F.replace(digits, F.lit("e+"), F.lit("e")), r"\.?0+e", "e")
+    exponent = F.regexp_replace(F.regexp_replace(exponent, r"e(-?)(\d)$", "e$10$2"), r"e(\d)", "e+$1")
     return (
         F.when(F.isnan(value), F.lit(None))
-        .when(~java.contains("E"), java)
+        .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
+        .when(~digits.contains("e"), digits)
         .when((size >= 1e-4) & (size < 1e16), plain)
         .otherwise(exponent)
     )
 
 
+def snapshot_float(value: Column) -> Column:
+    """``value`` as it comes back from JSON text with ten digits after the point.
+
+    The part after the point is scaled and rounded as a float; rounding the decimal digits
+    instead would differ where they end in 5.
+    """
+    size = F.abs(value)
+    whole = F.floor(size)
+    scaled = (size - whole) * 10.0**SNAPSHOT_DIGITS
+    down = F.floor(scaled)
+    rest = scaled - down
+    up = (rest > 0.5) | ((rest == 0.5) & ((down == 0) | (down % 2 == 1)))
+    parts = down + F.when(up, 1).otherwise(0)
+    carried = F.when(parts >= 10**SNAPSHOT_DIGITS, whole + 1).otherwise(whole)
+    parts = F.when(parts >= 10**SNAPSHOT_DIGITS, 0).otherwise(parts)
+    text = F.concat(carried.cast("string"), F.lit("."), F.lpad(parts.cast("string"), SNAPSHOT_DIGITS, "0"))
+    rounded = text.cast("double")
+    return F.when(F.isnan(value) | (size >= 1e15), value).otherwise(F.when(value < 0, -rounded).otherwise(rounded))
+
+
 def _as_float_text(value: Column, snapshot: bool) -> Column:
-    return float_text(F.round(value, SNAPSHOT_DIGITS) if snapshot else value)
+    return float_text(snapshot_float(value) if snapshot else value)
 
 
 def as_text(value: Column, dtype: T.DataType, snapshot: bool = False) -> Column:
@@ -102,6 +136,6 @@ def json_rows(df: DataFrame, name: str = "json") -> DataFrame:
             case T.DateType():
                 column = F.unix_date(column).cast("long") * 86_400_000
             case T.FloatType() | T.DoubleType() | T.DecimalType():
-                column = F.round(column.cast("double"), SNAPSHOT_DIGITS)
+                column = snapshot_float(column.cast("double"))
         fields.append(column.alias(field.name))
     return df.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias(name))

@@ -21,6 +21,9 @@ SET_TAGS = ("SS", "NS", "BS")
 
 Path = tuple[str, ...]
 
+# Stands in a path for "any item".
+ITEM = "[]"
+
 
 def as_path(path: str | Sequence[str]) -> Path:
     return tuple(path.split(".")) if isinstance(path, str) else tuple(path)
@@ -38,12 +41,14 @@ def _untag(tag: str, value: Column, dtype: T.DataType, path: Path, lists: Collec
         if not isinstance(dtype.elementType, (T.StructType, T.MapType)):
             # Only empty lists were seen: there is no element type.
             return F.transform(value, lambda _: F.lit(None)), T.ArrayType(T.NullType())
-        element = unwrap_type(dtype.elementType, path, lists)
-        return F.transform(value, lambda v: unwrap_value(v, dtype.elementType, path, lists)), T.ArrayType(element)
+        inside = (*path, ITEM)
+        element = unwrap_type(dtype.elementType, inside, lists)
+        return F.transform(value, lambda v: unwrap_value(v, dtype.elementType, inside, lists)), T.ArrayType(element)
     if tag == "M" and isinstance(dtype, T.MapType):
-        element = unwrap_type(dtype.valueType, path, lists)
+        inside = (*path, ITEM)
+        element = unwrap_type(dtype.valueType, inside, lists)
         return (
-            F.transform_values(value, lambda _, v: unwrap_value(v, dtype.valueType, path, lists)),
+            F.transform_values(value, lambda _, v: unwrap_value(v, dtype.valueType, inside, lists)),
             T.MapType(T.StringType(), element),
         )
     if tag == "M" and isinstance(dtype, T.StructType):

@@ -4,38 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+
+def _struct(names: str, **other: T.DataType) -> T.StructType:
+    """Text fields, but for those whose type is given."""
+    return T.StructType([T.StructField(name, other.get(name, T.StringType())) for name in names.split()])
+
+
 # The 13 bookmark columns.
-BOOKMARK = T.StructType.fromDDL(
-    "eventTime string, eventName string, userIdentity string, sourceIPAddress string,"
-    "bucketName string, bucketArn string, fileName string, fileSize bigint, fileeTag string,"
-    "sequencer string, sourceSystem string, dataLayer string, status string"
+BOOKMARK = _struct(
+    "eventTime eventName userIdentity sourceIPAddress bucketName bucketArn fileName fileSize fileeTag sequencer "
+    "sourceSystem dataLayer status",
+    fileSize=T.LongType(),
 )
 
 # The ledger table: a bookmark per destination, and the queue it waits in.
 LEDGER = T.StructType(
     [
         *[f for f in BOOKMARK.fields if f.name != "status"],
-        *T.StructType.fromDDL(
-            "rule string, destKey string, reason string,"
-            "data_layer string, source string, table string, status string"
-        ).fields,
+        *_struct("rule destKey reason data_layer source table status").fields,
     ]
 )
 
-NOTIFICATION = T.StructType.fromDDL(
-    "Records array<struct<"
-    "eventTime:string, eventName:string,"
-    "userIdentity:struct<principalId:string>,"
-    "requestParameters:struct<sourceIPAddress:string>,"
-    "s3:struct<bucket:struct<name:string,arn:string>,"
-    "object:struct<key:string,size:bigint,eTag:string,sequencer:string>>>>"
+# The fields of a notification.
+NOTIFICATION = _struct(
+    "Records",
+    Records=T.ArrayType(
+        _struct(
+            "eventTime eventName userIdentity requestParameters s3",
+            userIdentity=_struct("principalId"),
+            requestParameters=_struct("sourceIPAddress"),
+            s3=_struct(
+                "bucket object",
+                bucket=_struct("name arn"),
+                object=_struct("key size eTag sequencer", size=T.LongType()),
+            ),
+        )
+    ),
 )
 
 # The 10 audit columns, and the columns that identify one audit row.
-AUDIT = T.StructType.fromDDL(
-    "epoch_timestamp bigint, source_system string, table_name string, status string,"
-    "insert_count bigint, update_count bigint, delete_count bigint,"
-    "record_start_sequence string, record_end_sequence string, log_file_name string"
+AUDIT = _struct(
+    "epoch_timestamp source_system table_name status insert_count update_count delete_count record_start_sequence "
+    "record_end_sequence log_file_name",
+    epoch_timestamp=T.LongType(),
+    insert_count=T.LongType(),
+    update_count=T.LongType(),
+    delete_count=T.LongType(),
 )
 AUDIT_KEYS = ["epoch_timestamp", "source_system", "table_name"]
 
@@ -44,12 +58,12 @@ CORRUPT = "_corrupt_record"
 
 def feed_schema(image: T.StructType, keys: T.StructType | None = None) -> T.StructType:
     """Schema of a change-feed file whose documents have the given typed ``image``."""
-    change = T.StructType([T.StructField("SequenceNumber", T.StringType())])
+    change = [T.StructField("SequenceNumber", T.StringType())]
     if keys is not None:
-        change = change.add("Keys", keys)
-    change = change.add("NewImage", image)
-    record = T.StructType([T.StructField("eventName", T.StringType()), T.StructField("dynamodb", change)])
-    return T.StructType([T.StructField("Records", T.ArrayType(record))])
+        change.append(T.StructField("Keys", keys))
+    change.append(T.StructField("NewImage", image))
+    record = _struct("eventName dynamodb", dynamodb=T.StructType(change))
+    return _struct("Records", Records=T.ArrayType(record))
 
 
 def with_corrupt(schema: T.StructType) -> T.StructType:

@@ -80,7 +80,7 @@ def read_changes(spark: SparkSession, path: str, schema: T.StructType | None = N
     """All rows of a change table.  Without a schema the columns are those of any batch (all footers are read)."""
     if schema is None:
         return spark.read.option("mergeSchema", "true").parquet(path)
-    return spark.read.schema(T.StructType([*schema.fields]).add("batch_id", "bigint")).parquet(path)
+    return spark.read.schema(T.StructType([*schema.fields]).add("batch_id", T.LongType())).parquet(path)
 
 
 def read_current(
