@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,44 +14,47 @@ from docweave.functions.names import quoted
 # Fixed value: digits a snapshot float keeps after the point.
 SNAPSHOT_DIGITS = 10
 
+# Text of a float that is shorter than this has its shortest form.
+LONG_TEXT = 18
+
+
+def float_text(value: Column, java: Column | None = None) -> Column:
+    """Shortest text of a float: plain from 1e-4 up to 1e16, with an exponent beyond; NaN is missing.
 
-def _shortest(value: Column) -> Column:
-    """Digits that read back as ``value``.  Java's own text may have one digit too many, but only
-    when it is long; 16 and 17 digits are tried then."""
-    java = value.cast("string")
+    ``java`` is Spark's own text of ``value`` when the caller has it.  That text is final
+    when it is short and has no exponent.  A long one may have a digit too many: 16 and 17
+    digits are tried then.
+    """
+    java = value.cast("string") if java is None else java
+    size = F.abs(value)
     sixteen, seventeen = F.format_string("%.15e", value), F.format_string("%.16e", value)
-    return (
-        F.when(F.length(java) < 18, java)
+    digits = F.lower(
+        F.when(F.length(java) < LONG_TEXT, java)
         .when(sixteen.try_cast("double") == value, sixteen)
         .when(seventeen.try_cast("double") == value, seventeen)
         .otherwise(java)
     )
-
-
-def float_text(value: Column) -> Column:
-    """Shortest text of a float: plain from 1e-4 up to 1e16, with an exponent beyond; NaN is missing."""
-    digits = F.lower(_shortest(value))
-    size = F.abs(value)
     # 17 digits before the point and 21 after hold every float of the plain range.
     plain = F.regexp_replace(digits.try_cast("decimal(38,21)").cast("string"), "0+$", "")
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    plain = F.regexp_replace(plain, r"\.$", ".0")
     exponent = F.regexp_replace(F.replace(digits, F.lit("e+"), F.lit("e")), r"\.?0+e", "e")
     exponent = F.regexp_replace(F.regexp_replace(exponent, r"e(-?)(\d)$", "e$10$2"), r"e(\d)", "e+$1")
     return (
         F.when(F.isnan(value), F.lit(None))
         .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
-        .when(~digits.contains("e"), digits)
+        .when((F.length(java) < LONG_TEXT) & ~java.contains("E"), java)
         .when((size >= 1e-4) & (size < 1e16), plain)
         .otherwise(exponent)
     )
 
 
-def snapshot_float(value: Column) -> Column:
+def snapshot_float(value: Column, java: Column | None = None) -> Column:
     """``value`` as it comes back from JSON text with ten digits after the point.
 
     The part after the point is scaled and rounded as a float; rounding the decimal digits
     instead would differ where they end in 5.
     """
+    java = value.cast("string") if java is None else java
     size = F.abs(value)
     whole = F.floor(size)
     scaled = (size - whole) * 10.0**SNAPSHOT_DIGITS
@@ -61,11 +66,17 @@ def snapshot_float(value: Column) -> Column:
     parts = F.when(parts >= 10**SNAPSHOT_DIGITS, 0).otherwise(parts)
     text = F.concat(carried.cast("string"), F.lit("."), F.lpad(parts.cast("string"), SNAPSHOT_DIGITS, "0"))
     rounded = text.cast("double")
-    return F.when(F.isnan(value) | (size >= 1e15), value).otherwise(F.when(value < 0, -rounded).otherwise(rounded))
+    few_digits = (F.length(java) - F.locate(".", java) <= SNAPSHOT_DIGITS) & ~java.contains("E")
+    return (
+        F.when(few_digits | F.isnan(value) | (size >= 1e15), value)
+        .when(value < 0, -rounded)
+        .otherwise(rounded)
+    )
 
 
-def _as_float_text(value: Column, snapshot: bool) -> Column:
-    return float_text(snapshot_float(value) if snapshot else value)
+def as_double(value: Column, dtype: T.DataType) -> Column:
+    """A number as a double; a 32-bit float keeps its own short digits."""
+    return value.cast("string").cast("double") if isinstance(dtype, T.FloatType) else value.cast("double")
 
 
 def as_text(value: Column, dtype: T.DataType, snapshot: bool = False) -> Column:
@@ -81,13 +92,11 @@ def as_text(value: Column, dtype: T.DataType, snapshot: bool = False) -> Column:
             return F.lit(None).cast("string")
         case T.BooleanType():
             return F.when(value, F.lit("True")).when(~value, F.lit("False"))
-        case T.FloatType():
-            # A float read as a double must keep its own short digits.
-            return _as_float_text(value.cast("string").cast("double"), snapshot)
-        case T.DoubleType():
-            return _as_float_text(value, snapshot)
+        case T.FloatType() | T.DoubleType():
+            value = as_double(value, dtype)
+            return float_text(snapshot_float(value) if snapshot else value)
         case T.DecimalType() if snapshot:
-            return _as_float_text(value.cast("double"), snapshot)
+            return float_text(snapshot_float(value.cast("double")))
         case T.TimestampType() if snapshot:
             return F.unix_millis(value).cast("string")
         case T.TimestampNTZType() if snapshot:
@@ -114,13 +123,56 @@ def fill_blank(df: DataFrame, fill: str = "") -> DataFrame:
     )
 
 
+def with_text(
+    df: DataFrame,
+    values: Sequence[tuple[str, Column, T.DataType]],
+    keep: Sequence[str] = (),
+    fill: str | None = "",
+    snapshot: bool = False,
+) -> DataFrame:
+    """``df``'s columns ``keep``, and each (name, value, type) as text; NULL becomes ``fill`` unless that is None.
+
+    Floats need several steps that each use the result of the one before more than once;
+    every step is a projection of its own, so that no value is computed twice.
+    """
+    fractions = {
+        i: as_double(value, dtype)
+        for i, (_, value, dtype) in enumerate(values)
+        if isinstance(dtype, (T.FloatType, T.DoubleType)) or (snapshot and isinstance(dtype, T.DecimalType))
+    }
+    kept = [F.col(quoted(c)) for c in keep]
+    texts = {i: as_text(value, dtype, snapshot) for i, (_, value, dtype) in enumerate(values) if i not in fractions}
+    if fractions:
+        done = [text.alias(f"__text{i}") for i, text in texts.items()]
+        texts = {i: F.col(f"__text{i}") for i in texts}
+        rest = [*kept, *texts.values()]
+        df = df.select(*kept, *done, *[value.alias(f"__value{i}") for i, value in fractions.items()])
+        numbers = {i: F.col(f"__value{i}") for i in fractions}
+
+        def with_java(df: DataFrame) -> DataFrame:
+            return df.select(
+                *rest, *numbers.values(), *[n.cast("string").alias(f"__java{i}") for i, n in numbers.items()]
+            )
+
+        if snapshot:
+            df = with_java(df)
+            df = df.select(
+                *rest, *[snapshot_float(n, F.col(f"__java{i}")).alias(f"__value{i}") for i, n in numbers.items()]
+            )
+        df = with_java(df)
+        texts |= {i: float_text(n, F.col(f"__java{i}")) for i, n in numbers.items()}
+    return df.select(
+        *kept,
+        *[
+            (texts[i] if fill is None else F.coalesce(texts[i], F.lit(fill))).alias(name)
+            for i, (name, _, _) in enumerate(values)
+        ],
+    )
+
+
 def stringify(df: DataFrame, fill: str | None = "", snapshot: bool = False) -> DataFrame:
     """Every column as text, NULL as ``fill`` (kept when ``fill`` is None)."""
-    columns = []
-    for field in df.schema.fields:
-        text = as_text(F.col(quoted(field.name)), field.dataType, snapshot)
-        columns.append((text if fill is None else F.coalesce(text, F.lit(fill))).alias(field.name))
-    return df.select(*columns)
+    return with_text(df, [(f.name, F.col(quoted(f.name)), f.dataType) for f in df.schema.fields], (), fill, snapshot)
 
 
 def json_rows(df: DataFrame, name: str = "json") -> DataFrame:
