@@ -69,13 +69,11 @@ def unwrap_value(value: Column, dtype: T.DataType, path: Path = (), lists: Colle
 
 
 def _unwrap(value: Column, dtype: T.DataType, path: Path, lists: Collection[Path]):
-    if not isinstance(dtype, T.StructType):
-        return F.lit(None).cast("string"), T.StringType()
-    plain = [
-        _untag(f.name, value.getField(f.name), f.dataType, path, lists) for f in _live_tags(dtype, path, lists)
-    ]
-    if not plain:
-        return F.lit(None).cast("string"), T.StringType()
+    tags = _live_tags(dtype, path, lists) if isinstance(dtype, T.StructType) else []
+    if not tags:
+        nothing = T.ArrayType(T.NullType()) if path in lists else T.StringType()
+        return F.lit(None).cast(nothing), nothing
+    plain = [_untag(f.name, value.getField(f.name), f.dataType, path, lists) for f in tags]
     if len({t.simpleString() for _, t in plain}) == 1:
         return F.coalesce(*[c for c, _ in plain]), plain[0][1]
     return F.coalesce(*[as_text(c, t) for c, t in plain]), T.StringType()

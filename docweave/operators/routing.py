@@ -27,7 +27,7 @@ SEGMENTS = 9
 
 
 def _fields() -> dict[str, Column]:
-    """What a test or a template may name: segments x0-x8 of the key, the table name inside
+    """What a condition or a template may name: segments x0-x8 of the key, the table name inside
     segments 3 and 4 (m3, m4), both halves of segment 3 (t0, t1), sequencer and bucket ARN."""
     parts = F.col("__parts")
     segment = {i: F.get(parts, F.lit(i)) for i in range(SEGMENTS)}
@@ -43,7 +43,7 @@ def _fields() -> dict[str, Column]:
 
 
 @dataclass(frozen=True)
-class Test:
+class Condition:
     """``field`` compared with any of ``values``: eq, eq_ci (values in lower case) or prefix."""
 
     field: str
@@ -65,26 +65,26 @@ class Destination:
 class Rule:
     name: str
     exclusive: bool
-    tests: tuple[Test, ...]
+    conditions: tuple[Condition, ...]
     destinations: tuple[Destination, ...]
 
 
 def _holds(rule: Rule, fields: dict[str, Column]) -> Column:
     """The rule's condition; a missing segment makes it false."""
     result = F.lit(True)
-    for test in rule.tests:
-        value = fields[test.field]
-        match test.op:
+    for condition in rule.conditions:
+        value = fields[condition.field]
+        match condition.op:
             case "eq":
-                holds = value.isin(*test.values)
+                holds = value.isin(*condition.values)
             case "eq_ci":
-                holds = F.lower(value).isin(*test.values)
+                holds = F.lower(value).isin(*condition.values)
             case "prefix":
                 holds = F.lit(False)
-                for prefix in test.values:
+                for prefix in condition.values:
                     holds = holds | value.startswith(prefix)
             case _:
-                raise ValueError(f"{rule.name}: unknown operator {test.op!r}")
+                raise ValueError(f"{rule.name}: unknown operator {condition.op!r}")
         result = result & holds
     return F.coalesce(result, F.lit(False))
 

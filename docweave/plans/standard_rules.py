@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave.operators.routing import Destination, Rule, Test
+from docweave.operators.routing import Condition, Destination, Rule
 from docweave.sources.notifications import CURATED_LAYER as C
 from docweave.sources.notifications import REALTIME_LAYER as R
 
@@ -49,13 +49,13 @@ def standard_rules(curated_arn: str) -> tuple[Rule, ...]:
         Rule(
             "R1",
             True,
-            (Test("arn", "eq", (curated_arn,)),),
+            (Condition("arn", "eq", (curated_arn,)),),
             (Destination("curatedSourceData", "{x2}/{x3}", "{x4}.parquet", C),),
         ),
         Rule(
             "R2",
             True,
-            (Test("x1", "eq", DIRECT_SOURCES),),
+            (Condition("x1", "eq", DIRECT_SOURCES),),
             (
                 Destination("rdh", "{x2}", "{x7}.csv", R),
                 Destination("rdh", "{x2}-rider", "{x7}.csv", R),
@@ -66,7 +66,7 @@ def standard_rules(curated_arn: str) -> tuple[Rule, ...]:
         Rule(
             "R3",
             True,
-            (Test("x1", "eq_ci", ("telemer",)),),
+            (Condition("x1", "eq_ci", ("telemer",)),),
             tuple(
                 Destination(layer, "{x2}/{x3}/" + kind, "{x8}.csv", payload)
                 for kind in ("base", "mdchck")
@@ -76,36 +76,36 @@ def standard_rules(curated_arn: str) -> tuple[Rule, ...]:
         Rule(
             "R4",
             True,
-            (Test("x0", "eq_ci", ("rds_src_data_1",)),),
+            (Condition("x0", "eq_ci", ("rds_src_data_1",)),),
             tuple(Destination("rdh", "{x2}/{x3}" + suffix, "{sequencer}.csv", R) for suffix in BULK_SUFFIXES),
         ),
         Rule(
             "R5",
             True,
-            (Test("x3", "prefix", ("MLI_Schema",)), Test("x1", "eq", ("msales",))),
+            (Condition("x3", "prefix", ("MLI_Schema",)), Condition("x1", "eq", ("msales",))),
             (Destination("qlik/curated", "{t0}/{t1}", "{x4}.csv", C),),
         ),
         Rule(
             "R6",
             True,
-            (Test("x3", "prefix", ("SCOPP", "SMSUSER")),),
+            (Condition("x3", "prefix", ("SCOPP", "SMSUSER")),),
             (Destination("qlik/curated", "{x2}/{m3}", "{x5}.csv", C),),
         ),
         Rule(
             "R7a",
             False,
-            (Test("x4", "prefix", ("KCAPUAT3", "MNYLMIG")),),
+            (Condition("x4", "prefix", ("KCAPUAT3", "MNYLMIG")),),
             (
                 *(Destination("qlik/" + layer, "{x2}/{m4}", "{x6}.csv", payload) for layer, payload in LAYERS),
                 *(Destination("qlik/rdh", "{x2}/{m4}_" + name, "{x6}.csv", R) for name in REQUIREMENTS),
             ),
         ),
-        Rule("R7b", False, (Test("x4", "prefix", ("dbo",)),), qlik_curated),
-        Rule("R7c", False, (Test("x4", "prefix", ("SMSUSER", "RENOVAPRODIND")),), qlik_curated),
+        Rule("R7b", False, (Condition("x4", "prefix", ("dbo",)),), qlik_curated),
+        Rule("R7c", False, (Condition("x4", "prefix", ("SMSUSER", "RENOVAPRODIND")),), qlik_curated),
         Rule(
             "R7d",
             False,
-            (Test("x1", "prefix", ("daksh",)),),
+            (Condition("x1", "prefix", ("daksh",)),),
             (Destination("qlik/curated", "", "{x5}.csv", C),),
         ),
         Rule(

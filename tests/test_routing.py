@@ -1,0 +1,182 @@
+from __future__ import annotations
+
+import json
+
+import pytest
+from feed import rows
+from pyspark.sql import functions as F
+
+from docweave.operators.routing import Condition, Destination, Rule, destinations, quarantined, route
+from docweave.plans.jobs import bookmark_notifications
+from docweave.plans.standard_rules import REQUIREMENTS, standard_rules
+from docweave.schemas import BOOKMARK
+from docweave.sinks.tables import read_ledger, write_bookmark_files
+from docweave.sources.notifications import bookmarks, notification_records, scan_bookmarks, scan_notifications
+from docweave.streaming.arrivals import arrival_stream
+
+CURATED = "arn:aws:s3:::curated"
+RULES = standard_rules(CURATED)
+
+
+def notification(*keys: str, bucket: str = "raw") -> dict:
+    return {
+        "Records": [
+            {
+                "eventTime": "2024-01-01T00:00:00.000Z",
+                "eventName": "ObjectCreated:Put",
+                "userIdentity": {"principalId": "me"},
+                "requestParameters": {"sourceIPAddress": "10.0.0.1"},
+                "s3": {
+                    "bucket": {"name": bucket, "arn": f"arn:aws:s3:::{bucket}"},
+                    "object": {"key": key, "size": 7, "eTag": "1234e5", "sequencer": f"s{i}"},
+                },
+            }
+            for i, key in enumerate(keys)
+        ]
+    }
+
+
+def write(folder, *notifications: dict) -> str:
+    folder.mkdir(parents=True, exist_ok=True)
+    for i, n in enumerate(notifications):
+        (folder / f"{i}.json").write_text(json.dumps(n))
+    return str(folder)
+
+
+@pytest.fixture(scope="module")
+def routed_by_key(spark, tmp_path_factory):
+    keys = [key for key, _, _, _ in GOLDENS]
+    folder = write(tmp_path_factory.mktemp("n"), notification(*keys))
+    routed = route(notification_records(scan_notifications(spark, folder)), RULES).collect()
+    return {key: [r for r in routed if r.fileName == key] for key in keys}
+
+
+# key, rules that apply, good destinations, short ones
+GOLDENS = [
+    ("d/control/x", set(), 0, 0),
+    ("d/Zeus/t/a/b/c/e/f", {"R2"}, 4, 0),
+    ("d/TeleMER/t/u/a/b/c/e/f", {"R3"}, 6, 0),
+    ("RDS_src_data_1/s/t/u", {"R4"}, 12, 0),
+    ("d/msales/a/MLI_Schema.T/f", {"R5"}, 1, 0),
+    ("d/s/t/SCOPP.TAB__ct/a/f", {"R6"}, 1, 0),
+    ("d/s/t/u/KCAPUAT3.TAB/a/f/g/h", {"R7a", "R7e"}, 32, 0),
+    ("d/s/t/u/dbo.TAB/a/f/g/h", {"R7b", "R7e"}, 17, 0),
+    ("d/s/t/u/RENOVAPRODIND.TAB/a/f/g/h", {"R7c", "R7e"}, 17, 0),
+    ("d/dakshX/t/u/v/f/g/h/i", {"R7d", "R7e"}, 17, 0),
+    ("d/daksh/t/u/KCAPUAT3.T/f/g/h/i", {"R7a", "R7d", "R7e"}, 33, 0),
+    ("d/s/t/u/v/w/x/y/z", {"R7e"}, 16, 0),
+    ("d/s/t/u/dbo.TAB/a/f", {"R7b", "R7e"}, 1, 16),
+    ("d/zeus/t/a/b/c/e/f/g", {"R7e"}, 16, 0),
+    ("d", {"R7e"}, 0, 16),
+    ("d/s/t/u/dbo/a/f/g/h", {"R7b", "R7e"}, 16, 1),
+]
+
+
+@pytest.mark.parametrize("key,rules,good,short", GOLDENS)
+def test_destinations_per_rule(routed_by_key, key, rules, good, short):
+    found = routed_by_key[key]
+    assert {r.rule for r in found} == rules
+    assert sum(r.reason is None for r in found) == good
+    assert sum(r.reason == "short_key" for r in found) == short
+
+
+def paths(routed_by_key, key, rule) -> list[str]:
+    return sorted(r.destKey for r in routed_by_key[key] if r.rule == rule)
+
+
+def test_paths(routed_by_key):
+    assert paths(routed_by_key, "d/msales/a/MLI_Schema.T/f", "R5") == [
+        "bookmarks/qlik/curated/unprocessed/msales/MLI_Schema/T/f.csv"
+    ]
+    assert paths(routed_by_key, "d/s/t/SCOPP.TAB__ct/a/f", "R6") == ["bookmarks/qlik/curated/unprocessed/s/t/TAB/f.csv"]
+    assert paths(routed_by_key, "d/Zeus/t/a/b/c/e/f", "R2") == [
+        "bookmarks/curated/unprocessed/Zeus/t/f.csv",
+        "bookmarks/rdh/unprocessed/Zeus/t-rider/f.csv",
+        "bookmarks/rdh/unprocessed/Zeus/t/f.csv",
+        "bookmarks/rds/unprocessed/Zeus/t/f.csv",
+    ]
+    assert paths(routed_by_key, "d/dakshX/t/u/v/f/g/h/i", "R7d") == ["bookmarks/qlik/curated/unprocessed/dakshX/f.csv"]
+    suffixes = ["", *(f"_{i}" for i in range(1, 7)), "_COVERAGEDETAILS", "_POLICYMESURES", "_BASEATTRIBUTES"]
+    suffixes += ["_POLICYBASICDETAILS", "_CLIENTPOLICYRELATIONSHIP"]
+    assert paths(routed_by_key, "RDS_src_data_1/s/t/u", "R4") == sorted(
+        f"bookmarks/rdh/unprocessed/s/t/u{suffix}/s3.csv" for suffix in suffixes
+    )
+    key = "d/s/t/u/KCAPUAT3.TAB/a/f/g/h"
+    assert paths(routed_by_key, key, "R7a") == sorted(
+        [f"bookmarks/qlik/{layer}/unprocessed/s/t/TAB/f.csv" for layer in ("rdh", "curated", "rds")]
+        + [f"bookmarks/qlik/rdh/unprocessed/s/t/TAB_{name}/f.csv" for name in REQUIREMENTS]
+    )
+    assert paths(routed_by_key, key, "R7e") == sorted(
+        [f"bookmarks/{layer}/unprocessed/s/t/u/h.csv" for layer in ("rdh", "curated", "rds")]
+        + [f"bookmarks/rdh/unprocessed/s/t/u_{name}/h.csv" for name in REQUIREMENTS]
+    )
+
+
+def test_payload_layer_follows_the_queue(routed_by_key):
+    for found in routed_by_key.values():
+        for r in found:
+            assert r.dataLayer == ("Curated" if "curated" in r.data_layer else "RTDataHub")
+
+
+def test_curated_bucket_comes_first(spark, tmp_path):
+    folder = write(tmp_path / "n", notification("d/Zeus/t/a/b/c/e/f", "d/Zeus/t", bucket="curated"))
+    routed = route(notification_records(scan_notifications(spark, folder)), RULES)
+    assert [r.destKey for r in destinations(routed).collect()] == [
+        "bookmarks/curatedSourceData/unprocessed/Zeus/t/a/b.parquet"
+    ]
+    assert quarantined(routed).count() == 1
+
+
+def test_rules_are_data(spark, tmp_path):
+    folder = write(tmp_path / "n", notification("a/one/x", "a/two/x", "a/three/x"))
+    rules = [
+        Rule("first", True, (Condition("x1", "eq", ("one",)),), (Destination("l", "{x2}", "f", "P"),)),
+        Rule("t", False, (Condition("x1", "prefix", ("t",)),), (Destination("l", "t", "{sequencer}", "P"),)),
+        Rule("w", False, (Condition("x1", "eq_ci", ("two",)),), (Destination("l", "", "{x1}", "P"),)),
+    ]
+    routed = route(notification_records(scan_notifications(spark, folder)), rules)
+    assert rows(routed.select("rule", "destKey")) == [
+        ("first", "bookmarks/l/unprocessed/one/x/f"),
+        ("t", "bookmarks/l/unprocessed/three/t/s2"),
+        ("t", "bookmarks/l/unprocessed/two/t/s1"),
+        ("w", "bookmarks/l/unprocessed/two/two"),
+    ]
+    with pytest.raises(ValueError):
+        route(routed, [Rule("x", True, (Condition("x1", "like", ("a",)),), ())])
+
+
+def test_bookmark_files_keep_text_as_text(spark, tmp_path):
+    folder = write(tmp_path / "n", notification("d/s/t/u/v/w/x/y/z"))
+    records = notification_records(scan_notifications(spark, folder))
+    out = str(tmp_path / "csv")
+    write_bookmark_files(destinations(route(records, RULES)), out)
+    back = scan_bookmarks(spark, out)
+    assert back.count() == 16
+    assert {r.fileeTag for r in back.collect()} == {"1234e5"}
+    assert back.select("bookmarkPath").distinct().count() == 16
+    assert bookmarks(records).columns == BOOKMARK.names
+
+
+def test_ledger_job_and_stream_agree(spark, tmp_path):
+    files = [notification(key) for key, *_ in GOLDENS]
+    folder = write(tmp_path / "n", *files)
+    bookmark_notifications(spark, folder, RULES, str(tmp_path / "ledger"), str(tmp_path / "rejected"))
+    batch = read_ledger(spark, str(tmp_path / "ledger"))
+
+    def stream():
+        arrival_stream(
+            spark, folder, RULES, str(tmp_path / "ledger2"), str(tmp_path / "rejected2"), str(tmp_path / "cp"), max_files=5
+        ).awaitTermination()
+        return read_ledger(spark, str(tmp_path / "ledger2"))
+
+    columns = sorted(set(batch.columns) - {"reason"})
+    want = rows(batch.select(columns))
+    assert len(want) == sum(good for _, _, good, _ in GOLDENS)
+    assert rows(stream().select(columns)) == want
+    # Started again without new files, and then with one.
+    assert rows(stream().select(columns)) == want
+    (tmp_path / "n" / "late.json").write_text(json.dumps(notification("d/007/1/2/3/4/5/6/7")))
+    late = stream().where(F.col("source") == "007")
+    assert late.count() == 16
+    assert spark.read.parquet(str(tmp_path / "rejected")).count() == sum(short for *_, short in GOLDENS)
+    assert spark.read.parquet(str(tmp_path / "rejected2")).count() == sum(short for *_, short in GOLDENS)
