@@ -211,20 +211,17 @@ def route_short_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("load_ledger", _ROUTED + _ROUTE_SELECT)
 def load_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole bookmarking job: notification files, routed, written as a partitioned ledger, read back."""
-    ledger, rejected = shared_folder(spark, "ledger"), shared_folder(spark, "quarantine")
-    bookmark_notifications(spark, _written_notifications(spark, sf_dir), RULES, ledger, rejected)
+    ledger = shared_folder(spark, "ledger")
+    bookmark_notifications(spark, _written_notifications(spark, sf_dir), RULES, ledger, 1)
     return read_ledger(spark, ledger).select(*_ROUTE_COLUMNS)
 
 
 @query("stream_bookmarks", _ROUTED + _ROUTE_SELECT)
 def stream_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("ledger", "quarantine", "checkpoint")
-    ledger, rejected, checkpoint = (shared_folder(spark, name) for name in names)
+    ledger, checkpoint = shared_folder(spark, "ledger"), shared_folder(spark, "checkpoint")
     parts = spark.sparkContext.defaultParallelism
     files = _written_notifications(spark, sf_dir)
-    arrival_stream(
-        spark, files, RULES, ledger, rejected, checkpoint, max_files=max(1, parts // 2)
-    ).awaitTermination()
+    arrival_stream(spark, files, RULES, ledger, checkpoint, max_files=max(1, parts // 2)).awaitTermination()
     return read_ledger(spark, ledger).select(*_ROUTE_COLUMNS)
 
 

@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import text
-from docweave.schemas import BOOKMARK
 from docweave.sources.notifications import UNPROCESSED
 
 # Fixed value: a key with this text anywhere is no data file.
 CONTROL = "control"
 SHORT_KEY = "short_key"
+NO_KEY = "no_key"
+
+DESTINATIONS = "array<struct<rule:string,data_layer:string,table:string,file:string,dataLayer:string>>"
 
 SEGMENTS = 9
 
@@ -118,26 +120,25 @@ def _destinations(rule: Rule, fields: dict[str, Column]) -> Column:
 def route(records: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per notified file and destination.
 
-    The 13 bookmark columns, then rule, data_layer, source, table, destKey and reason.
-    ``reason`` is NULL for a good destination, or says why destKey could not be made;
-    the other destinations of the same file are not affected.
+    The bookmark columns, then rule, data_layer, source, table, destKey and reason.
+    ``reason`` is NULL for a good destination, or says why destKey could not be made: the
+    key has too few segments, which does not affect the other destinations of the same
+    file, or there is no key at all.
     """
     fields = _fields()
-    none = F.array().cast("array<struct<rule:string,data_layer:string,table:string,file:string,dataLayer:string>>")
+    none = F.array().cast(DESTINATIONS)
     always = [
         F.when(_holds(rule, fields), _destinations(rule, fields)).otherwise(none)
         for rule in rules
         if not rule.exclusive
     ]
-    chosen = None
+    chosen = F.when(F.col("fileName").isNull(), F.array(F.lit(None)).cast(DESTINATIONS))
     for rule in rules:
         if rule.exclusive:
-            branch = (_holds(rule, fields), _destinations(rule, fields))
-            chosen = F.when(*branch) if chosen is None else chosen.when(*branch)
-    rest = F.concat(*always) if always else none
-    chosen = rest if chosen is None else chosen.otherwise(rest)
+            chosen = chosen.when(_holds(rule, fields), _destinations(rule, fields))
+    chosen = chosen.otherwise(F.concat(*always) if always else none)
 
-    base = [c for c in BOOKMARK.names if c not in ("dataLayer", "status")]
+    base = [c for c in records.columns if c not in ("dataLayer", "status")]
     to = F.col("__to")
     path = F.concat(
         F.lit("bookmarks/"),
@@ -149,7 +150,7 @@ def route(records: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         to["file"],
     )
     return (
-        records.where(~F.col("fileName").contains(CONTROL))
+        records.where(~F.coalesce(F.col("fileName").contains(CONTROL), F.lit(False)))
         .withColumn("__parts", text.path_segments(F.col("fileName")))
         .select(*base, F.explode(chosen).alias("__to"))
         .select(
@@ -162,12 +163,12 @@ def route(records: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             F.nullif(to["table"], F.lit("")).alias("table"),
             path.alias("destKey"),
         )
-        .withColumn("reason", F.when(F.col("destKey").isNull(), F.lit(SHORT_KEY)))
+        .withColumn("reason", F.when(F.col("fileName").isNull(), NO_KEY).when(F.col("destKey").isNull(), SHORT_KEY))
     )
 
 
 def destinations(routed: DataFrame) -> DataFrame:
-    return routed.where(F.col("reason").isNull()).drop("reason")
+    return routed.where(F.col("reason").isNull()).drop("reason", "raw")
 
 
 def quarantined(routed: DataFrame) -> DataFrame:

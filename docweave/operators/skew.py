@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# At most the inverse of this many keys are broadcast.
+LEAST_SHARE = 1e-5
+
 
 def null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     condition = F.lit(True)
@@ -20,6 +23,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float, min_rows: int) ->
 
     There can be no more than 1 / share of them, which bounds what callers broadcast.
     """
+    if not LEAST_SHARE <= share <= 1:
+        raise ValueError(f"share must be from {LEAST_SHARE} to 1, not {share}")
     counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
     total = counts.agg(F.sum("__n").alias("__total"))
     is_hot = (F.col("__n") >= F.lit(share) * total.scalar()) & (F.col("__n") >= min_rows)
@@ -52,8 +57,7 @@ def left_join_children(
             condition = condition & df[k].eqNullSafe(hot[f"__hot_{k}"])
         return df.join(hot, condition, "left").drop(*[f"__hot_{k}" for k in keys])
 
-    content = [c for c in base.columns]
-    deal = F.pmod(F.xxhash64(*content), F.lit(salts)).cast("int")
+    deal = F.pmod(F.xxhash64(*base.columns), F.lit(salts)).cast("int")
     joined = marked(base).withColumn("__salt", F.when(F.col("__hot"), deal).otherwise(0)).drop("__hot")
     on = [*keys, "__salt"]
     for child in children:

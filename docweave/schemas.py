@@ -21,7 +21,7 @@ BOOKMARK = _struct(
 LEDGER = T.StructType(
     [
         *[f for f in BOOKMARK.fields if f.name != "status"],
-        *_struct("rule destKey reason data_layer source table status").fields,
+        *_struct("raw rule destKey reason data_layer source table status").fields,
     ]
 )
 

@@ -14,10 +14,11 @@ from pyspark.sql import types as T
 
 from docweave.operators.upsert import latest_per_key, live_rows
 from docweave.schemas import AUDIT, AUDIT_KEYS, BOOKMARK, LEDGER
+from docweave.sources.notifications import REJECTED
 
 # Partition columns of quarantined rows.
 QUARANTINE_PARTITIONS = ["source_system", "table_name", "year", "month", "day"]
-LEDGER_PARTITIONS = ["data_layer", "source", "table", "status"]
+LEDGER_PARTITIONS = ["status", "data_layer", "source", "table"]
 
 
 def write_table(
@@ -50,24 +51,37 @@ def write_quarantine(df: DataFrame, path: str, source_system: str, table_name: s
     write_table(rows, path, partition_by=QUARANTINE_PARTITIONS)
 
 
-def write_ledger(destinations: DataFrame, path: str) -> None:
-    """Append bookmarks to the ledger table, one partition per queue and state."""
-    write_table(destinations, path, partition_by=LEDGER_PARTITIONS)
+def write_ledger(routed: DataFrame, path: str, batch_id: int) -> None:
+    """Add routed notifications to the ledger table, one partition per state and queue.
+
+    What could not be routed is in the same table, in the partition of rejected rows, so
+    that everything is written in one pass; a stray key must not open a partition of its
+    own, so these rows name no queue.  Writing the same batch again replaces it.
+    """
+    good = F.col("reason").isNull()
+    queue = {name: F.when(good, F.col(name)) for name in ("source", "table")}
+    rows = routed.withColumns({"status": F.when(good, F.col("status")).otherwise(REJECTED), **queue})
+    write_table(rows, f"{path}/batch_id={batch_id}", mode="overwrite", partition_by=LEDGER_PARTITIONS)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger table; filters on queue and state prune partitions.
+    """The ledger table without rejected rows; filters on state and queue prune partitions.
 
     Its schema is fixed: guessing would read a table named 007 as a number.
     """
-    return spark.read.schema(LEDGER).parquet(path)
+    return spark.read.schema(LEDGER).parquet(path).where(F.col("status") != REJECTED).drop("reason", "raw")
+
+
+def read_rejected(spark: SparkSession, path: str) -> DataFrame:
+    """What could not be routed, with the reason."""
+    return spark.read.schema(LEDGER).parquet(path).where(F.col("status") == REJECTED)
 
 
-def write_bookmark_files(destinations: DataFrame, path: str) -> None:
+def write_bookmark_files(bookmarks: DataFrame, path: str) -> None:
     """The 13 bookmark columns as CSV with a header, one folder per queue."""
     queue = F.regexp_replace("destKey", "/[^/]*$", "").alias("queue")
     write_table(
-        destinations.select(*BOOKMARK.names, queue), path, "csv", options={"header": "true"}, partition_by=["queue"]
+        bookmarks.select(*BOOKMARK.names, queue), path, "csv", options={"header": "true"}, partition_by=["queue"]
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import text
-from docweave.schemas import BOOKMARK, NOTIFICATION
+from docweave.schemas import BOOKMARK, CORRUPT, NOTIFICATION, with_corrupt
 
 # The constant columns of a bookmark.
 REALTIME_LAYER = "RTDataHub"
@@ -14,16 +14,25 @@ CURATED_LAYER = "Curated"
 UNPROCESSED = "Unprocessed"
 PROCESSED = "Processed"
 
+# The state of what could not be routed.
+REJECTED = "Rejected"
+
 
 def scan_notifications(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    return spark.read.schema(NOTIFICATION).option("multiLine", multiline).json(path)
+    """Notifications; text that is none is kept in a column of its own."""
+    return spark.read.schema(with_corrupt(NOTIFICATION)).option("multiLine", multiline).json(path)
 
 
 def notification_records(notifications: DataFrame) -> DataFrame:
-    """One row per notified file, with the ten flat bookmark fields and the source system of its own key."""
+    """One row per notified file, with the ten flat bookmark fields and the source system of its own key.
+
+    Text that is no notification gives one row without a file, and itself as ``raw``.
+    """
     record = F.col("record")
     key = record["s3"]["object"]["key"]
-    return notifications.select(F.explode("Records").alias("record")).select(
+    raw = F.col(CORRUPT) if CORRUPT in notifications.columns else F.lit(None).cast("string")
+    records = notifications.select("Records", raw.alias("raw"), F.explode_outer("Records").alias("record"))
+    return records.where(F.col("Records").isNull() | record.isNotNull()).select(
         record["eventTime"].alias("eventTime"),
         record["eventName"].alias("eventName"),
         record["userIdentity"]["principalId"].alias("userIdentity"),
@@ -35,6 +44,7 @@ def notification_records(notifications: DataFrame) -> DataFrame:
         record["s3"]["object"]["eTag"].alias("fileeTag"),
         record["s3"]["object"]["sequencer"].alias("sequencer"),
         text.segment(key, 1).alias("sourceSystem"),
+        "raw",
     )
 
 

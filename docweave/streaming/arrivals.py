@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from docweave.operators.routing import Rule, route
-from docweave.schemas import NOTIFICATION
-from docweave.sinks.tables import LEDGER_PARTITIONS, write_table
+from docweave.schemas import NOTIFICATION, with_corrupt
+from docweave.sinks.tables import write_ledger
 from docweave.sources.notifications import notification_records
 
 
@@ -18,7 +18,6 @@ def arrival_stream(
     notifications: str,
     rules: Sequence[Rule],
     ledger: str,
-    quarantine: str,
     checkpoint: str,
     max_files: int | None = None,
 ) -> StreamingQuery:
@@ -27,15 +26,13 @@ def arrival_stream(
     A micro-batch is written below its own batch_id, so one that is repeated after a
     failure replaces what it wrote before.
     """
-    reader = spark.readStream.schema(NOTIFICATION)
+    reader = spark.readStream.schema(with_corrupt(NOTIFICATION))
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     routed = route(notification_records(reader.json(notifications)), rules)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        good, short = batch.where("reason IS NULL"), batch.where("reason IS NOT NULL")
-        write_table(good, f"{ledger}/batch_id={batch_id}", mode="overwrite", partition_by=LEDGER_PARTITIONS)
-        write_table(short, f"{quarantine}/batch_id={batch_id}", mode="overwrite")
+        write_ledger(batch, ledger, batch_id)
 
     return (
         routed.writeStream.foreachBatch(store)

@@ -193,7 +193,11 @@ def test_incremental_job(spark, tmp_path):
     assert rows(current.select("leadId", "Sequence_No", "v", "w", "personalDetails_partyList_nm")) == [
         ("A", "10", "", "new", "")
     ]
-    assert {r.reason for r in spark.read.parquet(bad).collect()} == {"not_a_list"}
+    assert [r.reason for r in spark.read.parquet(bad).collect()] == ["not_a_list"]
+    keyed, bad = str(tmp_path / "keyed"), str(tmp_path / "bad2")
+    load_changes(spark, two, infer_feed_schema(spark, two), keyed, bad, 2, scope="key")
+    assert spark.read.parquet(keyed).count() == 2
+    assert [r.reason for r in spark.read.parquet(bad).collect()] == ["not_a_list"]
 
 
 def test_change_stream_takes_files_in_batches(spark, tmp_path):

@@ -10,7 +10,7 @@ from docweave.operators.routing import Condition, Destination, Rule, destination
 from docweave.plans.jobs import bookmark_notifications
 from docweave.plans.standard_rules import REQUIREMENTS, standard_rules
 from docweave.schemas import BOOKMARK
-from docweave.sinks.tables import read_ledger, write_bookmark_files
+from docweave.sinks.tables import read_ledger, read_rejected, write_bookmark_files
 from docweave.sources.notifications import bookmarks, notification_records, scan_bookmarks, scan_notifications
 from docweave.streaming.arrivals import arrival_stream
 
@@ -160,16 +160,16 @@ def test_bookmark_files_keep_text_as_text(spark, tmp_path):
 def test_ledger_job_and_stream_agree(spark, tmp_path):
     files = [notification(key) for key, *_ in GOLDENS]
     folder = write(tmp_path / "n", *files)
-    bookmark_notifications(spark, folder, RULES, str(tmp_path / "ledger"), str(tmp_path / "rejected"))
+    bookmark_notifications(spark, folder, RULES, str(tmp_path / "ledger"), 0)
     batch = read_ledger(spark, str(tmp_path / "ledger"))
 
     def stream():
         arrival_stream(
-            spark, folder, RULES, str(tmp_path / "ledger2"), str(tmp_path / "rejected2"), str(tmp_path / "cp"), max_files=5
+            spark, folder, RULES, str(tmp_path / "ledger2"), str(tmp_path / "cp"), max_files=5
         ).awaitTermination()
         return read_ledger(spark, str(tmp_path / "ledger2"))
 
-    columns = sorted(set(batch.columns) - {"reason"})
+    columns = sorted(set(batch.columns) - {"batch_id"})
     want = rows(batch.select(columns))
     assert len(want) == sum(good for _, _, good, _ in GOLDENS)
     assert rows(stream().select(columns)) == want
@@ -178,5 +178,22 @@ def test_ledger_job_and_stream_agree(spark, tmp_path):
     (tmp_path / "n" / "late.json").write_text(json.dumps(notification("d/007/1/2/3/4/5/6/7")))
     late = stream().where(F.col("source") == "007")
     assert late.count() == 16
-    assert spark.read.parquet(str(tmp_path / "rejected")).count() == sum(short for *_, short in GOLDENS)
-    assert spark.read.parquet(str(tmp_path / "rejected2")).count() == sum(short for *_, short in GOLDENS)
+    for name in ("ledger", "ledger2"):
+        assert read_rejected(spark, str(tmp_path / name)).count() == sum(short for *_, short in GOLDENS)
+
+
+def test_what_is_no_notification_is_kept(spark, tmp_path):
+    no_key = notification("x")
+    del no_key["Records"][0]["s3"]["object"]["key"]
+    folder = write(tmp_path / "n", no_key, {"Records": []}, {"other": 1}, notification("d/s/t/u/v/w/x/y/z"))
+    (tmp_path / "n" / "bad.json").write_text("not json")
+    ledger = str(tmp_path / "ledger")
+    for _ in range(2):
+        bookmark_notifications(spark, folder, RULES, ledger, 3)
+    assert read_ledger(spark, ledger).count() == 16
+    bad = read_rejected(spark, ledger)
+    assert rows(bad.select("reason", "raw", "eventName")) == [
+        ("no_key", "not json", None),
+        ("no_key", None, "ObjectCreated:Put"),
+        ("no_key", None, None),
+    ]

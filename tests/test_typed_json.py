@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docweave.functions.typed_json import unwrap_typed
-from docweave.plans.jobs import change_rows
+from docweave.plans.jobs import change_rows, rejected_records
 from docweave.sources.documents import read_feed, infer_feed_schema, scan_change_feed, unparsed
 
 DOC = {
@@ -74,6 +74,20 @@ def test_text_that_is_not_json_is_kept(spark, tmp_path):
     assert scan_change_feed(spark, folder, schema).count() == 1
 
 
+def test_incomplete_records_are_kept(spark, tmp_path):
+    folder = write_feed(
+        tmp_path,
+        [
+            record({"leadId": "A"}, 1, keys={"leadId": "A"}),
+            record(None, 2, "REMOVE"),
+            record(None, 3, "INSERT", keys={"leadId": "B"}),
+        ],
+    )
+    feed = scan_change_feed(spark, folder)
+    assert rows(change_rows(feed).select("leadId")) == [("A",)]
+    assert sorted(r.reason for r in rejected_records(feed).collect()) == ["no_image", "no_key"]
+
+
 def test_map_typed_attributes(spark):
     df = spark.createDataFrame([({"a": "1", "b": "2"},)], "v map<string,string>").select(
         F.struct(F.struct(F.transform_values("v", lambda _, x: F.struct(x.alias("N"))).alias("M")).alias("m")).alias("image")
