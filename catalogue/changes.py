@@ -119,7 +119,7 @@ def record_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "record_counts_plain",
     """
-SELECT count(*) AS "I", 0 AS "U", 0 AS "D", min(CAST(l_orderkey AS VARCHAR)) AS "SQ",
+SELECT count(*) AS "I", CAST(0 AS BIGINT) AS "U", CAST(0 AS BIGINT) AS "D", min(CAST(l_orderkey AS VARCHAR)) AS "SQ",
        max(CAST(l_orderkey AS VARCHAR)) AS "EQ"
 FROM lineitem
 """,
@@ -132,7 +132,7 @@ def record_counts_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "audit_entry",
     f"""
-SELECT 1700000000 AS epoch_timestamp, 'Events' AS source_system, 'Clicks' AS table_name, 'Completed' AS status,
+SELECT CAST(1700000000 AS BIGINT) AS epoch_timestamp, 'Events' AS source_system, 'Clicks' AS table_name, 'Completed' AS status,
        "I" AS insert_count, "U" AS update_count, "D" AS delete_count,
        "SQ" AS record_start_sequence, "EQ" AS record_end_sequence, 'job.log' AS log_file_name
 FROM ({_COUNTS})

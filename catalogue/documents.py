@@ -293,7 +293,7 @@ def load_changes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, schema = _written_feed(spark, typed_orders(spark, sf_dir))
     out, quarantine = shared_folder(spark, "changes"), shared_folder(spark, "quarantine")
     load_changes(
-        spark, folder, schema, out, quarantine, 1, target_columns=["leadId", "older_column"], multiline=False
+        spark, folder, schema, out, quarantine, 1, columns=["leadId", "older_column"], multiline=False
     )
     return read_changes(spark, out).select(
         "leadId",

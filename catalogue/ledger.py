@@ -13,7 +13,13 @@ from docweave.plans.standard_rules import standard_rules
 from docweave.schemas import BOOKMARK
 from docweave.sinks.tables import read_ledger, write_bookmark_files, write_table
 from docweave.sources.files import list_input_files
-from docweave.sources.notifications import bookmarks, notification_records, scan_bookmarks, scan_notifications
+from docweave.sources.notifications import (
+    BOOKMARK_CSV,
+    bookmarks,
+    notification_records,
+    scan_bookmarks,
+    scan_notifications,
+)
 from docweave.streaming.arrivals import arrival_stream
 from docweave.workspace import shared_folder
 
@@ -116,7 +122,7 @@ def bookmark_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notification files to bookmarks, written as CSV with a header and read back."""
     folder = shared_folder(spark, "bookmarks")
     records = notification_records(scan_notifications(spark, _written_notifications(spark, sf_dir)))
-    write_table(bookmarks(records), folder, "csv", options={"header": "true"})
+    write_table(bookmarks(records), folder, "csv", options=BOOKMARK_CSV)
     return scan_bookmarks(spark, folder).select(*BOOKMARK.names)
 
 

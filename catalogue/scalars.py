@@ -162,7 +162,7 @@ def concat_skip_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "char_count",
-    "SELECT doc_id, length(text) - length(replace(text, 'e', '')) AS n_e FROM documents",
+    "SELECT doc_id, CAST(length(text) - length(replace(text, 'e', '')) AS INTEGER) AS n_e FROM documents",
 )
 def char_count_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.char_count(F.col("text"), "e").alias("n_e"))

@@ -18,55 +18,54 @@ def null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column
     return condition
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float, min_rows: int) -> DataFrame:
-    """Keys that hold at least ``share`` of all rows, and at least ``min_rows``.
+def hot_keys(weights: DataFrame, keys: Sequence[str], share: float, least: float) -> DataFrame:
+    """Keys whose ``__weight`` is at least ``share`` of the total, and at least ``least``.
 
     There can be no more than 1 / share of them, which bounds what callers broadcast.
     """
     if not LEAST_SHARE <= share <= 1:
         raise ValueError(f"share must be from {LEAST_SHARE} to 1, not {share}")
-    counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__total"))
-    is_hot = (F.col("__n") >= F.lit(share) * total.scalar()) & (F.col("__n") >= min_rows)
-    return counts.where(is_hot).select(*keys)
+    total = weights.agg(F.sum("__weight").alias("__total"))
+    is_hot = (F.col("__weight") >= F.lit(share) * total.scalar()) & (F.col("__weight") >= least)
+    return weights.where(is_hot).select(*keys)
 
 
 def left_join_children(
     base: DataFrame,
     children: Sequence[DataFrame],
     keys: Sequence[str],
+    weights: DataFrame,
     share: float = 0.001,
-    min_rows: int = 10_000,
+    least: float = 1_000_000,
     salts: int = 64,
 ) -> DataFrame:
     """``base`` left-joined with each child on ``keys``, NULL matching NULL.
 
-    Rows of a hot key are dealt to ``salts`` groups by a hash of their content (the same
-    on every retry) and the children of that key are copied to each group, so that no
-    task gets a whole hot key.  All joins use the same columns: base is shuffled once.
+    ``weights`` says how many rows each key will give (``keys`` and ``__weight``).  Rows of
+    a hot key are dealt to ``salts`` groups by a hash of their content (the same on every
+    retry) and the children of that key are copied to each group, so that no task gets a
+    whole hot key.  All joins use the same columns: base is shuffled once.
     """
     hot = F.broadcast(
-        hot_keys(base, keys, share, min_rows).select(
+        hot_keys(weights, keys, share, least).select(
             *[F.col(k).alias(f"__hot_{k}") for k in keys], F.lit(True).alias("__hot")
         )
     )
 
-    def marked(df: DataFrame) -> DataFrame:
+    def matched(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: str) -> DataFrame:
         condition = F.lit(True)
-        for k in keys:
-            condition = condition & df[k].eqNullSafe(hot[f"__hot_{k}"])
-        return df.join(hot, condition, "left").drop(*[f"__hot_{k}" for k in keys])
+        for name in names:
+            condition = condition & left[name].eqNullSafe(right[prefix + name])
+        return left.join(right, condition, "left").drop(*[prefix + name for name in names])
 
     deal = F.pmod(F.xxhash64(*base.columns), F.lit(salts)).cast("int")
-    joined = marked(base).withColumn("__salt", F.when(F.col("__hot"), deal).otherwise(0)).drop("__hot")
+    joined = matched(base, hot, keys, "__hot_").withColumn("__salt", F.when(F.col("__hot"), deal).otherwise(0))
+    joined = joined.drop("__hot")
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
     on = [*keys, "__salt"]
     for child in children:
-        every = F.sequence(F.lit(0), F.lit(salts - 1))
         copies = F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0)))
-        right = marked(child).withColumn("__salt", F.explode(copies)).drop("__hot")
+        right = matched(child, hot, keys, "__hot_").withColumn("__salt", F.explode(copies)).drop("__hot")
         right = right.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in right.columns])
-        condition = F.lit(True)
-        for name in on:
-            condition = condition & joined[name].eqNullSafe(right[f"__r_{name}"])
-        joined = joined.join(right, condition, "left").drop(*[f"__r_{c}" for c in on])
+        joined = matched(joined, right, on, "__r_")
     return joined.drop("__salt")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from docweave.operators.upsert import latest_per_key, live_rows
 from docweave.schemas import AUDIT, AUDIT_KEYS, BOOKMARK, LEDGER
-from docweave.sources.notifications import REJECTED
+from docweave.sources.notifications import BOOKMARK_CSV, REJECTED
 
 # Partition columns of quarantined rows.
 QUARANTINE_PARTITIONS = ["source_system", "table_name", "year", "month", "day"]
@@ -80,9 +80,7 @@ def read_rejected(spark: SparkSession, path: str) -> DataFrame:
 def write_bookmark_files(bookmarks: DataFrame, path: str) -> None:
     """The 13 bookmark columns as CSV with a header, one folder per queue."""
     queue = F.regexp_replace("destKey", "/[^/]*$", "").alias("queue")
-    write_table(
-        bookmarks.select(*BOOKMARK.names, queue), path, "csv", options={"header": "true"}, partition_by=["queue"]
-    )
+    write_table(bookmarks.select(*BOOKMARK.names, queue), path, "csv", options=BOOKMARK_CSV, partition_by=["queue"])
 
 
 def append_batch(df: DataFrame, path: str, batch_id: int) -> None:

@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from docweave.functions import text
 from docweave.schemas import BOOKMARK, CORRUPT, NOTIFICATION, with_corrupt
 
-# The constant columns of a bookmark.
+# How bookmark files are written, and the constant columns of a bookmark.
+BOOKMARK_CSV = {
+    "header": "true",
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 REALTIME_LAYER = "RTDataHub"
 CURATED_LAYER = "Curated"
 UNPROCESSED = "Unprocessed"
@@ -58,5 +64,5 @@ def scan_bookmarks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     The schema is fixed: guessing would read an eTag such as 1234e5 as a number.
     """
-    rows = spark.read.schema(BOOKMARK).option("header", "true").option("recursiveFileLookup", "true").csv(paths)
+    rows = spark.read.schema(BOOKMARK).options(**BOOKMARK_CSV).option("recursiveFileLookup", "true").csv(paths)
     return rows.select("*", F.col("_metadata.file_path").alias("bookmarkPath"))

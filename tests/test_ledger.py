@@ -13,7 +13,7 @@ from docweave.operators.ledger import batch_slices, first_n_files, numbered, pen
 from docweave.operators.path_values import json_depth, json_path_value_rows, path_value_rows
 from docweave.operators.skew import hot_keys, left_join_children
 from docweave.plans.jobs import DONE, ingest_pending, load_changes, read_or_empty
-from docweave.sinks.tables import read_current, write_quarantine, write_table
+from docweave.sinks.tables import append_batch, read_current, write_quarantine, write_table
 from docweave.sources.documents import infer_feed_schema
 from docweave.sources.files import list_input_files, target_columns
 from docweave.streaming.changes import change_stream
@@ -67,6 +67,7 @@ def test_target_columns(spark, tmp_path):
     spark.createDataFrame([(1, 2)], "_hoodie_commit_time int, a int").write.parquet(path)
     spark.createDataFrame([(1, 2)], "a int, b int").write.mode("append").parquet(path)
     assert sorted(target_columns(spark, path)) == ["a", "b"]
+    assert target_columns(spark, str(tmp_path / "none")) == []
 
 
 def test_conform(spark):
@@ -134,13 +135,18 @@ def test_path_values_from_columns(spark):
 
 def test_hot_keys(spark):
     df = spark.createDataFrame([("h",)] * 60 + [(f"c{i}",) for i in range(40)] + [(None,)] * 20, "k string")
-    assert rows(hot_keys(df, ["k"], 0.1, 10)) == [("h",), (None,)]
+    weights = df.groupBy("k").agg(F.count("*").alias("__weight"))
+    assert rows(hot_keys(weights, ["k"], 0.1, 10)) == [("h",), (None,)]
+    assert rows(hot_keys(weights, ["k"], 0.1, 30)) == [("h",)]
+    with pytest.raises(ValueError):
+        hot_keys(weights, ["k"], 0.0, 1)
 
 
 def test_salted_join_is_a_left_join(spark):
     base = spark.createDataFrame([("h", i) for i in range(200)] + [(f"c{i}", i) for i in range(20)], "k string, x int")
     child = spark.createDataFrame([("h", "p"), ("h", "q"), ("c1", "r"), ("zz", "s")], "k string, y string")
-    joined = left_join_children(base, [child], ["k"], share=0.1, min_rows=1, salts=8)
+    weights = base.groupBy("k").agg(F.count("*").alias("__weight"))
+    joined = left_join_children(base, [child], ["k"], weights, share=0.1, least=1, salts=8)
     assert rows(joined.select("k", "x", "y")) == rows(base.join(child, "k", "left").select("k", "x", "y"))
 
 
@@ -188,8 +194,8 @@ def test_incremental_job(spark, tmp_path):
     table, bad = str(tmp_path / "table"), str(tmp_path / "bad")
     load_changes(spark, one, infer_feed_schema(spark, one), table, bad, 1)
     for _ in range(2):
-        load_changes(spark, two, infer_feed_schema(spark, two), table, bad, 2, target_columns=target_columns(spark, table))
-    current = read_current(spark, table, ["leadId"], "Sequence_No", deletes="deleted")
+        load_changes(spark, two, infer_feed_schema(spark, two), table, bad, 2, columns=target_columns(spark, table))
+    current = read_current(spark, table, ["leadId"], "Sequence_No", deletes="_deleted")
     assert rows(current.select("leadId", "Sequence_No", "v", "w", "personalDetails_partyList_nm")) == [
         ("A", "10", "", "new", "")
     ]
@@ -234,10 +240,13 @@ def test_pending_files_are_taken_slice_by_slice(spark, tmp_path):
     def run(**options):
         return ingest_pending(spark, queue, done, schema, table, bad, slice_size=2, scheme="file", **options)
 
+    old = spark.createDataFrame([("L0", "0", "old")], "leadId string, Sequence_No string, more string")
+    append_batch(old, table, 0)
     assert run(max_files=3) == 2
+    assert "batch_id" not in spark.read.parquet(f"{table}/batch_id=2").columns
     assert read_or_empty(spark, done, DONE).count() == 3
     assert run() == 2
     assert run() == 0
-    current = read_current(spark, table, ["leadId"], "Sequence_No", deletes="deleted")
-    assert rows(current.select("leadId", "v")) == [(f"L{i}", str(i)) for i in range(5)]
+    current = read_current(spark, table, ["leadId"], "Sequence_No", deletes="_deleted")
+    assert rows(current.select("leadId", "v", "more")) == [(f"L{i}", str(i), "") for i in range(5)]
     assert [(r.reason, r.raw) for r in spark.read.parquet(bad).collect()] == [("unparsed", "not json")]

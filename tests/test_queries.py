@@ -30,3 +30,11 @@ def test_query(spark, con, name):
 def test_contract(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries())
     assert contract.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(contract.queries()))
+def test_plan(spark, name):
+    """No pair of all rows with all rows, and no Python, in any plan."""
+    plan = contract.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    for operator in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas", "InArrow"):
+        assert operator not in plan

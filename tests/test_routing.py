@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import csv
 import json
 
+import pandas as pd
 import pytest
 from feed import rows
 from pyspark.sql import functions as F
@@ -197,3 +199,18 @@ def test_what_is_no_notification_is_kept(spark, tmp_path):
         ("no_key", None, "ObjectCreated:Put"),
         ("no_key", None, None),
     ]
+
+
+def test_bookmark_files_are_plain_csv(spark, tmp_path):
+    key = 'd/Zeus/t/a/b/c/e/ f,"quoted" '
+    records = notification_records(scan_notifications(spark, write(tmp_path / "n", notification(key))))
+    out = tmp_path / "csv"
+    write_bookmark_files(destinations(route(records, RULES)).limit(1), str(out))
+    (file,) = out.glob("*/*.csv")
+    with open(file, newline="") as lines:
+        header, row = csv.reader(lines)
+    assert header == BOOKMARK.names
+    assert row[header.index("fileName")] == key
+    frame = pd.DataFrame([dict(zip(header, row))])
+    frame.to_csv(tmp_path / "other.csv", index=False)
+    assert [r.fileName for r in scan_bookmarks(spark, [str(file), str(tmp_path / "other.csv")]).collect()] == [key, key]

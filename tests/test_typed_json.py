@@ -60,7 +60,7 @@ def test_removed_keys_come_through(spark, tmp_path):
     )
     feed = scan_change_feed(spark, folder)
     assert [r.change_type for r in feed.orderBy("Sequence_No").collect()] == ["I", "D", "U"]
-    flat = change_rows(feed).select("leadId", "Sequence_No", "deleted")
+    flat = change_rows(feed).select("leadId", "Sequence_No", "_deleted")
     assert rows(flat) == [("A", "1", False), ("A", "2", True), ("B", "3", False)]
 
 
