@@ -14,6 +14,7 @@ from docweave.plans.jobs import load_changes, load_snapshot, snapshot_rows
 from docweave.sinks.tables import read_changes
 from docweave.sources.documents import scan_change_feed, scan_snapshot
 from docweave.sources.files import target_columns
+from docweave.streaming.changes import feed_stream
 from docweave.workspace import shared_folder
 
 
@@ -274,37 +275,48 @@ def unwrap_typed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "load_changes",
-    """
+_LOADED_SQL = """
 SELECT CAST(o_orderkey AS VARCHAR) AS "leadId",
        CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS total,
        CASE WHEN o_orderstatus = 'F' THEN 'True' ELSE o_orderstatus END AS state,
        '' AS nothing,
+       '["' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || '","' || o_orderpriority || '"]' AS notes,
        strftime(o_orderdate, '%Y-%m-%d') AS "personalDetails_date",
        CAST(o_custkey AS VARCHAR) AS "personalDetails_partyList_cust",
-       CAST(o_orderkey AS VARCHAR) AS "Sequence_No",
-       '' AS older_column
+       CAST(o_orderkey AS VARCHAR) AS "Sequence_No"{more}
 FROM orders
-""",
-)
+"""
+_LOADED = [
+    "leadId",
+    "total",
+    "state",
+    "nothing",
+    "notes",
+    "personalDetails_date",
+    "personalDetails_partyList_cust",
+    "Sequence_No",
+]
+
+
+@query("load_changes", _LOADED_SQL.format(more=", '' AS older_column"))
 def load_changes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole incremental job: feed files, unwrapped, flattened, conformed, written, read back."""
     folder, schema = _written_feed(spark, typed_orders(spark, sf_dir))
     out, quarantine = shared_folder(spark, "changes"), shared_folder(spark, "quarantine")
-    load_changes(
-        spark, folder, schema, out, quarantine, 1, columns=["leadId", "older_column"], multiline=False
-    )
-    return read_changes(spark, out).select(
-        "leadId",
-        "total",
-        "state",
-        "nothing",
-        "personalDetails_date",
-        "personalDetails_partyList_cust",
-        "Sequence_No",
-        "older_column",
-    )
+    load_changes(spark, folder, out, quarantine, 1, schema, columns=["leadId", "older_column"], multiline=False)
+    return read_changes(spark, out).select(*_LOADED, "older_column")
+
+
+@query("stream_typed_feed", _LOADED_SQL.format(more=""))
+def stream_typed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same job as a stream of feed files, in several micro-batches that each find their schema."""
+    parts = spark.sparkContext.defaultParallelism
+    folder, _ = _written_feed(spark, typed_orders(spark, sf_dir).repartition(parts))
+    out, quarantine, checkpoint = (shared_folder(spark, name) for name in ("changes", "quarantine", "checkpoint"))
+    feed_stream(
+        spark, folder, out, quarantine, checkpoint, max_files=max(1, parts // 2), multiline=False
+    ).awaitTermination()
+    return read_changes(spark, out).select(_LOADED)
 
 
 @query(

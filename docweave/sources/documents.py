@@ -9,11 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.schemas import CORRUPT, with_corrupt
+from docweave.schemas import CORRUPT, feed_schema, with_corrupt
 
 # Feed event names and the change types they stand for.
 CHANGE_TYPES = {"INSERT": "I", "MODIFY": "U", "REMOVE": "D"}
 
+FILE = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("modificationTime", T.TimestampType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("content", T.BinaryType()),
+    ]
+)
+
 
 @contextmanager
 def case_sensitive(spark: SparkSession) -> Iterator[None]:
@@ -33,15 +42,53 @@ def scan_snapshot(spark: SparkSession, paths: str | list[str], merge_schema: boo
 
 
 def infer_feed_schema(spark: SparkSession, paths: str | list[str], multiline: bool = True) -> T.StructType:
-    """Schema over *all* records of the given files: one extra pass, so keep the result and pass it on."""
+    """Schema over *all* records of the given files, in one extra pass.
+
+    Parts that every feed has are there even if no file shows them, as in files that only
+    hold removals.
+    """
     reader = spark.read.option("multiLine", multiline).option("primitivesAsString", "true")
-    schema = reader.json(paths).schema
-    return T.StructType([f for f in schema.fields if f.name != CORRUPT])
+    found = _struct_at(reader.json(paths).schema, "Records", "dynamodb")
+    parts = {f.name: f.dataType for f in found.fields}
+    keys, image = parts.get("Keys"), parts.get("NewImage")
+    return feed_schema(
+        image if isinstance(image, T.StructType) else T.StructType([]),
+        keys if isinstance(keys, T.StructType) else None,
+    )
+
+
+def _struct_at(dtype: T.DataType, *names: str) -> T.StructType:
+    """The struct below ``dtype`` at a path through structs and lists, without fields if there is none."""
+    for name in names:
+        dtype = dtype[name].dataType if isinstance(dtype, T.StructType) and name in dtype.names else dtype
+        dtype = dtype.elementType if isinstance(dtype, T.ArrayType) else dtype
+        if not isinstance(dtype, T.StructType):
+            return T.StructType([])
+    return dtype
 
 
 def read_feed(spark: SparkSession, paths: str | list[str], schema: T.StructType, multiline: bool = True) -> DataFrame:
     """Parsed feed files: ``Records``, the text that did not parse, and the file."""
-    rows = spark.read.schema(with_corrupt(schema)).option("multiLine", multiline).json(paths)
+    return _with_file(spark.read.schema(with_corrupt(schema)).option("multiLine", multiline).json(paths))
+
+
+def stream_feed(
+    spark: SparkSession, folder: str, schema: T.StructType, multiline: bool = True, max_files: int | None = None
+) -> DataFrame:
+    """The same as a stream of the files that arrive in ``folder``."""
+    reader = spark.readStream.schema(with_corrupt(schema)).option("multiLine", multiline)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return _with_file(reader.json(folder))
+
+
+def stream_paths(spark: SparkSession, folder: str, max_files: int) -> DataFrame:
+    """Paths of the files that arrive in ``folder``, as a stream; no content is read."""
+    reader = spark.readStream.format("binaryFile").schema(FILE)
+    return reader.option("maxFilesPerTrigger", max_files).load(folder).select("path")
+
+
+def _with_file(rows: DataFrame) -> DataFrame:
     return rows.select("Records", CORRUPT, F.col("_metadata.file_path").alias("source_file"))
 
 

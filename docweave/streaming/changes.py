@@ -9,7 +9,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from docweave.operators.upsert import latest_per_key
+from docweave.plans.jobs import SLICE_SIZE, load_changes, store_changes
 from docweave.sinks.tables import append_batch
+from docweave.sources.documents import stream_feed, stream_paths
+from docweave.sources.files import target_columns
 
 
 def change_stream(
@@ -38,10 +41,45 @@ def change_stream(
     def store(batch: DataFrame, batch_id: int) -> None:
         append_batch(latest_per_key(transform(batch), keys, seq, order), table, batch_id)
 
-    return (
-        reader.json(files)
-        .writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _run(reader.json(files), store, checkpoint)
+
+
+def feed_stream(
+    spark: SparkSession,
+    files: str,
+    table: str,
+    quarantine: str,
+    checkpoint: str,
+    schema: T.StructType | None = None,
+    max_files: int = SLICE_SIZE,
+    multiline: bool = True,
+    **options,
+) -> StreamingQuery:
+    """Bring all pending feed files of typed JSON into the change table, flat, then stop.
+
+    Every micro-batch gets the columns that the table has by then.  Without a schema each
+    micro-batch finds its own from all of its files; a given one saves that pass, but
+    attributes and type tags that it lacks are not seen.  Only the paths of one micro-batch,
+    ``max_files`` at most, come to the driver.
+    """
+    columns = target_columns(spark, table)
+
+    def store_parsed(batch: DataFrame, batch_id: int) -> None:
+        nonlocal columns
+        columns = store_changes(batch, table, quarantine, batch_id, columns, **options)
+
+    def store_files(batch: DataFrame, batch_id: int) -> None:
+        nonlocal columns
+        paths = [row.path for row in batch.collect()]
+        columns = load_changes(
+            spark, paths, table, quarantine, batch_id, columns=columns, multiline=multiline, **options
+        )
+
+    if schema is None:
+        return _run(stream_paths(spark, files, max_files), store_files, checkpoint)
+    return _run(stream_feed(spark, files, schema, multiline, max_files), store_parsed, checkpoint)
+
+
+def _run(stream: DataFrame, store: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()

@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 from decimal import Decimal
 from pathlib import Path
 
 
-class Text(str):
-    """A number that is written as text."""
-
-
 def typed(value):
     """A plain value as typed JSON."""
     match value:
@@ -43,7 +40,10 @@ def record(document: dict | None, sequence: int, event: str = "INSERT", keys: di
 def write_feed(folder: Path, *files: list[dict]) -> str:
     folder.mkdir(parents=True, exist_ok=True)
     for i, records in enumerate(files):
-        (folder / f"{i}.json").write_text(json.dumps({"Records": records}, indent=1))
+        path = folder / f"{i}.json"
+        path.write_text(json.dumps({"Records": records}, indent=1))
+        # A stream takes the oldest file first.
+        os.utime(path, (1_000_000 + i, 1_000_000 + i))
     return str(folder)
 
 

@@ -16,7 +16,7 @@ from docweave.plans.jobs import DONE, ingest_pending, load_changes, read_or_empt
 from docweave.sinks.tables import append_batch, read_current, write_quarantine, write_table
 from docweave.sources.documents import infer_feed_schema
 from docweave.sources.files import list_input_files, target_columns
-from docweave.streaming.changes import change_stream
+from docweave.streaming.changes import change_stream, feed_stream
 from docweave.workspace import shared_folder
 
 
@@ -192,16 +192,16 @@ def test_incremental_job(spark, tmp_path):
         ],
     )
     table, bad = str(tmp_path / "table"), str(tmp_path / "bad")
-    load_changes(spark, one, infer_feed_schema(spark, one), table, bad, 1)
+    load_changes(spark, one, table, bad, 1)
     for _ in range(2):
-        load_changes(spark, two, infer_feed_schema(spark, two), table, bad, 2, columns=target_columns(spark, table))
+        load_changes(spark, two, table, bad, 2, columns=target_columns(spark, table))
     current = read_current(spark, table, ["leadId"], "Sequence_No", deletes="_deleted")
     assert rows(current.select("leadId", "Sequence_No", "v", "w", "personalDetails_partyList_nm")) == [
         ("A", "10", "", "new", "")
     ]
     assert [r.reason for r in spark.read.parquet(bad).collect()] == ["not_a_list"]
     keyed, bad = str(tmp_path / "keyed"), str(tmp_path / "bad2")
-    load_changes(spark, two, infer_feed_schema(spark, two), keyed, bad, 2, scope="key")
+    load_changes(spark, two, keyed, bad, 2, scope="key")
     assert spark.read.parquet(keyed).count() == 2
     assert [r.reason for r in spark.read.parquet(bad).collect()] == ["not_a_list"]
 
@@ -231,14 +231,13 @@ def test_pending_files_are_taken_slice_by_slice(spark, tmp_path):
     folder = tmp_path / "raw"
     write_feed(folder, *[[record({"leadId": f"L{i}", "v": str(i)}, i)] for i in range(5)])
     (folder / "9.json").write_text("not json")
-    schema = infer_feed_schema(spark, str(folder / "0.json"))
     queue = spark.createDataFrame(
         [(f"q/{i}", str(folder), f"{i}.json") for i in (0, 1, 2, 3, 4, 9)], "destKey string, bucketName string, fileName string"
     )
     table, done, bad = (str(tmp_path / name) for name in ("table", "done", "bad"))
 
     def run(**options):
-        return ingest_pending(spark, queue, done, schema, table, bad, slice_size=2, scheme="file", **options)
+        return ingest_pending(spark, queue, done, table, bad, slice_size=2, scheme="file", **options)
 
     old = spark.createDataFrame([("L0", "0", "old")], "leadId string, Sequence_No string, more string")
     append_batch(old, table, 0)
@@ -250,3 +249,34 @@ def test_pending_files_are_taken_slice_by_slice(spark, tmp_path):
     current = read_current(spark, table, ["leadId"], "Sequence_No", deletes="_deleted")
     assert rows(current.select("leadId", "v", "more")) == [(f"L{i}", str(i), "") for i in range(5)]
     assert [(r.reason, r.raw) for r in spark.read.parquet(bad).collect()] == [("unparsed", "not json")]
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_feed_stream(spark, tmp_path, given):
+    """Files one by one: the columns grow, and a batch may hold nothing but rejects or removals."""
+    folder = tmp_path / "raw"
+    write_feed(
+        folder,
+        [record({"leadId": "A", "v": "1"}, 1, keys={"leadId": "A"})],
+        [record({"leadId": "B", "w": "2", "products": [{"n": "p"}]}, 2, keys={"leadId": "B"})],
+        [record(None, 3, "REMOVE", keys={"leadId": "A"})],
+    )
+    schema = infer_feed_schema(spark, str(folder)) if given else None
+    table, bad, checkpoint = (str(tmp_path / name) for name in ("table", "bad", "cp"))
+
+    def run(*names):
+        feed_stream(spark, str(folder), table, bad, checkpoint, schema, max_files=1).awaitTermination()
+        current = read_current(spark, table, ["leadId"], "Sequence_No", deletes="_deleted")
+        return rows(current.select("leadId", "v", "w", "products_n", *names))
+
+    assert run() == [("B", "", "2", "p")]
+    (folder / "7.json").write_text("not json")
+    write_feed(tmp_path / "more", [record({"leadId": "C", "products": "x"}, 9), record({"leadId": "D", "x": "new"}, 10)])
+    (folder / "9.json").write_text((tmp_path / "more" / "0.json").read_text())
+    reasons = ["unparsed"] if given else ["not_a_list", "unparsed"]
+    if given:
+        # What the given schema does not know is not seen.
+        assert run() == [("B", "", "2", "p"), ("C", "", "", ""), ("D", "", "", "")]
+    else:
+        assert run("x") == [("B", "", "2", "p", None), ("D", "", "", "", "new")]
+    assert sorted(r.reason for r in spark.read.parquet(bad).collect()) == reasons
