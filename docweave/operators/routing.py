@@ -12,7 +12,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import text
@@ -71,6 +71,46 @@ class Rule:
     destinations: tuple[Destination, ...]
 
 
+# The rule table, one row per rule.
+RULE_TABLE = (
+    "rule_order int, name string, exclusive boolean,"
+    "conditions array<struct<field:string,op:string,values:array<string>>>,"
+    "destinations array<struct<layer:string,table:string,file:string,payload:string>>"
+)
+MOST_RULES = 1000
+
+
+def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    """Rules as a table."""
+    rows = [
+        (
+            order,
+            rule.name,
+            rule.exclusive,
+            [(c.field, c.op, list(c.values)) for c in rule.conditions],
+            [(d.layer, d.table, d.file, d.payload) for d in rule.destinations],
+        )
+        for order, rule in enumerate(rules)
+    ]
+    return spark.createDataFrame(rows, RULE_TABLE)
+
+
+def read_rules(table: DataFrame) -> tuple[Rule, ...]:
+    """Rules from a table, in its order."""
+    rows = table.orderBy("rule_order").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return tuple(
+        Rule(
+            row.name,
+            row.exclusive,
+            tuple(Condition(c.field, c.op, tuple(c["values"])) for c in row.conditions),
+            tuple(Destination(*d) for d in row.destinations),
+        )
+        for row in rows
+    )
+
+
 def _holds(rule: Rule, fields: dict[str, Column]) -> Column:
     """The rule's condition; a missing segment makes it false."""
     result = F.lit(True)

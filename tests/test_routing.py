@@ -8,7 +8,16 @@ import pytest
 from feed import rows
 from pyspark.sql import functions as F
 
-from docweave.operators.routing import Condition, Destination, Rule, destinations, quarantined, route
+from docweave.operators.routing import (
+    Condition,
+    Destination,
+    Rule,
+    destinations,
+    quarantined,
+    read_rules,
+    route,
+    rule_table,
+)
 from docweave.plans.jobs import bookmark_notifications
 from docweave.plans.standard_rules import REQUIREMENTS, standard_rules
 from docweave.schemas import BOOKMARK
@@ -214,3 +223,8 @@ def test_bookmark_files_are_plain_csv(spark, tmp_path):
     frame = pd.DataFrame([dict(zip(header, row))])
     frame.to_csv(tmp_path / "other.csv", index=False)
     assert [r.fileName for r in scan_bookmarks(spark, [str(file), str(tmp_path / "other.csv")]).collect()] == [key, key]
+
+
+def test_rules_live_in_a_table(spark, tmp_path):
+    rule_table(spark, RULES).repartition(4).write.parquet(str(tmp_path / "rules"))
+    assert read_rules(spark.read.parquet(str(tmp_path / "rules"))) == RULES
