@@ -8,6 +8,7 @@ notification once and needs no join with the rules.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -23,8 +24,6 @@ CONTROL = "control"
 SHORT_KEY = "short_key"
 NO_KEY = "no_key"
 
-DESTINATIONS = "array<struct<rule:string,data_layer:string,table:string,file:string,dataLayer:string>>"
-
 SEGMENTS = 9
 
 
@@ -78,6 +77,13 @@ RULE_TABLE = (
     "destinations array<struct<layer:string,table:string,file:string,payload:string>>"
 )
 MOST_RULES = 1000
+MOST_TEXT = 2**31 - 1
+
+# Destinations per rule, as constants inside the plan.
+LISTS = (
+    "array<array<struct<rule:string,data_layer:string,lead:string,table_head:int,table_tail:string,"
+    "file_head:int,file_tail:string,`dataLayer`:string>>>"
+)
 
 
 def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
@@ -131,8 +137,14 @@ def _holds(rule: Rule, fields: dict[str, Column]) -> Column:
     return F.coalesce(result, F.lit(False))
 
 
+def _split(template: str) -> tuple[str, str]:
+    """A template up to its last field, and the constant text after that."""
+    head, field, tail = template.rpartition("}")
+    return head + field, tail
+
+
 def _fill(template: str, fields: dict[str, Column]) -> Column:
-    """The template's text, NULL when a segment it names is missing."""
+    """The template's text, NULL when a field it names is missing."""
     parts = []
     for i, part in enumerate(re.split(r"\{(\w+)\}", template)):
         if i % 2:
@@ -142,21 +154,6 @@ def _fill(template: str, fields: dict[str, Column]) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def _destinations(rule: Rule, fields: dict[str, Column]) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(rule.name).alias("rule"),
-                F.lit(d.layer).alias("data_layer"),
-                _fill(d.table, fields).alias("table"),
-                _fill(d.file, fields).alias("file"),
-                F.lit(d.payload).alias("dataLayer"),
-            )
-            for d in rule.destinations
-        ]
-    )
-
-
 def route(records: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per notified file and destination.
 
@@ -164,46 +161,67 @@ def route(records: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     ``reason`` is NULL for a good destination, or says why destKey could not be made: the
     key has too few segments, which does not affect the other destinations of the same
     file, or there is no key at all.
+
+    A file is first given the numbers of its rules and the few texts that their templates
+    are made of.  The destinations of a rule are a constant list, and each of them picks
+    two of the texts, so that little runs per destination however many there are.
     """
     fields = _fields()
-    none = F.array().cast(DESTINATIONS)
+    heads: dict[str, int] = {}
+
+    def destination(rule: str | None, d: Destination) -> dict[str, str | int | None]:
+        table_head, table_tail = _split("/" + d.table if d.table else "")
+        file_head, file_tail = _split(d.file)
+        return {
+            "rule": rule,
+            "data_layer": d.layer,
+            "lead": f"bookmarks/{d.layer}/unprocessed/",
+            "table_head": heads.setdefault(table_head, len(heads)),
+            "table_tail": table_tail,
+            "file_head": heads.setdefault(file_head, len(heads)),
+            "file_tail": file_tail,
+            "dataLayer": d.payload,
+        }
+
+    lists = [[destination(rule.name, d) for d in rule.destinations] for rule in rules]
+    # The number after the last rule stands for a record without a key.
+    lists.append([destination(None, Destination(None, "", "", None))])
+
     always = [
-        F.when(_holds(rule, fields), _destinations(rule, fields)).otherwise(none)
-        for rule in rules
+        F.when(_holds(rule, fields), F.array(F.lit(number))).otherwise(F.array().cast("array<int>"))
+        for number, rule in enumerate(rules)
         if not rule.exclusive
     ]
-    chosen = F.when(F.col("fileName").isNull(), F.array(F.lit(None)).cast(DESTINATIONS))
-    for rule in rules:
+    chosen = F.when(F.col("fileName").isNull(), F.array(F.lit(len(rules))))
+    for number, rule in enumerate(rules):
         if rule.exclusive:
-            chosen = chosen.when(_holds(rule, fields), _destinations(rule, fields))
-    chosen = chosen.otherwise(F.concat(*always) if always else none)
+            chosen = chosen.when(_holds(rule, fields), F.array(F.lit(number)))
+    chosen = chosen.otherwise(F.concat(*always) if always else F.array().cast("array<int>"))
 
     base = [c for c in records.columns if c not in ("dataLayer", "status")]
-    to = F.col("__to")
-    path = F.concat(
-        F.lit("bookmarks/"),
-        to["data_layer"],
-        F.lit("/unprocessed/"),
-        F.col("sourceSystem"),
-        F.when(to["table"] != "", F.concat(F.lit("/"), to["table"])).when(to["table"] == "", F.lit("")),
-        F.lit("/"),
-        to["file"],
-    )
+    constant = F.from_json(F.lit(json.dumps(lists)), LISTS)
+    texts = F.array(*[_fill(head, fields) for head in heads])
+    to, source = F.col("__to"), F.col("sourceSystem")
+    table_head, file_head = (F.get(F.col("__texts"), to[name]) for name in ("table_head", "file_head"))
+    short = source.isNull() | table_head.isNull() | file_head.isNull()
     return (
         records.where(~F.coalesce(F.col("fileName").contains(CONTROL), F.lit(False)))
         .withColumn("__parts", text.path_segments(F.col("fileName")))
-        .select(*base, F.explode(chosen).alias("__to"))
+        .select(*base, texts.alias("__texts"), F.explode(chosen).alias("__rule"))
+        .select(*base, "__texts", F.explode(F.get(constant, F.col("__rule"))).alias("__to"))
         .select(
             *base,
             to["dataLayer"].alias("dataLayer"),
             F.lit(UNPROCESSED).alias("status"),
             to["rule"].alias("rule"),
             to["data_layer"].alias("data_layer"),
-            F.col("sourceSystem").alias("source"),
-            F.nullif(to["table"], F.lit("")).alias("table"),
-            path.alias("destKey"),
+            source.alias("source"),
+            F.nullif(F.substring(F.concat(table_head, to["table_tail"]), 2, MOST_TEXT), F.lit("")).alias("table"),
+            F.concat(
+                to["lead"], source, table_head, to["table_tail"], F.lit("/"), file_head, to["file_tail"]
+            ).alias("destKey"),
+            F.when(F.col("fileName").isNull(), NO_KEY).when(short, SHORT_KEY).alias("reason"),
         )
-        .withColumn("reason", F.when(F.col("fileName").isNull(), NO_KEY).when(F.col("destKey").isNull(), SHORT_KEY))
     )
 
 
