@@ -1,4 +1,4 @@
-"""Where intermediate tables go: the shared folder that the cluster names."""
+"""What the library asks of a session: settings that suit it, and a shared folder."""
 
 from __future__ import annotations
 
@@ -7,6 +7,13 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+# Text of many floats makes long generated code.  The JVM does not optimise methods of more
+# than 8000 bytes, so Spark had better not merge operators into such a method.
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new, unused path below ``spark.checkpoint.dir``.
