@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,15 +18,21 @@ SNAPSHOT_DIGITS = 10
 LONG_TEXT = 18
 
 
-def float_text(value: Column, java: Column | None = None) -> Column:
-    """Shortest text of a float: plain from 1e-4 up to 1e16, with an exponent beyond; NaN is missing.
+def _apart(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function(value)`` as a lambda, whose code stays out of the compiled row loop.
 
-    ``java`` is Spark's own text of ``value`` when the caller has it.  That text is final
-    when it is short and has no exponent.  A long one may have a digit too many: 16 and 17
-    digits are tried then.
+    The JVM does not optimise a loop of more than 8000 bytes, and the rarely needed parts
+    of several floats make it longer than that.
     """
-    java = value.cast("string") if java is None else java
-    size = F.abs(value)
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
+def _long_float_text(value: Column) -> Column:
+    """Text of a float whose Java text is long or has an exponent.
+
+    A long text may have a digit too many: 16 and 17 digits are tried then.
+    """
+    java, size = value.cast("string"), F.abs(value)
     sixteen, seventeen = F.format_string("%.15e", value), F.format_string("%.16e", value)
     digits = F.lower(
         F.when(F.length(java) < LONG_TEXT, java)
@@ -39,22 +45,27 @@ def float_text(value: Column, java: Column | None = None) -> Column:
     plain = F.regexp_replace(plain, r"\.$", ".0")
     exponent = F.regexp_replace(F.replace(digits, F.lit("e+"), F.lit("e")), r"\.?0+e", "e")
     exponent = F.regexp_replace(F.regexp_replace(exponent, r"e(-?)(\d)$", "e$10$2"), r"e(\d)", "e+$1")
+    return F.when((size >= 1e-4) & (size < 1e16), plain).otherwise(exponent)
+
+
+def float_text(value: Column, java: Column | None = None, apart: bool = False) -> Column:
+    """Shortest text of a float: plain from 1e-4 up to 1e16, with an exponent beyond; NaN is missing.
+
+    ``java`` is Spark's own text of ``value`` when the caller has it.  That text is final
+    when it is short and has no exponent; the other case is the rare one.
+    """
+    java = value.cast("string") if java is None else java
     return (
         F.when(F.isnan(value), F.lit(None))
-        .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
+        .when(F.abs(value) == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
         .when((F.length(java) < LONG_TEXT) & ~java.contains("E"), java)
-        .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(exponent)
+        .otherwise(_apart(value, _long_float_text) if apart else _long_float_text(value))
     )
 
 
-def snapshot_float(value: Column, java: Column | None = None) -> Column:
-    """``value`` as it comes back from JSON text with ten digits after the point.
-
-    The part after the point is scaled and rounded as a float; rounding the decimal digits
-    instead would differ where they end in 5.
-    """
-    java = value.cast("string") if java is None else java
+def _rounded(value: Column) -> Column:
+    """The part after the point is scaled and rounded as a float; rounding the decimal digits
+    instead would differ where they end in 5."""
     size = F.abs(value)
     whole = F.floor(size)
     scaled = (size - whole) * 10.0**SNAPSHOT_DIGITS
@@ -65,12 +76,15 @@ def snapshot_float(value: Column, java: Column | None = None) -> Column:
     carried = F.when(parts >= 10**SNAPSHOT_DIGITS, whole + 1).otherwise(whole)
     parts = F.when(parts >= 10**SNAPSHOT_DIGITS, 0).otherwise(parts)
     text = F.concat(carried.cast("string"), F.lit("."), F.lpad(parts.cast("string"), SNAPSHOT_DIGITS, "0"))
-    rounded = text.cast("double")
+    return F.when(value < 0, -text.cast("double")).otherwise(text.cast("double"))
+
+
+def snapshot_float(value: Column, java: Column | None = None, apart: bool = False) -> Column:
+    """``value`` as it comes back from JSON text with ten digits after the point."""
+    java = value.cast("string") if java is None else java
     few_digits = (F.length(java) - F.locate(".", java) <= SNAPSHOT_DIGITS) & ~java.contains("E")
-    return (
-        F.when(few_digits | F.isnan(value) | (size >= 1e15), value)
-        .when(value < 0, -rounded)
-        .otherwise(rounded)
+    return F.when(few_digits | F.isnan(value) | (F.abs(value) >= 1e15), value).otherwise(
+        _apart(value, _rounded) if apart else _rounded(value)
     )
 
 
@@ -140,6 +154,7 @@ def with_text(
         for i, (_, value, dtype) in enumerate(values)
         if isinstance(dtype, (T.FloatType, T.DoubleType)) or (snapshot and isinstance(dtype, T.DecimalType))
     }
+    apart = snapshot or len(fractions) > 1
     kept = [F.col(quoted(c)) for c in keep]
     texts = {i: as_text(value, dtype, snapshot) for i, (_, value, dtype) in enumerate(values) if i not in fractions}
     if fractions:
@@ -157,10 +172,10 @@ def with_text(
         if snapshot:
             df = with_java(df)
             df = df.select(
-                *rest, *[snapshot_float(n, F.col(f"__java{i}")).alias(f"__value{i}") for i, n in numbers.items()]
+                *rest, *[snapshot_float(n, F.col(f"__java{i}"), apart).alias(f"__value{i}") for i, n in numbers.items()]
             )
         df = with_java(df)
-        texts |= {i: float_text(n, F.col(f"__java{i}")) for i, n in numbers.items()}
+        texts |= {i: float_text(n, F.col(f"__java{i}"), apart) for i, n in numbers.items()}
     return df.select(
         *kept,
         *[

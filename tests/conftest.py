@@ -8,8 +8,6 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from docweave.workspace import SETTINGS  # noqa: E402
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -17,7 +15,6 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[8]")
         .appName("tests")
         .config("spark.sql.shuffle.partitions", "8")
-        .config(map=SETTINGS)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
