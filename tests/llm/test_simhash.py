@@ -1,0 +1,117 @@
+"""SimHash groups against all pairs of fingerprints computed one bit at a time."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from docweave.llm.simhash import MASKS, _emit, _meet, fingerprint, links, simhash_dedup, simhash_groups
+
+SCHEMA = "doc_id long, text string, print string, component_id string"
+
+
+def plain(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def grouped(prints):
+    """prints: id -> fingerprint. id -> least id reachable by links of at most 3 bits."""
+    least = {i: i for i in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a in prints:
+            for b in prints:
+                if bin(prints[a] ^ prints[b]).count("1") <= 3 and least[b] < least[a]:
+                    least[a], changed = least[b], True
+    return least
+
+
+def texts():
+    rng = random.Random(5)
+    words = [f"w{i}é" if i % 7 == 0 else f"W{i}" for i in range(90)]
+    out = [None, "", " \t\r\n\x0b\x0c", "one", "One", "two words", "TWO  words", "a b c", "É b c", "é b c", "x\x00y z\x85q r"]
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(rng.choice([40, 300, 900]))]
+        out += [" ".join(base)] * 3
+        for _ in range(4):
+            base = list(base)
+            base[rng.randrange(len(base))] = "changed"
+            out.append("\n".join(base))
+    out += ["the same " * 30_000]
+    return out
+
+
+def test_fingerprint_is_the_stated_one():
+    for text in texts():
+        assert fingerprint(None if text is None else text.encode()) == plain(text)
+
+
+def test_groups_against_all_pairs(spark):
+    rows = [(i, t, "clash", "clash") for i, t in enumerate(texts())]
+    got = {r.doc_id: r for r in simhash_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    prints = {i: plain(t) for i, t, *_ in rows}
+    assert {i: r.fingerprint for i, r in got.items()} == {i: f"{p:016x}" for i, p in prints.items()}
+    assert {i: r.component_id for i, r in got.items()} == grouped(prints)
+    kept = simhash_dedup(spark.createDataFrame(rows, SCHEMA))
+    assert kept.columns == ["doc_id", "text", "print", "component_id"]
+    assert {r.doc_id for r in kept.collect()} == set(grouped(prints).values())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_all_near_prints_are_connected(seed):
+    rng = random.Random(seed)
+    prints = {0, 2**64 - 1}
+    for _ in range(40):
+        p = rng.getrandbits(64)
+        for _ in range(6):
+            prints.add(p)
+            for bit in rng.sample(range(64), rng.choice([1, 2, 3, 4])):
+                p ^= 1 << bit
+    prints = sorted(prints)
+    src, dst = _meet(*_emit(np.array(prints, np.uint64)))
+    near = {p: p for p in prints}
+
+    def root(x):
+        while near[x] != x:
+            x = near[x]
+        return x
+
+    for a, b in zip(src.tolist(), dst.tolist()):
+        assert bin(a ^ b).count("1") <= 3
+        a, b = sorted((root(a), root(b)))
+        near[b] = a
+    assert {p: root(p) for p in prints} == grouped({p: p for p in prints})
+
+
+def test_every_distance_meets(spark):
+    """One, two and three bits, in every mix of the two halves."""
+    rng = random.Random(1)
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), rng.choice([1, 2, 3])):
+            b ^= 1 << bit
+        src, dst = _meet(*_emit(np.array([a, b], np.uint64)))
+        assert len(src) == 1 and {int(src[0]), int(dst[0])} == {a, b}
+    far = spark.createDataFrame([(0,), (15,)], "print long")
+    assert links(far, 2).count() == 0
+    assert len(MASKS) == 1057
+
+
+def test_nulls_repeats_and_nothing(spark):
+    rows = [(None, "a b c d", "", ""), (3, "a b c d", "", ""), (3, "a b c d", "", ""), (5, None, "", ""), (None, "lone words here", "", "")]
+    got = simhash_groups(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "component_id").collect()
+    assert sorted(got, key=str) == sorted([(None, 3), (3, 3), (3, 3), (5, 5), (None, None)], key=str)
+    nothing = spark.createDataFrame([], SCHEMA)
+    assert simhash_groups(nothing).collect() == []
+    assert simhash_dedup(nothing).collect() == []
