@@ -53,3 +53,28 @@ def chunks(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, in
         size += length
     if start < len(column):
         yield start, len(column)
+
+
+def pieces(text: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
+    """A UTF-8 text in pieces of about ``limit`` bytes, cut at white space or, failing that, between characters."""
+    start, end = 0, len(text)
+    while end - start > limit:
+        cut = max(text.rfind(space, start + 1, start + limit) for space in (b" ", b"\n", b"\t", b"\r"))
+        if cut <= start:
+            cut = start + limit
+            while text[cut] & 0xC0 == 0x80:
+                cut -= 1
+        yield text[start:cut]
+        start = cut
+    yield text[start:]
+
+
+def labelled(labels: DataFrame, column: str, value: int, limit: int, id_column: str = "doc_id") -> DataFrame:
+    """doc_id, label: at most ``limit`` ids that carry a label value, first in the order of a hash of the id.
+
+    The order does not depend on how the table is stored, and the result is small by construction.
+    """
+    ids = labels.where((F.col(column) == value) & F.col(id_column).isNotNull()).select(
+        F.col(id_column).alias("doc_id"), F.lit(value).alias("label")
+    )
+    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)

@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm.common import table
+from docweave.llm.common import is_remainder, table
+from docweave.llm.language import fit_profiles, identify_languages
+from docweave.llm.quality import fit_quality, score_quality
 from docweave.llm.simhash import simhash_groups
+from docweave.llm.toxicity import fit_examples, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +29,25 @@ def query(name: str, sql: str | None = None):
 @query("op1_simhash_near_dedup")
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op2_toxicity_neighbours")
+def op2_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = table(spark, sf_dir, "labels").where(~is_remainder("doc_id", 4, 2))
+    scored = score_toxicity(docs, fit_examples(docs, learned))
+    return scored.withColumn("held_out", is_remainder("doc_id", 4, 2))
+
+
+@query("op4_quality_ranking")
+def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = table(spark, sf_dir, "labels").where(~is_remainder("doc_id", 5, 0))
+    return score_quality(docs, fit_quality(docs, learned)).withColumn("held_out", is_remainder("doc_id", 5, 0))
+
+
+@query("op10_language_profiles")
+def op10_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = docs.where(~is_remainder("doc_id", 3, 1))
+    return identify_languages(docs, fit_profiles(learned)).withColumn("held_out", is_remainder("doc_id", 3, 1))
