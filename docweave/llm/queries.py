@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docweave.llm.common import is_remainder, table
+from docweave.llm.decontaminate import contamination
 from docweave.llm.language import fit_profiles, identify_languages
 from docweave.llm.quality import fit_quality, score_quality
 from docweave.llm.simhash import simhash_groups
@@ -51,3 +52,37 @@ def op10_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = docs.where(~is_remainder("doc_id", 3, 1))
     return identify_languages(docs, fit_profiles(learned)).withColumn("held_out", is_remainder("doc_id", 3, 1))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op3_benchmark_decontamination",
+    f"""
+    WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    windows AS (
+        SELECT DISTINCT item_id, size, array_to_string(w[s:s + size - 1], ' ') AS g
+        FROM (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS s
+              FROM items WHERE len(w) > 0)),
+    docs AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+    places AS (
+        SELECT rid, size, s, array_to_string(w[s:s + size - 1], ' ') AS g
+        FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS s
+              FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+    hits AS (SELECT rid, s, p.size, item_id FROM places p JOIN windows i ON p.g = i.g AND p.size = i.size),
+    covered AS (
+        SELECT rid, count(DISTINCT place) AS n_hit
+        FROM (SELECT rid, unnest(range(s, s + size)) AS place FROM hits) GROUP BY rid),
+    named AS (
+        SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+        FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY rid)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+           CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AS contaminated
+    FROM docs LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
+    """,
+)
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
