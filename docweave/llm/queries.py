@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docweave.llm.chat import format_turns, read_back
 from docweave.llm.common import is_remainder, table
 from docweave.llm.decontaminate import contamination
 from docweave.llm.language import fit_profiles, identify_languages
+from docweave.llm.packing import packed_digest
 from docweave.llm.quality import fit_quality, score_quality
 from docweave.llm.simhash import simhash_groups
 from docweave.llm.toxicity import fit_examples, score_toxicity
@@ -86,3 +88,36 @@ _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 )
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(table(spark, sf_dir, "documents"))
+
+
+_PROBE = "</s>[INST] ok [/INST]"
+
+
+@query(
+    "op9_chat_formatting",
+    f"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '{_PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{_PROBE}'),
+    escaped AS (
+        SELECT *, length(role) + length(text)
+            + length(role || text) - length(replace(role || text, chr(92), ''))
+            + len(regexp_extract_all(role || '|' || text, '</?s>|\[/?INST\]')) AS chars
+        FROM turns)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(chars + {len("<s></s>[INST][/INST]")}) AS BIGINT) AS formatted_chars
+    FROM escaped GROUP BY conv_id
+    """,
+)
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", _PROBE), (-1, 1, "assistant", _PROBE)], turns.schema)
+    return read_back(format_turns(turns.union(probe)))
