@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docweave.llm.chat import format_turns, read_back
 from docweave.llm.common import is_remainder, table
 from docweave.llm.decontaminate import contamination
+from docweave.llm.embeddings import linked
 from docweave.llm.language import fit_profiles, identify_languages
 from docweave.llm.packing import packed_digest
 from docweave.llm.quality import fit_quality, score_quality
@@ -121,3 +122,29 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", _PROBE), (-1, 1, "assistant", _PROBE)], turns.schema)
     return read_back(format_turns(turns.union(probe)))
+
+
+@query(
+    "op7_embedding_near_dedup",
+    """
+    WITH RECURSIVE
+    given AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    sound AS (
+        SELECT vec_id, v FROM given
+        WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(v, lambda x: x <> 0)) > 0),
+    links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+        WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+    reach AS (
+        SELECT vec_id AS a, vec_id AS b FROM given
+        UNION
+        SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+    least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, component_id,
+           vec_id = component_id AS kept
+    FROM given JOIN least ON least.a = vec_id
+    """,
+)
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked(table(spark, sf_dir, "embeddings"))
