@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docweave.llm import kneser_ney
 from docweave.llm.chat import format_turns, read_back
 from docweave.llm.common import is_remainder, table
 from docweave.llm.decontaminate import contamination
@@ -108,7 +109,7 @@ _PROBE = "</s>[INST] ok [/INST]"
     escaped AS (
         SELECT *, length(role) + length(text)
             + length(role || text) - length(replace(role || text, chr(92), ''))
-            + len(regexp_extract_all(role || '|' || text, '</?s>|\[/?INST\]')) AS chars
+            + len(regexp_extract_all(role || '|' || text, '</?s>|[[]/?INST[]]')) AS chars
         FROM turns)
     SELECT conv_id, count(*) AS n_turns,
            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
@@ -148,3 +149,10 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_kneser_ney")
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = kneser_ney.train(docs.where(~is_remainder("doc_id", 10, 0)))
+    return kneser_ney.score(docs, model).withColumn("held_out", is_remainder("doc_id", 10, 0))

@@ -1,0 +1,115 @@
+"""The language model against one that is counted in dictionaries."""
+
+from __future__ import annotations
+
+import math
+import os
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+import __spark_entry__ as contract
+from docweave.llm import kneser_ney
+from docweave.llm.kneser_ney import discounts, score, train
+
+SF = "/root/testdata/sf0.01"
+SCHEMA = "doc_id long, text string, n_tokens string, score string"
+
+
+def split(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+class Plain:
+    def __init__(self, texts):
+        self.count, self.pairs = Counter(), Counter()
+        for text in texts:
+            row = split(text) + ["</end>"]
+            self.count.update(row)
+            self.pairs.update(zip(["<begin>"] + row, row))
+        self.context, self.before, self.kinds = Counter(), Counter(), defaultdict(Counter)
+        for (u, w), n in self.pairs.items():
+            self.context[u] += n
+            self.before[w] += 1
+            self.kinds[u][min(n, 3)] += 1
+        self.d2 = discounts([sum(n == k for n in self.pairs.values()) for k in (1, 2, 3, 4)])
+        self.d1 = discounts([sum(n == k for n in self.before.values()) for k in (1, 2, 3, 4)])
+
+    def lower(self, w):
+        v, n = len(self.count), len(self.pairs)
+        if not n:
+            return 1 / (v + 1)
+        left = sum(self.d1[min(b, 3)] for b in self.before.values()) / n
+        b = self.before[w]
+        return (b - self.d1[min(b, 3)]) / n + left / (v + 1)
+
+    def chance(self, u, w):
+        if not self.context[u]:
+            return self.lower(w)
+        n = self.pairs[u, w]
+        spare = sum(self.d2[k] * m for k, m in self.kinds[u].items())
+        return (n - self.d2[min(n, 3)] + spare * self.lower(w)) / self.context[u]
+
+    def row(self, text):
+        own = split(text) + ["</end>"]
+        total, v = sum(self.count.values()), len(self.count)
+        base = sum(math.log10((self.count[w] + 0.1) / (total + 0.1 * (v + 1))) for w in own)
+        logs = sum(math.log10(self.chance(u, w)) for u, w in zip(["<begin>"] + own, own))
+        return len(own), sum(self.count[w] > 0 for w in own), total, base, logs
+
+
+def corpus(seed):
+    rng = random.Random(seed)
+    pool = ["The", "of", "é", "x", *(f"w{i}" for i in range(60))]
+    weights = [60, 30, 9, 5] + [1] * 60
+
+    def text():
+        return rng.choice([" ", "\n", " \t "]).join(rng.choices(pool, weights, k=rng.choice([0, 1, 9, 80])))
+
+    rows = [(i, text(), "clash", "clash") for i in range(120)]
+    return rows + [(None, rows[7][1], "", ""), (7, rows[7][1], "", ""), (900, None, "", ""), (901, "", "", ""), (902, "unknown words the", "", "")]
+
+
+@pytest.mark.parametrize("at_once", [kneser_ney.TOKENS_AT_ONCE, 50])
+def test_against_dictionaries(spark, monkeypatch, at_once):
+    monkeypatch.setattr(kneser_ney, "TOKENS_AT_ONCE", at_once)
+    rows = corpus(1)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    learned = frame.where("doc_id is null or doc_id < 100")
+    model = train(learned)
+    plain = Plain([r[1] for r in rows if r[0] is None or r[0] < 100])
+    got = score(frame, model).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+    want = {}
+    for r in rows:
+        want.setdefault(r[0], plain.row(r[1]))
+    for r in got:
+        n, known, total, base, logs = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+        assert math.isclose(r.base_score, base, abs_tol=1e-9) and math.isclose(r.score, logs, rel_tol=1e-5, abs_tol=1e-6)
+
+
+def test_chances_add_up_to_one():
+    plain = Plain([r[1] for r in corpus(2)])
+    for u in ["<begin>", "the", "of", "w3", "never seen"]:
+        total = sum(plain.chance(u, w) for w in plain.count) + plain.chance(u, "never met")
+        assert math.isclose(total, 1, rel_tol=1e-9)
+
+
+def test_nothing_learned(spark):
+    frame = spark.createDataFrame(corpus(3), SCHEMA)
+    model = train(frame.limit(0))
+    assert {(r.score, r.base_score, r.train_tokens) for r in score(frame, model).collect()} == {(0.0, 0.0, 0)}
+    assert score(frame.limit(0), model).collect() == []
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_query_beats_the_base(spark):
+    rows = contract.queries()["op6_kneser_ney"](spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
