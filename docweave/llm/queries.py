@@ -12,6 +12,7 @@ from docweave.llm.common import is_remainder, table
 from docweave.llm.decontaminate import contamination
 from docweave.llm.embeddings import linked
 from docweave.llm.language import fit_profiles, identify_languages
+from docweave.llm.licenses import scan_licenses
 from docweave.llm.packing import packed_digest
 from docweave.llm.quality import fit_quality, score_quality
 from docweave.llm.simhash import simhash_groups
@@ -156,3 +157,8 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = kneser_ney.train(docs.where(~is_remainder("doc_id", 10, 0)))
     return kneser_ney.score(docs, model).withColumn("held_out", is_remainder("doc_id", 10, 0))
+
+
+@query("op8_license_scan")
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
