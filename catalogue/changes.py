@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogue.registry import query, table
+from docweave.operators.conform import union_files
 from docweave.operators.counts import audit_entry, record_counts
 from docweave.operators.upsert import latest_per_key, live_rows, upsert_latest
 from docweave.sinks.tables import append_audit, append_batch, compact, read_audit, read_current, write_quarantine, write_table
@@ -64,16 +65,18 @@ def upsert_with_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "latest_per_key",
     """
-SELECT l_orderkey, l_shipdate, n_lines FROM (
-  SELECT l_orderkey, strftime(max(l_shipdate), '%Y-%m-%d') AS l_shipdate, 1 AS n_lines FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY strftime(l_shipdate, '%Y-%m-%d') || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey DESC) AS n
+  FROM lineitem) WHERE n = 1
 """,
 )
 def latest_per_key_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
     shipped = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate")
-    )
-    latest = latest_per_key(shipped, ["l_orderkey"], "l_shipdate", order="lexical")
-    return latest.select("l_orderkey", "l_shipdate", F.lit(1).alias("n_lines"))
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", day.alias("l_shipdate"),
+        F.concat_ws("/", day, "l_linenumber", "l_partkey", "l_suppkey").alias("shipped"),
+    )
+    return latest_per_key(shipped, ["l_orderkey"], "shipped", order="lexical").drop("shipped")
 
 
 @query(
@@ -129,22 +132,36 @@ def record_counts_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_counts(table(spark, sf_dir, "lineitem"), "l_orderkey", order="lexical")
 
 
-@query(
-    "audit_entry",
-    f"""
-SELECT CAST(1700000000 AS BIGINT) AS epoch_timestamp, 'Events' AS source_system, 'Clicks' AS table_name, 'Completed' AS status,
-       "I" AS insert_count, "U" AS update_count, "D" AS delete_count,
-       "SQ" AS record_start_sequence, "EQ" AS record_end_sequence, 'job.log' AS log_file_name
-FROM ({_COUNTS})
-""",
-)
+_AUDIT_SQL = """
+SELECT CAST(epoch AS BIGINT) AS epoch_timestamp, 'Events' AS source_system, kind AS table_name, status,
+       count(*) FILTER (event_type = 'signup') AS insert_count,
+       count(*) FILTER (event_type NOT IN ('signup', 'error')) AS update_count,
+       count(*) FILTER (event_type = 'error') AS delete_count,
+       CAST(min(event_id) AS VARCHAR) AS record_start_sequence, CAST(max(event_id) AS VARCHAR) AS record_end_sequence,
+       'job.log' AS log_file_name
+FROM (SELECT *, event_type AS kind, CASE WHEN event_type = 'error' THEN 'Failed' ELSE 'Completed' END AS status FROM events),
+     (VALUES (1700000000), (1700000001)) jobs(epoch)
+GROUP BY epoch, kind, status
+"""
+
+
+@query("audit_entry", _AUDIT_SQL)
 def audit_entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An entry at the start and one at the end of a job; the later one replaces the first."""
+    """Two jobs for each type of event, each with an entry at its start and one at its end, of which none is lost."""
     path = shared_folder(spark, "audit")
     events = table(spark, sf_dir, "events").withColumn("kind", _kind())
-    job = (1_700_000_000, "Events", "Clicks")
-    append_audit(audit_entry(record_counts(events.where(F.lit(False)), "event_id", "kind"), *job, "Started", "job.log"), path, 1)
-    append_audit(audit_entry(record_counts(events, "event_id", "kind"), *job, "Completed", "job.log"), path, 2)
+    kinds = [r.event_type for r in events.select("event_type").distinct().orderBy("event_type").collect()]
+    for epoch in (1_700_000_000, 1_700_000_001):
+        for status in ("Started", "Ended"):
+            entries = []
+            for kind in kinds:
+                rows = events.where((F.col("event_type") == kind) & F.lit(status == "Ended"))
+                ended = "Failed" if kind == "error" else "Completed"
+                job = (epoch, "Events", kind, ended if status == "Ended" else "Started", "job.log")
+                entries.append(audit_entry(record_counts(rows, "event_id", "kind"), *job))
+            append_audit(union_files(entries), path)
+    if spark.read.parquet(path).count() != 4 * len(kinds):
+        raise AssertionError("an entry was lost")
     return read_audit(spark, path)
 
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalogue.registry import query, table
 from docweave.functions.typed_json import unwrap_typed
 from docweave.operators.conform import conform, union_files
 from docweave.operators.flatten import flatten_document, flatten_struct
-from docweave.operators.path_values import json_path_value_rows, path_value_rows
+from docweave.operators.path_values import json_path_value_rows, not_json, path_value_rows
 from docweave.plans.jobs import load_changes, load_snapshot, snapshot_rows
-from docweave.sinks.tables import read_changes
+from docweave.schemas import feed_schema
+from docweave.sinks.tables import compact, read_changes, read_current, read_quarantine
 from docweave.sources.documents import scan_change_feed, scan_snapshot
 from docweave.sources.files import target_columns
 from docweave.streaming.changes import feed_stream
@@ -413,3 +415,103 @@ def union_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_acctbal").alias("account"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")
     )
     return union_files([customers, suppliers])
+
+
+# How an order arrives in the feed, by the remainder of its key.
+_ARRIVES = {0: "loaded", 1: "loaded", 2: "deleted", 3: "no_key", 4: "no_image", 5: "not_a_list", 6: "uncovered", 7: "uncovered",
+            8: "unparsed", 9: "unparsed"}
+
+
+@query(
+    "feed_rejects",
+    f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
+       CASE o_orderkey % {len(_ARRIVES)} {" ".join(f"WHEN {k} THEN '{v}'" for k, v in _ARRIVES.items())} END AS outcome
+FROM orders
+""",
+)
+def feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order in one of ten forms, most of them broken; each one is loaded, a removal, or in the quarantine with its reason."""
+    key = F.col("o_orderkey").cast("string")
+
+    def line(event: str, change: str) -> Column:
+        start = f'{{"Records":[{{"eventName":"{event}","dynamodb":{{"SequenceNumber":"k-'
+        return F.concat(F.lit(start), key, F.lit('"' + change))
+
+    def lead(more: str = "") -> str:
+        return ',"NewImage":{"leadId":{"S":"lead"}' + more + "}}}]}"
+
+    forms = [
+        line("INSERT", lead(',"v":{"S":"x"}')),
+        line("MODIFY", lead(',"products":{"L":[{"M":{"n":{"S":"p"}}}]}')),
+        line("REMOVE", ',"Keys":{"leadId":{"S":"lead"}}}}]}'),
+        line("REMOVE", "}}]}"),
+        line("INSERT", "}}]}"),
+        line("INSERT", lead(',"products":{"S":"none"}')),
+        line("INSERT", lead(',"extra":{"S":"x"}')),
+        line("INSERT", lead(',"v":{"N":"5"}')),
+        F.concat(F.lit('{"Records":[{"eventName":"INSERT","k-'), key),
+        F.concat(F.lit('{"Records":[{"eventName":"k-'), key, F.lit('","dynamodb":5}]}')),
+    ]
+    chosen = F.get(F.array(*forms), (F.col("o_orderkey") % len(forms)).cast("int"))
+    folder, out, quarantine = (shared_folder(spark, name) for name in ("feed", "changes", "quarantine"))
+    table(spark, sf_dir, "orders").select(chosen.alias("value")).write.text(folder)
+    image = T.StructType.fromDDL(
+        "leadId struct<S:string>, v struct<S:string>, products struct<L:array<struct<M:struct<n:struct<S:string>>>>, S:string>"
+    )
+    schema = feed_schema(image, T.StructType([T.StructField("leadId", T.StructType([T.StructField("S", T.StringType())]))]))
+    load_changes(spark, folder, out, quarantine, 1, schema, multiline=False)
+    outcome = F.when(F.col("_deleted"), "deleted").otherwise("loaded")
+    kept = read_changes(spark, out).select(F.col("Sequence_No").alias("text"), outcome.alias("outcome"))
+    lost = read_quarantine(spark, quarantine).select(F.col("raw").alias("text"), F.col("reason").alias("outcome"))
+    return kept.union(lost).select(F.regexp_extract("text", r"k-(\d+)", 1).alias("o_orderkey"), "outcome")
+
+
+@query(
+    "current_documents",
+    """
+SELECT CAST(o_orderkey AS VARCHAR) AS "leadId", unnest(items) AS products_n, sequence AS "Sequence_No" FROM (
+  SELECT o_orderkey,
+         CASE WHEN o_orderkey % 3 = 0 THEN [o_orderstatus, o_orderpriority, o_orderstatus]
+              ELSE string_split(o_orderpriority, '-') END AS items,
+         CASE WHEN o_orderkey % 3 = 0 THEN '20' ELSE '9' END AS sequence
+  FROM orders WHERE o_orderkey % 5 <> 0)
+""",
+)
+def current_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with several products in batches out of order, one of them twice and one again under another number."""
+
+    def feed(event: str, sequence: int, items: Column | None, orders: DataFrame) -> str:
+        key = F.struct(F.col("o_orderkey").cast("string").alias("S")).alias("leadId")
+        change = [F.lit(str(sequence)).alias("SequenceNumber"), F.struct(key).alias("Keys")]
+        if items is not None:
+            product = F.transform(items, lambda i: F.struct(F.struct(F.struct(i.alias("S")).alias("n")).alias("M")))
+            change.append(F.struct(key, F.struct(product.alias("L")).alias("products")).alias("NewImage"))
+        record = F.struct(F.lit(event).alias("eventName"), F.struct(*change).alias("dynamodb"))
+        return _written_feed(spark, orders.select(F.array(record).alias("Records")))[0]
+
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    first = feed("INSERT", 9, F.split("o_orderpriority", "-"), orders)
+    later = feed("MODIFY", 20, F.array("o_orderstatus", "o_orderpriority", "o_orderstatus"), orders.where(key % 3 == 0))
+    gone = feed("REMOVE", 100, None, orders.where(key % 5 == 0))
+    out, smaller, quarantine = (shared_folder(spark, name) for name in ("changes", "changes", "quarantine"))
+    columns: list[str] = []
+    for number, files in ((1, [later, gone]), (2, [first]), (2, [first]), (3, [later])):
+        columns = load_changes(spark, files, out, quarantine, number, columns=columns, multiline=False).columns
+    compact(spark, out, smaller, ["leadId"], "Sequence_No")
+    return read_current(spark, smaller, ["leadId"], "Sequence_No", deletes="_deleted").select("leadId", "products_n", "Sequence_No")
+
+
+@query(
+    "json_text_paths",
+    """
+SELECT doc_id, '.text' AS path, text AS value FROM documents
+UNION ALL SELECT doc_id, '.of.0.n', CAST(n_chars AS VARCHAR) FROM documents
+""",
+)
+def json_text_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, some of them very long, as strings inside JSON; what is no JSON goes to the quarantine, which is empty here."""
+    doc = F.to_json(F.struct("text", F.array(F.struct(F.col("n_chars").alias("n"))).alias("of")))
+    documents = table(spark, sf_dir, "documents").select("doc_id", doc.alias("doc"))
+    bad = not_json(documents, ["doc_id"], "doc").select("doc_id", F.col("reason").alias("path"), F.col("raw").alias("value"))
+    return json_path_value_rows(documents, ["doc_id"], "doc").union(bad)

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from catalogue.registry import query, table
 from docweave.operators.ledger import batch_slices, first_n_files, numbered, pending, processed, slice_paths, with_file_path
-from docweave.operators.routing import destinations, quarantined, route
-from docweave.plans.jobs import bookmark_notifications
-from docweave.plans.standard_rules import standard_rules
+from docweave.operators.routing import Condition, Destination, Rule, destinations, quarantined, route
+from docweave.plans.jobs import DONE, AuditLog, bookmark_notifications, ingest_pending, read_or_empty
+from catalogue.standard_rules import standard_rules
 from docweave.schemas import BOOKMARK
-from docweave.sinks.tables import read_ledger, write_bookmark_files, write_table
+from docweave.sinks.tables import read_audit, read_current, read_ledger, read_quarantine, write_bookmark_files, write_table
 from docweave.sources.files import list_input_files
 from docweave.sources.notifications import (
     BOOKMARK_CSV,
@@ -296,7 +296,8 @@ def first_n_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "list_input_files",
-    "SELECT DISTINCT lang, source FROM documents",
+    """SELECT lang, source, CAST(sum(length(CAST(doc_id AS VARCHAR)) + 1) AS BIGINT) AS bytes
+FROM documents GROUP BY lang, source""",
 )
 def list_input_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files found below a folder that is partitioned by language and source."""
@@ -313,8 +314,10 @@ def list_input_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             F.replace(F.element_at(parts, -3), F.lit("lang="), F.lit("")).alias("lang"),
             F.replace(F.element_at(parts, -2), F.lit("source="), F.lit("")).alias("source"),
+            "length",
         )
-        .distinct()
+        .groupBy("lang", "source")
+        .agg(F.sum("length").alias("bytes"))
     )
 
 
@@ -354,3 +357,94 @@ def collect_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = with_file_path(_arrived(spark, sf_dir))
     slices = batch_slices(files, ["filePath"], 100)
     return slice_paths(slices, F.col("filePath")).select("slice_id", F.array_join("paths", ",").alias("paths"))
+
+
+_OUTCOMES = """
+outcomes AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 7 = 0 THEN 'unparsed' ELSE lang END AS outcome FROM documents)
+SELECT id, outcome FROM outcomes
+UNION ALL SELECT 'audit', 'Completed ' || (SELECT count(*) FROM outcomes WHERE outcome <> 'unparsed')
+UNION ALL SELECT 'third run', '0'
+UNION ALL SELECT 'keys', 'shared'
+"""
+
+
+def _ingested(spark: SparkSession, sf_dir: str, through_csv: bool) -> DataFrame:
+    """Feed files by language and source, notified, routed, and loaded in slices by two runs; a third finds nothing.
+
+    Files of one task have one name in all their folders, and the rule makes keys of the names alone, so many
+    files share a key. The first run sees one language; all files of it are notified again before the second.
+    """
+    names = ("raw", "notes", "ledger", "csv", "done", "table", "bad", "audit")
+    raw, notes, ledger, csv, done, out, bad, audit = (shared_folder(spark, name) for name in names)
+    key = F.col("doc_id").cast("string")
+
+    def tagged(value: Column, name: str) -> Column:
+        return F.struct(value.alias("S")).alias(name)
+
+    change = F.struct(key.alias("SequenceNumber"), F.struct(tagged(key, "leadId"), tagged(F.col("lang"), "v")).alias("NewImage"))
+    record = F.struct(F.lit("INSERT").alias("eventName"), change.alias("dynamodb"))
+    line = F.to_json(F.struct(F.array(record).alias("Records")))
+    broken = F.concat(F.lit('{"Records":[{"eventName":"INSERT","dynamodb":{"SequenceNumber":"'), key, F.lit('"'))
+    documents = table(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 7 == 0, broken).otherwise(line).alias("value")
+    write_table(documents.select(text, "lang", "source"), f"{raw}/data/web", "text", partition_by=["lang", "source"])
+
+    path = F.regexp_replace("path", "^file:/*", "/")
+    place = F.substring(path, F.lit(len(raw.removeprefix("file://")) + 2), F.length(path))
+    files = list_input_files(spark, raw, contains="lang=").select(place.alias("key"), "length")
+    bucket = F.struct(F.lit(raw.removeprefix("file://")).alias("name"), F.lit("arn").alias("arn"))
+
+    def notify(some: DataFrame, time: str, folder: str) -> None:
+        thing = F.struct("key", F.col("length").alias("size"), F.lit("tag").alias("eTag"), F.lit("1").alias("sequencer"))
+        s3 = F.struct(bucket.alias("bucket"), thing.alias("object"))
+        record = F.struct(F.lit(time).alias("eventTime"), F.lit("Put").alias("eventName"), s3.alias("s3"))
+        some.select(F.array(record).alias("Records")).write.json(f"{notes}/{folder}")
+
+    first = F.col("key").contains("lang=en")
+    rules = [Rule("web", True, (Condition("x1", "eq", ("web",)),), (Destination("rdh", "leads", "{x4}.csv", "RTDataHub"),))]
+    notify(files.where(first), "1", "1")
+    notify(files, "2", "2")
+
+    def queue(batch: int) -> DataFrame:
+        bookmark_notifications(spark, f"{notes}/{batch}", rules, ledger, batch)
+        rows = read_ledger(spark, ledger).where("data_layer = 'rdh' AND source = 'web' AND table = 'leads'")
+        if not through_csv:
+            return rows
+        write_table(rows.select(*BOOKMARK.names), f"{csv}/{batch}", "csv", options=BOOKMARK_CSV)
+        return scan_bookmarks(spark, csv)
+
+    log = AuditLog(audit, 1, "web", "leads")
+    slices = max(2, files.count() // 3)
+    load = {"slice_size": slices, "scheme": "file", "multiline": False}
+    runs = [ingest_pending(spark, queue(batch), done, out, bad, audit=log, **load) for batch in (1, 2)]
+    assert all(runs) and sum(runs) > 2
+    third = ingest_pending(spark, queue(2) if not through_csv else scan_bookmarks(spark, csv), done, out, bad, audit=log, **load)
+    noted = read_or_empty(spark, done, DONE)
+    assert noted.count() == noted.distinct().count() == files.count()
+    loaded = read_current(spark, out, ["leadId"], "Sequence_No").select(F.col("leadId").alias("id"), F.col("v").alias("outcome"))
+    raw_key = F.regexp_extract("raw", r'SequenceNumber":"(\d+)', 1)
+    lost = read_quarantine(spark, bad).select(raw_key.alias("id"), F.col("reason").alias("outcome"))
+    keys = read_ledger(spark, ledger).agg(F.count_distinct("destKey").alias("k"), F.count_distinct("fileName").alias("f"))
+    facts = [("third run", str(third)), ("keys", "shared" if keys.where("k < f").count() else "apart")]
+    states = spark.read.parquet(audit).where("status = 'Completed'").count()
+    assert states == 1 and read_audit(spark, audit).count() == 1
+    return loaded.union(lost).union(_total(spark, audit, out)).union(spark.createDataFrame(facts, "id string, outcome string"))
+
+
+def _total(spark: SparkSession, audit: str, out: str) -> DataFrame:
+    """The state of the last run, and how many documents all runs have loaded."""
+    count = F.lit(read_current(spark, out, ["leadId"], "Sequence_No").count()).cast("string")
+    return read_audit(spark, audit).select(F.lit("audit").alias("id"), F.concat("status", F.lit(" "), count).alias("outcome"))
+
+
+@query("ingest_pending_job", "WITH" + _OUTCOMES)
+def ingest_pending_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notifications to ledger to table, see :func:`_ingested`."""
+    return _ingested(spark, sf_dir, through_csv=False)
+
+
+@query("ingest_bookmark_files", "WITH" + _OUTCOMES)
+def ingest_bookmark_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with the queue read from bookmark CSV files."""
+    return _ingested(spark, sf_dir, through_csv=True)

@@ -1,4 +1,4 @@
-"""The standard routing rules.  All names, prefixes and layers below are fixed values."""
+"""The routing rules that the queries and tests are held against.  All names, prefixes and layers below are fixed values."""
 
 from __future__ import annotations
 

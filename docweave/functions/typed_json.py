@@ -70,6 +70,8 @@ def unwrap_value(value: Column, dtype: T.DataType, path: Path = (), lists: Colle
 
 def _unwrap(value: Column, dtype: T.DataType, path: Path, lists: Collection[Path]):
     tags = _live_tags(dtype, path, lists) if isinstance(dtype, T.StructType) else []
+    if isinstance(dtype, T.StringType) and path not in lists:
+        return value, dtype  # never tagged, or tagged in some documents only: its JSON text
     if not tags:
         nothing = T.ArrayType(T.NullType()) if path in lists else T.StringType()
         return F.lit(None).cast(nothing), nothing
@@ -125,7 +127,7 @@ def not_a_list(image: Column, dtype: T.DataType, path: str | Sequence[str]) -> C
                 return F.lit(False)
             image, dtype = image.getField("M"), dtype["M"].dataType
     if not isinstance(dtype, T.StructType):
-        return F.lit(False)
+        return image.isNotNull() if isinstance(dtype, T.StringType) else F.lit(False)
     bad = F.lit(False)
     for field in dtype.fields:
         if field.name not in ("L", "NULL"):

@@ -13,6 +13,12 @@ from docweave.sources.notifications import PROCESSED
 from docweave.workspace import shared_folder
 
 
+PLACE_BITS = 33
+
+# What makes a file one: a later file of the same name has another sequencer or tag.
+IDENTITY = ("bucketName", "fileName", "sequencer", "fileeTag")
+
+
 def with_file_path(bookmarks: DataFrame, scheme: str = "s3") -> DataFrame:
     """Bookmarks with the address of the raw file they point to."""
     return bookmarks.withColumn("filePath", object_uri(F.col("bucketName"), F.col("fileName"), scheme))
@@ -20,7 +26,7 @@ def with_file_path(bookmarks: DataFrame, scheme: str = "s3") -> DataFrame:
 
 def pending(arrived: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``arrived`` whose key is not in ``done``."""
-    processed = done.select(*keys).distinct()
+    processed = done.select(*keys)
     return arrived.join(processed, null_safe(arrived, processed, keys), "left_anti")
 
 
@@ -43,18 +49,20 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "row_number") -> D
     """
     spark = df.sparkSession
     folder = shared_folder(spark, "numbered")
-    df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).write.parquet(folder)
-    ranged = spark.read.schema(df.withColumn("__part", F.lit(0)).schema).parquet(folder)
+    # Spark's id has the partition above these bits, and below them the place in the partition.
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    ranged.write.parquet(folder)
+    stored = spark.read.schema(ranged.schema).parquet(folder)
+    part, place = F.shiftright("__id", PLACE_BITS), F.col("__id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    ranged = stored.withColumns({"__part": part, "__row": place + 1}).drop("__id")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy("__part")
         .agg(F.count("*").alias("__n"))
         .select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     )
-    inside = Window.partitionBy("__part").orderBy(*order)
     return (
-        ranged.withColumn("__row", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "__part")
+        ranged.join(F.broadcast(offsets), "__part")
         .withColumn(name, (F.col("__row") + F.col("__offset")).cast("bigint"))
         .drop("__part", "__row", "__offset")
     )

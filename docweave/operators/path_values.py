@@ -58,8 +58,10 @@ def path_value_rows(df: DataFrame, id_cols: Sequence[str], doc_cols: Sequence[st
 
 def json_depth(json: Column) -> Column:
     """How deep objects and lists of a JSON text nest."""
-    outside_strings = F.regexp_replace(json, r'"(?:[^"\\]|\\.)*"', "")
-    brackets = F.split(F.regexp_replace(outside_strings, r"[^\[\]{}]", ""), "")
+    unescaped = F.replace(F.replace(json, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    # Every other part between quotes is outside of strings; no pattern has to match a whole string.
+    outside = F.array_join(F.filter(F.split(unescaped, '"', -1), lambda _, i: i % 2 == 0), "")
+    brackets = F.split(F.regexp_replace(outside, r"[^\[\]{}]+", ""), "")
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(acc: Column, b: Column) -> Column:
@@ -81,23 +83,27 @@ def _variant_text(value: Column) -> Column:
     )
 
 
-def json_path_value_rows(
-    df: DataFrame, id_cols: Sequence[str], json_col: str, max_depth: int | None = None
-) -> DataFrame:
+def not_json(df: DataFrame, id_cols: Sequence[str], json_col: str) -> DataFrame:
+    """Quarantine rows (id columns, reason, raw) for text that :func:`json_path_value_rows` cannot read."""
+    text = F.col(quoted(json_col))
+    return df.where(text.isNotNull() & F.try_parse_json(text).isNull()).select(
+        *[F.col(quoted(c)) for c in id_cols], F.lit("not_json").alias("reason"), text.alias("raw")
+    )
+
+
+def json_path_value_rows(df: DataFrame, id_cols: Sequence[str], json_col: str) -> DataFrame:
     """(id columns, path, value) for each leaf of JSON text of any shape.
 
     One generator per nesting level; a leaf found early passes through the later ones.
-    The depth is measured first (one job) unless ``max_depth`` is given; what nests
-    deeper than that comes out as JSON text.  Numbers with a fraction lose trailing zeros.
+    The depth is measured first (one job).  Numbers with a fraction lose trailing zeros.  Text that is
+    no JSON gives no row here; :func:`not_json` has it.
     """
     spark = df.sparkSession
-    if max_depth is None:
-        max_depth = df.agg(F.max(json_depth(F.col(quoted(json_col))))).first()[0] or 0
+    parsed = df.withColumn("__value", F.try_parse_json(F.col(quoted(json_col)))).where(F.col("__value").isNotNull())
+    depth = parsed.agg(F.max(json_depth(F.col(quoted(json_col))))).first()[0] or 0
     ids = [F.col(quoted(c)) for c in id_cols]
-    walk = df.where(F.col(quoted(json_col)).isNotNull()).select(
-        *ids, F.lit("").alias("__path"), F.parse_json(F.col(quoted(json_col))).alias("__value")
-    )
-    for _ in range(max_depth):
+    walk = parsed.select(*ids, F.lit("").alias("__path"), "__value")
+    for _ in range(depth):
         child = spark.tvf.variant_explode_outer(F.col("__value").outer())
         walk = walk.lateralJoin(child).select(
             *ids,

@@ -23,15 +23,23 @@ from docweave.sources.notifications import UNPROCESSED
 CONTROL = "control"
 SHORT_KEY = "short_key"
 NO_KEY = "no_key"
+UNPARSED = "unparsed"
 
-SEGMENTS = 9
 
+def _segments(rules: Sequence[Rule]) -> int:
+    """How many segments of the key the rules name, those that have names of their own included."""
+    texts = [c.field for r in rules for c in r.conditions]
+    templates = [t for r in rules for d in r.destinations for t in (d.table, d.file)]
+    named = [int(n) for t in templates for n in re.findall(r"\{x(\d+)\}", t)]
+    named += [int(t[1:]) for t in texts if re.fullmatch(r"x\d+", t)]
+    return max([4, *named]) + 1
 
-def _fields() -> dict[str, Column]:
-    """What a condition or a template may name: segments x0-x8 of the key, the table name inside
+
+def _fields(segments: int) -> dict[str, Column]:
+    """What a condition or a template may name: segments x0, x1, ... of the key, the table name inside
     segments 3 and 4 (m3, m4), both halves of segment 3 (t0, t1), sequencer and bucket ARN."""
     parts = F.col("__parts")
-    segment = {i: F.get(parts, F.lit(i)) for i in range(SEGMENTS)}
+    segment = {i: F.get(parts, F.lit(i)) for i in range(segments)}
     return {
         **{f"x{i}": column for i, column in segment.items()},
         "m3": text.regex_part(segment[3], 1),
@@ -76,7 +84,6 @@ RULE_TABLE = (
     "conditions array<struct<field:string,op:string,values:array<string>>>,"
     "destinations array<struct<layer:string,table:string,file:string,payload:string>>"
 )
-MOST_RULES = 1000
 MOST_TEXT = 2**31 - 1
 
 # Destinations per rule, as constants inside the plan.
@@ -103,9 +110,7 @@ def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
 
 def read_rules(table: DataFrame) -> tuple[Rule, ...]:
     """Rules from a table, in its order."""
-    rows = table.orderBy("rule_order").limit(MOST_RULES + 1).collect()
-    if len(rows) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+    rows = table.orderBy("rule_order").collect()
     return tuple(
         Rule(
             row.name,
@@ -160,13 +165,13 @@ def route(records: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     The bookmark columns, then rule, data_layer, source, table, destKey and reason.
     ``reason`` is NULL for a good destination, or says why destKey could not be made: the
     key has too few segments, which does not affect the other destinations of the same
-    file, or there is no key at all.
+    file, there is no key at all, or the notification did not parse.
 
     A file is first given the numbers of its rules and the few texts that their templates
     are made of.  The destinations of a rule are a constant list, and each of them picks
     two of the texts, so that little runs per destination however many there are.
     """
-    fields = _fields()
+    fields = _fields(_segments(rules))
     heads: dict[str, int] = {}
 
     def destination(rule: str | None, d: Destination) -> dict[str, str | int | None]:
@@ -199,6 +204,7 @@ def route(records: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     chosen = chosen.otherwise(F.concat(*always) if always else F.array().cast("array<int>"))
 
     base = [c for c in records.columns if c not in ("dataLayer", "status")]
+    raw = F.col("raw") if "raw" in base else F.lit(None)
     constant = F.from_json(F.lit(json.dumps(lists)), LISTS)
     texts = F.array(*[_fill(head, fields) for head in heads])
     to, source = F.col("__to"), F.col("sourceSystem")
@@ -220,7 +226,10 @@ def route(records: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             F.concat(
                 to["lead"], source, table_head, to["table_tail"], F.lit("/"), file_head, to["file_tail"]
             ).alias("destKey"),
-            F.when(F.col("fileName").isNull(), NO_KEY).when(short, SHORT_KEY).alias("reason"),
+            F.when(F.col("fileName").isNull() & raw.isNotNull(), UNPARSED)
+            .when(F.col("fileName").isNull(), NO_KEY)
+            .when(short, SHORT_KEY)
+            .alias("reason"),
         )
     )
 

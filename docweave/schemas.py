@@ -53,6 +53,11 @@ AUDIT = _struct(
 )
 AUDIT_KEYS = ["epoch_timestamp", "source_system", "table_name"]
 
+# What could not be loaded: why, the text, where it came from, when, and the partitions.
+QUARANTINE = _struct(
+    "reason raw source_file loaded_at source_system table_name year month day", loaded_at=T.TimestampType()
+)
+
 CORRUPT = "_corrupt_record"
 
 

@@ -12,13 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.operators.upsert import latest_per_key, live_rows
-from docweave.schemas import AUDIT, AUDIT_KEYS, BOOKMARK, LEDGER
+from docweave.operators.upsert import latest_per_key, latest_versions, live_rows
+from docweave.sources.files import COLUMNS_FOLDER, exists, listed_columns
+from docweave.schemas import AUDIT, AUDIT_KEYS, BOOKMARK, LEDGER, QUARANTINE
 from docweave.sources.notifications import BOOKMARK_CSV, REJECTED
 
+# The states of a job.
+STARTED, COMPLETED, FAILED = "Started", "Completed", "Failed"
+
 # Partition columns of quarantined rows.
 QUARANTINE_PARTITIONS = ["source_system", "table_name", "year", "month", "day"]
-LEDGER_PARTITIONS = ["status", "data_layer", "source", "table"]
+LEDGER_PARTITIONS = ["status", "data_layer", "source"]
 
 
 def write_table(
@@ -28,17 +32,26 @@ def write_table(
     mode: str = "append",
     options: Mapping[str, str] | None = None,
     partition_by: Sequence[str] = (),
+    sort_by: Sequence[str] = (),
 ) -> None:
+    """``sort_by`` puts rows that are asked for together side by side in their files."""
     if partition_by:
         df = df.hint("rebalance", *partition_by)
+    if sort_by:
+        df = df.sortWithinPartitions(*partition_by, *sort_by)
     writer = df.write.format(format).options(**(options or {})).mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
 
 
-def write_quarantine(df: DataFrame, path: str, source_system: str, table_name: str, at: str) -> None:
-    """Append rejected rows, partitioned by source, table and the date of column ``at``."""
+def write_quarantine(
+    df: DataFrame, path: str, source_system: str, table_name: str, at: str, batch_id: int | None = None
+) -> None:
+    """Append rejected rows, partitioned by source, table and the date of column ``at``.
+
+    With a ``batch_id`` they go below a folder of that batch, in place of what it held before.
+    """
     rows = df.withColumns(
         {
             "source_system": F.lit(source_system),
@@ -48,7 +61,22 @@ def write_quarantine(df: DataFrame, path: str, source_system: str, table_name: s
             "day": F.date_format(at, "dd"),
         }
     )
-    write_table(rows, path, partition_by=QUARANTINE_PARTITIONS)
+    folder, mode = (path, "append") if batch_id is None else (f"{path}/batch_id={batch_id}", "overwrite")
+    write_table(rows, folder, mode=mode, partition_by=QUARANTINE_PARTITIONS)
+
+
+def clear_quarantine(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Empty the quarantine of a batch that has nothing to reject any more."""
+    folder = f"{path}/batch_id={batch_id}"
+    if exists(spark, folder):
+        write_table(spark.createDataFrame([], QUARANTINE), folder, mode="overwrite", partition_by=QUARANTINE_PARTITIONS)
+
+
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """Rejected rows of all batches; no rows if there was never anything to reject."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], QUARANTINE)
+    return spark.read.schema(QUARANTINE).parquet(path)
 
 
 def write_ledger(routed: DataFrame, path: str, batch_id: int) -> None:
@@ -61,11 +89,21 @@ def write_ledger(routed: DataFrame, path: str, batch_id: int) -> None:
     good = F.col("reason").isNull()
     queue = {name: F.when(good, F.col(name)) for name in ("source", "table")}
     rows = routed.withColumns({"status": F.when(good, F.col("status")).otherwise(REJECTED), **queue})
-    write_table(rows, f"{path}/batch_id={batch_id}", mode="overwrite", partition_by=LEDGER_PARTITIONS)
+    write_table(rows, f"{path}/batch_id={batch_id}", mode="overwrite", partition_by=LEDGER_PARTITIONS, sort_by=["table"])
+
+
+def compact_ledger(spark: SparkSession, path: str, new_path: str) -> None:
+    """Write all batches of a ledger as batch 0 of a new one, in few files.
+
+    Micro-batches leave a file per state, layer and source each; this is what keeps their number down.
+    """
+    rows = spark.read.schema(LEDGER).parquet(path)
+    write_table(rows, f"{new_path}/batch_id=0", mode="overwrite", partition_by=LEDGER_PARTITIONS, sort_by=["table"])
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger table without rejected rows; filters on state and queue prune partitions.
+    """The ledger table without rejected rows; filters on state, layer and source prune partitions, and one on
+    the table skips parts of the files, which are sorted by it.
 
     Its schema is fixed: guessing would read a table named 007 as a number.
     """
@@ -83,16 +121,35 @@ def write_bookmark_files(bookmarks: DataFrame, path: str) -> None:
     write_table(bookmarks.select(*BOOKMARK.names, queue), path, "csv", options=BOOKMARK_CSV, partition_by=["queue"])
 
 
-def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Add the rows of one batch to a change table; writing the same batch again replaces it."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def append_batch(
+    df: DataFrame,
+    path: str,
+    batch_id: int,
+    format: str = "parquet",
+    options: Mapping[str, str] | None = None,
+    known: Sequence[str] | None = None,
+) -> None:
+    """Add the rows of one batch to a change table; writing the same batch again replaces it.
+
+    Its columns are noted beside the table, unless they are the ``known`` ones, which are noted already.
+    """
+    if known is None or set(df.columns) != set(known):
+        columns = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
+        noted = df.sparkSession.createDataFrame(columns, "position int, name string, type string").coalesce(1)
+        noted.write.mode("overwrite").parquet(f"{path}/{COLUMNS_FOLDER}/batch_id={batch_id}")
+    df.write.format(format).options(**(options or {})).mode("overwrite").save(f"{path}/batch_id={batch_id}")
 
 
-def read_changes(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """All rows of a change table.  Without a schema the columns are those of any batch (all footers are read)."""
+def read_changes(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, format: str = "parquet"
+) -> DataFrame:
+    """All rows of a change table.  Without a schema the columns are those noted for any batch."""
     if schema is None:
-        return spark.read.option("mergeSchema", "true").parquet(path)
-    return spark.read.schema(T.StructType([*schema.fields]).add("batch_id", T.LongType())).parquet(path)
+        noted = listed_columns(spark, path)
+        if noted is None:
+            return spark.read.format(format).option("mergeSchema", "true").load(path)
+        schema = T.StructType([T.StructField(n, T.DataType.fromDDL(t)) for n, t in noted])
+    return spark.read.format(format).schema(T.StructType([*schema.fields]).add("batch_id", T.LongType())).load(path)
 
 
 def read_current(
@@ -103,27 +160,43 @@ def read_current(
     order: str = "numeric",
     deletes: str | None = None,
     schema: T.StructType | None = None,
+    format: str = "parquet",
 ) -> DataFrame:
-    """The table that the batches add up to: the latest row per key, later batches winning ties."""
-    rows = read_changes(spark, path, schema)
-    latest = latest_per_key(rows, keys, seq, order, prefer=[F.col("batch_id").desc()]).drop("batch_id")
+    """The table that the batches add up to: all rows of the latest version of each key.
+
+    A version that came in several batches is taken from the last of them.
+    """
+    rows = read_changes(spark, path, schema, format)
+    latest = latest_versions(rows, keys, seq, order, prefer=[F.col("batch_id").desc()]).drop("batch_id")
     return latest if deletes is None else live_rows(latest, deletes)
 
 
-def compact(spark: SparkSession, path: str, new_path: str, keys: Sequence[str], seq: str, order: str = "numeric") -> None:
+def compact(
+    spark: SparkSession,
+    path: str,
+    new_path: str,
+    keys: Sequence[str],
+    seq: str,
+    order: str = "numeric",
+    format: str = "parquet",
+) -> None:
     """Write the current rows (tombstones included) of a change table as batch 0 of a new one."""
-    append_batch(read_current(spark, path, keys, seq, order), new_path, 0)
+    append_batch(read_current(spark, path, keys, seq, order, format=format), new_path, 0, format)
 
 
 def audit_path(root: str, source_system: str, table_name: str) -> str:
     return f"{root}/{source_system.lower()}/{table_name.lower()}"
 
 
-def append_audit(entry: DataFrame, path: str, batch_id: int) -> None:
-    append_batch(entry.select(*AUDIT.names), path, batch_id)
+def append_audit(entry: DataFrame, path: str) -> None:
+    """Add the entry of one state of one job, in a folder of its own; the same state written again replaces itself."""
+    writer = entry.select(*AUDIT.names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*AUDIT_KEYS, "status").parquet(path)
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """One row per job: the entry with the greatest end sequence."""
-    return read_current(spark, path, AUDIT_KEYS, "record_end_sequence", schema=AUDIT)
+    """One row per job: the entry with the greatest end sequence, an end before a start."""
+    entries = spark.read.schema(AUDIT).parquet(path)
+    ended = (F.col("status") != STARTED).desc()
+    return latest_per_key(entries, AUDIT_KEYS, "record_end_sequence", prefer=[ended]).select(*AUDIT.names)
 

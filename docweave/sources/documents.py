@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,18 +68,80 @@ def _struct_at(dtype: T.DataType, *names: str) -> T.StructType:
 
 
 def read_feed(spark: SparkSession, paths: str | list[str], schema: T.StructType, multiline: bool = True) -> DataFrame:
-    """Parsed feed files: ``Records``, the text that did not parse, and the file."""
+    """Parsed feed files: ``Records``, the text that did not parse, and the file.
+
+    ``schema`` has to be that of these very files; for one that is known beforehand see :func:`read_known_feed`.
+    """
     return _with_file(spark.read.schema(with_corrupt(schema)).option("multiLine", multiline).json(paths))
 
 
+def read_known_feed(
+    spark: SparkSession, paths: str | list[str], schema: T.StructType, multiline: bool = True
+) -> DataFrame:
+    """The same under a schema known beforehand; documents that it does not cover are marked, see :func:`known`."""
+    return known(read_feed(spark, paths, _images_as_text(schema), multiline), schema)
+
+
 def stream_feed(
     spark: SparkSession, folder: str, schema: T.StructType, multiline: bool = True, max_files: int | None = None
 ) -> DataFrame:
-    """The same as a stream of the files that arrive in ``folder``."""
-    reader = spark.readStream.schema(with_corrupt(schema)).option("multiLine", multiline)
+    """:func:`read_known_feed` as a stream of the files that arrive in ``folder``."""
+    reader = spark.readStream.schema(with_corrupt(_images_as_text(schema))).option("multiLine", multiline)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _with_file(reader.json(folder))
+    return known(_with_file(reader.json(folder)), schema)
+
+
+def _image_type(schema: T.StructType) -> T.StructType:
+    return schema["Records"].dataType.elementType["dynamodb"].dataType["NewImage"].dataType
+
+
+def _images_as_text(schema: T.StructType) -> T.StructType:
+    """``schema`` with documents as their JSON text."""
+    record = schema["Records"].dataType.elementType
+    change = [T.StructField(f.name, T.StringType() if f.name == "NewImage" else f.dataType) for f in record["dynamodb"].dataType]
+    fields = [T.StructField(f.name, T.StructType(change) if f.name == "dynamodb" else f.dataType) for f in record]
+    return T.StructType([T.StructField("Records", T.ArrayType(T.StructType(fields)))])
+
+
+def uncovered(json: Column, dtype: T.DataType) -> Column:
+    """True where JSON text holds an attribute, a type tag or a shape that ``dtype`` has no place for."""
+    nothing = json.isNull() | (json == "null")
+    if isinstance(dtype, (T.StructType, T.MapType)):
+        parts = F.from_json(json, "map<string,string>")
+        if isinstance(dtype, T.MapType):
+            odd = F.exists(F.map_values(parts), lambda v: uncovered(v, dtype.valueType))
+        else:
+            odd = F.size(F.array_except(F.map_keys(parts), F.array(*[F.lit(n) for n in dtype.names]).cast("array<string>"))) > 0
+            for field in dtype.fields:
+                odd = odd | uncovered(parts[field.name], field.dataType)
+        return ~nothing & (~F.startswith(F.ltrim(json), F.lit("{")) | parts.isNull() | F.coalesce(odd, F.lit(False)))
+    if isinstance(dtype, T.ArrayType):
+        items = F.from_json(json, "array<string>")
+        odd = F.exists(items, lambda v: uncovered(v, dtype.elementType))
+        return ~nothing & (~F.startswith(F.ltrim(json), F.lit("[")) | items.isNull() | F.coalesce(odd, F.lit(False)))
+    if isinstance(dtype, T.StringType):
+        return F.lit(False)
+    return ~nothing & json.try_cast(dtype).isNull()
+
+
+def known(files: DataFrame, schema: T.StructType) -> DataFrame:
+    """Documents parsed under ``schema``; each record says whether its document is covered, and keeps its text if not."""
+    image = _image_type(schema)
+
+    def record(r: Column) -> Column:
+        text, change = r["dynamodb"]["NewImage"], files.schema["Records"].dataType.elementType["dynamodb"].dataType
+        document = F.from_json(text, image)
+        parts = [document.alias(n) if n == "NewImage" else r["dynamodb"][n].alias(n) for n in change.names]
+        # What comes out as it went in is covered; only the rest is looked at part by part.
+        odd = F.when(F.to_json(document) == text, F.lit(False)).otherwise(uncovered(text, image))
+        return F.struct(
+            r["eventName"].alias("eventName"),
+            F.when(r["dynamodb"].isNotNull(), F.struct(*parts)).alias("dynamodb"),
+            F.when(odd, text).alias("uncovered"),
+        )
+
+    return files.withColumn("Records", F.transform("Records", record))
 
 
 def stream_paths(spark: SparkSession, folder: str, max_files: int) -> DataFrame:
@@ -95,11 +157,16 @@ def _with_file(rows: DataFrame) -> DataFrame:
 def feed_records(files: DataFrame) -> DataFrame:
     """One row per change: change_type (I, U, D), Sequence_No, image, and keys when the feed has them.
 
-    A REMOVE has no image; it comes through as a row of type D.
+    A REMOVE has no image; it comes through as a row of type D. Files that parse in part only give no
+    rows: see :func:`unparsed`. Under a schema known beforehand, ``uncovered`` holds the text of
+    documents that the schema does not cover.
     """
     record = F.col("record")
-    change = files.schema["Records"].dataType.elementType["dynamodb"].dataType
+    element = files.schema["Records"].dataType.elementType
+    change = element["dynamodb"].dataType
     carried = [c for c in files.columns if c not in ("Records", CORRUPT)]
+    if CORRUPT in files.columns:
+        files = files.where(F.col(CORRUPT).isNull())
     names = F.create_map(*[F.lit(x) for pair in CHANGE_TYPES.items() for x in pair])
     columns = [
         F.coalesce(
@@ -110,12 +177,14 @@ def feed_records(files: DataFrame) -> DataFrame:
     ]
     if "Keys" in change.names:
         columns.append(record["dynamodb"]["Keys"].alias("keys"))
+    if "uncovered" in element.names:
+        columns.append(record["uncovered"].alias("uncovered"))
     return files.select(*carried, F.explode("Records").alias("record")).select(*carried, *columns)
 
 
 def unparsed(files: DataFrame) -> DataFrame:
-    """Quarantine rows for text that is not JSON, or is JSON without a list of records."""
-    return files.where(F.col("Records").isNull()).select(
+    """Quarantine rows for text that is not JSON or only in part, or is JSON without a list of records."""
+    return files.where(F.col("Records").isNull() | F.col(CORRUPT).isNotNull()).select(
         F.lit("unparsed").alias("reason"), F.col(CORRUPT).alias("raw"), "source_file"
     )
 
@@ -124,6 +193,13 @@ def scan_change_feed(
     spark: SparkSession, paths: str | list[str], schema: T.StructType | None = None, multiline: bool = True
 ) -> DataFrame:
     """Change records of all files.  Newline-delimited files (``multiline=False``) are splittable."""
-    if schema is None:
-        schema = infer_feed_schema(spark, paths, multiline)
-    return feed_records(read_feed(spark, paths, schema, multiline))
+    return feed_records(parse_feed(spark, paths, schema, multiline))
+
+
+def parse_feed(
+    spark: SparkSession, paths: str | list[str], schema: T.StructType | None = None, multiline: bool = True
+) -> DataFrame:
+    """Feed files under a given schema, or under the one found from all of them first."""
+    if schema is not None:
+        return read_known_feed(spark, paths, schema, multiline)
+    return read_feed(spark, paths, infer_feed_schema(spark, paths, multiline), multiline)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from docweave.operators.upsert import latest_per_key
 from docweave.plans.jobs import SLICE_SIZE, load_changes, store_changes
 from docweave.sinks.tables import append_batch
-from docweave.sources.documents import stream_feed, stream_paths
+from docweave.sources.documents import case_sensitive, stream_feed, stream_paths
 from docweave.sources.files import target_columns
 
 
@@ -58,26 +58,28 @@ def feed_stream(
     """Bring all pending feed files of typed JSON into the change table, flat, then stop.
 
     Every micro-batch gets the columns that the table has by then.  Without a schema each
-    micro-batch finds its own from all of its files; a given one saves that pass, but
-    attributes and type tags that it lacks are not seen.  Only the paths of one micro-batch,
-    ``max_files`` at most, come to the driver.
+    micro-batch finds its own from all of its files; a given one saves that pass, and
+    documents with attributes or type tags that it lacks go to the quarantine.  Attributes that
+    differ only in case stay apart.  Only the paths of one micro-batch, ``max_files`` at most, come to the driver.
     """
     columns = target_columns(spark, table)
 
     def store_parsed(batch: DataFrame, batch_id: int) -> None:
         nonlocal columns
-        columns = store_changes(batch, table, quarantine, batch_id, columns, **options)
+        with case_sensitive(batch.sparkSession):
+            columns = store_changes(batch, table, quarantine, batch_id, columns, **options).columns
 
     def store_files(batch: DataFrame, batch_id: int) -> None:
         nonlocal columns
         paths = [row.path for row in batch.collect()]
         columns = load_changes(
             spark, paths, table, quarantine, batch_id, columns=columns, multiline=multiline, **options
-        )
+        ).columns
 
     if schema is None:
         return _run(stream_paths(spark, files, max_files), store_files, checkpoint)
-    return _run(stream_feed(spark, files, schema, multiline, max_files), store_parsed, checkpoint)
+    with case_sensitive(spark):  # a stream keeps the settings it was started with
+        return _run(stream_feed(spark, files, schema, multiline, max_files), store_parsed, checkpoint)
 
 
 def _run(stream: DataFrame, store: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import random
+from dataclasses import replace
 
 import pytest
 from feed import record, rows, write_feed
@@ -10,12 +12,23 @@ from pyspark.sql import functions as F
 from docweave.functions import clock, text
 from docweave.operators.conform import conform, union_files
 from docweave.operators.ledger import batch_slices, first_n_files, numbered, pending, slice_paths, with_file_path
-from docweave.operators.path_values import json_depth, json_path_value_rows, path_value_rows
+from docweave.operators.path_values import json_depth, json_path_value_rows, not_json, path_value_rows
 from docweave.operators.skew import hot_keys, left_join_children
-from docweave.plans.jobs import DONE, ingest_pending, load_changes, read_or_empty
-from docweave.sinks.tables import append_batch, read_current, write_quarantine, write_table
-from docweave.sources.documents import infer_feed_schema
+from docweave.plans.jobs import DONE, AuditLog, ingest_pending, load_changes, read_or_empty
+from docweave.schemas import BOOKMARK
+from docweave.sinks.tables import (
+    append_batch,
+    compact,
+    read_audit,
+    read_changes,
+    read_current,
+    read_quarantine,
+    write_quarantine,
+    write_table,
+)
+from docweave.sources.documents import case_sensitive, infer_feed_schema
 from docweave.sources.files import list_input_files, target_columns
+from docweave.sources.notifications import BOOKMARK_CSV, scan_bookmarks
 from docweave.streaming.changes import change_stream, feed_stream
 from docweave.workspace import shared_folder
 
@@ -117,10 +130,16 @@ def test_path_values(spark):
     ]
     df = spark.createDataFrame([(1, doc), (2, None), (3, "{}")], "id int, j string")
     assert rows(json_path_value_rows(df, ["id"], "j")) == sorted(want, key=repr)
-    assert rows(json_path_value_rows(df, ["id"], "j", max_depth=9)) == sorted(want, key=repr)
     assert [r[0] for r in df.select(json_depth(F.col("j"))).collect()] == [4, None, 1]
-    shallow = dict(r[1:] for r in rows(json_path_value_rows(df.where("id = 1"), ["id"], "j", max_depth=1)))
-    assert shallow[".t"] == "[true,[]]"
+
+
+def test_long_and_broken_json(spark):
+    long = 'x\\\\" {[ ' * 40_000
+    docs = [(1, json.dumps({"t": long, "u": [1]})), (2, "not json"), (3, '{"a":1,"a":2'), (4, None)]
+    df = spark.createDataFrame(docs, "id int, j string")
+    assert [r[0] for r in df.where("id = 1").select(json_depth(F.col("j"))).collect()] == [2]
+    assert rows(json_path_value_rows(df, ["id"], "j")) == [(1, ".t", long), (1, ".u.0", "1")]
+    assert rows(not_json(df, ["id"], "j")) == [(2, "not_json", "not json"), (3, "not_json", '{"a":1,"a":2')]
 
 
 def test_path_values_from_columns(spark):
@@ -199,7 +218,10 @@ def test_incremental_job(spark, tmp_path):
     assert rows(current.select("leadId", "Sequence_No", "v", "w", "personalDetails_partyList_nm")) == [
         ("A", "10", "", "new", "")
     ]
-    assert [r.reason for r in spark.read.parquet(bad).collect()] == ["not_a_list"]
+    assert [r.reason for r in read_quarantine(spark, bad).collect()] == ["not_a_list"]
+    fewer = write_feed(tmp_path / "fewer", [record({"leadId": "C"}, 11, keys={"leadId": "C"})])
+    load_changes(spark, fewer, table, bad, 2, columns=target_columns(spark, table))
+    assert read_quarantine(spark, bad).count() == 0  # the batch has nothing to reject any more
     keyed, bad = str(tmp_path / "keyed"), str(tmp_path / "bad2")
     load_changes(spark, two, keyed, bad, 2, scope="key")
     assert spark.read.parquet(keyed).count() == 2
@@ -232,7 +254,7 @@ def test_pending_files_are_taken_slice_by_slice(spark, tmp_path):
     write_feed(folder, *[[record({"leadId": f"L{i}", "v": str(i)}, i)] for i in range(5)])
     (folder / "9.json").write_text("not json")
     queue = spark.createDataFrame(
-        [(f"q/{i}", str(folder), f"{i}.json") for i in (0, 1, 2, 3, 4, 9)], "destKey string, bucketName string, fileName string"
+        [("q/same", str(folder), f"{i}.json") for i in (0, 1, 2, 3, 4, 9, 9)], "destKey string, bucketName string, fileName string"
     )
     table, done, bad = (str(tmp_path / name) for name in ("table", "done", "bad"))
 
@@ -248,7 +270,72 @@ def test_pending_files_are_taken_slice_by_slice(spark, tmp_path):
     assert run() == 0
     current = read_current(spark, table, ["leadId"], "Sequence_No", deletes="_deleted")
     assert rows(current.select("leadId", "v", "more")) == [(f"L{i}", str(i), "") for i in range(5)]
-    assert [(r.reason, r.raw) for r in spark.read.parquet(bad).collect()] == [("unparsed", "not json")]
+    assert [(r.reason, r.raw) for r in read_quarantine(spark, bad).collect()] == [("unparsed", "not json")]
+    write_feed(folder, [record({"leadId": "L0", "v": "again"}, 50)])
+    queue = queue.where("fileName = '0.json'").withColumn("sequencer", F.lit("7"))
+    log = AuditLog(str(tmp_path / "audit"), 5, "Src", "Tab")
+    assert run(audit=log) == 1 and run(audit=log) == 0  # a new file under an old name
+    current = read_current(spark, table, ["leadId"], "Sequence_No", deletes="_deleted")
+    assert rows(current.where("leadId = 'L0'").select("v")) == [("again",)]
+    noted = rows(read_audit(spark, log.path).select("status", "insert_count", "record_start_sequence", "record_end_sequence"))
+    assert noted == [("Completed", 1, "50", "50")]
+    queue = queue.withColumn("fileName", F.lit("none.json"))
+    with pytest.raises(Exception):
+        run(audit=replace(log, epoch_timestamp=6))
+    assert {r.status for r in read_audit(spark, log.path).collect()} == {"Completed", "Failed"}
+    assert spark.read.parquet(log.path).count() == 4
+
+
+def test_bookmark_files_drive_the_job(spark, tmp_path):
+    folder = tmp_path / "raw"
+    write_feed(folder, [record({"leadId": "A", "v": "1"}, 1)], [record({"leadId": "B", "v": "2"}, 2)])
+    columns = {n: F.lit("x") for n in BOOKMARK.names} | {"bucketName": F.lit(str(folder)), "fileSize": F.lit(7)}
+    columns |= {"fileName": F.concat(F.col("id").cast("string"), F.lit(".json")), "sequencer": F.col("id").cast("string")}
+    write_table(spark.range(2).select(*[c.alias(n) for n, c in columns.items()]), str(tmp_path / "csv"), "csv", options=BOOKMARK_CSV)
+    queue = scan_bookmarks(spark, str(tmp_path / "csv"))
+    places = [str(tmp_path / name) for name in ("done", "table", "bad")]
+    assert ingest_pending(spark, queue, *places, scheme="file") == 1
+    assert ingest_pending(spark, queue, *places, scheme="file") == 0
+    assert rows(read_current(spark, places[1], ["leadId"], "Sequence_No").select("leadId", "v")) == [("A", "1"), ("B", "2")]
+
+
+def test_all_rows_of_the_latest_version_are_current(spark, tmp_path):
+    def lead(key, sequence, products, event="INSERT"):
+        return record({"leadId": key, "products": [{"n": p} for p in products]}, sequence, event, keys={"leadId": key})
+
+    first = write_feed(tmp_path / "1", [lead("A", 5, "xyz"), lead("B", 6, "pq")])
+    second = write_feed(tmp_path / "2", [lead("A", 4, "old"), lead("B", 10, "rr", "MODIFY")])
+    table, bad, smaller = (str(tmp_path / name) for name in ("table", "bad", "smaller"))
+    for batch, files in ((1, first), (2, second), (3, first)):
+        load_changes(spark, files, table, bad, batch, columns=target_columns(spark, table))
+    want = [("A", "x"), ("A", "y"), ("A", "z"), ("B", "r"), ("B", "r")]
+    assert rows(read_current(spark, table, ["leadId"], "Sequence_No").select("leadId", "products_n")) == want
+    compact(spark, table, smaller, ["leadId"], "Sequence_No")
+    assert rows(read_current(spark, smaller, ["leadId"], "Sequence_No").select("leadId", "products_n")) == want
+
+
+def test_attributes_that_differ_in_case(spark, tmp_path):
+    files = write_feed(tmp_path / "raw", [record({"leadId": "A", "v": "1", "V": "2"}, 1)])
+    table, streamed, bad = (str(tmp_path / name) for name in ("table", "streamed", "bad"))
+    load_changes(spark, files, table, bad, 1)
+    feed_stream(spark, files, streamed, bad, str(tmp_path / "cp")).awaitTermination()
+    with case_sensitive(spark):
+        for path in (table, streamed):
+            assert rows(read_changes(spark, path).select("v", "V")) == [("1", "2")]
+
+
+def test_partly_parsed_feeds_are_rejected(spark, tmp_path):
+    folder = tmp_path / "raw"
+    write_feed(folder, [record({"leadId": "A", "v": "1"}, 1)])
+    (folder / "1.json").write_text('{"Records":[{"eventName":"INSERT","dynamodb":{"SequenceNumber":"2","NewImage":{"leadId":5}}}]}')
+    schema = infer_feed_schema(spark, str(folder / "0.json"))
+    table, bad = str(tmp_path / "table"), str(tmp_path / "bad")
+    for batch, given in ((1, schema), (2, None)):
+        load_changes(spark, str(folder), table, bad, batch, given)
+    got = [(r.batch_id, r.leadId) for r in read_changes(spark, table).orderBy("batch_id", "leadId").collect()]
+    lost = [(r.reason, "5" in r.raw) for r in read_quarantine(spark, bad).collect()]
+    assert got[0] == (1, "A") and lost == [("uncovered", True)]
+    assert len(got) == 3  # without a schema an untagged value is loaded as its text
 
 
 @pytest.mark.parametrize("given", [False, True])
@@ -273,10 +360,12 @@ def test_feed_stream(spark, tmp_path, given):
     (folder / "7.json").write_text("not json")
     write_feed(tmp_path / "more", [record({"leadId": "C", "products": "x"}, 9), record({"leadId": "D", "x": "new"}, 10)])
     (folder / "9.json").write_text((tmp_path / "more" / "0.json").read_text())
-    reasons = ["unparsed"] if given else ["not_a_list", "unparsed"]
     if given:
-        # What the given schema does not know is not seen.
-        assert run() == [("B", "", "2", "p"), ("C", "", "", ""), ("D", "", "", "")]
+        # What the given schema does not know is kept, but not loaded.
+        assert run() == [("B", "", "2", "p")]
     else:
         assert run("x") == [("B", "", "2", "p", None), ("D", "", "", "", "new")]
-    assert sorted(r.reason for r in spark.read.parquet(bad).collect()) == reasons
+    rejected = read_quarantine(spark, bad).collect()
+    reasons = ["uncovered", "uncovered", "unparsed"] if given else ["not_a_list", "unparsed"]
+    assert sorted(r.reason for r in rejected) == reasons
+    assert not given or any("new" in r.raw for r in rejected)

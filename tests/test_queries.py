@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +21,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     from check_queries import compare
 
@@ -32,9 +33,9 @@ def test_contract(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan(spark, name):
     """No pair of all rows with all rows, and no Python, in any plan."""
-    plan = contract.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for operator in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas", "InArrow"):
         assert operator not in plan

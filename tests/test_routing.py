@@ -18,11 +18,17 @@ from docweave.operators.routing import (
     route,
     rule_table,
 )
+from catalogue.standard_rules import REQUIREMENTS, standard_rules
 from docweave.plans.jobs import bookmark_notifications
-from docweave.plans.standard_rules import REQUIREMENTS, standard_rules
 from docweave.schemas import BOOKMARK
-from docweave.sinks.tables import read_ledger, read_rejected, write_bookmark_files
-from docweave.sources.notifications import bookmarks, notification_records, scan_bookmarks, scan_notifications
+from docweave.sinks.tables import compact_ledger, read_ledger, read_rejected, write_bookmark_files
+from docweave.sources.notifications import (
+    bad_bookmarks,
+    bookmarks,
+    notification_records,
+    scan_bookmarks,
+    scan_notifications,
+)
 from docweave.streaming.arrivals import arrival_stream
 
 CURATED = "arn:aws:s3:::curated"
@@ -204,10 +210,51 @@ def test_what_is_no_notification_is_kept(spark, tmp_path):
     assert read_ledger(spark, ledger).count() == 16
     bad = read_rejected(spark, ledger)
     assert rows(bad.select("reason", "raw", "eventName")) == [
-        ("no_key", "not json", None),
         ("no_key", None, "ObjectCreated:Put"),
         ("no_key", None, None),
+        ("unparsed", "not json", None),
+    ]
+
+
+def test_partly_parsed_notifications_are_rejected(spark, tmp_path):
+    odd = notification("d/s/t/u/v/w/x/y/z")
+    odd["Records"][0]["s3"]["object"]["size"] = "12x"
+    ledger = str(tmp_path / "ledger")
+    bookmark_notifications(spark, write(tmp_path / "n", odd, notification("d/s/t/u/v/w/x/y/z")), RULES, ledger, 1)
+    assert read_ledger(spark, ledger).count() == 16
+    assert [(r.reason, "12x" in r.raw) for r in read_rejected(spark, ledger).collect()] == [("unparsed", True)]
+    smaller = str(tmp_path / "smaller")
+    compact_ledger(spark, ledger, smaller)
+    assert rows(read_ledger(spark, smaller).drop("batch_id")) == rows(read_ledger(spark, ledger).drop("batch_id"))
+
+
+def test_bookmarks_are_read_by_name(spark, tmp_path):
+    names = BOOKMARK.names
+    turned = names[::-1]
+    good = {n: n.upper() for n in names} | {"fileSize": "7"}
+    for folder, header in (("a", names), ("b/c", turned)):
+        (tmp_path / folder).mkdir(parents=True)
+        lines = [header, [good[n] for n in header], header[:2], [good[n] if n != "fileSize" else "7x" for n in header]]
+        (tmp_path / folder / "x.csv").write_text("\n".join(",".join(line) for line in lines) + "\n")
+    got = scan_bookmarks(spark, str(tmp_path))
+    assert got.columns == [*names, "bookmarkPath"]
+    want = tuple(7 if n == "fileSize" else good[n] for n in names)
+    assert [tuple(r)[:-1] for r in got.collect()] == [want, want]
+    bad = bad_bookmarks(spark, str(tmp_path)).collect()
+    assert len(bad) == 4 and {r.reason for r in bad} == {"bad_line"}
+    assert sum("7x" in r.raw for r in bad) == 2
+
+
+def test_rules_may_name_any_segment(spark):
+    rules = [
+        Rule(f"r{i}", True, (Condition("x11", "eq", (str(i),)),), (Destination("l", "{x12}", "{x10}", "p"),))
+        for i in range(1200)
     ]
+    assert read_rules(rule_table(spark, rules)) == tuple(rules)
+    records = spark.createDataFrame(
+        [("a/s/2/3/4/5/6/7/8/9/ten/5/tab",)], "fileName string"
+    ).selectExpr("fileName", "'q' AS sequencer", "'b' AS bucketArn", "'s' AS sourceSystem")
+    assert [(r.rule, r.destKey) for r in route(records, rules[:20]).collect()] == [("r5", "bookmarks/l/unprocessed/s/tab/ten")]
 
 
 def test_bookmark_files_are_plain_csv(spark, tmp_path):

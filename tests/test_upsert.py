@@ -126,10 +126,10 @@ def test_audit_keeps_the_last_state_of_a_job(spark, tmp_path):
     path = str(tmp_path / "audit")
     empty = record_counts(table(spark, []), "seq")
     full = record_counts(table(spark, [("a", "7", "x")]), "seq")
-    append_audit(audit_entry(empty, 1, "Src", "Tab", "Started", "l"), path, 0)
-    append_audit(audit_entry(empty, 2, "Src", "Tab", "Started", "l"), path, 1)
-    append_audit(audit_entry(full, 1, "Src", "Tab", "Completed", "l"), path, 2)
-    append_audit(audit_entry(empty, 2, "Src", "Tab", "Failed", "l"), path, 3)
+    append_audit(audit_entry(empty, 1, "Src", "Tab", "Started", "l"), path)
+    append_audit(audit_entry(empty, 2, "Src", "Tab", "Started", "l"), path)
+    append_audit(audit_entry(full, 1, "Src", "Tab", "Completed", "l"), path)
+    append_audit(audit_entry(empty, 2, "Src", "Tab", "Failed", "l"), path)
     assert [tuple(r) for r in read_audit(spark, path).orderBy("epoch_timestamp").collect()] == [
         (1, "Src", "Tab", "Completed", 1, 0, 0, "7", "7", "l"),
         (2, "Src", "Tab", "Failed", 0, 0, 0, "0", "0", "l"),
