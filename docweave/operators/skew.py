@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# At most the inverse of this many keys are broadcast.
-LEAST_SHARE = 1e-5
+from docweave.workspace import shared_folder
+
+# Result rows of one key that one task is given.
+ROWS_PER_TASK = 1_000_000
 
 
 def null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
@@ -18,16 +20,17 @@ def null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column
     return condition
 
 
-def hot_keys(weights: DataFrame, keys: Sequence[str], share: float, least: float) -> DataFrame:
-    """Keys whose ``__weight`` is at least ``share`` of the total, and at least ``least``.
+def salted_keys(weights: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Keys that give more than ``rows_per_task`` rows, and among how many salts (``__salts``) each is dealt.
 
-    There can be no more than 1 / share of them, which bounds what callers broadcast.
+    ``weights`` is read once, by writing the answer to the shared folder.  There are fewer such keys
+    than the result has tasks.
     """
-    if not LEAST_SHARE <= share <= 1:
-        raise ValueError(f"share must be from {LEAST_SHARE} to 1, not {share}")
-    total = weights.agg(F.sum("__weight").alias("__total"))
-    is_hot = (F.col("__weight") >= F.lit(share) * total.scalar()) & (F.col("__weight") >= least)
-    return weights.where(is_hot).select(*keys)
+    salts = F.ceil(F.col("__weight") / rows_per_task).cast("int")
+    path = shared_folder(weights.sparkSession, "hot-keys")
+    hot = weights.where(F.col("__weight") > rows_per_task).select(*keys, salts.alias("__salts"))
+    hot.write.parquet(path)
+    return weights.sparkSession.read.schema(hot.schema).parquet(path)
 
 
 def left_join_children(
@@ -35,22 +38,16 @@ def left_join_children(
     children: Sequence[DataFrame],
     keys: Sequence[str],
     weights: DataFrame,
-    share: float = 0.001,
-    least: float = 1_000_000,
-    salts: int = 64,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """``base`` left-joined with each child on ``keys``, NULL matching NULL.
 
-    ``weights`` says how many rows each key will give (``keys`` and ``__weight``).  Rows of
-    a hot key are dealt to ``salts`` groups by a hash of their content (the same on every
-    retry) and the children of that key are copied to each group, so that no task gets a
-    whole hot key.  All joins use the same columns: base is shuffled once.
+    ``weights`` says how many rows each key will give (``keys`` and ``__weight``).  Rows of a key that gives many are
+    dealt to as many salts as it needs tasks, by a hash of their content (the same on every retry), and the
+    children of that key are copied to each salt, so a task gets about ``rows_per_task`` rows of it
+    whatever the share of the key.  All joins use the same columns: base is shuffled once.  Without
+    such keys the joins are plain.
     """
-    hot = F.broadcast(
-        hot_keys(weights, keys, share, least).select(
-            *[F.col(k).alias(f"__hot_{k}") for k in keys], F.lit(True).alias("__hot")
-        )
-    )
 
     def matched(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: str) -> DataFrame:
         condition = F.lit(True)
@@ -58,14 +55,20 @@ def left_join_children(
             condition = condition & left[name].eqNullSafe(right[prefix + name])
         return left.join(right, condition, "left").drop(*[prefix + name for name in names])
 
-    deal = F.pmod(F.xxhash64(*base.columns), F.lit(salts)).cast("int")
-    joined = matched(base, hot, keys, "__hot_").withColumn("__salt", F.when(F.col("__hot"), deal).otherwise(0))
-    joined = joined.drop("__hot")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    def prefixed(df: DataFrame, names: Sequence[str], prefix: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(prefix + c) if c in names else F.col(c) for c in df.columns])
+
+    hot = salted_keys(weights, keys, rows_per_task)
+    if hot.isEmpty():
+        for child in children:
+            base = matched(base, prefixed(child, keys, "__r_"), keys, "__r_")
+        return base
+    hot = prefixed(hot, keys, "__hot_")
+    deal = F.pmod(F.xxhash64(*base.columns), F.col("__salts")).cast("int")
+    joined = matched(base, hot, keys, "__hot_").withColumn("__salt", F.coalesce(deal, F.lit(0))).drop("__salts")
     on = [*keys, "__salt"]
     for child in children:
-        copies = F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0)))
-        right = matched(child, hot, keys, "__hot_").withColumn("__salt", F.explode(copies)).drop("__hot")
-        right = right.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in right.columns])
-        joined = matched(joined, right, on, "__r_")
+        copies = F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)
+        right = matched(child, hot, keys, "__hot_").withColumn("__salt", F.explode(copies)).drop("__salts")
+        joined = matched(joined, prefixed(right, on, "__r_"), on, "__r_")
     return joined.drop("__salt")

@@ -13,7 +13,7 @@ from docweave.functions import clock, text
 from docweave.operators.conform import conform, union_files
 from docweave.operators.ledger import batch_slices, first_n_files, numbered, pending, slice_paths, with_file_path
 from docweave.operators.path_values import json_depth, json_path_value_rows, not_json, path_value_rows
-from docweave.operators.skew import hot_keys, left_join_children
+from docweave.operators.skew import left_join_children, salted_keys
 from docweave.plans.jobs import DONE, AuditLog, ingest_pending, load_changes, read_or_empty
 from docweave.schemas import BOOKMARK
 from docweave.sinks.tables import (
@@ -155,18 +155,36 @@ def test_path_values_from_columns(spark):
 def test_hot_keys(spark):
     df = spark.createDataFrame([("h",)] * 60 + [(f"c{i}",) for i in range(40)] + [(None,)] * 20, "k string")
     weights = df.groupBy("k").agg(F.count("*").alias("__weight"))
-    assert rows(hot_keys(weights, ["k"], 0.1, 10)) == [("h",), (None,)]
-    assert rows(hot_keys(weights, ["k"], 0.1, 30)) == [("h",)]
-    with pytest.raises(ValueError):
-        hot_keys(weights, ["k"], 0.0, 1)
+    assert rows(salted_keys(weights, ["k"], 10)) == [("h", 6), (None, 2)]
+    assert rows(salted_keys(weights, ["k"], 30)) == [("h", 2)]
+    assert rows(salted_keys(weights, ["k"], 60)) == []
 
 
 def test_salted_join_is_a_left_join(spark):
     base = spark.createDataFrame([("h", i) for i in range(200)] + [(f"c{i}", i) for i in range(20)], "k string, x int")
     child = spark.createDataFrame([("h", "p"), ("h", "q"), ("c1", "r"), ("zz", "s")], "k string, y string")
     weights = base.groupBy("k").agg(F.count("*").alias("__weight"))
-    joined = left_join_children(base, [child], ["k"], weights, share=0.1, least=1, salts=8)
-    assert rows(joined.select("k", "x", "y")) == rows(base.join(child, "k", "left").select("k", "x", "y"))
+    want = rows(base.join(child, "k", "left").select("k", "x", "y"))
+    for rows_per_task in (10, 1_000_000):
+        joined = left_join_children(base, [child], ["k"], weights, rows_per_task)
+        assert joined.columns == ["k", "x", "y"] and rows(joined) == want
+
+
+def test_no_task_gets_a_whole_hot_key(spark):
+    """A key with all rows of the result is dealt over the tasks."""
+    base = spark.range(0, 40_000, 1, 8).select(F.lit("h").alias("k"), "id")
+    child = spark.createDataFrame([("h", "p"), ("h", "q")], "k string, y string")
+    weights = base.groupBy("k").agg((2.0 * F.count("*")).alias("__weight"))
+    before = {name: spark.conf.get(name) for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        joined = left_join_children(base, [child], ["k"], weights, 1000)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(sizes) == 80_000 and max(sizes) < 25_000
 
 
 def test_quarantine(spark, tmp_path):
