@@ -92,6 +92,21 @@ def stream_feed(
     return known(_with_file(reader.json(folder)), schema)
 
 
+def covers(known: T.DataType, found: T.DataType) -> bool:
+    """Whether all that was found in JSON text has a place in a known type."""
+    if isinstance(found, T.NullType) or isinstance(known, T.StringType) and isinstance(found, T.AtomicType):
+        return True
+    if isinstance(found, T.StructType):
+        if isinstance(known, T.MapType):
+            return all(covers(known.valueType, f.dataType) for f in found.fields)
+        return isinstance(known, T.StructType) and all(
+            f.name in known.names and covers(known[f.name].dataType, f.dataType) for f in found.fields
+        )
+    if isinstance(found, T.ArrayType):
+        return isinstance(known, T.ArrayType) and covers(known.elementType, found.elementType)
+    return known == found
+
+
 def _image_type(schema: T.StructType) -> T.StructType:
     return schema["Records"].dataType.elementType["dynamodb"].dataType["NewImage"].dataType
 
@@ -199,7 +214,15 @@ def scan_change_feed(
 def parse_feed(
     spark: SparkSession, paths: str | list[str], schema: T.StructType | None = None, multiline: bool = True
 ) -> DataFrame:
-    """Feed files under a given schema, or under the one found from all of them first."""
+    """Feed files under a given schema, or under the one found from all of them first.
+
+    A given schema is compared with what the files hold.  Only if they hold more is each document
+    looked at, which costs several times as much as parsing.
+    """
     if schema is not None:
+        reader = spark.read.option("multiLine", multiline)
+        found = _struct_at(reader.json(paths).schema, "Records", "dynamodb", "NewImage")
+        if found.fields and covers(_image_type(schema), found):
+            return read_feed(spark, paths, schema, multiline)
         return read_known_feed(spark, paths, schema, multiline)
     return read_feed(spark, paths, infer_feed_schema(spark, paths, multiline), multiline)
