@@ -1,23 +1,15 @@
-"""Exact ids of a public byte-level tokenizer, with a cache of the parts between single spaces."""
+"""Exact ids of a public byte-level tokenizer."""
 
 from __future__ import annotations
 
-import os
-import re
-from collections.abc import Iterable
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import tiktoken
 from tokenizers import Tokenizer
 
-#: Parts that the cache may hold, and the longest part that is worth it.
-CACHED, LONGEST = 400_000, 48
-#: Where a text falls into parts that are encoded alike alone and in the text: a space between two
-#: characters that are none. The tokenizer's own rule starts a new unit there.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_UNEVEN = re.compile(r"\s | \s|\A | \Z")
-
 
 def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -31,51 +23,27 @@ def _bytes_of_characters() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of whole texts as bytes, four for each id, least first."""
+    """Ids of whole texts as bytes, four for each id, least first.
+
+    The vocabulary is read from a tokenizer's file; its ids are the ranks of its merges, so the
+    faster of the two installed libraries gives the same ids. Special tokens are ordinary text.
+    """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.size = self.tokenizer.get_vocab_size()
-        self._heads: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+        self.size = tokenizer.get_vocab_size()
         byte = _bytes_of_characters()
-        vocabulary = self.tokenizer.get_vocab().items()
-        self._text = {n: bytes(byte[c] for c in t) for t, n in vocabulary if all(c in byte for c in t)}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(f.ids, "<u4").tobytes() for f in found]
-
-    def _fill(self, cache: dict[str, bytes], parts: Iterable[str], lead: str) -> None:
-        missing = list({p for p in parts if p not in cache})
-        if len(cache) + len(missing) > CACHED:
-            cache.clear()
-            missing = list(set(parts))
-        for start in range(0, len(missing), 10_000):
-            some = missing[start : start + 10_000]
-            cache.update(zip(some, self._plain([lead + p for p in some])))
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False).items()
+        self._text = {n: bytes(byte[c] for c in token) for token, n in vocabulary if all(c in byte for c in token)}
+        special = set(tokenizer.get_added_tokens_decoder())
+        ranks = {text: n for n, text in self._text.items() if n not in special}
+        self._encode = tiktoken.Encoding(
+            path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        ).encode_ordinary
 
     def encode(self, text: str) -> bytes:
-        parts = _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
-        if not text:
-            return b""
-        if max(map(len, parts)) > LONGEST or len(parts) > CACHED // 4:
-            return b"".join(self._piecewise(parts))
-        self._fill(self._heads, parts[:1], "")
-        self._fill(self._parts, parts[1:], " ")
-        return b"".join([self._heads[parts[0]], *map(self._parts.__getitem__, parts[1:])])
-
-    def _piecewise(self, parts: list[str]):
-        """Long parts past the cache, and many parts in groups that fit into it."""
-        yield self._plain(parts[:1])[0]
-        for start in range(1, len(parts), CACHED // 8):
-            some = parts[start : start + CACHED // 8]
-            short = [p for p in some if len(p) <= LONGEST]
-            self._fill(self._parts, short, " ")
-            for p in some:
-                yield self._parts[p] if len(p) <= LONGEST else self._plain([" " + p])[0]
+        ids = array("I", self._encode(text))
+        return ids.tobytes() if ids.itemsize == 4 else np.array(ids, "<u4").tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self._text.__getitem__, np.frombuffer(ids, "<u4").tolist()))

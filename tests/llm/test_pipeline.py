@@ -74,6 +74,6 @@ def test_stages_against_plain(spark, tmp_path):
 
 
 def test_registered(spark):
-    assert contract.queries()["pipeline"] is corpus_pipeline.run
+    assert contract.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
     assert "pipeline" not in contract.oracle_sql()
     assert corpus_pipeline.run(spark, SF).count() > 0

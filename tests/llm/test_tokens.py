@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import zlib
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from docweave.llm import packing, tokens
 from docweave.llm.chat import escape, format_turns, read_back, unescape
 from docweave.llm.packing import Packer, pack, packed_digest
 
+SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, start string, ids string"
 PIECES = ["word", " ", "  ", "\n", "\t", "'s", "é", "ñandú", "1234", "!!", "###", " ", "\x1c", "<|endoftext|>", "</s>", "日本語", "🙂", "a b", ".", "\r\n", " ", "\x85"]
 
@@ -32,15 +35,23 @@ def texts(n=300):
     return out
 
 
-def test_encoder_gives_the_tokenizers_ids(monkeypatch):
-    want = plain()
-    for cached in (tokens.CACHED, 40):
-        monkeypatch.setattr(tokens, "CACHED", cached)
-        own = tokens.Encoder(tokens.default_path())
-        for text in texts():
-            ids = want.encode(text, add_special_tokens=False).ids
-            assert np.frombuffer(own.encode(text), "<u4").tolist() == ids
-            assert own.decode(own.encode(text)).decode() == text
+def test_encoder_gives_the_tokenizers_ids():
+    want, own = plain(), tokens.Encoder(tokens.default_path())
+    assert own.size == want.get_vocab_size()
+    rng = random.Random(7)
+    anything = ["".join(chr(rng.choice([rng.randrange(1, 0xD800), rng.randrange(0x10000, 0x1FFFF), 32, 32, 10])) for _ in range(60)) for _ in range(400)]
+    for text in [*texts(), *anything, "ab" * 30_000, " " * 5_000 + "x"]:
+        ids = want.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == ids
+        assert own.decode(own.encode(text)).decode() == text
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_encoder_on_documents(spark):
+    want, own = plain(), tokens.Encoder(tokens.default_path())
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()
+    for ids, row in zip(want.encode_batch([r.text for r in rows], add_special_tokens=False), rows):
+        assert np.frombuffer(own.encode(row.text), "<u4").tolist() == ids.ids
 
 
 def test_level_has_least_sum_of_squares():
