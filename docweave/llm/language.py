@@ -24,6 +24,8 @@ RANKS = 300
 MOST_EXAMPLES = 1_000
 #: Letters that have a symbol of their own; others share symbols by their Unicode block. Symbol 0 is a boundary.
 LETTERS, SHARED = 47, 16
+#: Bytes of a text whose n-grams are counted at once.
+AT_ONCE = 1 << 18
 BASE = 1 + LETTERS + SHARED
 CODES = BASE + BASE**2 + BASE**3
 
@@ -44,7 +46,7 @@ def symbols(alphabet: str) -> np.ndarray:
 def ngrams(text: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the n-grams of a whole text and how often each occurs."""
     codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for piece in pieces(text):
+    for piece in pieces(text, AT_ONCE):
         points = np.frombuffer(piece.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
         s = np.concatenate([[0], table[points], [0]]).astype(np.int64)
         s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]

@@ -36,8 +36,8 @@ SHINGLE = 3
 #: Shingles hashed at once, so a text of any length takes the same memory.
 SHINGLES_AT_ONCE = 1 << 16
 #: Fingerprints expanded at once, and variants that one bucket is meant to hold.
-FINGERPRINTS_AT_ONCE = 4096
-VARIANTS_PER_BUCKET = 1 << 21
+FINGERPRINTS_AT_ONCE = 1024
+VARIANTS_PER_BUCKET = 1 << 20
 
 
 def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
