@@ -190,4 +190,4 @@ def simhash_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     groups = simhash_groups(docs, id_column, text_column)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_column)).distinct()
-    return docs.join(gone, id_column, "left_anti")
+    return docs.join(gone, id_column, "left_anti").select(docs.columns)

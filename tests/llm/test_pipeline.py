@@ -6,6 +6,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -73,6 +74,28 @@ def test_stages_against_plain(spark, tmp_path):
     assert 0 < len(given) < raw.count()
 
 
+def test_stages_take_any_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns, and a table without rows."""
+    fine = "The plain words of a plain document, one after the other, in a row. " * 4
+    rows = [(1, fine, "en", "a", 5, 0.5), (1, fine, "en", "a", 5, 0.5), (2, fine, None, None, None, None), (None, fine + "More.", "en", "b", 1, None)]
+    rows += [(4, None, "en", "c", 1, 1.0), (5, "", "de", "c", 1, 1.0), (6, "?!", None, "c", 1, 1.0), (7, "Long words follow here. " * 40_000, "en", "c", 1, 1.0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, label double"
+    frame = spark.createDataFrame(rows, schema).withColumns({n: F.lit("clash") for n in ("print", "shingle", "score", "row", "x")})
+    for given in (frame, frame.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, given, SF)
+            if name == "packing":
+                assert (got.count() > 0) == (given is frame)
+                continue
+            assert got.columns == frame.columns
+            kept = [r.doc_id for r in got.collect()]
+            assert given is frame or kept == []
+            if given is frame and name == "near_dedup":
+                assert sorted(map(str, kept)) == sorted(map(str, [1, 1, None, 4, 6, 7]))
+            if given is frame and name == "decontaminate":
+                assert len(kept) == len(rows)
+
+
 def test_registered(spark):
     assert contract.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
     assert "pipeline" not in contract.oracle_sql()
