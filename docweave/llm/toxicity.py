@@ -14,7 +14,7 @@ get from the others are turned into shares by isotonic regression, which calibra
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ LEAST_EXAMPLES, LEAST_CHI2 = 4, 20.0
 LEAST_RATIO = 8.0
 #: Lengths in characters of the beginnings of words that are terms of their own.
 PREFIXES = (4, 5, 6)
+#: Bytes of a word by which words without any vocabulary term are told; no more than the least prefix has.
+HEAD = 4
 NEIGHBOURS = 16
 BLOCK = 64
 CUT = 0.3
@@ -43,11 +45,12 @@ _WORD = bytes(
 )
 
 
-def words(text: bytes | None) -> Counter:
-    """How often each lower-case word occurs in a whole text."""
+def words(text: bytes | None, heads: frozenset[bytes] | None = None) -> Counter:
+    """How often each lower-case word occurs in a whole text; given heads, only words that start with one."""
     counts: Counter = Counter()
     for piece in pieces(text or b""):
-        counts.update(piece.translate(_WORD).split())
+        own = piece.translate(_WORD).split()
+        counts.update(own if heads is None else [w for w in own if w[:HEAD] in heads])
     return counts
 
 
@@ -140,21 +143,18 @@ class Examples:
     ids: list
     places: np.ndarray
     shares: np.ndarray
-    _known: dict = field(default_factory=dict, compare=False)
+    heads: frozenset[bytes] = frozenset()
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "heads", frozenset(t[:HEAD] for t in self.vocabulary))
 
     def vector(self, text: bytes | None) -> dict[int, float]:
         """Unit TF-IDF weights of a text's vocabulary terms; empty if it has none."""
         counts: dict[int, int] = {}
-        for word, n in words(text).items():
-            numbers = self._known.get(word)
-            if numbers is None:
-                if len(self._known) > 500_000:  # a cache, of bounded size
-                    self._known.clear()
-                numbers = self._known[word] = tuple(
-                    self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary
-                )
-            for number in numbers:
-                counts[number] = counts.get(number, 0) + n
+        for word, n in words(text, self.heads).items():
+            for term in terms_of(word):
+                if (number := self.vocabulary.get(term)) is not None:
+                    counts[number] = counts.get(number, 0) + n
         return unit(counts, self.idf)
 
     def judge(self, text: bytes | None) -> tuple[float, list[tuple[int, float]]]:
