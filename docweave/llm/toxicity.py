@@ -170,9 +170,12 @@ def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
 
 
 def vote(near: list[tuple[int, float]], labels: np.ndarray) -> float:
-    """Share of label 1 among the near examples, each weighed by one over its distance; none give 0."""
-    weights = [1 / (1.05 - cosine) for _, cosine in near]
-    return sum(w for w, (example, _) in zip(weights, near) if labels[example] == 1) / (sum(weights) or 1)
+    """Share of label 1 among the near examples, each weighed by its cosine over its distance; none give 0.
+
+    One more vote against, of the weight of an example half-way, keeps a few far examples from deciding.
+    """
+    weights = [cosine / (1.05 - cosine) for _, cosine in near]
+    return sum(w for w, (example, _) in zip(weights, near) if labels[example] == 1) / (sum(weights) + 1)
 
 
 def fit_examples(docs: DataFrame, labels: DataFrame) -> Examples:
