@@ -1,11 +1,10 @@
 """Toxicity by the nearest labelled examples, under exact TF-IDF cosine.
 
-Terms are words and the beginnings of words. The vocabulary holds the terms that tell the labels
-apart best; their document frequencies are counted over all documents. Labelled examples lie in
-a block-max inverted index: the postings of a term, in order of the example, and for each
-block of examples the term's largest weight in it. The bounds of a query's terms add up to a bound
-for every block, so blocks are read best first until no other can hold a nearer example, and the
-result equals that of a comparison with every example.
+Terms are words and the beginnings of words. The vocabulary holds every term of the labelled examples;
+document frequencies are counted over all documents. Texts are compared with every example, in two
+parts: terms that many examples hold are columns of a dense matrix, multiplied for many texts at once, and the
+others are posting lists. Both are in single precision; examples that its rounding cannot tell from the
+nearest ones are compared again in double precision, so the result is that of exact cosines.
 
 Near examples vote with weights that fall with their distance. The votes that the examples themselves
 get from the others are turned into shares by isotonic regression, which calibrates the score.
@@ -13,11 +12,16 @@ get from the others are turned into shares by isotonic regression, which calibra
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,18 +29,15 @@ from docweave.llm.common import as_bytes, labelled, pieces
 
 #: Labelled examples of label 1 and of label 0, at most.
 MOST_TOXIC, MOST_OTHER = 4_000, 12_000
-#: Terms in the vocabulary, at most. With the numbers above it bounds the size of the index.
-MOST_TERMS = 512
-#: An example term must be in as many examples, and pass this chi-square value with one degree of freedom.
-LEAST_EXAMPLES, LEAST_CHI2 = 4, 20.0
-#: ... and be so many times as common under label 1 as under label 0.
-LEAST_RATIO = 8.0
 #: Lengths in characters of the beginnings of words that are terms of their own.
 PREFIXES = (4, 5, 6)
-#: Bytes of a word by which words without any vocabulary term are told; no more than the least prefix has.
-HEAD = 4
 NEIGHBOURS = 16
-BLOCK = 64
+#: Texts compared at once.
+AT_ONCE = 64
+#: A term in more than this share of the examples is a column of the dense matrix.
+COMMON = 1 / 9
+#: Words of which a worker remembers the terms.
+REMEMBERED = 1 << 18
 CUT = 0.3
 
 #: Bytes that belong to words are digits, ASCII letters and all above ASCII.
@@ -45,75 +46,125 @@ _WORD = bytes(
 )
 
 
-def words(text: bytes | None, heads: frozenset[bytes] | None = None) -> Counter:
-    """How often each lower-case word occurs in a whole text; given heads, only words that start with one."""
+def words(text: bytes | None) -> Counter:
+    """How often each lower-case word occurs in a whole text."""
     counts: Counter = Counter()
     for piece in pieces(text or b""):
-        own = piece.translate(_WORD).split()
-        counts.update(own if heads is None else [w for w in own if w[:HEAD] in heads])
+        counts.update(piece.translate(_WORD).split())
     return counts
 
 
 def terms_of(word: bytes) -> list[bytes]:
     """A word and, marked by a star, its beginnings that are shorter than it."""
+    if word.isascii():
+        return [word, *(word[:n] + b"*" for n in PREFIXES if len(word) > n)]
     characters = word.decode("utf-8", "replace")
     return [word, *(characters[:n].encode() + b"*" for n in PREFIXES if len(characters) > n)]
 
 
-def terms(text: bytes | None) -> Counter:
-    counts: Counter = Counter()
-    for word, n in words(text).items():
-        for term in terms_of(word):
-            counts[term] += n
-    return counts
+#: Numbers of terms in order, and their weights.
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All places in some ranges, the length of each range, and where each begins among the places."""
+    lengths = ends - starts
+    cuts = np.cumsum(lengths) - lengths
+    return np.arange(lengths.sum()) + np.repeat(starts - cuts, lengths), lengths, cuts
 
 
 class Index:
-    """A block-max inverted index over weighted examples."""
-
-    def __init__(self, rows: list[dict[int, float]], n_terms: int):
-        self.size, self.n_terms = len(rows), n_terms
-        blocks = max(1, -(-len(rows) // BLOCK))
-        self.postings: list[tuple[np.ndarray, np.ndarray]] = []
-        self.bounds: list[tuple[np.ndarray, np.ndarray]] = []
-        self.blocks = blocks
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for example, row in enumerate(rows):
-            for term, weight in row.items():
-                lists[term].append((example, weight))
-        for entries in lists:
-            examples = np.array([e for e, _ in entries], np.int64)
-            weights = np.array([w for _, w in entries], float)
-            most = np.zeros(blocks)
-            np.maximum.at(most, examples // BLOCK, weights)
-            held = np.flatnonzero(most)
-            self.postings.append((examples, weights))
-            self.bounds.append((held, most[held]))
-
-    def _scores(self, block: int, query: list[tuple[int, float]]) -> np.ndarray:
-        scores = np.zeros(BLOCK)
-        for term, weight in query:
-            examples, weights = self.postings[term]
-            a, b = np.searchsorted(examples, (block * BLOCK, (block + 1) * BLOCK))
-            scores[examples[a:b] - block * BLOCK] += weight * weights[a:b]
-        return scores
+    """Weighted examples, compared with many queries at once. ``rows`` are dictionaries or vectors."""
+
+    def __init__(self, rows: Iterable[dict[int, float] | Vector], n_terms: int):
+        vectors = [(np.array(sorted(r), np.int32), np.array([r[t] for t in sorted(r)])) if isinstance(r, dict) else r for r in rows]
+        self.size, self.n_terms = len(vectors), n_terms
+        self.starts = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors], dtype=np.int64)])
+        self.terms = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in vectors)]).astype(np.int32)
+        self.weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+        self._ready = False
+
+    def __getstate__(self):
+        return {k: self.__dict__[k] for k in ("size", "n_terms", "starts", "terms", "weights")} | {"_ready": False}
+
+    def row(self, example: int) -> Vector:
+        a, b = self.starts[example], self.starts[example + 1]
+        return self.terms[a:b], self.weights[a:b]
+
+    def _prepare(self) -> None:
+        """The dense columns and the posting lists, made where they are used.
+
+        Of examples with the same vector no more than the first ``NEIGHBOURS`` and one can be among the nearest;
+        the others are left out here.
+        """
+        copies: Counter = Counter()
+        held = np.zeros(self.size, bool)
+        for example in range(self.size):
+            key = b"".join(x.tobytes() for x in self.row(example))
+            copies[key] += 1
+            held[example] = copies[key] <= NEIGHBOURS + 1
+        self.examples = np.flatnonzero(held)
+        lengths = np.diff(self.starts)
+        number = np.repeat((np.cumsum(held) - 1).astype(np.int32), lengths)
+        kept = np.repeat(held, lengths)
+        terms, weights, number = self.terms[kept], self.weights[kept].astype(np.float32), number[kept]
+        n = len(self.examples)
+        frequency = np.bincount(terms, minlength=self.n_terms)
+        common = np.flatnonzero(frequency > max(AT_ONCE, COMMON * n))
+        self.column = np.full(self.n_terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        dense = self.column[terms] >= 0
+        self.dense = np.zeros((len(common), n), np.float32)
+        self.dense[self.column[terms[dense]], number[dense]] = weights[dense]
+        terms, weights, number = terms[~dense], weights[~dense], number[~dense]
+        order = np.argsort(terms, kind="stable")
+        self.posted, self.posted_weights = number[order], weights[order]
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=self.n_terms))])
+        self._query = np.zeros(self.n_terms)
+        self._ready = True
+
+    def nearest_of(self, queries: list[Vector], k: int, without: list[int] | None = None) -> Iterator[list[tuple[int, float]]]:
+        """For each query the k examples of largest positive cosine, best first, ties by number; exact."""
+        if k > NEIGHBOURS:
+            raise ValueError(f"at most {NEIGHBOURS} neighbours")
+        if not self._ready:
+            self._prepare()
+        for start in range(0, len(queries), AT_ONCE):
+            some = queries[start : start + AT_ONCE]
+            across = np.zeros((len(some), len(self.dense)), np.float32)
+            for i, (terms, weights) in enumerate(some):
+                column = self.column[terms]
+                across[i, column[column >= 0]] = weights[column >= 0]
+            scores = across @ self.dense
+            for i, query in enumerate(some):
+                yield self._best(scores[i], query, k, -1 if without is None else without[start + i])
+
+    def _best(self, scores: np.ndarray, query: Vector, k: int, without: int) -> list[tuple[int, float]]:
+        terms, weights = query
+        rare = self.column[terms] < 0
+        places, lengths, _ = _spans(self.at[terms[rare]], self.at[terms[rare] + 1])
+        if len(places):
+            products = np.repeat(weights[rare], lengths) * self.posted_weights[places]
+            scores += np.bincount(self.posted[places], products, len(scores)).astype(np.float32)
+        if without >= 0:
+            scores[self.examples == without] = 0
+        least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
+        # a sum of n products of numbers rounded once is wrong by less than n + 3 units in the last place; both sides may be
+        near = np.flatnonzero((scores > 0) & (scores >= least - 2 * (len(terms) + 3) * 2.0**-23))
+        if not len(near):
+            return []
+        near = self.examples[near]
+        places, _, cuts = _spans(self.starts[near], self.starts[near + 1])
+        self._query[terms] = weights
+        exact = np.add.reduceat(self.weights[places] * self._query[self.terms[places]], cuts)
+        self._query[terms] = 0
+        order = np.lexsort((near, -exact))[:k]
+        return [(int(e), min(1.0, float(c))) for e, c in zip(near[order], exact[order])]
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[int, float]]:
         """The k examples of largest positive cosine, best first, ties by number; exact. ``without`` is left out."""
-        parts = [(t, w) for t, w in sorted(query.items()) if len(self.postings[t][0])]
-        bound = np.zeros(self.blocks)
-        for term, weight in parts:
-            held, most = self.bounds[term]
-            bound[held] += weight * most
-        found: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(found) == k and bound[block] < -found[-1][0] - 1e-12:
-                break
-            scores = self._scores(block, parts)
-            near = np.flatnonzero(scores > 0)
-            found += [(-float(scores[i]), block * BLOCK + int(i)) for i in near if block * BLOCK + i != without]
-            found = sorted(found)[:k]
-        return [(example, min(1.0, -score)) for score, example in found]
+        terms = np.array(sorted(query), np.int32)
+        return next(self.nearest_of([(terms, np.array([query[t] for t in terms.tolist()]))], k, [without]))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,35 +183,79 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return edges, np.repeat([g[0] for g in groups], 2)
 
 
+def _packed(counted: Vector) -> bytes:
+    terms, counts = counted
+    return zlib.compress(np.stack([np.diff(terms, prepend=0), counts]).astype("<i4").tobytes(), 1)
+
+
+def _unpacked(row: bytes) -> Vector:
+    steps, counts = np.frombuffer(zlib.decompress(row), "<i4").reshape(2, -1)
+    return np.cumsum(steps, dtype=np.int32), counts
+
+
+class _Numbers(dict):
+    """Numbers of the vocabulary's terms that a word gives; the last words are remembered."""
+
+    def __init__(self, vocabulary: dict[bytes, int]):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = tuple(n for t in terms_of(word) if (n := self.vocabulary.get(t)) is not None)
+        return found
+
+
 @dataclass(frozen=True)
 class Examples:
-    """The fitted model: vocabulary, idf, index, labels and ids of the examples, and the calibration."""
+    """Vocabulary, idf, packed terms and counts, labels and ids of the examples."""
 
     vocabulary: dict[bytes, int]
     idf: np.ndarray
-    index: Index
+    packed: list[bytes]
     labels: np.ndarray
     ids: list
-    places: np.ndarray
-    shares: np.ndarray
-    heads: frozenset[bytes] = frozenset()
 
-    def __post_init__(self) -> None:
-        object.__setattr__(self, "heads", frozenset(t[:HEAD] for t in self.vocabulary))
+    def __getstate__(self):
+        return {k: self.__dict__[k] for k in self.__dataclass_fields__}
 
-    def vector(self, text: bytes | None) -> dict[int, float]:
-        """Unit TF-IDF weights of a text's vocabulary terms; empty if it has none."""
-        counts: dict[int, int] = {}
-        for word, n in words(text, self.heads).items():
-            for term in terms_of(word):
-                if (number := self.vocabulary.get(term)) is not None:
-                    counts[number] = counts.get(number, 0) + n
-        return unit(counts, self.idf)
+    @cached_property
+    def numbers(self) -> _Numbers:
+        return _Numbers(self.vocabulary)
 
-    def judge(self, text: bytes | None) -> tuple[float, list[tuple[int, float]]]:
-        """The calibrated score and the examples that voted, with their cosines."""
-        near = self.index.nearest(self.vector(text), NEIGHBOURS)
-        return float(np.interp(vote(near, self.labels), self.places, self.shares)), near
+    @cached_property
+    def index(self) -> Index:
+        """Made by each worker from the packed rows, which are a small part of it."""
+        return Index(map(self.weighed, map(_unpacked, self.packed)), len(self.vocabulary))
+
+    def counts(self, texts: Iterable[bytes | None]) -> Iterator[Vector]:
+        """The vocabulary's terms in each text and how often each occurs."""
+        numbers = self.numbers
+        for text in texts:
+            own = words(text)
+            found = list(map(numbers.__getitem__, own))
+            terms = np.fromiter(chain.from_iterable(found), np.int32)
+            times = np.repeat(np.fromiter(own.values(), np.int64, len(own)), np.fromiter(map(len, found), np.int64, len(own)))
+            kinds, at = np.unique(terms, return_inverse=True)
+            yield kinds, np.bincount(at, times, len(kinds))
+
+    def vectors(self, texts: Iterable[bytes | None]) -> Iterator[Vector]:
+        """Unit TF-IDF weights of each text's vocabulary terms; empty if it has none."""
+        yield from map(self.weighed, self.counts(texts))
+
+    def weighed(self, counted: Vector) -> Vector:
+        terms, counts = counted
+        weights = (1 + np.log(counts)) * self.idf[terms]
+        return terms, weights / np.sqrt((weights * weights).sum()) if len(terms) else weights
+
+
+@dataclass(frozen=True)
+class Model:
+    """The examples, which workers share, and the calibration: places of votes and the shares there."""
+
+    examples: Broadcast
+    places: np.ndarray
+    shares: np.ndarray
 
 
 def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
@@ -178,12 +273,13 @@ def vote(near: list[tuple[int, float]], labels: np.ndarray) -> float:
     return sum(w for w, (example, _) in zip(weights, near) if labels[example] == 1) / (sum(weights) + 1)
 
 
-def fit_examples(docs: DataFrame, labels: DataFrame) -> Examples:
+def fit_examples(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from ``labels(doc_id, toxic)``; document frequencies come from all of ``docs``.
 
     Labels that are neither 0 nor 1, null ids, and ids without a document are not learned from.
     Without any example of both labels every score is the share of label 1.
     """
+    context = docs.sparkSession.sparkContext
     known = labels.where("doc_id is not null and toxic in (0, 1)")
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     sample = labelled(known, "toxic", 1, MOST_TOXIC).union(labelled(known, "toxic", 0, MOST_OTHER))
@@ -193,110 +289,93 @@ def fit_examples(docs: DataFrame, labels: DataFrame) -> Examples:
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     if not one or not zero:
         flat = np.array([share if counts else 0.0] * 2)
-        return Examples({}, np.zeros(0), Index([], 0), np.zeros(0, int), [], np.array([0.0, 1.0]), flat)
+        nothing = Examples({}, np.zeros(0), [], np.zeros(0, int), [])
+        return Model(context.broadcast(nothing), np.array([0.0, 1.0]), flat)
 
-    def frequencies(batches):
+    def distinct(batches):
         for batch in batches:
-            both: dict[bytes, list[int]] = {}
-            for label, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                for term in terms(text):
-                    both.setdefault(term, [0, 0])[label] += 1
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "term": pa.array(both, pa.binary()),
-                    "zero": pa.array([n[0] for n in both.values()], pa.int64()),
-                    "one": pa.array([n[1] for n in both.values()], pa.int64()),
-                }
-            )
-
-    a, b = F.col("one"), F.col("zero")
-    n = float(one + zero)
-    seen = a + b
-    chi2 = n * F.pow(a * (zero - b) - b * (one - a), F.lit(2.0)) / (float(one) * float(zero) * seen * (n - seen))
-    chosen = (
-        texts.select("label", "text")
-        .mapInArrow(frequencies, "term binary, zero long, one long")
-        .groupBy("term")
-        .agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
-        .where((seen >= LEAST_EXAMPLES) & (seen < n) & ((a + 0.5) / one >= LEAST_RATIO * (b + 0.5) / zero))
-        .withColumn("chi2", chi2)
-        .where(F.col("chi2") >= LEAST_CHI2)
-        .orderBy(F.desc("chi2"), "term")
-        .limit(MOST_TERMS)
-        .collect()
-    )
-    vocabulary = {bytes(r.term): i for i, r in enumerate(sorted(chosen, key=lambda r: bytes(r.term)))}
-    idf = _idf(docs, vocabulary)
-
-    blank = Examples(vocabulary, idf, Index([], 0), np.zeros(0, int), [], np.zeros(1), np.zeros(1))
-
-    def vectors(batches):
+            own = set(chain.from_iterable(map(words, as_bytes(batch.column(0)))))
+            yield pa.RecordBatch.from_pydict({"term": pa.array({t for w in own for t in terms_of(w)}, pa.binary())})
+
+    chosen = texts.select("text").mapInArrow(distinct, "term binary").distinct().toArrow().column("term").to_pylist()
+    vocabulary = {term: i for i, term in enumerate(sorted(chosen))}
+    del chosen
+    counter = context.broadcast(Examples(vocabulary, np.zeros(0), [], np.zeros(0, int), []))
+    idf = _idf(docs, counter, len(vocabulary))
+
+    def counted(batches):
         for batch in batches:
-            rows = [blank.vector(t) for t in as_bytes(batch.column(2))]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column(0),
-                    "label": batch.column(1),
-                    "terms": pa.array([list(r) for r in rows], pa.list_(pa.int32())),
-                    "weights": pa.array([list(r.values()) for r in rows], pa.list_(pa.float64())),
-                }
-            )
+            rows = [_packed(c) for c in counter.value.counts(as_bytes(batch.column(2)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "label", "packed"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    found = texts.mapInArrow(vectors, f"doc_id {kind}, label int, terms array<int>, weights array<double>").toArrow().to_pylist()
-    # like examples are put side by side, which keeps the blocks' bounds close; the order is fixed
-    found.sort(key=lambda r: (sorted(zip(r["weights"], r["terms"]), reverse=True)[:3], r["label"], r["doc_id"]))
-    rows = [dict(zip(r["terms"], r["weights"])) for r in found]
-    y = np.array([r["label"] for r in found])
-    index = Index(rows, len(vocabulary))
-    own = np.array([vote(index.nearest(row, NEIGHBOURS, without=i), y) for i, row in enumerate(rows)])
+    found = texts.mapInArrow(counted, f"doc_id {kind}, label int, packed binary").toArrow()
+    found = found.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("packed", "ascending")])
+    y = found.column("label").to_numpy()
+    fitted = Examples(vocabulary, idf, found.column("packed").to_pylist(), y, found.column("doc_id").to_pylist())
+    counter.unpersist()
+    shared = context.broadcast(fitted)
+
+    def votes(batches):
+        own = shared.value
+        for batch in batches:
+            numbers = batch.column(0).to_pylist()
+            near = own.index.nearest_of([own.index.row(i) for i in numbers], NEIGHBOURS, numbers)
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "vote": pa.array([vote(n, own.labels) for n in near], pa.float64())})
+
+    own = docs.sparkSession.range(len(y)).mapInArrow(votes, "id long, vote double").toArrow().sort_by("id").column("vote").to_numpy()
     weight = np.where(y == 1, share / one, (1 - share) / zero)
     places, shares = isotonic(own, y.astype(float), weight)
-    return Examples(vocabulary, idf, index, y, [r["doc_id"] for r in found], places, shares)
+    return Model(shared, places, shares)
 
 
-def _idf(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
+def _idf(docs: DataFrame, shared: Broadcast, size: int) -> np.ndarray:
     """Inverse document frequencies of the vocabulary, counted over all documents."""
-    size = len(vocabulary)
-    reader = Examples(vocabulary, np.ones(size), Index([], 0), np.zeros(0, int), [], np.zeros(1), np.zeros(1))
 
     def count(batches):
         seen, total = np.zeros(size, np.int64), 0
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
+            for terms, _ in shared.value.counts(as_bytes(batch.column(0))):
                 total += 1
-                for term in reader.vector(text):
-                    seen[term] += 1
-        yield pa.RecordBatch.from_pydict({"term": pa.array(range(-1, size), pa.int32()), "n": np.concatenate([[total], seen])})
+                seen[terms] += 1
+        there = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict(
+            {"term": pa.array(np.append(there, -1), pa.int32()), "n": np.append(seen[there], total)}
+        )
 
-    rows = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    counts = {r.term: r.n for r in rows}
-    total = counts.get(-1, 0)
-    return np.array([np.log((1 + total) / (1 + counts.get(i, 0))) + 1 for i in range(size)])
+    found = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    terms, n = found.column("term").to_numpy(), found.column("n").to_numpy()
+    counts = np.zeros(size, np.int64)
+    counts[terms[terms >= 0]] = n[terms >= 0]
+    return np.log((1 + n[terms < 0].sum()) / (1 + counts)) + 1
 
 
-def score_toxicity(docs: DataFrame, model: Examples) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted, evidence: a row for every row of ``docs``, from the whole text alone.
 
-    evidence holds ids and cosines of the examples that voted, nearest first. A text without
-    vocabulary terms (null and empty ones too) has no neighbours and gets the share of label 1 among
+    evidence holds ids and cosines of the examples that voted, nearest first. A text without any
+    term of the examples (null and empty ones too) has no neighbours and gets the share of label 1 among
     such examples. Null ids and repeated rows are passed on; other columns are not read; an empty table
     gives an empty result.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, places, shares = model.examples, model.places, model.shares
     schema = f"doc_id {kind}, score double, predicted int, evidence array<struct<example: {kind}, cosine: double>>"
 
     def run(batches):
         fitted = shared.value
         for batch in batches:
-            judged = [fitted.judge(t) for t in as_bytes(batch.column(1))]
-            score = np.array([j[0] for j in judged])
-            near = [[{"example": fitted.ids[e], "cosine": c} for e, c in j[1]] for j in judged]
             item = pa.list_(pa.struct([("example", batch.schema.field(0).type), ("cosine", pa.float64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(score, pa.float64()), pa.array((score >= CUT).astype(np.int32)), pa.array(near, item)],
-                names=["doc_id", "score", "predicted", "evidence"],
-            )
+            vectors = fitted.vectors(as_bytes(batch.column(1)))
+            done = 0
+            while some := list(islice(vectors, AT_ONCE)):
+                near = list(fitted.index.nearest_of(some, NEIGHBOURS))
+                score = np.interp([vote(n, fitted.labels) for n in near], places, shares)
+                evidence = [[{"example": fitted.ids[e], "cosine": c} for e, c in n] for n in near]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(done, len(some)), pa.array(score, pa.float64()), pa.array((score >= CUT).astype(np.int32)), pa.array(evidence, item)],
+                    names=["doc_id", "score", "predicted", "evidence"],
+                )
+                done += len(some)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -193,3 +193,34 @@ def test_toxicity_edges(spark):
     assert toxicity.score_toxicity(frame.limit(0), model).collect() == []
     alone = toxicity.fit_examples(frame, labels.limit(0))
     assert {r.score for r in toxicity.score_toxicity(frame, alone).collect()} == {0.0}
+
+
+def test_toxicity_compares_all_terms(spark):
+    """Cosines over every term of the examples, rare ones and those commoner under label 0 too, against all pairs."""
+    rng = random.Random(9)
+    pool = [f"{rng.choice('abcdefg')}word{i}" for i in range(400)] + ["the", "of", "and"] * 40
+    rows = [(i, " ".join(rng.choices(pool, k=rng.choice([1, 20, 90]))), "en") for i in range(150)]
+    rows += [(200 + i, rows[0][1], "en") for i in range(20)]
+    frame = docs(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, *_ in rows if i % 3], "doc_id long, toxic int")
+    vectors, frequency = {}, {}
+    for i, text, _ in rows:
+        own = {}
+        for word in text.split():
+            for term in [word, *(word[:n] + "*" for n in toxicity.PREFIXES if len(word) > n)]:
+                own[term] = own.get(term, 0) + 1
+        vectors[i] = own
+        for term in own:
+            frequency[term] = frequency.get(term, 0) + 1
+    known = {t for i in vectors if i % 3 for t in vectors[i]}
+    for i, own in vectors.items():
+        own = {t: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + frequency[t])) + 1) for t, n in own.items() if t in known}
+        norm = math.sqrt(sum(w * w for w in own.values()))
+        vectors[i] = {t: w / norm for t, w in own.items()}
+    got = toxicity.score_toxicity(frame, toxicity.fit_examples(frame, labels)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        cosines = sorted((-round(sum(w * vectors[i].get(t, 0) for t, w in vectors[r.doc_id].items()), 9), i) for i in vectors if i % 3)
+        want = [c for c, _ in cosines if c < 0][: toxicity.NEIGHBOURS]
+        assert [-round(e.cosine, 9) for e in r.evidence] == pytest.approx(want, abs=2e-9)
+        assert {i for c, i in cosines if c < want[-1] - 1e-8} <= {e.example for e in r.evidence}
