@@ -135,7 +135,7 @@ class Packer:
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, start, length, doc_tokens, sequence_id, offset, ids: a row for every piece of every document.
 
-    A document is its ids and then the id 0; ids holds those of the piece, four bytes each, least first. A null
+    A document is its ids, those of special tokens in the text included, and then the id 0; ids holds those of the piece, four bytes each, least first. A null
     or empty text is the closing id alone. Rows with null or repeated doc_ids are documents of their own, and
     nothing joins them but their id. Other columns are not read; an empty table has no pieces. A
     task that is run again on the same input packs it the same way. A text of any length is taken
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        encode, packer = encoder(path).encode, Packer()
+        encode, packer = encoder(path).encode_plain, Packer()
         end = np.array([END], "<u4").tobytes()
         number = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
         id_type = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from array import array
 from functools import lru_cache
 
@@ -26,7 +27,8 @@ class Encoder:
     """Ids of whole texts as bytes, four for each id, least first.
 
     The vocabulary is read from a tokenizer's file; its ids are the ranks of its merges, so the
-    faster of the two installed libraries gives the same ids. Special tokens are ordinary text.
+    faster of the two installed libraries gives the same ids. ``encode`` takes special tokens as ordinary text;
+    ``encode_plain`` gives them their own ids wherever they stand, as a plain call of the file's tokenizer does.
     """
 
     def __init__(self, path: str):
@@ -35,14 +37,32 @@ class Encoder:
         byte = _bytes_of_characters()
         vocabulary = tokenizer.get_vocab(with_added_tokens=False).items()
         self._text = {n: bytes(byte[c] for c in token) for token, n in vocabulary if all(c in byte for c in token)}
-        special = set(tokenizer.get_added_tokens_decoder())
+        added = tokenizer.get_added_tokens_decoder()
+        special = set(added)
         ranks = {text: n for n, text in self._text.items() if n not in special}
         self._encode = tiktoken.Encoding(
             path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
+        if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError(f"{path}: added tokens that depend on what stands beside them are not supported")
+        self._numbers = {t.content: n for n, t in added.items()}
+        longest = sorted(self._numbers, key=len, reverse=True)
+        self._added = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
 
     def encode(self, text: str) -> bytes:
-        ids = array("I", self._encode(text))
+        return self._bytes(self._encode(text))
+
+    def encode_plain(self, text: str) -> bytes:
+        if self._added is None or not self._added.search(text):
+            return self.encode(text)
+        ids: list[int] = []
+        for i, part in enumerate(self._added.split(text)):
+            ids += [self._numbers[part]] if i % 2 else self._encode(part)
+        return self._bytes(ids)
+
+    @staticmethod
+    def _bytes(numbers: list[int]) -> bytes:
+        ids = array("I", numbers)
         return ids.tobytes() if ids.itemsize == 4 else np.array(ids, "<u4").tobytes()
 
     def decode(self, ids: bytes) -> bytes:

@@ -169,3 +169,14 @@ def test_chat_round_trip(spark):
         assert [x.start for x in rows_made] == starts[:-1].tolist()
         assert all(x.loss_start == x.loss_end for x in rows_made if x.role != "assistant")
     assert read_back(format_turns(frame.limit(0))).collect() == []
+
+
+def test_packing_takes_the_ids_of_a_plain_call(spark):
+    """Special tokens in a text get their own ids, as an unmodified tokenizer gives them."""
+    want, own = Tokenizer.from_file(tokens.default_path()), tokens.Encoder(tokens.default_path())
+    special = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> ", "x  <|endoftext|><|endoftext|>  y\n<|endoftext", "é\n\n<|endoftext|>\n"]
+    for text in [*special, *texts()]:
+        assert np.frombuffer(own.encode_plain(text), "<u4").tolist() == want.encode(text, add_special_tokens=False).ids
+    frame = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(special)], DOCS)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in pack(frame).collect()}
+    assert got == {i: want.encode(t, add_special_tokens=False).ids + [packing.END] for i, t in enumerate(special)}
