@@ -1,16 +1,17 @@
-"""Interpolated modified Kneser-Ney language model of word pairs, as sorted hash arrays that workers memory-map.
+"""Interpolated modified Kneser-Ney language model of any order, as sorted hash arrays that workers memory-map.
 
-Spark counts; arrays hold what was counted. A token is known by its 64-bit hash.
+Spark counts; arrays hold what was counted. A token, and a row of tokens, is known by its 64-bit hash.
 
 1. Tokens: each task sums its tokens and sends them to the shard of their hash. A shard writes its
    sorted hashes and counts.
-2. Pairs: a pair goes to the shard of its first token, where all pairs of that token meet, sorted. Pairs of a
-   token that is very frequent go to the shard of the pair's own hash instead, so no shard holds much more
-   than another. A shard writes sorted pair hashes and counts.
-3. Contexts and continuations: how many kinds of tokens follow a token once, twice, or more often,
-   and how many kinds of tokens precede it, are summed from what the shards found.
-
-Scoring maps the arrays into memory and looks up each batch's distinct tokens and pairs in sorted order, so
+2. Rows of as many tokens as the order: a row goes to the shard of its context, all but its last token, where all
+   rows of that context meet. Rows whose context is of very frequent tokens only go to the shard of their own
+   hash instead, so no shard holds much more than another. A shard writes sorted row hashes and counts.
+3. Shorter rows, one token less at a time: a distinct row counts once for the row without its first token, so these
+   counts say how many kinds of tokens precede a row. They are dealt and written like the longest.
+4. Contexts: how many kinds of tokens follow once, twice, or more often, and the sum of their counts.
+
+Scoring maps the arrays into memory and looks up each batch's distinct tokens and rows in sorted order, so
 a worker holds the pages it touches and never the model.
 
 Only what is summed crosses the driver: a few numbers from each shard, and the few frequent tokens.
@@ -39,10 +40,12 @@ SEED = 7
 BEGIN, END = (xxhash.xxh64_intdigest(mark, SEED) for mark in (b"  ", b" "))
 #: Tokens that a task sums before it sends them on.
 TOKENS_AT_ONCE = 1 << 21
-#: A token with more than this share of a shard's tokens has its pairs dealt to all shards.
+#: A token with more than this share of a shard's tokens has its rows dealt to all shards.
 FREQUENT = 0.25
 #: Tokens that each shard names as candidates for that.
 CANDIDATES = 256
+#: Tokens in the longest rows of the registered query's model.
+ORDER = 3
 #: Added to a count in the base model.
 ADDED = 0.1
 
@@ -84,21 +87,60 @@ def batches_of_tokens(batches, column: int):
         yield held
 
 
-def _pairs(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """First and second token of all pairs, the begin included."""
-    second = np.concatenate(texts)
-    first = np.empty_like(second)
-    first[1:] = second[:-1]
-    first[np.cumsum([0, *map(len, texts[:-1])])] = BEGIN
-    return first, second
+def _rows(texts: list[np.ndarray], order: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every token the hashes of its contexts of ``order`` - 1 tokens to one, the frequent tokens they end with, and itself.
+
+    Before the first token of a text stand begins.
+    """
+    last = np.concatenate(texts)
+    starts = np.cumsum([0, *map(len, texts[:-1])])
+    place = np.arange(len(last)) - np.repeat(starts, list(map(len, texts)))
+    before = []
+    for back in range(1, order):
+        token = np.full(len(last), BEGIN, np.uint64)
+        token[back:] = last[: max(0, len(last) - back)]
+        token[place < back] = BEGIN
+        before.append(token)
+    contexts = []
+    for length in range(order - 1, 0, -1):
+        own = before[length - 1]
+        for token in before[length - 2 :: -1] if length > 1 else ():
+            own = pair_hash(own, token)
+        contexts.append(own)
+    often, still = np.zeros(len(last), np.uint8), np.ones(len(last), bool)
+    for token in before:
+        still &= np.isin(token, frequent)
+        often += still
+    return np.stack(contexts), often, last
+
+
+def _sent(contexts: np.ndarray, often: np.ndarray, last: np.ndarray, counts: np.ndarray, shards: int) -> dict[str, list]:
+    """Distinct rows and their counts, a line for each shard; a context stands once for all that follow it."""
+    grams = pair_hash(contexts[0], last)
+    dealt = often >= len(contexts)
+    shard = shard_of(np.where(dealt, grams, contexts[0]), shards)
+    order = np.lexsort((grams, contexts[0], shard))
+    grams, shard = grams[order], shard[order]
+    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    counts, order, shard = np.add.reduceat(counts[order].astype(np.int64), starts), order[starts], shard[starts]
+    out: dict[str, list] = {k: [] for k in ("shard", "contexts", "often", "runs", "lasts", "counts")}
+    for number, a, b in _slices(shard):
+        own = order[a:b]
+        first = contexts[0][own]
+        heads = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+        values = (contexts[:, own[heads]], often[own[heads]], np.diff(np.append(heads, b - a)).astype(np.uint32), last[own], counts[a:b].astype(np.uint32))
+        out["shard"].append(number)
+        for name, value in zip(("contexts", "often", "runs", "lasts", "counts"), values):
+            out[name].append(np.ascontiguousarray(value).tobytes())
+    return out
 
 
-def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in order of their first and second token, how often each occurs, and where each came from."""
-    kinds, at = np.unique(np.concatenate([first, second]), return_inverse=True)
-    codes = at[: len(first)].astype(np.uint64) << np.uint64(32) | at[len(first) :].astype(np.uint64)
-    codes, back, counts = np.unique(codes, return_inverse=True, return_counts=True)
-    return kinds[codes >> np.uint64(32)], kinds[codes & np.uint64(0xFFFFFFFF)], counts, back
+_SENT = "shard int, contexts binary, often binary, runs binary, lasts binary, counts binary"
+_SENT_TYPES = {"shard": pa.int32(), **dict.fromkeys(("contexts", "often", "runs", "lasts", "counts"), pa.binary())}
+
+
+def _table(sent: dict[str, list]) -> dict[str, pa.Array]:
+    return {k: pa.array(v, _SENT_TYPES[k]) for k, v in sent.items()}
 
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -162,42 +204,43 @@ class Model:
 
     folder: str
     shards: int
+    order: int
     frequent: np.ndarray
     tokens: int
     kinds: int
-    pair_discounts: np.ndarray
+    #: For rows of two tokens, three, and so on.
+    row_discounts: tuple[np.ndarray, ...]
     pair_kinds: int
     token_discounts: np.ndarray
     left: float
 
-    def shard_of_pairs(self, first: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        return shard_of(np.where(np.isin(first, self.frequent), pairs, first), self.shards)
+    def _found(self, names: tuple[str, ...], keys: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
+        out = [np.zeros(len(keys)) for _ in names[1:]]
+        order = np.lexsort((keys, shard))
+        for number, a, b in _slices(shard[order]):
+            for values, found in zip(out, _look_up(self.folder, names, number, keys[order[a:b]])):
+                values[order[a:b]] = found
+        return out
 
     def log_probabilities(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of every token under the model, and every token's count."""
-        first, second = _pairs(texts)
-        kinds, at = np.unique(np.concatenate([first, second]), return_inverse=True)
-        first_at, second_at = at[: len(first)], at[len(first) :]
-        counts, before, spare = np.zeros(len(kinds), np.int64), np.zeros(len(kinds)), np.zeros(len(kinds))
-        for shard, a, b in _slices(shard_of(kinds, self.shards)):
-            counts[a:b], before[a:b], spare[a:b] = _look_up(self.folder, ("token", "count", "before", "spare"), shard, kinds[a:b])
+        contexts, often, last = _rows(texts, self.order, self.frequent)
+        kinds, back = np.unique(last, return_inverse=True)
+        counts, before = self._found(("token", "count", "before"), kinds, shard_of(kinds, self.shards))
         lower = np.full(len(kinds), self.left / (self.kinds + 1))
         lower += (before - self.token_discounts[np.minimum(before, 3).astype(int)]) / max(1, self.pair_kinds)
-
-        codes = first_at.astype(np.uint64) << np.uint64(32) | second_at.astype(np.uint64)
-        codes, back = np.unique(codes, return_inverse=True)
-        u, w = codes >> np.uint64(32), codes & np.uint64(0xFFFFFFFF)
-        pairs = pair_hash(kinds[u], kinds[w])
-        shard = self.shard_of_pairs(kinds[u], pairs)
-        order = np.lexsort((pairs, shard))
-        together = np.zeros(len(codes))
-        for number, a, b in _slices(shard[order]):
-            together[order[a:b]] = _look_up(self.folder, ("pair", "times"), number, pairs[order[a:b]])[0]
-        context = counts[u]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = (together - self.pair_discounts[np.minimum(together, 3).astype(int)] + spare[u] * lower[w]) / context
-        chance = np.log10(np.where(context > 0, seen, lower[w]))
-        return chance[back], counts[second_at]
+        chance, counts = lower[back], counts[back]
+        for size, lost in enumerate(self.row_discounts, 2):
+            context = contexts[self.order - size]
+            keys, back = np.unique(context, return_inverse=True)
+            total, spare = (x[back] for x in self._found((f"context{size}", f"total{size}", f"spare{size}"), keys, shard_of(keys, self.shards)))
+            rows, first, back = np.unique(pair_hash(context, last), return_index=True, return_inverse=True)
+            shard = shard_of(np.where(often[first] >= size - 1, rows, context[first]), self.shards)
+            times = self._found((f"row{size}", f"times{size}"), rows, shard)[0][back]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                seen = (times - lost[np.minimum(times, 3).astype(int)] + spare * chance) / total
+            chance = np.where(total > 0, seen, chance)
+        return np.log10(chance), counts.astype(np.int64)
 
 
 def _folder(docs: DataFrame) -> str:
@@ -209,8 +252,10 @@ def _folder(docs: DataFrame) -> str:
     return path.path
 
 
-def train(docs: DataFrame) -> Model:
-    """Count the texts of ``docs``, null as empty, and write the model's arrays into the shared folder."""
+def train(docs: DataFrame, order: int = 2) -> Model:
+    """Count the texts of ``docs``, null as empty, and write the arrays of a model of rows of ``order`` tokens into the shared folder."""
+    if order < 2:
+        raise ValueError("the order is two or more")
     folder = _folder(docs)
     shards = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("text")
@@ -243,80 +288,85 @@ def train(docs: DataFrame) -> Model:
     often = candidates.where(F.col("n") > limit).select("token").toArrow().column("token").to_numpy().astype(np.int64)
     frequent = np.unique(np.append(often, begin)).view(np.uint64)
     total, kinds = total - begun, max(0, kinds - 1)
-    empty = np.zeros(4)
-    blank = Model(folder, shards, frequent, total, kinds, empty, 0, empty, 0.0)
 
-    def sum_pairs(batches):
+    def sum_rows(batches):
         for held in batches_of_tokens(batches, 0):
-            first, second, counts, _ = _distinct(*_pairs(held))
-            shard = blank.shard_of_pairs(first, pair_hash(first, second))
-            order = np.argsort(shard, kind="stable")
-            first, second, counts = first[order], second[order], counts[order].astype(np.uint32)
-            for number, a, b in _slices(shard[order]):
-                starts = np.flatnonzero(np.concatenate([[True], first[a + 1 : b] != first[a : b - 1]]))
-                runs = np.diff(np.append(starts, b - a)).astype(np.uint32)
-                yield pa.RecordBatch.from_pydict(
-                    {"shard": pa.array([number], pa.int32()), "firsts": [first[a:b][starts].tobytes()], "runs": [runs.tobytes()], "seconds": [second[a:b].tobytes()], "counts": [counts[a:b].tobytes()]}
-                )
-
-    def write_pairs(group: pa.Table) -> pa.Table:
-        shard = group.column("shard")[0].as_py()
-        first = np.repeat(_bytes(group.column("firsts"), np.uint64), _bytes(group.column("runs"), np.uint32))
-        second, counts = _bytes(group.column("seconds"), np.uint64), _bytes(group.column("counts"), np.uint32)
-        order = np.lexsort((second, first))
-        first, second, counts = first[order], second[order], counts[order].astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]))
-        first, second, counts = first[starts], second[starts], np.add.reduceat(counts, starts)
-        pairs = pair_hash(first, second)
-        order = np.argsort(pairs, kind="stable")
-        _write(folder, f"pair-{shard}", pairs[order])
-        _write(folder, f"times-{shard}", counts[order].astype(np.float32))
-        once, twice, more = (c.astype(np.uint32) for c in (counts == 1, counts == 2, counts >= 3))
-        contexts, once, twice, more = _summed(first, once, twice, more)
-        following, before = _summed(second, np.ones(len(second), np.uint32))
-        zero = np.zeros(len(following), np.uint32)
-        keys = np.concatenate([contexts, following])
-        values = np.stack([np.append(once, zero), np.append(twice, zero), np.append(more, zero), np.append(np.zeros(len(contexts), np.uint32), before)], axis=1)
-        keys, *columns = _summed(keys, *(values[:, i] for i in range(4)))
-        values = np.stack(columns, axis=1).astype(np.uint32)
-        seen = np.array([len(counts), *((counts == n).sum() for n in (1, 2, 3, 4))], np.int64)
-        parts = _slices(shard_of(keys, shards))
-        return pa.table(
-            {
-                "shard": pa.array([p for p, _, _ in parts], pa.int32()),
-                "keys": pa.array([keys[a:b].tobytes() for _, a, b in parts], pa.binary()),
-                "sums": pa.array([np.ascontiguousarray(values[a:b].T).tobytes() for _, a, b in parts], pa.binary()),
-                "seen": pa.array([seen.tolist() if i == 0 else [0] * 5 for i in range(len(parts))], pa.list_(pa.int64())),
-            }
-        )
-
-    schema = "shard int, firsts binary, runs binary, seconds binary, counts binary"
-    found = materialise(
-        texts.mapInArrow(sum_pairs, schema).groupBy("shard").applyInArrow(write_pairs, "shard int, keys binary, sums binary, seen array<long>"), "contexts"
-    )
-    seen = [x or 0 for x in found.agg(*(F.sum(F.col("seen")[i]) for i in range(5))).first()]
-    pair_discounts = discounts(np.array(seen[1:]))
-
-    def write_contexts(group: pa.Table) -> pa.Table:
+            contexts, often, last = _rows(held, order, frequent)
+            yield pa.RecordBatch.from_pydict(_table(_sent(contexts, often, last, np.ones(len(last), np.uint32), shards)))
+
+    def write_rows(size: int):
+        def write(group: pa.Table) -> pa.Table:
+            shard = group.column("shard")[0].as_py()
+            runs = _bytes(group.column("runs"), np.uint32)
+            contexts = np.concatenate([np.frombuffer(x.as_py(), np.uint64).reshape(size - 1, -1) for x in group.column("contexts")], axis=1)
+            at = np.repeat(np.arange(len(runs), dtype=np.uint32), runs)
+            last, counts = _bytes(group.column("lasts"), np.uint64), _bytes(group.column("counts"), np.uint32)
+            rows = pair_hash(contexts[0][at], last)
+            by = np.argsort(rows, kind="stable")
+            starts = np.flatnonzero(np.concatenate([[True], rows[by[1:]] != rows[by[:-1]]]))
+            counts = np.add.reduceat(counts[by].astype(np.int64), starts)
+            by = by[starts]
+            at, last = at[by], last[by]
+            _write(folder, f"row{size}-{shard}", rows[by])
+            _write(folder, f"times{size}-{shard}", counts.astype(np.float32))
+            keys, *sums = _summed(contexts[0][at], *((counts == n).astype(np.int64) for n in (1, 2)), (counts >= 3).astype(np.int64), counts)
+            seen = np.array([len(counts), *((counts == n).sum() for n in (1, 2, 3, 4))], np.int64)
+            parts = _slices(shard_of(keys, shards))
+            out = {k: [] for k in _SENT_TYPES}
+            for number, a, b in parts:
+                for name, value in zip(_SENT_TYPES, (number, np.stack([x[a:b] for x in sums]).tobytes(), b"", b"", keys[a:b].tobytes(), b"")):
+                    out[name].append(value)
+            if size > 2:
+                shorter = _sent(contexts[1:, at], _bytes(group.column("often"), np.uint8)[at], last, np.ones(len(last), np.uint32), shards)
+            else:
+                keys, ones = _summed(last, np.ones(len(last), np.uint32))
+                shorter = {k: [] for k in _SENT_TYPES}
+                for number, a, b in _slices(shard_of(keys, shards)):
+                    for name, value in zip(_SENT_TYPES, (number, b"", b"", b"", keys[a:b].tobytes(), ones[a:b].astype(np.uint32).tobytes())):
+                        shorter[name].append(value)
+            n = len(parts) + len(shorter["shard"])
+            columns = {k: pa.array(out[k] + shorter[k], t) for k, t in _SENT_TYPES.items()}
+            seen = pa.array([seen.tolist() if i == 0 else [0] * 5 for i in range(n)], pa.list_(pa.int64()))
+            return pa.table(columns | {"shorter": pa.array(np.arange(n) >= len(parts)), "seen": seen})
+
+        return write
+
+    def write_contexts(size: int, lost: np.ndarray):
+        def write(group: pa.Table) -> pa.Table:
+            shard = group.column("shard")[0].as_py()
+            sums = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(4, -1) for x in group.column("contexts")], axis=1)
+            keys, once, twice, more, total = _summed(_bytes(group.column("lasts"), np.uint64), *sums)
+            _write(folder, f"context{size}-{shard}", keys)
+            _write(folder, f"total{size}-{shard}", total)
+            _write(folder, f"spare{size}-{shard}", (lost[1] * once + lost[2] * twice + lost[3] * more).astype(np.float32))
+            return pa.table({"contexts": [len(keys)]})
+
+        return write
+
+    def write_before(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
-        parts = [np.frombuffer(x.as_py(), np.uint32).reshape(4, -1) for x in group.column("sums")]
-        values = np.concatenate(parts, axis=1).astype(np.float64)
-        keys, once, twice, more, before = _summed(_bytes(group.column("keys"), np.uint64), *values)
+        keys, before = _summed(_bytes(group.column("lasts"), np.uint64), _bytes(group.column("counts"), np.uint32).astype(np.int64))
         held = _mapped(folder, f"token-{shard}")
-        at = np.searchsorted(held, keys)
-        spare, after = np.zeros(len(held), np.float32), np.zeros(len(held), np.float32)
-        spare[at] = pair_discounts[1] * once + pair_discounts[2] * twice + pair_discounts[3] * more
-        after[at] = before
-        _write(folder, f"spare-{shard}", spare)
+        after = np.zeros(len(held), np.float32)
+        after[np.searchsorted(held, keys)] = before
         _write(folder, f"before-{shard}", after)
         return pa.table({"seen": [[int((before == n).sum()) for n in (1, 2, 3, 4)] + [int((before >= 3).sum())]]})
 
-    more = found.select("shard", "keys", "sums").groupBy("shard").applyInArrow(write_contexts, "seen array<long>")
+    sent = texts.mapInArrow(sum_rows, _SENT)
+    row_discounts: list[np.ndarray] = []
+    for size in range(order, 1, -1):
+        found = materialise(sent.groupBy("shard").applyInArrow(write_rows(size), f"{_SENT}, shorter boolean, seen array<long>"), f"rows-{size}")
+        seen = [x or 0 for x in found.agg(*(F.sum(F.col("seen")[i]) for i in range(5))).first()]
+        row_discounts.insert(0, discounts(np.array(seen[1:])))
+        contexts = found.where("not shorter").select("shard", "contexts", "lasts")
+        contexts.groupBy("shard").applyInArrow(write_contexts(size, row_discounts[0]), "contexts long").agg(F.sum("contexts")).collect()
+        sent = found.where("shorter").select(*_SENT_TYPES)
+    more = sent.groupBy("shard").applyInArrow(write_before, "seen array<long>")
     kinds_before = [x or 0 for x in more.agg(*(F.sum(F.col("seen")[i]) for i in range(5))).first()]
     token_discounts = discounts(np.array(kinds_before[:4]))
     lost = token_discounts[1] * kinds_before[0] + token_discounts[2] * kinds_before[1] + token_discounts[3] * kinds_before[4]
     left = lost / seen[0] if seen[0] else 1.0
-    return Model(folder, shards, frequent, total, kinds, pair_discounts, seen[0], token_discounts, left)
+    return Model(folder, shards, order, frequent, total, kinds, tuple(row_discounts), seen[0], token_discounts, left)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

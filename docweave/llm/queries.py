@@ -155,7 +155,7 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_kneser_ney")
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = kneser_ney.train(docs.where(~is_remainder("doc_id", 10, 0)))
+    model = kneser_ney.train(docs.where(~is_remainder("doc_id", 10, 0)), kneser_ney.ORDER)
     return kneser_ney.score(docs, model).withColumn("held_out", is_remainder("doc_id", 10, 0))
 
 

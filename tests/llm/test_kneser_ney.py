@@ -113,3 +113,49 @@ def test_query_beats_the_base(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in rows)
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+class Longer:
+    """A model of any order; rows of tokens are tuples, with begins before the first token."""
+
+    def __init__(self, texts, order):
+        self.order, self.levels = order, {}
+        rows = Counter()
+        self.kinds = set()
+        for text in texts:
+            own = ["<begin>"] * (order - 1) + split(text) + ["</end>"]
+            self.kinds.update(own[order - 1 :])
+            rows.update(tuple(own[i : i + order]) for i in range(len(own) - order + 1))
+        for size in range(order, 0, -1):
+            lost = discounts([sum(n == k for n in rows.values()) for k in (1, 2, 3, 4)])
+            total, spare = Counter(), Counter()
+            for row, n in rows.items():
+                total[row[:-1]] += n
+                spare[row[:-1]] += lost[min(n, 3)]
+            self.levels[size] = rows, lost, total, spare
+            rows = Counter(row[1:] for row in rows)
+
+    def chance(self, row):
+        rows, lost, total, spare = self.levels[len(row)]
+        below = self.chance(row[1:]) if len(row) > 1 else 1 / (len(self.kinds) + 1)
+        n, context = rows[row], row[:-1]
+        return (n - lost[min(n, 3)] + spare[context] * below) / total[context] if total[context] else below
+
+    def score(self, text):
+        own = ["<begin>"] * (self.order - 1) + split(text) + ["</end>"]
+        return sum(math.log10(self.chance(tuple(own[i : i + self.order]))) for i in range(len(own) - self.order + 1))
+
+
+@pytest.mark.parametrize("order, at_once", [(2, 50), (3, kneser_ney.TOKENS_AT_ONCE), (3, 50), (4, 50)])
+def test_longer_rows_against_dictionaries(spark, monkeypatch, order, at_once):
+    monkeypatch.setattr(kneser_ney, "TOKENS_AT_ONCE", at_once)
+    rows = corpus(4)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    model = train(frame.where("doc_id is null or doc_id < 100"), order)
+    plain = Longer([r[1] for r in rows if r[0] is None or r[0] < 100], order)
+    want = {r[0]: plain.score(r[1]) for r in rows}
+    for r in score(frame, model).collect():
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-5, abs_tol=1e-6)
+    context = ("the",) * (order - 1)
+    assert math.isclose(sum(plain.chance((*context, w)) for w in [*plain.kinds, "never met"]), 1, rel_tol=1e-9)
+    assert kneser_ney.ORDER >= 3 and train(frame.limit(0), 3).order == 3
