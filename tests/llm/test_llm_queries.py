@@ -23,6 +23,9 @@ COLUMNS = {
     8: "doc_id n_statements licenses statements",
     9: "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
     10: "doc_id held_out lang_pred score",
+    11: "doc_id leaf subroot root proof_sha256 folded_root verified",
+    12: "doc_id size source_size target taken",
+    13: "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
 }
 
 
