@@ -1,0 +1,130 @@
+"""Mixing against a plain water level and a plain sort."""
+
+from __future__ import annotations
+
+import math
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from docweave.llm import mixing as m
+
+SCHEMA = "doc_id bigint, source string, text string"
+
+
+def plain_targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
+    """Share by weight, stop at the limits, share the excess among the others, until none is above."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    full, open_ = {}, set(names)
+    budget = share * sum(sizes.values())
+    while open_:
+        left, total = budget - sum(full.values()), sum(weight[s] for s in open_)
+        above = {s for s in open_ if left * weight[s] / total > most * sizes[s]}
+        if not above:
+            return full | {s: left * weight[s] / total for s in open_}
+        full |= {s: most * sizes[s] for s in above}
+        open_ -= above
+    return full
+
+
+def text(n):
+    return " ".join(["w"] * n) or None
+
+
+@pytest.mark.parametrize(
+    "sizes",
+    [
+        {"a": 10, "b": 10, "c": 10},
+        {"a": 1, "b": 1000, "c": 1, None: 300, "é": 7, "z": 0, "": 5},
+        {"a": 0, "b": 0},
+        {"a": 5},
+        {f"s{i:03}": (i * 37) % 101 for i in range(50)},
+    ],
+)
+def test_targets(spark, sizes):
+    rows = [(s, n) for s, n in sizes.items()]
+    got = m.source_targets(spark.createDataFrame(rows, "source string, size bigint")).collect()
+    want = plain_targets(sizes)
+    assert {r.source: r.source_size for r in got} == sizes
+    for r in got:
+        assert r.target == pytest.approx(want[r.source], abs=1e-6)
+
+
+def documents(spark, n=900):
+    """A source with a third of the rows, repeated rows, null and empty texts and names."""
+    rows = []
+    for i in range(n):
+        source = "hot" if i % 3 == 0 else [None, "", "b", "c", "d"][i % 5]
+        rows.append((None if i % 17 == 0 else i // 2, source, text((i * 31) % 40) if i % 11 else ""))
+    return spark.createDataFrame(rows + rows[:60], SCHEMA)
+
+
+def test_budgets_and_limits(spark):
+    docs = documents(spark)
+    got = m.mix(docs).collect()
+    assert len(got) == docs.count()
+    by = {}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size and r.taken == r.epochs * r.size + r.part
+        by.setdefault((r.source_size, r.target), []).append(r)
+    for (size, target), rows in by.items():
+        assert sum(r.size for r in rows) == size
+        assert abs(sum(r.taken for r in rows) - target) <= 0.5
+        # Whole epochs come first, and one document at most is cut.
+        assert {r.epochs for r in rows} == {math.floor((target + 0.5) // size)}
+        assert sum(0 < r.part < r.size for r in rows) <= 1
+
+
+def test_reruns_and_layouts_agree(spark):
+    docs = documents(spark)
+    runs = [sorted(map(repr, m.mix(d).collect())) for d in (docs, docs, docs.repartition(5), docs.coalesce(1).orderBy(F.rand()))]
+    assert runs[0] == runs[1] == runs[2] == runs[3]
+
+
+def test_least_keys_are_taken(spark):
+    rows = [(i, "a", text(5)) for i in range(200)] + [(1000 + i, "b", text(1)) for i in range(4000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    quality = spark.createDataFrame([(i, 4.0 if i % 2 else 0.25) for i in range(200)], "doc_id bigint, weight double")
+    got = {r.doc_id: r.part for r in m.mix(docs, quality, weights=(1, 3), share=0.5).collect()}
+    column = m.random_bits([F.col("doc_id"), F.col("source"), F.col("text")])
+    bits = {r.doc_id: r.bits for r in docs.select("doc_id", column.alias("bits")).collect()}
+    key = {i: -math.log((bits[i] + 1) / 2**52) / (4.0 if i % 2 else 0.25) for i in range(200)}
+    order = sorted(key, key=key.get)
+    taken = [got[i] for i in order]
+    assert taken == sorted(taken, reverse=True) and 0 < sum(taken) < 1000
+    # A weight sixteen times as large comes first nearly always.
+    assert sum(got[i] > 0 for i in range(1, 200, 2)) > 3 * sum(got[i] > 0 for i in range(0, 200, 2))
+
+
+def test_odd_weights(spark):
+    """A null weight is 1, one that is not positive comes last."""
+    docs = spark.createDataFrame([(i, "a", text(1)) for i in range(30)], SCHEMA)
+    quality = spark.createDataFrame([(i, None if i < 10 else 0.0 if i < 20 else -1.0) for i in range(30)], "doc_id bigint, weight double")
+    got = {r.doc_id: r.taken for r in m.mix(docs, quality, share=1 / 3).collect()}
+    assert [got[i] for i in range(30)] == [1] * 10 + [0] * 20
+
+
+def test_quality_weights(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 0), (None, 1), (4, 7), (5, None)], "doc_id bigint, quality int")
+    assert {r.doc_id: r.weight for r in m.quality_weights(labels).collect()} == {1: 2.0, 2: 0.5, 3: 1.0}
+
+
+def test_texts(spark):
+    docs = documents(spark, 200)
+    plan = m.mix(docs, carry=["text"]).collect()
+    texts = m.mixed_texts(docs).collect()
+    words = re.compile(m.WORD)
+    assert sum(len(words.findall(r.text)) for r in texts) == sum(r.taken for r in plan)
+    assert len(texts) == sum(r.epochs + (r.part > 0) for r in plan if r.taken)
+
+
+def test_long_text_empty_table_and_clashing_columns(spark):
+    rows = [(1, "a", text(200_000)), (2, "a", "x"), (3, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.taken for r in m.mix(docs.withColumns({"size": F.lit(9), "meta.src": F.lit(1), "target": F.lit("x")})).collect()}
+    assert abs(got[1] + got[2] - 1.5 * 200_001) <= 0.5
+    assert got[3] == 0
+    assert m.mix(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert m.mixed_texts(spark.createDataFrame([], SCHEMA)).collect() == []
