@@ -41,21 +41,32 @@ def _untag(tag: str, value: Column, dtype: T.DataType, path: Path, lists: Collec
         if not isinstance(dtype.elementType, (T.StructType, T.MapType)):
             # Only empty lists were seen: there is no element type.
             return F.transform(value, lambda _: F.lit(None)), T.ArrayType(T.NullType())
-        inside = (*path, ITEM)
-        element = unwrap_type(dtype.elementType, inside, lists)
-        return F.transform(value, lambda v: unwrap_value(v, dtype.elementType, inside, lists)), T.ArrayType(element)
+        column, element = _each(F.transform, value, dtype.elementType, (*path, ITEM), lists)
+        return column, T.ArrayType(element)
     if tag == "M" and isinstance(dtype, T.MapType):
-        inside = (*path, ITEM)
-        element = unwrap_type(dtype.valueType, inside, lists)
-        return (
-            F.transform_values(value, lambda _, v: unwrap_value(v, dtype.valueType, inside, lists)),
-            T.MapType(T.StringType(), element),
-        )
+        column, element = _each(_transform_map, value, dtype.valueType, (*path, ITEM), lists)
+        return column, T.MapType(T.StringType(), element)
     if tag == "M" and isinstance(dtype, T.StructType):
-        return unwrap_struct(value, dtype, path, lists), _struct_type(dtype, path, lists)
+        return _unwrap_struct(value, dtype, path, lists)
     raise ValueError(f"{'.'.join(path)}: unknown type tag {tag!r}")
 
 
+def _transform_map(value: Column, function) -> Column:
+    return F.transform_values(value, lambda _, v: function(v))
+
+
+def _each(transform, value: Column, dtype: T.DataType, path: Path, lists: Collection[Path]):
+    """(column, type of an item) of the items of a list or map; they are walked once, while the lambda is built."""
+    types = []
+
+    def item(v: Column) -> Column:
+        column, plain = _unwrap(v, dtype, path, lists)
+        types.append(plain)
+        return column
+
+    return transform(value, item), types[0]
+
+
 def _live_tags(dtype: T.StructType, path: Path, lists: Collection[Path]) -> list[T.StructField]:
     tags = [f for f in dtype.fields if f.name != "NULL"]
     if path in lists:
@@ -69,6 +80,7 @@ def unwrap_value(value: Column, dtype: T.DataType, path: Path = (), lists: Colle
 
 
 def _unwrap(value: Column, dtype: T.DataType, path: Path, lists: Collection[Path]):
+    """(column, type), found in one walk: a value is not looked at again for its type."""
     tags = _live_tags(dtype, path, lists) if isinstance(dtype, T.StructType) else []
     if isinstance(dtype, T.StringType) and path not in lists:
         return value, dtype  # never tagged, or tagged in some documents only: its JSON text
@@ -81,22 +93,15 @@ def _unwrap(value: Column, dtype: T.DataType, path: Path, lists: Collection[Path
     return F.coalesce(*[as_text(c, t) for c, t in plain]), T.StringType()
 
 
-def unwrap_type(dtype: T.DataType, path: Path = (), lists: Collection[Path] = ()) -> T.DataType:
-    return _unwrap(F.lit(None), dtype, path, lists)[1]
-
-
-def _struct_type(dtype: T.StructType, path: Path, lists: Collection[Path]) -> T.StructType:
-    return T.StructType(
-        [T.StructField(f.name, unwrap_type(f.dataType, (*path, f.name), lists)) for f in dtype.fields]
-    )
+def _unwrap_struct(image: Column, dtype: T.StructType, path: Path, lists: Collection[Path]):
+    plain = {f.name: _unwrap(image.getField(f.name), f.dataType, (*path, f.name), lists) for f in dtype.fields}
+    fields = [column.alias(name) for name, (column, _) in plain.items()]
+    return F.when(image.isNotNull(), F.struct(*fields)), T.StructType([T.StructField(n, t) for n, (_, t) in plain.items()])
 
 
 def unwrap_struct(image: Column, dtype: T.StructType, path: Path = (), lists: Collection[Path] = ()) -> Column:
     """An attribute map as a plain struct, NULL where the map is."""
-    fields = [
-        unwrap_value(image.getField(f.name), f.dataType, (*path, f.name), lists).alias(f.name) for f in dtype.fields
-    ]
-    return F.when(image.isNotNull(), F.struct(*fields))
+    return _unwrap_struct(image, dtype, path, lists)[0]
 
 
 def unwrap_typed(
