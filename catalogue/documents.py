@@ -419,7 +419,8 @@ def union_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # How an order arrives in the feed, by the remainder of its key.
 _ARRIVES = {0: "loaded", 1: "loaded", 2: "deleted", 3: "no_key", 4: "no_image", 5: "not_a_list", 6: "uncovered", 7: "uncovered",
-            8: "unparsed", 9: "unparsed"}
+            8: "unparsed", 9: "unparsed", 10: "no_key", 11: "no_key", 12: "no_key", 13: "no_sequence", 14: "no_sequence",
+            15: "uncovered", 16: "loaded"}
 
 
 @query(
@@ -431,38 +432,48 @@ FROM orders
 """,
 )
 def feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order in one of ten forms, most of them broken; each one is loaded, a removal, or in the quarantine with its reason."""
+    """Every order in one of many forms, most of them broken; each one is loaded, a removal, or in the quarantine with its reason."""
     key = F.col("o_orderkey").cast("string")
 
-    def line(event: str, change: str) -> Column:
-        start = f'{{"Records":[{{"eventName":"{event}","dynamodb":{{"SequenceNumber":"k-'
-        return F.concat(F.lit(start), key, F.lit('"' + change))
+    def line(event: str, change: str, sequence: str | None = '"9"') -> Column:
+        number = "" if sequence is None else f'"SequenceNumber":{sequence},'
+        start = f'{{"Records":[{{"eventName":"{event}","dynamodb":{{{number}"Keys":{{"k":{{"S":"k-'
+        return F.concat(F.lit(start), key, F.lit('"}' + change))
 
-    def lead(more: str = "") -> str:
-        return ',"NewImage":{"leadId":{"S":"lead"}' + more + "}}}]}"
+    def lead(more: str = "", key: str = '"leadId":{"S":"lead"},') -> str:
+        return '},"NewImage":{' + key + '"id":{"S":"k-@"}' + more + "}}}]}"
+
+    def filled(form: Column) -> Column:
+        return F.replace(form, F.lit("@"), key)
 
     forms = [
         line("INSERT", lead(',"v":{"S":"x"}')),
         line("MODIFY", lead(',"products":{"L":[{"M":{"n":{"S":"p"}}}]}')),
-        line("REMOVE", ',"Keys":{"leadId":{"S":"lead"}}}}]}'),
-        line("REMOVE", "}}]}"),
-        line("INSERT", "}}]}"),
+        line("REMOVE", ',"leadId":{"S":"k-@"}}}}]}'),
+        line("REMOVE", "}}}]}"),
+        line("INSERT", "}}}]}"),
         line("INSERT", lead(',"products":{"S":"none"}')),
         line("INSERT", lead(',"extra":{"S":"x"}')),
         line("INSERT", lead(',"v":{"N":"5"}')),
         F.concat(F.lit('{"Records":[{"eventName":"INSERT","k-'), key),
         F.concat(F.lit('{"Records":[{"eventName":"k-'), key, F.lit('","dynamodb":5}]}')),
+        line("INSERT", lead(key="")),
+        line("INSERT", lead(key='"leadId":null,')),
+        line("MODIFY", lead(key='"leadId":{"S":""},')),
+        line("INSERT", lead(), None),
+        line("REMOVE", ',"leadId":{"S":"k-@"}}}}]}', '" "'),
+        line("INSERT", lead(',"v":{"S":"a\\\\\\":b"},"extra\\\\":{"S":"x"}')),
+        line("INSERT", lead(',"v":{"S":"a\\\\\\":{\\"b\\":1}"},"products":null')),
     ]
-    chosen = F.get(F.array(*forms), (F.col("o_orderkey") % len(forms)).cast("int"))
+    chosen = filled(F.get(F.array(*forms), (F.col("o_orderkey") % len(forms)).cast("int")))
     folder, out, quarantine = (shared_folder(spark, name) for name in ("feed", "changes", "quarantine"))
     table(spark, sf_dir, "orders").select(chosen.alias("value")).write.text(folder)
-    image = T.StructType.fromDDL(
-        "leadId struct<S:string>, v struct<S:string>, products struct<L:array<struct<M:struct<n:struct<S:string>>>>, S:string>"
-    )
-    schema = feed_schema(image, T.StructType([T.StructField("leadId", T.StructType([T.StructField("S", T.StringType())]))]))
+    text = "struct<S:string>"
+    image = T.StructType.fromDDL(f"leadId {text}, id {text}, v {text}, products struct<L:array<struct<M:struct<n:{text}>>>, S:string>")
+    schema = feed_schema(image, T.StructType.fromDDL(f"k {text}, leadId {text}"))
     load_changes(spark, folder, out, quarantine, 1, schema, multiline=False)
     outcome = F.when(F.col("_deleted"), "deleted").otherwise("loaded")
-    kept = read_changes(spark, out).select(F.col("Sequence_No").alias("text"), outcome.alias("outcome"))
+    kept = read_changes(spark, out).select(F.when(F.col("_deleted"), F.col("leadId")).otherwise(F.col("id")).alias("text"), outcome.alias("outcome"))
     lost = read_quarantine(spark, quarantine).select(F.col("raw").alias("text"), F.col("reason").alias("outcome"))
     return kept.union(lost).select(F.regexp_extract("text", r"k-(\d+)", 1).alias("o_orderkey"), "outcome")
 
@@ -502,6 +513,130 @@ def current_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_current(spark, smaller, ["leadId"], "Sequence_No", deletes="_deleted").select("leadId", "products_n", "Sequence_No")
 
 
+def _lead_records(orders: DataFrame, event: str, sequence: Column, items: Column | None = None, **more: Column) -> DataFrame:
+    """One record for each row: its key, and a document with products and other attributes, or none."""
+
+    def text(value: Column) -> Column:
+        return F.struct(value.alias("S"))
+
+    key = text(F.col("o_orderkey").cast("string")).alias("leadId")
+    change = [sequence.cast("string").alias("SequenceNumber"), F.struct(key).alias("Keys")]
+    if items is not None:
+        products = F.transform(items, lambda i: F.struct(F.struct(text(i).alias("n")).alias("M")))
+        others = [text(value).alias(name) for name, value in more.items()]
+        change.append(F.struct(key, F.struct(products.alias("L")).alias("products"), *others).alias("NewImage"))
+    return orders.select(F.struct(F.lit(event).alias("eventName"), F.struct(*change).alias("dynamodb")).alias("record"))
+
+
+_CURRENT_SQL = """
+SELECT CAST(o_orderkey AS VARCHAR) AS "leadId", CASE WHEN o_orderkey % 3 = 0 THEN 'changed' ELSE o_orderstatus END AS v,
+       unnest(CASE WHEN o_orderkey % 3 = 0 THEN [o_orderstatus, o_orderpriority, o_orderstatus] ELSE [o_orderpriority] END) AS products_n,
+       CASE WHEN o_orderkey % 3 = 0 THEN '100000000000000000000' ELSE '{clock}' END AS "Sequence_No",
+       CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE '' END AS w
+FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderkey % 3 = 0
+"""
+
+
+@query(
+    "snapshot_then_changes",
+    f"""
+SELECT 'first' AS step, * FROM ({_CURRENT_SQL.format(clock=20240101000000)})
+UNION ALL SELECT 'compacted', * FROM ({_CURRENT_SQL.format(clock=20240101000000)})
+UNION ALL
+SELECT 'second', CAST(o_orderkey AS VARCHAR), CASE WHEN o_orderkey % 7 = 0 THEN 'again' ELSE o_orderpriority END,
+       CASE WHEN o_orderkey % 7 = 0 THEN 'late' ELSE o_orderstatus END,
+       CASE WHEN o_orderkey % 7 = 0 THEN '100000000000000000001' ELSE '20240202000000' END, ''
+FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 7 = 0
+""",
+)
+def snapshot_then_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full load, changes and removals above it, all of it compacted; a second full load in its place, and changes above that."""
+    names = ("one", "two", "table", "bad", "small", "changes", "changes", "changes")
+    one, two, out, bad, small, *feeds = (shared_folder(spark, name) for name in names)
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    removed = (key % 5 == 0) & (key % 3 != 0)
+
+    def snapshot(rows: DataFrame, v: Column, item: Column, folder: str) -> str:
+        products = F.array(F.struct(item.alias("n"))).alias("products")
+        rows.select(key.cast("string").alias("leadId"), v.alias("v"), products, F.lit(1).alias("sequence")).write.parquet(folder)
+        return folder
+
+    def feed(records: DataFrame, folder: str) -> str:
+        records.select(F.array("record").alias("Records")).write.json(folder)
+        return folder
+
+    def columns() -> list[str]:
+        return target_columns(spark, out)
+
+    def current(path: str, step: str) -> DataFrame:
+        rows = read_current(spark, path, ["leadId"], "Sequence_No", deletes="_deleted")
+        w = F.coalesce("w", F.lit("")) if "w" in rows.columns else F.lit("")
+        return materialised(rows.select(F.lit(step).alias("step"), "leadId", "v", "products_n", "Sequence_No", w.alias("w")))
+
+    def materialised(rows: DataFrame) -> DataFrame:
+        folder = shared_folder(spark, "current")
+        rows.write.parquet(folder)
+        return spark.read.schema(rows.schema).parquet(folder)
+
+    load_snapshot(spark, snapshot(orders, F.col("o_orderstatus"), F.col("o_orderpriority"), one), out, "20240101000000")
+    items = F.array("o_orderstatus", "o_orderpriority", "o_orderstatus")
+    late = F.lit("100000000000000000000")
+    changed = feed(_lead_records(orders.where(key % 3 == 0), "MODIFY", late, items, v=F.lit("changed"), w=F.lit("x")), feeds[0])
+    gone = feed(_lead_records(orders.where(removed), "REMOVE", late), feeds[1])
+    for batch, files in ((1, changed), (2, gone), (2, gone)):
+        load_changes(spark, files, out, bad, batch, columns=columns(), multiline=False)
+    steps = [current(out, "first")]
+    compact(spark, out, small, ["leadId"], "Sequence_No")
+    steps.append(current(small, "compacted"))
+    half = orders.where(key % 2 == 0)
+    load_snapshot(spark, snapshot(half, F.col("o_orderpriority"), F.col("o_orderstatus"), two), out, "20240202000000")
+    seventh = _lead_records(orders.where(key % 7 == 0), "MODIFY", F.lit("100000000000000000001"), F.array(F.lit("late")), v=F.lit("again"))
+    load_changes(spark, feed(seventh, feeds[2]), out, bad, 1, columns=columns(), multiline=False)
+    steps.append(current(out, "second"))
+    return union_files(steps)
+
+
+@query(
+    "redelivered_records",
+    """
+SELECT CAST(o_orderkey AS VARCHAR) AS "leadId", unnest([o_orderpriority, o_orderstatus, o_orderpriority]) AS products_n,
+       '7' AS "Sequence_No", scope
+FROM orders, (VALUES ('version'), ('key'), ('compacted')) scopes(scope) WHERE o_orderkey % 4 <> 3
+UNION ALL
+SELECT CAST(o_orderkey AS VARCHAR), unnest([o_orderstatus, o_orderstatus]), '8', scope
+FROM orders, (VALUES ('version'), ('key'), ('compacted')) scopes(scope) WHERE o_orderkey % 4 = 3
+UNION ALL
+SELECT CAST(o_orderkey AS VARCHAR), unnest([o_orderpriority, o_orderstatus, o_orderpriority]), '8', 'key'
+FROM orders WHERE o_orderkey % 4 = 3
+""",
+)
+def redelivered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record several times: twice in one file, in two files of a slice, and in two batches. Items of one document that
+    are equal stay; of two versions of a document the later one stays, once, and with scope="key" it has the items of both."""
+    feeds = [shared_folder(spark, "feed") for _ in range(2)]
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    items = F.array("o_orderpriority", "o_orderstatus", "o_orderpriority")
+    first = _lead_records(orders, "INSERT", F.lit("7"), items)
+    newer = _lead_records(orders.where(key % 4 == 3), "MODIFY", F.lit("8"), F.array("o_orderstatus", "o_orderstatus"))
+    # A file holds every record twice, and there are two such files of each; the second batch has all of it again.
+    twice = first.unionByName(newer).select(F.array("record", "record").alias("Records"))
+    for folder in feeds:
+        for _ in range(2):
+            twice.write.mode("append").json(folder)
+    found = []
+    for scope in ("version", "key"):
+        out, small, bad = (shared_folder(spark, name) for name in ("changes", "changes", "bad"))
+        for batch, folder in enumerate(feeds, 1):
+            load_changes(spark, folder, out, bad, batch, columns=target_columns(spark, out), multiline=False, scope=scope)
+        current = read_current(spark, out, ["leadId"], "Sequence_No", deletes="_deleted")
+        found.append(current.select("leadId", "products_n", "Sequence_No", F.lit(scope).alias("scope")))
+        if scope == "version":
+            compact(spark, out, small, ["leadId"], "Sequence_No")
+            again = read_current(spark, small, ["leadId"], "Sequence_No", deletes="_deleted")
+            found.append(again.select("leadId", "products_n", "Sequence_No", F.lit("compacted").alias("scope")))
+    return union_files(found)
+
+
 @query(
     "json_text_paths",
     """

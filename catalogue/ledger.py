@@ -363,6 +363,7 @@ _OUTCOMES = """
 outcomes AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 7 = 0 THEN 'unparsed' ELSE lang END AS outcome FROM documents)
 SELECT id, outcome FROM outcomes
+UNION ALL SELECT DISTINCT source || '/none.txt', 'gone' FROM documents
 UNION ALL SELECT 'audit', 'Completed ' || (SELECT count(*) FROM outcomes WHERE outcome <> 'unparsed')
 UNION ALL SELECT 'third run', '0'
 UNION ALL SELECT 'keys', 'shared'
@@ -388,11 +389,13 @@ def _ingested(spark: SparkSession, sf_dir: str, through_csv: bool) -> DataFrame:
     broken = F.concat(F.lit('{"Records":[{"eventName":"INSERT","dynamodb":{"SequenceNumber":"'), key, F.lit('"'))
     documents = table(spark, sf_dir, "documents")
     text = F.when(F.col("doc_id") % 7 == 0, broken).otherwise(line).alias("value")
-    write_table(documents.select(text, "lang", "source"), f"{raw}/data/web", "text", partition_by=["lang", "source"])
+    write_table(documents.select(text, "lang", "source"), f"{raw}/data/we[b]", "text", partition_by=["lang", "source"])
 
     path = F.regexp_replace("path", "^file:/*", "/")
     place = F.substring(path, F.lit(len(raw.removeprefix("file://")) + 2), F.length(path))
     files = list_input_files(spark, raw, contains="lang=").select(place.alias("key"), "length")
+    gone = F.concat(F.lit("data/we[b]/lang=none/"), "source", F.lit("/none.txt"))
+    files = files.union(documents.select("source").distinct().select(gone, F.lit(0).cast("bigint")))
     bucket = F.struct(F.lit(raw.removeprefix("file://")).alias("name"), F.lit("arn").alias("arn"))
 
     def notify(some: DataFrame, time: str, folder: str) -> None:
@@ -402,13 +405,13 @@ def _ingested(spark: SparkSession, sf_dir: str, through_csv: bool) -> DataFrame:
         some.select(F.array(record).alias("Records")).write.json(f"{notes}/{folder}")
 
     first = F.col("key").contains("lang=en")
-    rules = [Rule("web", True, (Condition("x1", "eq", ("web",)),), (Destination("rdh", "leads", "{x4}.csv", "RTDataHub"),))]
+    rules = [Rule("web", True, (Condition("x1", "eq", ("we[b]",)),), (Destination("rdh", "leads", "{x4}.csv", "RTDataHub"),))]
     notify(files.where(first), "1", "1")
     notify(files, "2", "2")
 
     def queue(batch: int) -> DataFrame:
         bookmark_notifications(spark, f"{notes}/{batch}", rules, ledger, batch)
-        rows = read_ledger(spark, ledger).where("data_layer = 'rdh' AND source = 'web' AND table = 'leads'")
+        rows = read_ledger(spark, ledger).where("data_layer = 'rdh' AND source = 'we[b]' AND table = 'leads'")
         if not through_csv:
             return rows
         write_table(rows.select(*BOOKMARK.names), f"{csv}/{batch}", "csv", options=BOOKMARK_CSV)
@@ -424,6 +427,7 @@ def _ingested(spark: SparkSession, sf_dir: str, through_csv: bool) -> DataFrame:
     assert noted.count() == noted.distinct().count() == files.count()
     loaded = read_current(spark, out, ["leadId"], "Sequence_No").select(F.col("leadId").alias("id"), F.col("v").alias("outcome"))
     raw_key = F.regexp_extract("raw", r'SequenceNumber":"(\d+)', 1)
+    raw_key = F.when(F.col("reason") == "gone", F.regexp_extract("raw", "lang=none/(.*)", 1)).otherwise(raw_key)
     lost = read_quarantine(spark, bad).select(raw_key.alias("id"), F.col("reason").alias("outcome"))
     keys = read_ledger(spark, ledger).agg(F.count_distinct("destKey").alias("k"), F.count_distinct("fileName").alias("f"))
     facts = [("third run", str(third)), ("keys", "shared" if keys.where("k < f").count() else "apart")]

@@ -6,7 +6,7 @@ is one nested expression built from that schema; no value is looked at in Python
 
 from __future__ import annotations
 
-from collections.abc import Collection, Sequence
+from collections.abc import Collection, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,6 +104,22 @@ def unwrap_struct(image: Column, dtype: T.StructType, path: Path = (), lists: Co
     return _unwrap_struct(image, dtype, path, lists)[0]
 
 
+def typed_leaves(
+    value: Column, dtype: T.StructType, path: Path = (), lists: Collection[Path] = ()
+) -> Iterator[tuple[Path, Column, T.DataType]]:
+    """(path, plain value, type) of every value of an attribute map that is not only ever a map.
+
+    Each is one way down from ``value``: no struct is built on the way, so the plan stays small however deep maps nest.
+    """
+    for field in dtype.fields:
+        below, inside = (*path, field.name), value.getField(field.name)
+        tags = _live_tags(field.dataType, below, lists) if isinstance(field.dataType, T.StructType) else []
+        if len(tags) == 1 and tags[0].name == "M" and isinstance(tags[0].dataType, T.StructType):
+            yield from typed_leaves(inside.getField("M"), tags[0].dataType, below, lists)
+        else:
+            yield below, *_unwrap(inside, field.dataType, below, lists)
+
+
 def unwrap_typed(
     df: DataFrame, image_col: str, lists: Sequence[str | Sequence[str]] = (), expand: bool = False
 ) -> DataFrame:

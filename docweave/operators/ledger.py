@@ -24,6 +24,19 @@ def with_file_path(bookmarks: DataFrame, scheme: str = "s3") -> DataFrame:
     return bookmarks.withColumn("filePath", object_uri(F.col("bucketName"), F.col("fileName"), scheme))
 
 
+# Parts among which done files are kept, and the column of the part.
+PARTS, PART = 256, "part"
+
+
+def part_of_file() -> Column:
+    """The part in which a file is kept when it is done, by its bucket and folder.
+
+    New files mostly come into few folders, and so the files that they have to be compared with are in few parts.
+    """
+    folder = F.regexp_replace(F.coalesce("fileName", F.lit("")), "/?[^/]*$", "")
+    return F.pmod(F.xxhash64(F.coalesce("bucketName", F.lit("")), folder), F.lit(PARTS)).cast("int")
+
+
 def pending(arrived: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``arrived`` whose key is not in ``done``."""
     processed = done.select(*keys)

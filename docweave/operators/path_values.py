@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.functions.json_walk import LITERAL, TEXT, json_values
 from docweave.functions.names import quoted
 from docweave.functions.stringify import as_text, float_text
 
@@ -94,24 +95,12 @@ def not_json(df: DataFrame, id_cols: Sequence[str], json_col: str) -> DataFrame:
 def json_path_value_rows(df: DataFrame, id_cols: Sequence[str], json_col: str) -> DataFrame:
     """(id columns, path, value) for each leaf of JSON text of any shape.
 
-    One generator per nesting level; a leaf found early passes through the later ones.
-    The depth is measured first (one job).  Numbers with a fraction lose trailing zeros.  Text that is
-    no JSON gives no row here; :func:`not_json` has it.
+    One plan whatever the nesting: the text is walked in one fold over its tokens. Numbers with a fraction lose trailing
+    zeros.  Text that is no JSON gives no row here; :func:`not_json` has it.
     """
-    spark = df.sparkSession
-    parsed = df.withColumn("__value", F.try_parse_json(F.col(quoted(json_col)))).where(F.col("__value").isNotNull())
-    depth = parsed.agg(F.max(json_depth(F.col(quoted(json_col))))).first()[0] or 0
-    ids = [F.col(quoted(c)) for c in id_cols]
-    walk = parsed.select(*ids, F.lit("").alias("__path"), "__value")
-    for _ in range(depth):
-        child = spark.tvf.variant_explode_outer(F.col("__value").outer())
-        walk = walk.lateralJoin(child).select(
-            *ids,
-            F.when(F.col("pos").isNull(), F.col("__path"))
-            .otherwise(F.concat(F.col("__path"), F.lit("."), F.coalesce(F.col("key"), F.col("pos").cast("string"))))
-            .alias("__path"),
-            F.when(F.col("pos").isNull(), F.col("__value")).otherwise(F.col("value")).alias("__value"),
-        )
-    return walk.where(~F.to_json("__value").isin("{}", "[]")).select(
-        *ids, F.col("__path").alias("path"), _variant_text(F.col("__value")).alias("value")
-    )
+    text, ids = F.col(quoted(json_col)), [F.col(quoted(c)) for c in id_cols]
+    leaf = F.col("__leaf")
+    leaves = F.filter(json_values(text), lambda v: v["kind"].isin(TEXT, LITERAL))
+    found = df.where(F.try_parse_json(text).isNotNull()).select(*ids, F.explode(leaves).alias("__leaf"))
+    value = F.when(leaf["kind"] == TEXT, leaf["text"]).otherwise(_variant_text(F.try_parse_json(leaf["text"])))
+    return found.select(*ids, leaf["path"].alias("path"), value.alias("value"))

@@ -6,15 +6,30 @@ value that holds a large part of the rows is split over several tasks and files.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.functions.names import is_case_sensitive, quoted
 from docweave.operators.upsert import latest_per_key, latest_versions, live_rows
-from docweave.sources.files import COLUMNS_FOLDER, exists, listed_columns
 from docweave.schemas import AUDIT, AUDIT_KEYS, BOOKMARK, LEDGER, QUARANTINE
+from docweave.sources.files import (
+    BASE,
+    BASE_FOLDER,
+    BATCH,
+    COLUMNS_FOLDER,
+    VERSION,
+    Noted,
+    current_root,
+    entries,
+    exists,
+    noted_columns,
+    numbers,
+    stored_names,
+)
 from docweave.sources.notifications import BOOKMARK_CSV, REJECTED
 
 # The states of a job.
@@ -121,6 +136,23 @@ def write_bookmark_files(bookmarks: DataFrame, path: str) -> None:
     write_table(bookmarks.select(*BOOKMARK.names, queue), path, "csv", options=BOOKMARK_CSV, partition_by=["queue"])
 
 
+def _note_columns(df: DataFrame, root: str, stored: Mapping[str, str], batch_id: int) -> None:
+    columns = [(i, f.name, f.dataType.simpleString(), stored[f.name]) for i, f in enumerate(df.schema.fields)]
+    noted = df.sparkSession.createDataFrame(columns, "position int, name string, type string, stored string").coalesce(1)
+    noted.write.mode("overwrite").parquet(f"{root}/{COLUMNS_FOLDER}/{BATCH}={batch_id}")
+
+
+def _stored(df: DataFrame, root: str, noted: Sequence[Noted] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under the names that its columns have in files."""
+    own = {VERSION: VERSION} if VERSION in df.columns else {}
+    names = [name for name in df.columns if name not in own]
+    if noted is None and len({name.lower() for name in names}) == len(names) and names == list(stored_names(names).values()):
+        return df, {name: name for name in df.columns}
+    noted = (noted_columns(df.sparkSession, root) or []) if noted is None else noted
+    stored = own | stored_names(names, noted)
+    return df.toDF(*[stored[name] for name in df.columns]), stored
+
+
 def append_batch(
     df: DataFrame,
     path: str,
@@ -129,27 +161,122 @@ def append_batch(
     options: Mapping[str, str] | None = None,
     known: Sequence[str] | None = None,
 ) -> None:
-    """Add the rows of one batch to a change table; writing the same batch again replaces it.
+    """Add the rows of one batch to a change table, above its last full load; the same batch written again replaces itself.
 
-    Its columns are noted beside the table, unless they are the ``known`` ones, which are noted already.
+    Its columns are noted beside the table, unless they are the ``known`` ones, which are noted already. Attributes
+    whose names differ only in case, or that are called like a column of the table itself, get a column of another name, which
+    is noted with them.
     """
-    if known is None or set(df.columns) != set(known):
-        columns = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-        noted = df.sparkSession.createDataFrame(columns, "position int, name string, type string").coalesce(1)
-        noted.write.mode("overwrite").parquet(f"{path}/{COLUMNS_FOLDER}/batch_id={batch_id}")
-    df.write.format(format).options(**(options or {})).mode("overwrite").save(f"{path}/batch_id={batch_id}")
+    root = current_root(df.sparkSession, path)
+    is_new = known is None or set(df.columns) - {VERSION} != set(known) - {VERSION}
+    rows, stored = _stored(df, root)
+    if is_new or rows is not df:
+        noted = noted_columns(df.sparkSession, root)
+        if noted:  # what is noted keeps its column
+            rows, stored = _stored(df, root, noted)
+        if is_new:
+            _note_columns(df, root, stored, batch_id)
+    rows.write.format(format).options(**(options or {})).mode("overwrite").save(f"{root}/{BATCH}={batch_id}")
+
+
+def write_base(
+    df: DataFrame,
+    path: str,
+    format: str = "parquet",
+    mode: str = "overwrite",
+    options: Mapping[str, str] | None = None,
+) -> str:
+    """Write a full load; returns the folder that holds it.
+
+    With mode="overwrite" it takes the place of all the table held. Over a table of batches it is written into a folder of its
+    own and noted when it is complete, so readers see the old table or the new one; batches that come later go above
+    it. Where there are no batches the table is a plain folder of files, and other modes add to what is current.
+    """
+    spark = df.sparkSession
+    root = current_root(spark, path)
+    if mode == "ignore" and exists(spark, root):
+        return root
+    over_batches = mode == "overwrite" and bool(numbers(entries(spark, root)[0]))
+    if over_batches:
+        bases = numbers(entries(spark, f"{path}/{BASE_FOLDER}")[0], BASE)
+        number = (bases[-1] if bases else 0) + 1
+        root = f"{path}/{BASE}={number}"
+    noted = [] if mode == "overwrite" else noted_columns(spark, root) or []
+    rows, stored = _stored(df, root, noted)
+    rows.write.format(format).options(**(options or {})).mode(mode).save(root)
+    loads = numbers(entries(spark, f"{root}/{COLUMNS_FOLDER}")[0])  # those of full loads are below zero
+    _note_columns(df, root, stored, min([0, *loads]) - 1)
+    if over_batches:
+        done = spark.range(1).select(F.current_timestamp().alias("loaded_at")).coalesce(1)
+        done.write.mode("overwrite").parquet(f"{path}/{BASE_FOLDER}/{BASE}={number}")
+    return root
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType | None, format: str) -> tuple[DataFrame, list[Noted]]:
+    """All rows of a table that is current, under their stored names, and with their batch, NULL for a full load."""
+    root = current_root(spark, path)
+    folders, files = entries(spark, root)
+    batches = numbers(folders)
+    plain = any(not name.startswith(("_", ".")) for name in files)
+    noted = noted_columns(spark, root) or []
+    if schema is not None:
+        schema, noted = T.StructType([*schema.fields, T.StructField(VERSION, T.StringType())]), []
+    elif noted:
+        fields = [T.StructField(c.stored, T.DataType.fromDDL(c.type)) for c in noted]
+        if VERSION not in [c.stored for c in noted]:
+            fields.append(T.StructField(VERSION, T.StringType()))
+        schema = T.StructType(fields)
+
+    def load(place: str) -> DataFrame:
+        reader = spark.read.format(format).option("basePath", root)
+        if schema is None:
+            return reader.option("mergeSchema", "true").load(place)
+        fields = [*schema.fields, *([] if place.endswith("part-*") else [T.StructField(BATCH, T.LongType())])]
+        return reader.schema(T.StructType(fields)).load(place)
+
+    parts = []
+    if batches or not plain:
+        parts.append(load(f"{root}/{BATCH}=*" if plain else root))
+    if plain:
+        parts.append(load(f"{root}/part-*" if batches else root))
+        if BATCH not in parts[-1].columns:
+            parts[-1] = parts[-1].withColumn(BATCH, F.lit(None).cast("bigint"))
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    return rows, noted
+
+
+def _attributes(rows: DataFrame, noted: Sequence[Noted]) -> DataFrame:
+    """Columns under the names of their attributes, but for those that this session could not tell apart."""
+    names = {c.stored: c.name for c in noted}
+
+    def fold(name: str) -> str:
+        return name if is_case_sensitive(rows) else name.lower()
+
+    wanted = [names.get(column, column) for column in rows.columns]
+    uses = Counter(map(fold, wanted))
+    return rows.select(
+        *[F.col(quoted(c)).alias(name if uses[fold(name)] == 1 else c) for c, name in zip(rows.columns, wanted)]
+    )
+
+
+def stored_columns(spark: SparkSession, path: str) -> dict[str, str]:
+    """Each attribute of a table, and the column that holds it."""
+    noted = noted_columns(spark, current_root(spark, path)) or []
+    return {c.name: c.stored for c in noted if c.stored != VERSION}
 
 
 def read_changes(
     spark: SparkSession, path: str, schema: T.StructType | None = None, format: str = "parquet"
 ) -> DataFrame:
-    """All rows of a change table.  Without a schema the columns are those noted for any batch."""
-    if schema is None:
-        noted = listed_columns(spark, path)
-        if noted is None:
-            return spark.read.format(format).option("mergeSchema", "true").load(path)
-        schema = T.StructType([T.StructField(n, T.DataType.fromDDL(t)) for n, t in noted])
-    return spark.read.format(format).schema(T.StructType([*schema.fields]).add("batch_id", T.LongType())).load(path)
+    """All rows of a table since its last full load, with the number of their batch (NULL for the full load).
+
+    Without a schema the columns are those noted for any batch. Where the session cannot tell two attributes
+    apart, such as ``v`` and ``V``, or one and the number of the batch, the later is under its stored name: :func:`stored_columns`.
+    """
+    rows, noted = _read(spark, path, schema, format)
+    return _attributes(rows.drop(VERSION), noted)
 
 
 def read_current(
@@ -162,12 +289,18 @@ def read_current(
     schema: T.StructType | None = None,
     format: str = "parquet",
 ) -> DataFrame:
-    """The table that the batches add up to: all rows of the latest version of each key.
+    """The table that a full load and the batches above it add up to: all rows of the latest version of each key.
 
-    A version that came in several batches is taken from the last of them.
+    A version that came in several batches is taken from the last of them, and one that was delivered several times in
+    a batch from one delivery. ``keys`` and ``seq`` are attributes; names of columns are those of :func:`read_changes`.
     """
-    rows = read_changes(spark, path, schema, format)
-    latest = latest_versions(rows, keys, seq, order, prefer=[F.col("batch_id").desc()]).drop("batch_id")
+    rows, noted = _read(spark, path, schema, format)
+    stored = {c.name: c.stored for c in noted}
+    prefer = [F.col(BATCH).desc_nulls_last()]
+    if VERSION in rows.columns:
+        prefer.append(F.col(VERSION).desc_nulls_last())
+    latest = latest_versions(rows, [stored.get(k, k) for k in keys], stored.get(seq, seq), order, prefer=prefer)
+    latest = _attributes(latest.drop(BATCH, VERSION), noted)
     return latest if deletes is None else live_rows(latest, deletes)
 
 
@@ -181,7 +314,9 @@ def compact(
     format: str = "parquet",
 ) -> None:
     """Write the current rows (tombstones included) of a change table as batch 0 of a new one."""
-    append_batch(read_current(spark, path, keys, seq, order, format=format), new_path, 0, format)
+    current = read_current(spark, path, keys, seq, order, format=format)
+    stored = {column: name for name, column in stored_columns(spark, path).items()}
+    append_batch(current.toDF(*[stored.get(c, c) for c in current.columns]), new_path, 0, format)
 
 
 def audit_path(root: str, source_system: str, table_name: str) -> str:

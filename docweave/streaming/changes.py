@@ -9,10 +9,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from docweave.operators.upsert import latest_per_key
-from docweave.plans.jobs import SLICE_SIZE, load_changes, store_changes
-from docweave.sinks.tables import append_batch
+from docweave.plans.jobs import SLICE_SIZE, AuditLog, Counts, Loaded, load_slice, store_known
+from docweave.sinks.tables import COMPLETED, FAILED, STARTED, append_batch
 from docweave.sources.documents import case_sensitive, stream_feed, stream_paths
-from docweave.sources.files import target_columns
+from docweave.sources.files import current_root, target_columns
 
 
 def change_stream(
@@ -37,9 +37,13 @@ def change_stream(
     reader = spark.readStream.schema(schema).option("multiLine", multiline)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    noted: list[str] | None = None
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        append_batch(latest_per_key(transform(batch), keys, seq, order), table, batch_id)
+        nonlocal noted
+        rows = latest_per_key(transform(batch), keys, seq, order)
+        append_batch(rows, table, batch_id, known=noted)
+        noted = rows.columns
 
     return _run(reader.json(files), store, checkpoint)
 
@@ -53,28 +57,50 @@ def feed_stream(
     schema: T.StructType | None = None,
     max_files: int = SLICE_SIZE,
     multiline: bool = True,
+    audit: AuditLog | None = None,
     **options,
 ) -> StreamingQuery:
     """Bring all pending feed files of typed JSON into the change table, flat, then stop.
 
-    Every micro-batch gets the columns that the table has by then.  Without a schema each
-    micro-batch finds its own from all of its files; a given one saves that pass, and
-    documents with attributes or type tags that it lacks go to the quarantine.  Attributes that
+    Every micro-batch gets the columns that the table has by then.  Without a schema the one that is kept beside the table
+    is taken and widened, as by :func:`load_changes`, and files that cannot be read go to the quarantine.  Under a given one
+    documents with attributes or type tags that it lacks go there.  Attributes that
     differ only in case stay apart.  Only the paths of one micro-batch, ``max_files`` at most, come to the driver.
+
+    ``audit`` notes the start of a run that has work, and after each micro-batch what the run has loaded; a micro-batch
+    that is repeated is counted once.
     """
-    columns = target_columns(spark, table)
+    columns: list[str] = []
+    known_root = None
+    if audit:
+        options = {"source_system": audit.source_system, "table_name": audit.table_name} | options
+
+    def stored(load: Callable[[list[str]], Loaded], batch_id: int) -> None:
+        nonlocal columns, known_root
+        root = current_root(spark, table)
+        if root != known_root:  # at first, and after a full load
+            columns, known_root = target_columns(spark, table), root
+            if audit:
+                audit.note(spark, STARTED, Counts())
+        try:
+            loaded = load(columns)
+            columns = loaded.columns
+            if audit:
+                audit.note(spark, COMPLETED, audit.note_batch(spark, checkpoint, batch_id, loaded.counts))
+        except Exception:
+            if audit:
+                audit.note(spark, FAILED, Counts())
+            raise
 
     def store_parsed(batch: DataFrame, batch_id: int) -> None:
-        nonlocal columns
         with case_sensitive(batch.sparkSession):
-            columns = store_changes(batch, table, quarantine, batch_id, columns, **options).columns
+            stored(lambda known: store_known(batch, table, quarantine, batch_id, known, schema=schema, **options), batch_id)
 
     def store_files(batch: DataFrame, batch_id: int) -> None:
-        nonlocal columns
         paths = [row.path for row in batch.collect()]
-        columns = load_changes(
-            spark, paths, table, quarantine, batch_id, columns=columns, multiline=multiline, **options
-        ).columns
+        stored(
+            lambda known: load_slice(spark, paths, table, quarantine, batch_id, columns=known, multiline=multiline, **options), batch_id
+        )
 
     if schema is None:
         return _run(stream_paths(spark, files, max_files), store_files, checkpoint)

@@ -298,10 +298,13 @@ def test_pending_files_are_taken_slice_by_slice(spark, tmp_path):
     noted = rows(read_audit(spark, log.path).select("status", "insert_count", "record_start_sequence", "record_end_sequence"))
     assert noted == [("Completed", 1, "50", "50")]
     queue = queue.withColumn("fileName", F.lit("none.json"))
+    assert run(audit=replace(log, epoch_timestamp=7)) == 1 and run() == 0  # a file that is gone is done too
+    assert "gone" in [r.reason for r in read_quarantine(spark, bad).collect()]
+    queue = queue.withColumn("fileName", F.lit("0.json")).withColumn("sequencer", F.lit("8"))
     with pytest.raises(Exception):
-        run(audit=replace(log, epoch_timestamp=6))
+        run(audit=replace(log, epoch_timestamp=6), arrays=["leadId"], format="no such format")
     assert {r.status for r in read_audit(spark, log.path).collect()} == {"Completed", "Failed"}
-    assert spark.read.parquet(log.path).count() == 4
+    assert spark.read.parquet(log.path).count() == 6
 
 
 def test_bookmark_files_drive_the_job(spark, tmp_path):
