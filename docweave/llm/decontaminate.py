@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.functions.names import quoted
 from docweave.llm.common import as_bytes, materialise
 
 #: Words in a window, and in a shingle; an item shorter than a window is one window.
@@ -254,4 +255,4 @@ def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     named = F.concat(F.lit("id "), F.col("doc_id").cast("string"))
     keyed = docs.withColumn(key, F.coalesce(named, F.sha2(F.coalesce("text", F.lit("")), 256)))
     judged = contamination(keyed.select(F.col(key).alias("doc_id"), "text"), items)
-    return keyed.join(judged.where("contaminated").select(F.col("doc_id").alias(key)), key, "left_anti").select(docs.columns)
+    return keyed.join(judged.where("contaminated").select(F.col("doc_id").alias(key)), key, "left_anti").select(*[F.col(quoted(c)) for c in docs.columns])

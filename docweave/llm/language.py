@@ -22,37 +22,41 @@ UNKNOWN = "und"
 RANKS = 300
 #: Documents of each language that its profile is learned from, at most.
 MOST_EXAMPLES = 1_000
-#: Letters that have a symbol of their own; others share symbols by their Unicode block. Symbol 0 is a boundary.
-LETTERS, SHARED = 47, 16
 #: Bytes of a text whose n-grams are counted at once.
 AT_ONCE = 1 << 18
-BASE = 1 + LETTERS + SHARED
-CODES = BASE + BASE**2 + BASE**3
+#: Bits of a character in the code of an n-gram, and what stands for a boundary: no character has this number.
+BITS, BOUNDARY = 21, 0x110000
+#: Bits of a hash by which ids are counted to find the first ones.
+BUCKET_BITS = 12
 
 
-@lru_cache(maxsize=4)
-def symbols(alphabet: str) -> np.ndarray:
-    """The symbol of every code point: letters by their lower case, all else a boundary."""
-    own = {letter: 1 + i for i, letter in enumerate(alphabet)}
-    out = np.zeros(0x110000, np.uint8)
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """For every code point that of its letter in lower case, or the boundary."""
+    out = np.full(0x110000, BOUNDARY, np.uint32)
     for point in range(0x110000):
         character = chr(point)
         if character.isalpha():
-            lower = character.lower()[0]
-            out[point] = own.get(lower) or 1 + LETTERS + (ord(lower) >> 7) % SHARED
+            out[point] = ord(character.lower()[0])
     return out
 
 
-def ngrams(text: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the n-grams of a whole text and how often each occurs."""
+def ngrams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the n-grams of a whole text and how often each occurs.
+
+    A code is the n-gram's own characters, 21 bits each, so different n-grams of any script have different codes.
+    """
     codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    table, edge = letters(), np.array([BOUNDARY], np.uint32)
     for piece in pieces(text, AT_ONCE):
         points = np.frombuffer(piece.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
-        s = np.concatenate([[0], table[points], [0]]).astype(np.int64)
-        s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
-        two, three = s[:-1] * BASE + s[1:], s[:-2] * BASE**2 + s[1:-1] * BASE + s[2:]
-        found = np.concatenate([s[s != 0], BASE + two, BASE + BASE**2 + three[s[1:-1] != 0]])
-        found = found[found != BASE]  # two boundaries
+        s = np.concatenate([edge, table[points], edge]).astype(np.int64)
+        inside = s != BOUNDARY
+        kept = np.concatenate([[True], inside[1:] | inside[:-1]])
+        s, inside = s[kept], inside[kept]
+        two = s[:-1] << BITS | s[1:]
+        three = two[:-1] << BITS | s[2:]
+        found = np.concatenate([s[inside], two[inside[:-1] | inside[1:]], three[inside[1:-1]]])
         more, n = np.unique(found, return_counts=True)
         if len(codes):
             more, at = np.unique(np.concatenate([codes, more]), return_inverse=True)
@@ -68,10 +72,11 @@ def ranked(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Profiles:
-    """Languages in the order of their names, the alphabet, and ranks[language, code]."""
+    """Languages in the order of their names, the codes of all profiles in ascending order, and ranks[language, place of the
+    code]; the last column is for codes that no profile has."""
 
     languages: tuple[str, ...]
-    alphabet: str
+    codes: np.ndarray
     ranks: np.ndarray
 
     def identify(self, text: bytes | None) -> tuple[str, float]:
@@ -80,50 +85,48 @@ class Profiles:
         Ties go to the first name. Text that is null or has no letter is ``und`` with score 0, and
         so is any text when no language was learned.
         """
-        codes, counts = ngrams(text or b"", symbols(self.alphabet))
+        codes, counts = ngrams(text or b"")
         if not len(codes) or not self.languages:
             return UNKNOWN, 0.0
         own = ranked(codes, counts)
-        places = np.abs(self.ranks[:, own].astype(np.int64) - np.arange(len(own)))
-        apart = np.where(self.ranks[:, own] == RANKS, RANKS, places).sum(axis=1)
+        at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
+        ranks = self.ranks[:, np.where(self.codes[at] == own, at, len(self.codes))]
+        places = np.abs(ranks.astype(np.int64) - np.arange(len(own)))
+        apart = np.where(ranks == RANKS, RANKS, places).sum(axis=1)
         best = int(apart.argmin())
         return self.languages[best], float(1 - apart[best] / (RANKS * len(own)))
 
 
+def first_ids(ids: DataFrame, most: int) -> DataFrame:
+    """(doc_id, lang) of the first ``most`` ids of each language in the order of a hash of the id.
+
+    Ids are counted by the first bits of their hash; only those of the buckets that hold the first ones are put in order, which
+    are few, however many partitions and rows there are.
+    """
+    bucket = F.shiftright(F.xxhash64("doc_id"), 64 - BUCKET_BITS)
+    numbered = ids.withColumn("bucket", bucket)
+    before = Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = numbered.groupBy("lang", "bucket").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    needed = counts.where(F.col("before") < most).select("lang", "bucket")
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    few = numbered.join(F.broadcast(needed.groupBy("lang").agg(F.max("bucket").alias("last"))), "lang").where("bucket <= last")
+    few = few.groupBy("lang", "doc_id").agg(F.count("*").alias("n"))
+    return few.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most).select("doc_id", "lang")
+
+
 def fit_profiles(docs: DataFrame, most: int = MOST_EXAMPLES) -> Profiles:
     """Learn a profile for every non-null ``lang`` of ``docs(doc_id, text, lang)``.
 
     From each language at most ``most`` documents are read, first in the order of a hash of the id; texts
-    that are null do not count. Only ids and language names are sorted for that, and Spark keeps the
-    first of each partition before it shuffles.
+    that are null do not count. Languages have to be few enough for their profiles to fit a worker.
     """
-    spark = docs.sparkSession
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang")
-    sample = ids.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most).select("doc_id", "lang").distinct()
+    sample = first_ids(docs.where("lang is not null and doc_id is not null").select("doc_id", "lang"), most)
     texts = docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(sample), ["doc_id", "lang"])
 
-    def letters(batches):
-        for batch in batches:
-            counts: dict[str, int] = {}
-            for text in as_bytes(batch.column(0)):
-                for piece in pieces(text):
-                    points, n = np.unique(
-                        np.frombuffer(piece.decode("utf-8", "replace").lower().encode("utf-32-le", "replace"), np.uint32),
-                        return_counts=True,
-                    )
-                    for character, m in zip(map(chr, points.tolist()), n.tolist()):
-                        if character.isalpha():
-                            counts[character] = counts.get(character, 0) + m
-            yield pa.RecordBatch.from_pydict({"letter": list(counts), "n": pa.array(counts.values(), pa.int64())})
-
-    common = texts.select("text").mapInArrow(letters, "letter string, n long").groupBy("letter").agg(F.sum("n").alias("n"))
-    alphabet = "".join(r.letter for r in common.orderBy(F.desc("n"), "letter").limit(LETTERS).collect())
-
     def count(batches):
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                codes, n = ngrams(text, symbols(alphabet))
+                codes, n = ngrams(text)
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(codes), "code": pa.array(codes, pa.int64()), "n": pa.array(n, pa.int64())})
 
     frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
@@ -136,10 +139,11 @@ def fit_profiles(docs: DataFrame, most: int = MOST_EXAMPLES) -> Profiles:
         .collect()
     )
     languages = tuple(sorted({r.lang for r in profile}))
-    ranks = np.full((len(languages), CODES), RANKS, np.int16)
+    codes = np.unique(np.array([r.code for r in profile], np.int64))
+    ranks = np.full((len(languages), len(codes) + 1), RANKS, np.int16)
     for r in profile:
-        ranks[languages.index(r.lang), r.code] = r.place
-    return Profiles(languages, alphabet, ranks)
+        ranks[languages.index(r.lang), np.searchsorted(codes, r.code)] = r.place
+    return Profiles(languages, codes, ranks)
 
 
 def identify_languages(docs: DataFrame, profiles: Profiles) -> DataFrame:

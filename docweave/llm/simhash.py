@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.functions.names import quoted
 from docweave.llm.common import as_bytes, materialise
 from docweave.llm.components import components
 
@@ -190,4 +191,4 @@ def simhash_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     groups = simhash_groups(docs, id_column, text_column)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_column)).distinct()
-    return docs.join(gone, id_column, "left_anti").select(docs.columns)
+    return docs.join(gone, id_column, "left_anti").select(*[F.col(quoted(c)) for c in docs.columns])

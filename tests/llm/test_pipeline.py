@@ -100,3 +100,17 @@ def test_registered(spark):
     assert contract.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
     assert "pipeline" not in contract.oracle_sql()
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_columns_whose_names_need_quotes(spark):
+    """The stages that join keep every column under its name."""
+    from docweave.llm.decontaminate import clean_documents
+    from docweave.llm.simhash import simhash_dedup
+
+    rows = [(1, "one two three four", 7), (2, "one two three four", 8), (3, "five six seven", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").withColumnRenamed("n", "meta.src")
+    items = spark.createDataFrame([(1, "five six seven")], "item_id long, text string")
+    kept = simhash_dedup(docs)
+    assert kept.columns == docs.columns and sorted(r["meta.src"] for r in kept.collect()) == [7, 9]
+    clean = clean_documents(docs, items)
+    assert clean.columns == docs.columns and sorted(r["meta.src"] for r in clean.collect()) == [7, 8]
