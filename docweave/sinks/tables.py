@@ -196,15 +196,15 @@ def write_base(
     root = current_root(spark, path)
     if mode == "ignore" and exists(spark, root):
         return root
-    over_batches = mode == "overwrite" and bool(numbers(entries(spark, root)[0]))
+    over_batches = mode == "overwrite" and bool(numbers(entries(spark, root)))
     if over_batches:
-        bases = numbers(entries(spark, f"{path}/{BASE_FOLDER}")[0], BASE)
+        bases = numbers(entries(spark, f"{path}/{BASE_FOLDER}"), BASE)
         number = (bases[-1] if bases else 0) + 1
         root = f"{path}/{BASE}={number}"
     noted = [] if mode == "overwrite" else noted_columns(spark, root) or []
     rows, stored = _stored(df, root, noted)
     rows.write.format(format).options(**(options or {})).mode(mode).save(root)
-    loads = numbers(entries(spark, f"{root}/{COLUMNS_FOLDER}")[0])  # those of full loads are below zero
+    loads = numbers(entries(spark, f"{root}/{COLUMNS_FOLDER}"))  # those of full loads are below zero
     _note_columns(df, root, stored, min([0, *loads]) - 1)
     if over_batches:
         done = spark.range(1).select(F.current_timestamp().alias("loaded_at")).coalesce(1)
@@ -215,9 +215,9 @@ def write_base(
 def _read(spark: SparkSession, path: str, schema: T.StructType | None, format: str) -> tuple[DataFrame, list[Noted]]:
     """All rows of a table that is current, under their stored names, and with their batch, NULL for a full load."""
     root = current_root(spark, path)
-    folders, files = entries(spark, root)
-    batches = numbers(folders)
-    plain = any(not name.startswith(("_", ".")) for name in files)
+    there = entries(spark, root)
+    batches = numbers(there)
+    plain = any(not name.startswith(("_", ".")) and "=" not in name for name in there)
     noted = noted_columns(spark, root) or []
     if schema is not None:
         schema, noted = T.StructType([*schema.fields, T.StructField(VERSION, T.StringType())]), []

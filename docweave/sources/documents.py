@@ -151,7 +151,7 @@ SCHEMA_FOLDER = "_schema"
 
 def kept_schema(spark: SparkSession, root: str) -> T.StructType | None:
     """The schema that the feed of a table had so far; None if none is kept."""
-    noted = numbers(entries(spark, f"{root}/{SCHEMA_FOLDER}")[0])
+    noted = numbers(entries(spark, f"{root}/{SCHEMA_FOLDER}"))
     if not noted:
         return None
     text = spark.read.schema("schema string").parquet(f"{root}/{SCHEMA_FOLDER}/batch_id={noted[-1]}").first()[0]
@@ -160,7 +160,7 @@ def kept_schema(spark: SparkSession, root: str) -> T.StructType | None:
 
 def keep_schema(spark: SparkSession, root: str, schema: T.StructType) -> None:
     """Keep a schema beside a table, above those that were kept before."""
-    noted = numbers(entries(spark, f"{root}/{SCHEMA_FOLDER}")[0])
+    noted = numbers(entries(spark, f"{root}/{SCHEMA_FOLDER}"))
     row = spark.createDataFrame([(schema.json(),)], "schema string").coalesce(1)
     row.write.mode("overwrite").parquet(f"{root}/{SCHEMA_FOLDER}/batch_id={noted[-1] + 1 if noted else 0}")
 

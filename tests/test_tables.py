@@ -18,7 +18,7 @@ from docweave.plans import jobs
 from docweave.plans.jobs import AuditLog, done_files, ingest_pending, last_batch, load_changes, load_slice, load_snapshot
 from docweave.sinks.tables import append_batch, compact, read_audit, read_changes, read_current, read_quarantine, stored_columns
 from docweave.sources.documents import case_sensitive, kept_schema, scan_change_feed, shape, uncovered, widened
-from docweave.sources.files import current_root, literal, missing, target_columns
+from docweave.sources.files import current_root, entries, literal, missing, numbers, target_columns
 from docweave.streaming.changes import feed_stream
 
 KEY, SEQ = ["leadId"], "Sequence_No"
@@ -194,6 +194,15 @@ def test_literal_paths(spark, tmp_path):
     assert missing(spark, [*paths, str(tmp_path / "a[2].json"), str(tmp_path)]) == [str(tmp_path / "a[2].json"), str(tmp_path)]
 
 
+def test_entries(spark, tmp_path):
+    names = ["a,b", "c\\d", "e f", "batch_id=3", "batch_id=-1", "g[1].json", "_x"]
+    for name in names:
+        (tmp_path / name).mkdir()
+    assert sorted(entries(spark, str(tmp_path))) == sorted(names)
+    assert numbers(entries(spark, str(tmp_path))) == [-1, 3]
+    assert entries(spark, str(tmp_path / "none")) == entries(spark, str(tmp_path / "_x")) == []
+
+
 def test_files_that_are_gone_broken_or_passed_over(spark, tmp_path, places):
     """A hundred files, one of them cut off, beside others that are not there; each file is done after one run."""
     table, bad = places
