@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.names import quoted
 from docweave.llm.common import materialise
-from docweave.llm.running import ROW, running_totals, stored_rows
+from docweave.llm.running import running_totals, stored_rows
 
 #: Weights of sources in the order of their names, repeating.
 WEIGHTS = (3, 1, 2)
