@@ -12,6 +12,8 @@ from docweave.workspace import shared_folder
 
 #: Bytes of Arrow data that a Python task is handed at once; texts may be long.
 BATCH_BYTES = 16 << 20
+#: First bits of a hash by which ids are counted.
+BUCKET_BITS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,11 +72,23 @@ def pieces(text: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
 
 
 def labelled(labels: DataFrame, column: str, value: int, limit: int, id_column: str = "doc_id") -> DataFrame:
-    """doc_id, label: at most ``limit`` ids that carry a label value, first in the order of a hash of the id.
+    """doc_id, label: at most ``limit`` distinct ids that carry a label value, first in the order of a hash of the id.
 
-    The order does not depend on how the table is stored, and the result is small by construction.
+    The order does not depend on how the table is stored, and the result is small by construction. Ids are counted by
+    the first bits of their hash, and only those up to the bits that are needed are put in order.
     """
-    ids = labels.where((F.col(column) == value) & F.col(id_column).isNotNull()).select(
-        F.col(id_column).alias("doc_id"), F.lit(value).alias("label")
-    )
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    ids = labels.where((F.col(column) == value) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("doc_id")).distinct()
+    ids = ids.withColumn("hash", F.xxhash64("doc_id"))
+    bucket = F.shiftright("hash", 64 - BUCKET_BITS)
+    last = before = 0
+    for last, n in sorted(map(tuple, ids.groupBy(bucket.alias("bucket")).count().collect())):  # at most 2 ** BUCKET_BITS rows
+        before += n
+        if before >= limit:
+            break
+    return ids.where(bucket <= last).orderBy("hash", "doc_id").limit(limit).select("doc_id", F.lit(value).alias("label"))
+
+
+def one_text_each(texts: DataFrame) -> DataFrame:
+    """doc_id, label, text: one row for each (doc_id, label), with the text of least hash, so that a sample of ids bounds its texts."""
+    first = F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), "text"))
+    return texts.groupBy("doc_id", "label").agg(first.alias("first")).select("doc_id", "label", "first.text")

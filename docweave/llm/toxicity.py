@@ -1,10 +1,10 @@
 """Toxicity by the nearest labelled examples, under exact TF-IDF cosine.
 
 Terms are words and the beginnings of words. The vocabulary holds every term of the labelled examples;
-document frequencies are counted over all documents. Texts are compared with every example, in two
-parts: terms that many examples hold are columns of a dense matrix, multiplied for many texts at once, and the
-others are posting lists. Both are in single precision; examples that its rounding cannot tell from the
-nearest ones are compared again in double precision, so the result is that of exact cosines.
+document frequencies are counted over all documents. Examples are found through a block-max inverted index:
+similar ones share a block, the largest weights of its terms bound their cosines, and blocks that
+cannot hold a neighbour are passed over. What is left is scored in single precision; examples that its rounding cannot tell
+from the nearest ones are compared again in double precision, so the result is that of exact cosines with all examples.
 
 Near examples vote with weights that fall with their distance. The votes that the examples themselves
 get from the others are turned into shares by isotonic regression, which calibrates the score.
@@ -12,7 +12,9 @@ get from the others are turned into shares by isotonic regression, which calibra
 
 from __future__ import annotations
 
+import hashlib
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -25,16 +27,18 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import as_bytes, labelled, pieces
+from docweave.llm.common import as_bytes, labelled, one_text_each, pieces
 
 #: Labelled examples of label 1 and of label 0, at most.
 MOST_TOXIC, MOST_OTHER = 4_000, 12_000
 #: Lengths in characters of the beginnings of words that are terms of their own.
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 16
-#: Texts compared at once.
-AT_ONCE = 64
-#: A term in more than this share of the examples is a column of the dense matrix.
+#: Examples in a block, examples that the others are put in order by, and blocks whose examples give the first k-th best cosine.
+BLOCK, LEADERS, TRIED = 16, 64, 2
+#: Texts whose bounds are found at once, and those of them that share a pass over blocks.
+AT_ONCE, GROUP = 256, 32
+#: Postings of a term in more than this share of the examples are dense.
 COMMON = 1 / 9
 #: Words of which a worker remembers the terms.
 REMEMBERED = 1 << 18
@@ -74,14 +78,23 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Index:
-    """Weighted examples, compared with many queries at once. ``rows`` are dictionaries or vectors."""
+    """Weighted examples behind a block-max inverted index. ``rows`` are dictionaries or vectors.
+
+    Examples that are alike stand together, ``BLOCK`` of them in a block. A posting list has, for each block that
+    holds its term, the largest weight there and the postings. A query's sum of largest weights bounds
+    every cosine of a block, so blocks whose bound is below the k-th best cosine that is known already are passed over.
+    """
 
     def __init__(self, rows: Iterable[dict[int, float] | Vector], n_terms: int):
-        vectors = [(np.array(sorted(r), np.int32), np.array([r[t] for t in sorted(r)])) if isinstance(r, dict) else r for r in rows]
-        self.size, self.n_terms = len(vectors), n_terms
-        self.starts = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors], dtype=np.int64)])
-        self.terms = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in vectors)]).astype(np.int32)
-        self.weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+        terms, weights, ends = array("i"), array("d"), [0]
+        for r in rows:
+            own, weight = (sorted(r), [r[t] for t in sorted(r)]) if isinstance(r, dict) else r
+            terms.frombytes(np.asarray(own, np.int32).tobytes())
+            weights.frombytes(np.asarray(weight, float).tobytes())
+            ends.append(len(terms))
+        self.size, self.n_terms = len(ends) - 1, n_terms
+        self.starts = np.array(ends, np.int64)
+        self.terms, self.weights = np.array(terms, np.int32, copy=False), np.array(weights, float, copy=False)
         self._ready = False
 
     def __getstate__(self):
@@ -92,37 +105,66 @@ class Index:
         return self.terms[a:b], self.weights[a:b]
 
     def _prepare(self) -> None:
-        """The dense columns and the posting lists, made where they are used.
+        """The blocks, made where they are used.
 
         Of examples with the same vector no more than the first ``NEIGHBOURS`` and one can be among the nearest;
-        the others are left out here.
+        the others are left out here. Terms that many examples hold have dense postings: a matrix of the
+        weights and one of the blocks' largest.
         """
         copies: Counter = Counter()
         held = np.zeros(self.size, bool)
         for example in range(self.size):
-            key = b"".join(x.tobytes() for x in self.row(example))
+            key = hashlib.blake2b(b"".join(x.tobytes() for x in self.row(example)), digest_size=16).digest()
             copies[key] += 1
             held[example] = copies[key] <= NEIGHBOURS + 1
-        self.examples = np.flatnonzero(held)
-        lengths = np.diff(self.starts)
-        number = np.repeat((np.cumsum(held) - 1).astype(np.int32), lengths)
-        kept = np.repeat(held, lengths)
-        terms, weights, number = self.terms[kept], self.weights[kept].astype(np.float32), number[kept]
+        self.examples = self._alike(np.flatnonzero(held))
         n = len(self.examples)
-        frequency = np.bincount(terms, minlength=self.n_terms)
-        common = np.flatnonzero(frequency > max(AT_ONCE, COMMON * n))
+        self.blocks = -(-n // BLOCK)
+        places, lengths, _ = _spans(self.starts[self.examples], self.starts[self.examples + 1])
+        terms, weights = self.terms[places], self.weights[places].astype(np.float32)
+        del places
+        number = np.repeat(np.arange(n, dtype=np.int32), lengths)
+        common = np.flatnonzero(np.bincount(terms, minlength=self.n_terms) > max(4 * BLOCK, COMMON * n))
         self.column = np.full(self.n_terms, -1, np.int32)
         self.column[common] = np.arange(len(common))
         dense = self.column[terms] >= 0
-        self.dense = np.zeros((len(common), n), np.float32)
-        self.dense[self.column[terms[dense]], number[dense]] = weights[dense]
+        self.dense = np.zeros((self.blocks, BLOCK, len(common)), np.float32)
+        self.dense.reshape(self.blocks * BLOCK, len(common))[number[dense], self.column[terms[dense]]] = weights[dense]
+        self.dense_most = self.dense.max(axis=1)
         terms, weights, number = terms[~dense], weights[~dense], number[~dense]
         order = np.argsort(terms, kind="stable")
-        self.posted, self.posted_weights = number[order], weights[order]
-        self.at = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=self.n_terms))])
+        terms, self.posted, self.posted_weights = terms[order], number[order], weights[order]
+        del order, number, weights
+        block = self.posted // BLOCK
+        first = np.ones(len(terms), bool)
+        first[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
+        begins = np.flatnonzero(first)
+        #: For each term and block that holds it: the block, the largest weight, and where its postings begin.
+        self.entry_block = block[begins]
+        self.entry_most = np.maximum.reduceat(self.posted_weights, begins) if len(begins) else np.zeros(0, np.float32)
+        self.entry_at = np.append(begins, len(terms))
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(terms[begins], minlength=self.n_terms))])
         self._query = np.zeros(self.n_terms)
         self._ready = True
 
+    def _alike(self, examples: np.ndarray) -> np.ndarray:
+        """The examples in an order that puts those next to each other that are nearest to the same leader."""
+        places, lengths, _ = _spans(self.starts[examples], self.starts[examples + 1])
+        terms = self.terms[places]
+        order = np.argsort(terms, kind="stable")
+        posted = np.repeat(np.arange(len(examples), dtype=np.int32), lengths)[order]
+        weights = self.weights[places][order].astype(np.float32)
+        del places, order
+        at = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=self.n_terms))])
+        leader, best = np.zeros(len(examples), np.int32), np.full(len(examples), -1.0)
+        for i, example in enumerate(examples[:: max(1, len(examples) // LEADERS)].tolist()):
+            own, weight = self.row(example)
+            found, lengths, _ = _spans(at[own], at[own + 1])
+            scores = np.bincount(posted[found], np.repeat(weight, lengths) * weights[found], len(examples))
+            leader[scores > best] = i
+            best = np.maximum(best, scores)
+        return examples[np.lexsort((-best, leader))]
+
     def nearest_of(self, queries: list[Vector], k: int, without: list[int] | None = None) -> Iterator[list[tuple[int, float]]]:
         """For each query the k examples of largest positive cosine, best first, ties by number; exact."""
         if k > NEIGHBOURS:
@@ -131,35 +173,76 @@ class Index:
             self._prepare()
         for start in range(0, len(queries), AT_ONCE):
             some = queries[start : start + AT_ONCE]
-            across = np.zeros((len(some), len(self.dense)), np.float32)
+            left_out = [-1] * len(some) if without is None else without[start : start + AT_ONCE]
+            across = np.zeros((len(some), len(self.dense_most.T)), np.float32)
             for i, (terms, weights) in enumerate(some):
                 column = self.column[terms]
                 across[i, column[column >= 0]] = weights[column >= 0]
-            scores = across @ self.dense
-            for i, query in enumerate(some):
-                yield self._best(scores[i], query, k, -1 if without is None else without[start + i])
-
-    def _best(self, scores: np.ndarray, query: Vector, k: int, without: int) -> list[tuple[int, float]]:
+            bounds = across @ self.dense_most.T
+            found: list = [[]] * len(some)
+            # queries whose best blocks are near each other need much the same blocks
+            alike = np.argsort(bounds.argmax(axis=1), kind="stable") if self.blocks else np.arange(0)
+            for at in range(0, len(alike), GROUP):
+                group = alike[at : at + GROUP]
+                best = self._best_of([some[i] for i in group], across[group], bounds[group], k, [left_out[i] for i in group])
+                for i, near in zip(group, best):
+                    found[i] = near
+            yield from found
+
+    def _best_of(self, queries: list[Vector], across: np.ndarray, bounds: np.ndarray, k: int, without: list[int]) -> Iterator[list[tuple[int, float]]]:
+        """The nearest of a few queries: bounds of all blocks, then the blocks that they leave."""
+        entries, least = [], np.zeros(len(queries))
+        needed = np.zeros(bounds.shape, bool)
+        for i, (terms, weights) in enumerate(queries):
+            rare = self.column[terms] < 0
+            places, lengths, _ = _spans(self.at[terms[rare]], self.at[terms[rare] + 1])
+            own = np.repeat(weights[rare], lengths)
+            if len(places):
+                bounds[i] += np.bincount(self.entry_block[places], own * self.entry_most[places], self.blocks).astype(np.float32)
+            first = np.argpartition(-bounds[i], TRIED)[:TRIED] if self.blocks > TRIED else np.arange(self.blocks)
+            tried = self.examples[(first[:, None] * BLOCK + np.arange(BLOCK)).ravel().clip(max=len(self.examples) - 1)]
+            exact = self._cosines(np.setdiff1d(tried, [without[i]]), queries[i])
+            if len(exact) >= k:
+                least[i] = max(0.0, np.partition(exact, len(exact) - k)[len(exact) - k])
+            # a sum of n products of numbers rounded once is wrong by less than n + 3 units in the last place
+            needed[i] = (bounds[i] > 0) & (bounds[i] * (1 + 2 * (len(terms) + 3) * 2.0**-23) >= least[i])
+            kept = needed[i, self.entry_block[places]]
+            if 2 * np.count_nonzero(kept) < len(kept):
+                entries.append((self.entry_at[places[kept]], self.entry_at[places[kept] + 1], own[kept]))
+            else:  # one range for a whole list is faster than one for each of most of its blocks
+                entries.append((self.entry_at[self.at[terms[rare]]], self.entry_at[self.at[terms[rare] + 1]], weights[rare]))
+        union = np.flatnonzero(needed.any(axis=0))
+        scores = across @ self.dense[union].reshape(len(union) * BLOCK, across.shape[1]).T
+        for i, query in enumerate(queries):
+            own = scores[i]
+            begins, ends, weights = entries[i]
+            postings, lengths, _ = _spans(begins, ends)
+            if len(postings):
+                products = np.repeat(weights, lengths) * self.posted_weights[postings]
+                own += np.bincount(self.posted[postings], products, self.blocks * BLOCK).reshape(-1, BLOCK)[union].ravel().astype(np.float32)
+            own.reshape(-1, BLOCK)[~needed[i, union]] = 0
+            # both the k-th best and an example may be wrong by their rounding
+            slack = 2 * (len(query[0]) + 3) * 2.0**-23
+            near = np.flatnonzero((own > 0) & (own >= least[i] - slack))
+            near = near[self.examples[union[near // BLOCK] * BLOCK + near % BLOCK] != without[i]]
+            if len(near) > k:
+                near = near[own[near] >= np.partition(own[near], len(near) - k)[len(near) - k] - slack]
+            examples = self.examples[union[near // BLOCK] * BLOCK + near % BLOCK]
+            exact = self._cosines(examples, query)
+            order = np.lexsort((examples, -exact))[:k]
+            yield [(int(e), min(1.0, float(c))) for e, c in zip(examples[order], exact[order]) if c > 0]
+
+    def _cosines(self, examples: np.ndarray, query: Vector) -> np.ndarray:
+        """Exact cosines, in double precision."""
         terms, weights = query
-        rare = self.column[terms] < 0
-        places, lengths, _ = _spans(self.at[terms[rare]], self.at[terms[rare] + 1])
-        if len(places):
-            products = np.repeat(weights[rare], lengths) * self.posted_weights[places]
-            scores += np.bincount(self.posted[places], products, len(scores)).astype(np.float32)
-        if without >= 0:
-            scores[self.examples == without] = 0
-        least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
-        # a sum of n products of numbers rounded once is wrong by less than n + 3 units in the last place; both sides may be
-        near = np.flatnonzero((scores > 0) & (scores >= least - 2 * (len(terms) + 3) * 2.0**-23))
-        if not len(near):
-            return []
-        near = self.examples[near]
-        places, _, cuts = _spans(self.starts[near], self.starts[near + 1])
-        self._query[terms] = weights
-        exact = np.add.reduceat(self.weights[places] * self._query[self.terms[places]], cuts)
-        self._query[terms] = 0
-        order = np.lexsort((near, -exact))[:k]
-        return [(int(e), min(1.0, float(c))) for e, c in zip(near[order], exact[order])]
+        places, lengths, cuts = _spans(self.starts[examples], self.starts[examples + 1])
+        out = np.zeros(len(examples))
+        some = lengths > 0
+        if some.any():
+            self._query[terms] = weights
+            out[some] = np.add.reduceat(self.weights[places] * self._query[self.terms[places]], cuts[some])
+            self._query[terms] = 0
+        return out
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[int, float]]:
         """The k examples of largest positive cosine, best first, ties by number; exact. ``without`` is left out."""
@@ -276,14 +359,15 @@ def vote(near: list[tuple[int, float]], labels: np.ndarray) -> float:
 def fit_examples(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from ``labels(doc_id, toxic)``; document frequencies come from all of ``docs``.
 
-    Labels that are neither 0 nor 1, null ids, and ids without a document are not learned from.
-    Without any example of both labels every score is the share of label 1.
+    Labels that are neither 0 nor 1, null ids, and ids without a document are not learned from. An id of several
+    documents teaches one of their texts. Null and empty texts are examples without terms. Texts of any length are read
+    whole. Empty tables teach nothing. Without any example of both labels every score is the share of label 1.
     """
     context = docs.sparkSession.sparkContext
     known = labels.where("doc_id is not null and toxic in (0, 1)")
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     sample = labelled(known, "toxic", 1, MOST_TOXIC).union(labelled(known, "toxic", 0, MOST_OTHER))
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    texts = one_text_each(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
     held = {r.label: r.n for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     one, zero = held.get(1, 0), held.get(0, 0)
     share = counts.get(1, 0) / max(1, sum(counts.values()))

@@ -190,6 +190,65 @@ def test_nearest_is_exact():
         assert set(sure) <= {i for i, _ in got}
 
 
+def test_blocks_bound_their_examples():
+    """Groups of alike rows in several languages: bounds hold, blocks are passed over, and the result is that of all pairs."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(900):
+        language = i % 6
+        own = np.unique(np.concatenate([np.arange(5), 10 + 300 * language + rng.zipf(1.3, 60) % 300]))
+        weight = rng.random(len(own)) + 0.1
+        rows.append((own.astype(np.int32), weight / np.sqrt((weight * weight).sum())))
+    for i in range(60):  # near copies
+        own, weight = rows[i][0], rows[i][1] * (1 + 0.01 * rng.random(len(rows[i][0])))
+        rows.append((own, weight / np.sqrt((weight * weight).sum())))
+    rows += [(np.zeros(0, np.int32), np.zeros(0)), *[rows[3]] * 40]
+    full = np.zeros((len(rows), 2000))
+    for i, (terms, weights) in enumerate(rows):
+        full[i, terms] = weights
+    index = toxicity.Index(rows, 2000)
+    cosines = full @ full.T
+    left_out = list(range(0, len(rows), 3))
+    passed = 0
+    for own in (None, left_out):
+        for i, got in zip(left_out, index.nearest_of([index.row(i) for i in left_out], toxicity.NEIGHBOURS, own)):
+            scores = cosines[i].copy()
+            scores[i] *= own is None
+            order = np.lexsort((np.arange(len(rows)), -np.round(scores, 12)))[: toxicity.NEIGHBOURS]
+            assert [round(c, 9) for _, c in got] == [round(c, 9) for c in scores[order] if c > 0]
+            assert all(e != i for e, _ in got) or own is None
+            if not got:
+                continue
+            terms, weights = index.row(i)
+            bounds = index.dense_most @ np.where(np.isin(np.arange(2000), terms), full[i], 0)[np.flatnonzero(index.column >= 0)]
+            for t, w in zip(terms, weights):
+                if index.column[t] < 0:
+                    at = slice(index.at[t], index.at[t + 1])
+                    bounds[index.entry_block[at]] += w * index.entry_most[at]
+            for block in range(index.blocks):
+                inside = index.examples[block * toxicity.BLOCK : (block + 1) * toxicity.BLOCK]
+                assert bounds[block] >= cosines[i][inside].max() - 1e-5
+            passed += (bounds < got[-1][1] - 1e-5).sum()
+    assert passed > index.blocks * len(left_out) / 2
+
+
+def test_labelled_ids_are_bounded(spark):
+    """As many rows as ids, however often an id is labelled and however many documents it has."""
+    import pyspark.sql.functions as F
+
+    from docweave.llm.common import labelled, one_text_each
+
+    labels = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(1).alias("mark")).union(spark.range(3000).select(F.lit(7), F.lit(1))).repartition(20)
+    got = [r.doc_id for r in labelled(labels, "mark", 1, 40).collect()]
+    hashes = {r.doc_id: r.h for r in labels.distinct().select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    assert got == sorted(hashes, key=hashes.get)[:40]
+    assert labelled(labels, "mark", 0, 40).collect() == [] and len(labelled(labels, "mark", 1, 4000).collect()) == 500
+    texts = spark.range(20_000).select(F.lit(7).alias("doc_id"), F.lit(1).alias("label"), (F.col("id") % 3).cast("string").alias("text"))
+    texts = texts.union(spark.createDataFrame([(8, 1, None)], "doc_id long, label int, text string"))
+    rows = {(r.doc_id, r.label): r.text for r in one_text_each(texts).collect()}
+    assert set(rows) == {(7, 1), (8, 1)} and rows[7, 1] in "012" and rows[8, 1] is None
+
+
 def test_isotonic():
     edges, values = toxicity.isotonic(np.array([0.0, 0.2, 0.2, 0.5, 0.9]), np.array([0, 1, 0, 0, 1.0]), np.ones(5))
     assert list(values) == sorted(values) and math.isclose(np.interp(0.9, edges, values), 1)
