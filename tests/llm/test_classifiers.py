@@ -57,6 +57,85 @@ def test_ranking_learns_preferences():
     assert better > 0.8 and worse < 0.2
 
 
+def plain_features(text):
+    """Without pieces, sets of words and lines as they are."""
+    kind = {}
+    for b in range(256):
+        kind[b] = 0 if b in (9, 11, 12, 32) else 1 if b in (10, 13) else 2 if 97 <= b <= 122 else 3 if 65 <= b <= 90 else 4 if 48 <= b <= 57 else 6
+        kind[b] = 5 if chr(b) in ".,;:'\"()-?" else 7 if b >= 128 else kind[b]
+    counts = [0] * 64
+    for a, b in zip(text, text[1:]):
+        counts[8 * kind[a] + kind[b]] += 1
+    words, lines = text.split(), [r for r in text.split(b"\n") if r.strip()]
+    again = sum(a == b for a, b in zip(words, words[1:]))
+    n = max(1, len(words))
+    rest = (again / n, 1 - len(set(words)) / n, (len(lines) - len(set(lines))) / max(1, len(lines)))
+    sizes = (math.log1p(len(words)), math.log1p(max(map(len, words), default=0)), math.log1p(len(text) / n))
+    return [math.sqrt(c / max(1, sum(counts))) for c in counts] + [*rest, *sizes]
+
+
+def test_features_do_not_depend_on_pieces():
+    rng = random.Random(2)
+    texts = [b"", b" ", b"\n\n", b"one", b"one one\none one\n", "é è é\n".encode() * 9]
+    for _ in range(60):
+        texts.append("".join(rng.choice(["ab", "C3", "é", ", ", " ", "\n", "ab cd\nab cd\n", ". "]) + rng.choice([" ", "", "\n"]) for _ in range(rng.randint(1, 120))).encode())
+    for text in texts:
+        want = plain_features(text)
+        longest = max(map(len, text.split()), default=0)
+        for size in (1 << 20, 200, 64, 24):
+            if longest < size - 1:
+                assert quality.features(text, size).tolist() == pytest.approx(want, abs=1e-12)
+
+
+def test_quantile_against_sorting(spark):
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=500), np.repeat([1.0, 2.0, 5.0], [300, 1, 40]), np.array([3.0]), np.exp(rng.normal(size=300) * 9)):
+        frame = spark.createDataFrame([(float(v),) for v in values], "raw double")
+        ordered = np.sort(values)
+        for rank in (1, len(values) // 2, len(values)):
+            at = ordered[max(rank, 1) - 1]
+            above = ordered[ordered > at]
+            assert quality.quantile_of(frame, rank, 8, 40) == pytest.approx((at + (above[0] if len(above) else at)) / 2, rel=1e-12)
+    assert quality.quantile_of(frame.limit(0), 1) is None
+
+
+def test_quality_against_plain(spark):
+    """Weights where the loss of the pairs is least, the threshold from all labelled documents, scores by plain features."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(240):
+        good = i % 3 > 0
+        words = rng.choices(["plain", "words", "Here", "stand,", "in", "rows."] if good else ["BUY", "$$$", "now!!", "BUY", "##"], k=rng.randint(3, 40))
+        rows.append((i, (" " if i % 7 else "\n").join(words), "en"))
+    frame = docs(spark, rows)
+    marks = {i: int(i % 3 > 0) if i % 11 else 0 for i, *_ in rows if i % 5}
+    labels = spark.createDataFrame(list(marks.items()), "doc_id long, quality int")
+    model = quality.fit_quality(frame, labels, most=50)  # fewer than there are, so the threshold must come from all
+    x = {i: (np.clip((np.array(plain_features(t.encode())) - model.middle) / model.spread, -8, 8) @ model.weights) for i, t, _ in rows}
+    ordered = np.sort([x[i] for i in marks])
+    at = sum(v == 0 for v in marks.values())
+    assert model.threshold == pytest.approx((ordered[at - 1] + ordered[ordered > ordered[at - 1]][0]) / 2, abs=1e-9)
+    for r in quality.score_quality(frame, model).collect():
+        want = 1 / (1 + math.exp(-max(-30, min(30, x[r.doc_id] - model.threshold))) * (1 - quality.CUT) / quality.CUT)
+        assert r.score == pytest.approx(want, abs=1e-9) and r.predicted == int(x[r.doc_id] >= model.threshold)
+
+
+def test_pairs_at_the_least_loss():
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 2, 300)
+    x = rng.normal(size=(300, 3)) + y[:, None] * [1, 0, -1]
+    model = quality.fit_pairs(x, y, 0.5, pairs=4000)
+    z = np.clip((x - model.middle) / model.spread, -8, 8)
+    draw = np.random.default_rng(0)
+    difference = z[draw.choice(np.flatnonzero(y == 1), 4000)] - z[draw.choice(np.flatnonzero(y == 0), 4000)]
+
+    def loss(w):
+        return np.log1p(np.exp(-difference @ w)).mean() + quality.RIDGE * (w @ w) / 2
+
+    for step in np.concatenate([np.eye(3), -np.eye(3)]) * 1e-3:
+        assert loss(model.weights + step) > loss(model.weights)
+
+
 @needs_data
 def test_quality_held_out(spark):
     got = held_out(spark, "op4_quality_ranking", 5, 0)
