@@ -3,13 +3,17 @@
 Spark counts; arrays hold what was counted. A token, and a row of tokens, is known by its 64-bit hash.
 
 1. Tokens: each task sums its tokens and sends them to the shard of their hash. A shard writes its
-   sorted hashes and counts.
+   sorted hashes and counts. From here on a token also has a number, its place in these arrays.
 2. Rows of as many tokens as the order: a row goes to the shard of its context, all but its last token, where all
    rows of that context meet. Rows whose context is of very frequent tokens only go to the shard of their own
-   hash instead, so no shard holds much more than another. A shard writes sorted row hashes and counts.
-3. Shorter rows, one token less at a time: a distinct row counts once for the row without its first token, so these
-   counts say how many kinds of tokens precede a row. They are dealt and written like the longest.
-4. Contexts: how many kinds of tokens follow once, twice, or more often, and the sum of their counts.
+   hash instead, so no shard holds much more than another. What is sent are sorted token numbers, as differences and
+   compressed. A shard writes sorted row hashes and counts.
+3. Contexts: how many kinds of tokens follow once, twice, or more often, and the sum of their counts. A shard has
+   and writes all of its contexts but those of very frequent tokens, whose sums from all shards are added up.
+4. Shorter rows, one token less at a time: a distinct row counts once for the row without its first token, so these
+   counts say how many kinds of tokens precede a row. They are sent and written like the longest.
+
+The number of shards follows the bytes of the texts, so a shard's memory does not grow with the corpus.
 
 Scoring maps the arrays into memory and looks up each batch's distinct tokens and rows in sorted order, so
 a worker holds the pages it touches and never the model.
@@ -29,6 +33,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +45,8 @@ SEED = 7
 BEGIN, END = (xxhash.xxh64_intdigest(mark, SEED) for mark in (b"  ", b" "))
 #: Tokens that a task sums before it sends them on.
 TOKENS_AT_ONCE = 1 << 21
+#: Bytes of text for each shard.
+SHARD_BYTES = 32 << 20
 #: A token with more than this share of a shard's tokens has its rows dealt to all shards.
 FREQUENT = 0.25
 #: Tokens that each shard names as candidates for that.
@@ -72,6 +79,11 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
 
 
+def _dealt_to(contexts: np.ndarray, last: np.ndarray, dealt: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a row's context, or of the whole row where its context is of very frequent tokens only."""
+    return shard_of(np.where(dealt, pair_hash(contexts, last), contexts), shards)
+
+
 def batches_of_tokens(batches, column: int):
     """Token arrays of many texts, about ``TOKENS_AT_ONCE`` tokens at a time."""
     held: list[np.ndarray] = []
@@ -87,56 +99,86 @@ def batches_of_tokens(batches, column: int):
         yield held
 
 
-def _rows(texts: list[np.ndarray], order: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every token the hashes of its contexts of ``order`` - 1 tokens to one, the frequent tokens they end with, and itself.
-
-    Before the first token of a text stand begins.
-    """
-    last = np.concatenate(texts)
-    starts = np.cumsum([0, *map(len, texts[:-1])])
-    place = np.arange(len(last)) - np.repeat(starts, list(map(len, texts)))
-    before = []
+def _before(last: np.ndarray, sizes: list[int], order: int, begin) -> list[np.ndarray]:
+    """For every token of texts of some sizes the one before it, the one before that, and so on; begins before the first."""
+    place = np.arange(len(last)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+    out = []
     for back in range(1, order):
-        token = np.full(len(last), BEGIN, np.uint64)
+        token = np.full(len(last), begin, last.dtype)
         token[back:] = last[: max(0, len(last) - back)]
-        token[place < back] = BEGIN
-        before.append(token)
-    contexts = []
-    for length in range(order - 1, 0, -1):
+        token[place < back] = begin
+        out.append(token)
+    return out
+
+
+def _contexts(before: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of the contexts of all tokens before, one less, and so on to one."""
+    out = []
+    for length in range(len(before), 0, -1):
         own = before[length - 1]
         for token in before[length - 2 :: -1] if length > 1 else ():
             own = pair_hash(own, token)
-        contexts.append(own)
-    often, still = np.zeros(len(last), np.uint8), np.ones(len(last), bool)
+        out.append(own)
+    return out
+
+
+def _often(before: list[np.ndarray], frequent: np.ndarray) -> np.ndarray:
+    """With how many frequent tokens a context ends."""
+    often, still = np.zeros(len(before[0]), np.uint8), np.ones(len(before[0]), bool)
     for token in before:
         still &= np.isin(token, frequent)
         often += still
-    return np.stack(contexts), often, last
-
-
-def _sent(contexts: np.ndarray, often: np.ndarray, last: np.ndarray, counts: np.ndarray, shards: int) -> dict[str, list]:
-    """Distinct rows and their counts, a line for each shard; a context stands once for all that follow it."""
-    grams = pair_hash(contexts[0], last)
-    dealt = often >= len(contexts)
-    shard = shard_of(np.where(dealt, grams, contexts[0]), shards)
-    order = np.lexsort((grams, contexts[0], shard))
-    grams, shard = grams[order], shard[order]
-    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-    counts, order, shard = np.add.reduceat(counts[order].astype(np.int64), starts), order[starts], shard[starts]
-    out: dict[str, list] = {k: [] for k in ("shard", "contexts", "often", "runs", "lasts", "counts")}
+    return often
+
+
+def _rows(texts: list[np.ndarray], order: int, frequent: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For every token the hashes of its contexts of ``order`` - 1 tokens to one, the frequent tokens they end with, and itself."""
+    last = np.concatenate(texts)
+    before = _before(last, list(map(len, texts)), order, np.uint64(BEGIN))
+    return _contexts(before), _often(before, frequent), last
+
+
+def _small(values: np.ndarray) -> np.ndarray:
+    """Counts in the smallest kind of integer that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers, compressed with their first bytes together, their second ones, and so on."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return values.dtype.str.encode() + zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    kind = np.dtype(data[:3].decode())
+    planes = np.frombuffer(zstandard.decompress(data[3:]), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _sent(before: np.ndarray, last: np.ndarray, shard: np.ndarray, counts: np.ndarray) -> dict[str, list]:
+    """Distinct rows and their counts, a line for each shard; a context stands once for all that follow it.
+
+    ``before`` holds the numbers of the context's tokens, the first one first; ``last`` those of the last tokens.
+    """
+    order = np.lexsort((last, *before[::-1], shard))
+    before, last, shard = before[:, order], last[order], shard[order]
+    starts = np.flatnonzero(np.append(True, (last[1:] != last[:-1]) | (before[:, 1:] != before[:, :-1]).any(axis=0)))
+    counts = np.add.reduceat(counts[order].astype(np.int64), starts)
+    before, last, shard = before[:, starts], last[starts], shard[starts]
+    out: dict[str, list] = {k: [] for k in _SENT_TYPES}
     for number, a, b in _slices(shard):
-        own = order[a:b]
-        first = contexts[0][own]
-        heads = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-        values = (contexts[:, own[heads]], often[own[heads]], np.diff(np.append(heads, b - a)).astype(np.uint32), last[own], counts[a:b].astype(np.uint32))
+        own = before[:, a:b]
+        heads = np.flatnonzero(np.append(True, (own[:, 1:] != own[:, :-1]).any(axis=0)))
+        steps = np.diff(own[:, heads], axis=1, prepend=np.zeros((len(own), 1), own.dtype))
+        values = (steps.ravel(), _small(np.diff(np.append(heads, b - a))), last[a:b], _small(counts[a:b]))
         out["shard"].append(number)
-        for name, value in zip(("contexts", "often", "runs", "lasts", "counts"), values):
-            out[name].append(np.ascontiguousarray(value).tobytes())
+        for name, value in zip(("before", "runs", "lasts", "counts"), values):
+            out[name].append(_packed(value))
     return out
 
 
-_SENT = "shard int, contexts binary, often binary, runs binary, lasts binary, counts binary"
-_SENT_TYPES = {"shard": pa.int32(), **dict.fromkeys(("contexts", "often", "runs", "lasts", "counts"), pa.binary())}
+_SENT = "shard int, before binary, runs binary, lasts binary, counts binary"
+_SENT_TYPES = {"shard": pa.int32(), **dict.fromkeys(("before", "runs", "lasts", "counts"), pa.binary())}
 
 
 def _table(sent: dict[str, list]) -> dict[str, pa.Array]:
@@ -171,8 +213,36 @@ def _mapped(folder: str, name: str) -> np.ndarray:
     return np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, np.uint64)
 
 
-def _bytes(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_py(), kind) for x in column])
+def _all(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([_unpacked(x.as_py()) for x in column])
+
+
+@dataclass(frozen=True)
+class Numbers:
+    """Numbers of tokens: their places in the arrays of all shards, one after the other."""
+
+    folder: str
+    ends: np.ndarray
+
+    @property
+    def kind(self) -> type:
+        return np.uint32 if self.ends[-1] < 1 << 32 else np.uint64
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of sorted hashes, which are all there."""
+        out = np.empty(len(hashes), self.kind)
+        for shard, a, b in _slices(shard_of(hashes, len(self.ends))):
+            held = _mapped(self.folder, f"token-{shard}")
+            out[a:b] = self.ends[shard] - len(held) + np.searchsorted(held, hashes[a:b])
+        return out
+
+    def hashes(self, numbers: np.ndarray) -> np.ndarray:
+        kinds, back = np.unique(numbers, return_inverse=True)
+        out = np.empty(len(kinds), np.uint64)
+        for shard, a, b in _slices(np.searchsorted(self.ends, kinds, "right")):
+            held = _mapped(self.folder, f"token-{shard}")
+            out[a:b] = held[kinds[a:b].astype(np.int64) - (self.ends[shard] - len(held))]
+        return out[back]
 
 
 def _look_up(folder: str, names: tuple[str, ...], shard: int, keys: np.ndarray) -> list[np.ndarray]:
@@ -232,8 +302,12 @@ class Model:
         chance, counts = lower[back], counts[back]
         for size, lost in enumerate(self.row_discounts, 2):
             context = contexts[self.order - size]
-            keys, back = np.unique(context, return_inverse=True)
-            total, spare = (x[back] for x in self._found((f"context{size}", f"total{size}", f"spare{size}"), keys, shard_of(keys, self.shards)))
+            keys, first, back = np.unique(context, return_index=True, return_inverse=True)
+            dealt, sums = often[first] >= size - 1, np.zeros((4, len(keys)))
+            for name, some in (("context", ~dealt), ("dealt", dealt)):
+                names = tuple(f"{name}{size}{kind}" for kind in ("", "-once", "-twice", "-more", "-total"))
+                sums[:, some] = self._found(names, keys[some], shard_of(keys[some], self.shards))
+            spare, total = (lost[1:] @ sums[:3])[back], sums[3][back]
             rows, first, back = np.unique(pair_hash(context, last), return_index=True, return_inverse=True)
             shard = shard_of(np.where(often[first] >= size - 1, rows, context[first]), self.shards)
             times = self._found((f"row{size}", f"times{size}"), rows, shard)[0][back]
@@ -252,13 +326,18 @@ def _folder(docs: DataFrame) -> str:
     return path.path
 
 
-def train(docs: DataFrame, order: int = 2) -> Model:
-    """Count the texts of ``docs``, null as empty, and write the arrays of a model of rows of ``order`` tokens into the shared folder."""
+def train(docs: DataFrame, order: int = 2, shard_bytes: int = SHARD_BYTES) -> Model:
+    """Count the texts of ``docs`` and write the arrays of a model of rows of ``order`` tokens into the shared folder.
+
+    A null or empty text has its end alone; a repeated row counts again; texts of any length are read whole, one
+    at a time. Only ``text`` is read. An empty table gives a model of nothing.
+    """
     if order < 2:
         raise ValueError("the order is two or more")
     folder = _folder(docs)
-    shards = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("text")
+    size, documents = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    shards = 1 + (size + documents) // shard_bytes
 
     def sum_tokens(batches):
         for held in batches_of_tokens(batches, 0):
@@ -266,24 +345,29 @@ def train(docs: DataFrame, order: int = 2) -> Model:
             at = int(np.searchsorted(keys, np.uint64(BEGIN)))  # a document begins once; this is the begin's count as a context
             keys, counts = np.insert(keys, at, np.uint64(BEGIN)), np.insert(counts, at, len(held))
             for shard, a, b in _slices(shard_of(keys, shards)):
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "keys": [keys[a:b].tobytes()], "counts": [counts[a:b].astype(np.uint32).tobytes()]})
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "keys": [_packed(np.diff(keys[a:b], prepend=np.uint64(0)))], "counts": [_packed(_small(counts[a:b]))]})
 
     def write_tokens(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
-        keys, counts = _summed(_bytes(group.column("keys"), np.uint64), _bytes(group.column("counts"), np.uint32).astype(np.int64))
+        keys = np.concatenate([np.cumsum(_unpacked(x.as_py()), dtype=np.uint64) for x in group.column("keys")])
+        keys, counts = _summed(keys, _all(group.column("counts")).astype(np.int64))
         _write(folder, f"token-{shard}", keys)
-        _write(folder, f"count-{shard}", counts)
+        _write(folder, f"count-{shard}", _small(counts))
         most = np.argsort(-counts, kind="stable")[:CANDIDATES]
-        return pa.table({"token": keys[most].view(np.int64), "n": counts[most], "kinds": [len(keys)] + [0] * (len(most) - 1), "total": [int(counts.sum())] + [0] * (len(most) - 1)})
+        return pa.table({"shard": [shard] * len(most), "token": keys[most].view(np.int64), "n": counts[most], "kinds": [len(keys)] + [0] * (len(most) - 1), "total": [int(counts.sum())] + [0] * (len(most) - 1)})
 
     schema = "shard int, keys binary, counts binary"
     candidates = materialise(
-        texts.mapInArrow(sum_tokens, schema).groupBy("shard").applyInArrow(write_tokens, "token long, n long, kinds long, total long"), "frequent"
+        texts.mapInArrow(sum_tokens, schema).groupBy("shard").applyInArrow(write_tokens, "shard long, token long, n long, kinds long, total long"), "frequent"
     )
     begin = int(np.array([BEGIN], np.uint64).view(np.int64)[0])
     kinds, total, begun = candidates.agg(
-        F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0)), F.lit(docs.count())
+        F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0)), F.lit(documents)
     ).first()
+    sizes = np.zeros(shards, np.int64)
+    for shard, n in candidates.where("kinds > 0").select("shard", "kinds").collect():  # one row for each shard
+        sizes[shard] = n
+    numbers = Numbers(folder, np.cumsum(sizes))
     limit = FREQUENT * (total / shards)
     often = candidates.where(F.col("n") > limit).select("token").toArrow().column("token").to_numpy().astype(np.int64)
     frequent = np.unique(np.append(often, begin)).view(np.uint64)
@@ -292,64 +376,80 @@ def train(docs: DataFrame, order: int = 2) -> Model:
     def sum_rows(batches):
         for held in batches_of_tokens(batches, 0):
             contexts, often, last = _rows(held, order, frequent)
-            yield pa.RecordBatch.from_pydict(_table(_sent(contexts, often, last, np.ones(len(last), np.uint32), shards)))
+            kinds, back = np.unique(last, return_inverse=True)
+            own = numbers.of(kinds)[back]
+            before = _before(own, list(map(len, held)), order, numbers.of(np.array([BEGIN], np.uint64))[0])
+            shard = _dealt_to(contexts[0], last, often >= order - 1, shards)
+            sent = _sent(np.stack(before[::-1]), own, shard, np.ones(len(own), np.uint8))
+            yield pa.RecordBatch.from_pydict(_table(sent))
 
     def write_rows(size: int):
         def write(group: pa.Table) -> pa.Table:
             shard = group.column("shard")[0].as_py()
-            runs = _bytes(group.column("runs"), np.uint32)
-            contexts = np.concatenate([np.frombuffer(x.as_py(), np.uint64).reshape(size - 1, -1) for x in group.column("contexts")], axis=1)
+            before = np.concatenate(
+                [np.cumsum(_unpacked(x.as_py()).reshape(size - 1, -1), axis=1, dtype=numbers.kind) for x in group.column("before")], axis=1
+            )
+            runs, last = _all(group.column("runs")), _all(group.column("lasts"))
+            counts = _all(group.column("counts"))
             at = np.repeat(np.arange(len(runs), dtype=np.uint32), runs)
-            last, counts = _bytes(group.column("lasts"), np.uint64), _bytes(group.column("counts"), np.uint32)
-            rows = pair_hash(contexts[0][at], last)
+            hashed = [numbers.hashes(x) for x in before[::-1]]
+            contexts, dealt = _contexts(hashed), _often(hashed, frequent)
+            last_hashes = numbers.hashes(last)
+            rows = pair_hash(contexts[0][at], last_hashes)
             by = np.argsort(rows, kind="stable")
-            starts = np.flatnonzero(np.concatenate([[True], rows[by[1:]] != rows[by[:-1]]]))
+            starts = np.flatnonzero(np.append(True, rows[by[1:]] != rows[by[:-1]]))
             counts = np.add.reduceat(counts[by].astype(np.int64), starts)
             by = by[starts]
-            at, last = at[by], last[by]
+            at, last, last_hashes = at[by], last[by], last_hashes[by]
             _write(folder, f"row{size}-{shard}", rows[by])
-            _write(folder, f"times{size}-{shard}", counts.astype(np.float32))
-            keys, *sums = _summed(contexts[0][at], *((counts == n).astype(np.int64) for n in (1, 2)), (counts >= 3).astype(np.int64), counts)
+            _write(folder, f"times{size}-{shard}", _small(counts))
+            followed = [(counts == n).astype(np.int64) for n in (1, 2)] + [(counts >= 3).astype(np.int64), counts]
+            whole = dealt[at] < size - 1
+            write_sums(f"context{size}", shard, *_summed(contexts[0][at[whole]], *(x[whole] for x in followed)))
+            keys, *sums = _summed(contexts[0][at[~whole]], *(x[~whole] for x in followed))
             seen = np.array([len(counts), *((counts == n).sum() for n in (1, 2, 3, 4))], np.int64)
-            parts = _slices(shard_of(keys, shards))
-            out = {k: [] for k in _SENT_TYPES}
-            for number, a, b in parts:
-                for name, value in zip(_SENT_TYPES, (number, np.stack([x[a:b] for x in sums]).tobytes(), b"", b"", keys[a:b].tobytes(), b"")):
+            out: dict[str, list] = {k: [] for k in _SENT_TYPES}
+            for number, a, b in _slices(shard_of(keys, shards)) if len(keys) else ():
+                for name, value in zip(_SENT_TYPES, (number, _packed(np.stack([x[a:b] for x in sums]).ravel()), b"", _packed(keys[a:b]), b"")):
                     out[name].append(value)
+            n_sums = len(out["shard"])
             if size > 2:
-                shorter = _sent(contexts[1:, at], _bytes(group.column("often"), np.uint8)[at], last, np.ones(len(last), np.uint32), shards)
+                to = _dealt_to(contexts[1][at], last_hashes, dealt[at] >= size - 2, shards)
+                shorter = _sent(before[1:, at], last, to, np.ones(len(last), np.uint8))
             else:
-                keys, ones = _summed(last, np.ones(len(last), np.uint32))
+                keys, ones = _summed(last_hashes, np.ones(len(last), np.int64))
                 shorter = {k: [] for k in _SENT_TYPES}
                 for number, a, b in _slices(shard_of(keys, shards)):
-                    for name, value in zip(_SENT_TYPES, (number, b"", b"", b"", keys[a:b].tobytes(), ones[a:b].astype(np.uint32).tobytes())):
+                    for name, value in zip(_SENT_TYPES, (number, b"", b"", _packed(keys[a:b]), _packed(_small(ones[a:b])))):
                         shorter[name].append(value)
-            n = len(parts) + len(shorter["shard"])
+            n = n_sums + len(shorter["shard"])
             columns = {k: pa.array(out[k] + shorter[k], t) for k, t in _SENT_TYPES.items()}
             seen = pa.array([seen.tolist() if i == 0 else [0] * 5 for i in range(n)], pa.list_(pa.int64()))
-            return pa.table(columns | {"shorter": pa.array(np.arange(n) >= len(parts)), "seen": seen})
+            return pa.table(columns | {"shorter": pa.array(np.arange(n) >= n_sums), "seen": seen})
 
         return write
 
-    def write_contexts(size: int, lost: np.ndarray):
+    def write_sums(name: str, shard: int, keys: np.ndarray, *sums: np.ndarray) -> None:
+        _write(folder, f"{name}-{shard}", keys)
+        for kind, values in zip(("once", "twice", "more", "total"), sums):
+            _write(folder, f"{name}-{kind}-{shard}", _small(values))
+
+    def write_dealt(size: int):
         def write(group: pa.Table) -> pa.Table:
-            shard = group.column("shard")[0].as_py()
-            sums = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(4, -1) for x in group.column("contexts")], axis=1)
-            keys, once, twice, more, total = _summed(_bytes(group.column("lasts"), np.uint64), *sums)
-            _write(folder, f"context{size}-{shard}", keys)
-            _write(folder, f"total{size}-{shard}", total)
-            _write(folder, f"spare{size}-{shard}", (lost[1] * once + lost[2] * twice + lost[3] * more).astype(np.float32))
+            sums = np.concatenate([_unpacked(x.as_py()).reshape(4, -1) for x in group.column("before")], axis=1)
+            keys, *sums = _summed(_all(group.column("lasts")), *sums)
+            write_sums(f"dealt{size}", group.column("shard")[0].as_py(), keys, *sums)
             return pa.table({"contexts": [len(keys)]})
 
         return write
 
     def write_before(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
-        keys, before = _summed(_bytes(group.column("lasts"), np.uint64), _bytes(group.column("counts"), np.uint32).astype(np.int64))
+        keys, before = _summed(_all(group.column("lasts")), _all(group.column("counts")).astype(np.int64))
         held = _mapped(folder, f"token-{shard}")
-        after = np.zeros(len(held), np.float32)
+        after = np.zeros(len(held), np.int64)
         after[np.searchsorted(held, keys)] = before
-        _write(folder, f"before-{shard}", after)
+        _write(folder, f"before-{shard}", _small(after))
         return pa.table({"seen": [[int((before == n).sum()) for n in (1, 2, 3, 4)] + [int((before >= 3).sum())]]})
 
     sent = texts.mapInArrow(sum_rows, _SENT)
@@ -358,8 +458,8 @@ def train(docs: DataFrame, order: int = 2) -> Model:
         found = materialise(sent.groupBy("shard").applyInArrow(write_rows(size), f"{_SENT}, shorter boolean, seen array<long>"), f"rows-{size}")
         seen = [x or 0 for x in found.agg(*(F.sum(F.col("seen")[i]) for i in range(5))).first()]
         row_discounts.insert(0, discounts(np.array(seen[1:])))
-        contexts = found.where("not shorter").select("shard", "contexts", "lasts")
-        contexts.groupBy("shard").applyInArrow(write_contexts(size, row_discounts[0]), "contexts long").agg(F.sum("contexts")).collect()
+        dealt = found.where("not shorter").select("shard", "before", "lasts")
+        dealt.groupBy("shard").applyInArrow(write_dealt(size), "contexts long").agg(F.sum("contexts")).collect()
         sent = found.where("shorter").select(*_SENT_TYPES)
     more = sent.groupBy("shard").applyInArrow(write_before, "seen array<long>")
     kinds_before = [x or 0 for x in more.agg(*(F.sum(F.col("seen")[i]) for i in range(5))).first()]

@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as contract
@@ -79,7 +80,8 @@ def test_against_dictionaries(spark, monkeypatch, at_once):
     rows = corpus(1)
     frame = spark.createDataFrame(rows, SCHEMA)
     learned = frame.where("doc_id is null or doc_id < 100")
-    model = train(learned)
+    model = train(learned, shard_bytes=300 if at_once == 50 else kneser_ney.SHARD_BYTES)
+    assert (model.shards > 5) == (at_once == 50)
     plain = Plain([r[1] for r in rows if r[0] is None or r[0] < 100])
     got = score(frame, model).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
@@ -89,7 +91,16 @@ def test_against_dictionaries(spark, monkeypatch, at_once):
     for r in got:
         n, known, total, base, logs = want[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
-        assert math.isclose(r.base_score, base, abs_tol=1e-9) and math.isclose(r.score, logs, rel_tol=1e-5, abs_tol=1e-6)
+        assert math.isclose(r.base_score, base, abs_tol=1e-9) and math.isclose(r.score, logs, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_sent_rows_come_back():
+    """Packed numbers of any kind, and large counts, are the same when unpacked."""
+    rng = np.random.default_rng(1)
+    for values in (np.zeros(0, np.uint8), rng.integers(0, 1 << 40, 99, np.uint64), np.array([(1 << 24) + 1, 3], np.uint32), -rng.integers(0, 9, 7)):
+        assert kneser_ney._unpacked(kneser_ney._packed(values)).tolist() == values.tolist()
+    small = kneser_ney._small(np.array([0, (1 << 24) + 1]))
+    assert small.dtype == np.uint32 and small.tolist() == [0, (1 << 24) + 1]
 
 
 def test_chances_add_up_to_one():
@@ -151,11 +162,11 @@ def test_longer_rows_against_dictionaries(spark, monkeypatch, order, at_once):
     monkeypatch.setattr(kneser_ney, "TOKENS_AT_ONCE", at_once)
     rows = corpus(4)
     frame = spark.createDataFrame(rows, SCHEMA)
-    model = train(frame.where("doc_id is null or doc_id < 100"), order)
+    model = train(frame.where("doc_id is null or doc_id < 100"), order, 300 if at_once == 50 else kneser_ney.SHARD_BYTES)
     plain = Longer([r[1] for r in rows if r[0] is None or r[0] < 100], order)
     want = {r[0]: plain.score(r[1]) for r in rows}
     for r in score(frame, model).collect():
-        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-5, abs_tol=1e-6)
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-9, abs_tol=1e-9)
     context = ("the",) * (order - 1)
     assert math.isclose(sum(plain.chance((*context, w)) for w in [*plain.kinds, "never met"]), 1, rel_tol=1e-9)
     assert kneser_ney.ORDER >= 3 and train(frame.limit(0), 3).order == 3
