@@ -45,8 +45,8 @@ SEED = 7
 BEGIN, END = (xxhash.xxh64_intdigest(mark, SEED) for mark in (b"  ", b" "))
 #: Tokens that a task sums before it sends them on.
 TOKENS_AT_ONCE = 1 << 21
-#: Bytes of text for each shard.
-SHARD_BYTES = 32 << 20
+#: Bytes of text for each shard, a shard being what one task sorts; larger workers may have larger shards and so fewer files.
+SHARD_BYTES = 8 << 20
 #: A token with more than this share of a shard's tokens has its rows dealt to all shards.
 FREQUENT = 0.25
 #: Tokens that each shard names as candidates for that.
@@ -400,8 +400,9 @@ def train(docs: DataFrame, order: int = 2, shard_bytes: int = SHARD_BYTES) -> Mo
             starts = np.flatnonzero(np.append(True, rows[by[1:]] != rows[by[:-1]]))
             counts = np.add.reduceat(counts[by].astype(np.int64), starts)
             by = by[starts]
-            at, last, last_hashes = at[by], last[by], last_hashes[by]
-            _write(folder, f"row{size}-{shard}", rows[by])
+            at, last, last_hashes, rows = at[by], last[by], last_hashes[by], rows[by]
+            del by, hashed, runs
+            _write(folder, f"row{size}-{shard}", rows)
             _write(folder, f"times{size}-{shard}", _small(counts))
             followed = [(counts == n).astype(np.int64) for n in (1, 2)] + [(counts >= 3).astype(np.int64), counts]
             whole = dealt[at] < size - 1
