@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from docweave.operators.upsert import latest_per_key
-from docweave.plans.jobs import SLICE_SIZE, AuditLog, Counts, Loaded, load_slice, store_known
+from docweave.plans.jobs import SLICE_SIZE, AuditLog, Counts, Loaded, load_slice, store_changes
 from docweave.sinks.tables import COMPLETED, FAILED, STARTED, append_batch
 from docweave.sources.documents import case_sensitive, stream_feed, stream_paths
 from docweave.sources.files import current_root, target_columns
@@ -94,7 +94,7 @@ def feed_stream(
 
     def store_parsed(batch: DataFrame, batch_id: int) -> None:
         with case_sensitive(batch.sparkSession):
-            stored(lambda known: store_known(batch, table, quarantine, batch_id, known, schema=schema, **options), batch_id)
+            stored(lambda known: store_changes(batch, table, quarantine, batch_id, known, schema=schema, **options), batch_id)
 
     def store_files(batch: DataFrame, batch_id: int) -> None:
         paths = [row.path for row in batch.collect()]
