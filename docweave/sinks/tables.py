@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Mapping, Sequence
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from docweave.functions.names import is_case_sensitive, quoted
 from docweave.operators.upsert import latest_per_key, latest_versions, live_rows
 from docweave.schemas import AUDIT, AUDIT_KEYS, BOOKMARK, LEDGER, QUARANTINE
+from docweave.sources.documents import setting
 from docweave.sources.files import (
     BASE,
     BASE_FOLDER,
@@ -39,6 +41,9 @@ STARTED, COMPLETED, FAILED = "Started", "Completed", "Failed"
 QUARANTINE_PARTITIONS = ["source_system", "table_name", "year", "month", "day"]
 LEDGER_PARTITIONS = ["status", "data_layer", "source"]
 
+#: Shuffled bytes that a task which sorts its rows is given. In memory rows are about twenty times as large.
+SORTED_BYTES = "16MB"
+
 
 def write_table(
     df: DataFrame,
@@ -49,7 +54,8 @@ def write_table(
     partition_by: Sequence[str] = (),
     sort_by: Sequence[str] = (),
 ) -> None:
-    """``sort_by`` puts rows that are asked for together side by side in their files."""
+    """``sort_by`` puts rows that are asked for together side by side in their files; a task then has about
+    ``SORTED_BYTES``, however many rows there are of one partition value, as it holds them in memory."""
     if partition_by:
         df = df.hint("rebalance", *partition_by)
     if sort_by:
@@ -57,7 +63,8 @@ def write_table(
     writer = df.write.format(format).options(**(options or {})).mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.save(path)
+    with setting(df.sparkSession, "spark.sql.adaptive.advisoryPartitionSizeInBytes", SORTED_BYTES) if sort_by else nullcontext():
+        writer.save(path)
 
 
 def write_quarantine(
