@@ -170,3 +170,52 @@ def test_longer_rows_against_dictionaries(spark, monkeypatch, order, at_once):
     context = ("the",) * (order - 1)
     assert math.isclose(sum(plain.chance((*context, w)) for w in [*plain.kinds, "never met"]), 1, rel_tol=1e-9)
     assert kneser_ney.ORDER >= 3 and train(frame.limit(0), 3).order == 3
+
+
+@pytest.mark.parametrize("width", [1 << 33, 1 << 44, 1 << 52, 1 << 64])
+def test_hashes_without_shared_bits_are_found(tmp_path, monkeypatch, width):
+    """All bits of a hash count, also the last ones, and hashes outside the range of an array are not there."""
+    monkeypatch.setattr(kneser_ney, "FEW", 10)
+    kneser_ney._mapped.cache_clear()
+    rng = np.random.default_rng(3)
+    first = np.uint64(0 if width == 1 << 64 else 5 << 60)
+    own = rng.integers(0, width, 5000, np.uint64, endpoint=False) if width < 1 << 64 else rng.integers(0, (1 << 64) - 1, 5000, np.uint64, endpoint=True)
+    keys = np.unique(np.concatenate([first + own, first + own[:50] + np.uint64(1), first + own[:50] + np.uint64(2)]))
+    kneser_ney._write_hashes(str(tmp_path), "row", keys)
+    written = sum(os.path.getsize(tmp_path / f) for f in os.listdir(tmp_path))
+    assert written < 7 * len(keys) + 1000 or width == 1 << 64  # so few hashes over all numbers have as many ranges as there may be
+    near = [keys + np.uint64(d) for d in (0, 1, 3)] + [keys - np.uint64(1), keys ^ np.uint64(1 << 40), rng.integers(0, (1 << 64) - 1, 999, np.uint64)]
+    asked = np.unique(np.concatenate([*near, np.array([0, (1 << 64) - 1], np.uint64)]))
+    at, there = kneser_ney._places(str(tmp_path), "row", asked)
+    assert (there == np.isin(asked, keys)).all() and (keys[at[there]] == asked[there]).all()
+
+
+def test_counts_of_any_size_come_back(tmp_path):
+    kneser_ney._mapped.cache_clear()
+    folder, keys = str(tmp_path), np.arange(10, 20, dtype=np.uint64)
+    times = np.array([1, 2, 254, 255, 256, 70_000, 1 << 33, 3, 1, 255])
+    kneser_ney._write_hashes(folder, "row", keys)
+    kneser_ney._write_times(folder, "times", times)
+    assert kneser_ney._times(folder, ("row", "times"), np.append(keys, np.uint64(99))).tolist() == [*times, 0]
+    once, twice = np.array([1, 31, 32, 0, 0, 31, 5, 0, 70_000, 1]), np.array([0, 6, 0, 7, 6, 7, 5, 0, 1, 0])
+    more = np.array([0, 0, 0, 0, 0, 0, 1, 1, 0, 300])
+    total = once + 2 * twice + 5 * more
+    kneser_ney._write_followed(folder, "followed", [once, twice, more, total])
+    found = kneser_ney._followed(folder, ("row", "followed"), np.append(keys, np.uint64(99)))
+    assert found[:, :-1].astype(int).tolist() == [x.tolist() for x in (once, twice, more, total)] and not found[:, -1].any()
+
+
+def test_large_arrays_give_the_same_chances_on_less_disk(spark, monkeypatch):
+    """Arrays above the size from which hashes lose their shared bits, in fewer bytes for each row than its hash and count alone had."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.3)) % 20000}" for _ in range(1500)) for _ in range(200)]
+    frame = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA)
+    model = train(frame, 3)
+    plain = Longer(texts, 3)
+    some = frame.where("doc_id < 5").collect()
+    got = {r.doc_id: r.score for r in score(frame.where("doc_id < 5"), model).collect()}
+    assert all(math.isclose(got[r.doc_id], plain.score(r.text), rel_tol=1e-9) for r in some)
+    rows = {size: len(plain.levels[size][0]) for size in (2, 3)}
+    assert min(rows.values()) > kneser_ney.FEW
+    size = sum(os.path.getsize(f"{model.folder}/{f}") for f in os.listdir(model.folder) if f.startswith(("row", "times")))
+    assert size < 9 * sum(rows.values())
