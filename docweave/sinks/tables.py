@@ -6,6 +6,7 @@ value that holds a large part of the rows is split over several tasks and files.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Mapping, Sequence
 from contextlib import nullcontext
@@ -41,6 +42,9 @@ STARTED, COMPLETED, FAILED = "Started", "Completed", "Failed"
 QUARANTINE_PARTITIONS = ["source_system", "table_name", "year", "month", "day"]
 LEDGER_PARTITIONS = ["status", "data_layer", "source"]
 
+#: The folder inside a compacted batch in which it is noted of which keys it holds one version each.
+COMPACTED_FOLDER = "_compacted"
+
 #: Shuffled bytes that a task which sorts its rows is given. In memory rows are about twenty times as large.
 SORTED_BYTES = "16MB"
 
@@ -300,8 +304,13 @@ def read_current(
 
     A version that came in several batches is taken from the last of them, and one that was delivered several times in
     a batch from one delivery. ``keys`` and ``seq`` are attributes; names of columns are those of :func:`read_changes`.
+    A compacted table without batches above is read as it stands, with no shuffle.
     """
+    compacted = _is_compacted(spark, current_root(spark, path), keys, seq, order)
     rows, noted = _read(spark, path, schema, format)
+    if compacted:
+        latest = _attributes(rows.where(F.col(BATCH) == 0).drop(BATCH, VERSION), noted)
+        return latest if deletes is None else live_rows(latest, deletes)
     stored = {c.name: c.stored for c in noted}
     prefer = [F.col(BATCH).desc_nulls_last()]
     if VERSION in rows.columns:
@@ -311,6 +320,20 @@ def read_current(
     return latest if deletes is None else live_rows(latest, deletes)
 
 
+def _versions_of(keys: Sequence[str], seq: str, order: str) -> str:
+    return json.dumps([list(keys), seq, order])
+
+
+def _is_compacted(spark: SparkSession, root: str, keys: Sequence[str], seq: str, order: str) -> bool:
+    """Whether a table is one compacted batch, which holds the latest version of each key by the same order."""
+    there = entries(spark, root)
+    data = [name for name in there if not name.startswith(("_", "."))]
+    note = f"{root}/{BATCH}=0/{COMPACTED_FOLDER}"
+    if data != [f"{BATCH}=0"] or not exists(spark, f"{note}/_SUCCESS"):
+        return False
+    return spark.read.schema("by string").parquet(note).first()[0] == _versions_of(keys, seq, order)
+
+
 def compact(
     spark: SparkSession,
     path: str,
@@ -320,10 +343,15 @@ def compact(
     order: str = "numeric",
     format: str = "parquet",
 ) -> None:
-    """Write the current rows (tombstones included) of a change table as batch 0 of a new one."""
+    """Write the current rows (tombstones included) of a change table as batch 0 of a new one.
+
+    The batch is noted as compacted when it is complete; the note is inside it, so writing the batch again removes it.
+    """
     current = read_current(spark, path, keys, seq, order, format=format)
     stored = {column: name for name, column in stored_columns(spark, path).items()}
     append_batch(current.toDF(*[stored.get(c, c) for c in current.columns]), new_path, 0, format)
+    note = spark.range(1).select(F.lit(_versions_of(keys, seq, order)).alias("by")).coalesce(1)
+    note.write.mode("overwrite").parquet(f"{current_root(spark, new_path)}/{BATCH}=0/{COMPACTED_FOLDER}")
 
 
 def audit_path(root: str, source_system: str, table_name: str) -> str:
