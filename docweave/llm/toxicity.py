@@ -4,7 +4,8 @@ Terms are words and the beginnings of words. The vocabulary holds every term of
 document frequencies are counted over all documents. Examples are found through a block-max inverted index:
 similar ones share a block, the largest weights of its terms bound their cosines, and blocks that
 cannot hold a neighbour are passed over. What is left is scored in single precision; examples that its rounding cannot tell
-from the nearest ones are compared again in double precision, so the result is that of exact cosines with all examples.
+from the nearest ones are compared again in double precision, so the result is that of exact cosines with all examples. One task
+makes the index and writes its arrays into the shared folder; workers map them into memory and hold none of their own.
 
 Near examples vote with weights that fall with their distance. The votes that the examples themselves
 get from the others are turned into shares by isotonic regression, which calibrates the score.
@@ -13,6 +14,8 @@ get from the others are turned into shares by isotonic regression, which calibra
 from __future__ import annotations
 
 import hashlib
+import os
+import uuid
 import zlib
 from array import array
 from collections import Counter
@@ -27,7 +30,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import as_bytes, labelled, one_text_each, pieces
+from docweave.llm.common import CLEANUP, as_bytes, labelled, mounted_folder, one_text_each, pieces
+from docweave.sources.documents import setting
 
 #: Labelled examples of label 1 and of label 0, at most.
 MOST_TOXIC, MOST_OTHER = 4_000, 12_000
@@ -40,6 +44,8 @@ BLOCK, LEADERS, TRIED = 16, 64, 2
 AT_ONCE, GROUP = 256, 32
 #: Postings of a term in more than this share of the examples are dense.
 COMMON = 1 / 9
+#: Blocks of a query's lists are taken one by one if less than one in so many is needed, and else whole lists.
+SHORT = 4
 #: Words of which a worker remembers the terms.
 REMEMBERED = 1 << 18
 CUT = 0.3
@@ -77,6 +83,18 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(lengths.sum()) + np.repeat(starts - cuts, lengths), lengths, cuts
 
 
+def _joined(array: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The values in some ranges, one after the other; for few long ranges faster than taking all their places."""
+    return np.concatenate([array[:0], *map(array.__getitem__, map(slice, starts.tolist(), ends.tolist()))])
+
+
+#: What a saved index consists of.
+_ARRAYS = (
+    *("starts", "terms", "weights", "examples", "column", "dense", "dense_most"),
+    *("posted", "posted_weights", "entry_block", "entry_most", "entry_at", "at"),
+)
+
+
 class Index:
     """Weighted examples behind a block-max inverted index. ``rows`` are dictionaries or vectors.
 
@@ -100,6 +118,30 @@ class Index:
     def __getstate__(self):
         return {k: self.__dict__[k] for k in ("size", "n_terms", "starts", "terms", "weights")} | {"_ready": False}
 
+    def save(self, folder: str) -> None:
+        """Write the arrays; a task that is run again replaces them by the same."""
+        if not self._ready:
+            self._prepare()
+        for name in _ARRAYS:
+            part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+            with open(part, "wb") as file:
+                np.save(file, getattr(self, name))
+            os.replace(part, f"{folder}/{name}.npy")
+
+    @classmethod
+    def mapped(cls, folder: str) -> Index:
+        """An index that was saved, whose arrays stay in their files."""
+        index = cls.__new__(cls)
+        for name in _ARRAYS:
+            path = f"{folder}/{name}.npy"
+            array = np.load(path, mmap_mode="r")
+            setattr(index, name, array.view(np.ndarray))
+        index.size, index.n_terms = len(index.starts) - 1, len(index.column)
+        index.blocks = len(index.dense)
+        index._query = np.zeros(index.n_terms)
+        index._ready = True
+        return index
+
     def row(self, example: int) -> Vector:
         a, b = self.starts[example], self.starts[example + 1]
         return self.terms[a:b], self.weights[a:b]
@@ -133,7 +175,7 @@ class Index:
         self.dense_most = self.dense.max(axis=1)
         terms, weights, number = terms[~dense], weights[~dense], number[~dense]
         order = np.argsort(terms, kind="stable")
-        terms, self.posted, self.posted_weights = terms[order], number[order], weights[order]
+        terms, self.posted, self.posted_weights = terms[order], number[order].astype(np.min_scalar_type(n)), weights[order]
         del order, number, weights
         block = self.posted // BLOCK
         first = np.ones(len(terms), bool)
@@ -142,7 +184,7 @@ class Index:
         #: For each term and block that holds it: the block, the largest weight, and where its postings begin.
         self.entry_block = block[begins]
         self.entry_most = np.maximum.reduceat(self.posted_weights, begins) if len(begins) else np.zeros(0, np.float32)
-        self.entry_at = np.append(begins, len(terms))
+        self.entry_at = np.append(begins, len(terms)).astype(np.int32 if len(terms) < 1 << 31 else np.int64)
         self.at = np.concatenate([[0], np.cumsum(np.bincount(terms[begins], minlength=self.n_terms))])
         self._query = np.zeros(self.n_terms)
         self._ready = True
@@ -195,10 +237,9 @@ class Index:
         needed = np.zeros(bounds.shape, bool)
         for i, (terms, weights) in enumerate(queries):
             rare = self.column[terms] < 0
-            places, lengths, _ = _spans(self.at[terms[rare]], self.at[terms[rare] + 1])
-            own = np.repeat(weights[rare], lengths)
-            if len(places):
-                bounds[i] += np.bincount(self.entry_block[places], own * self.entry_most[places], self.blocks).astype(np.float32)
+            begins, ends, own = self.at[terms[rare]], self.at[terms[rare] + 1], weights[rare]
+            blocks, each = _joined(self.entry_block, begins, ends), np.repeat(own, ends - begins)
+            bounds[i] += np.bincount(blocks, each * _joined(self.entry_most, begins, ends), self.blocks).astype(np.float32)
             first = np.argpartition(-bounds[i], TRIED)[:TRIED] if self.blocks > TRIED else np.arange(self.blocks)
             tried = self.examples[(first[:, None] * BLOCK + np.arange(BLOCK)).ravel().clip(max=len(self.examples) - 1)]
             exact = self._cosines(np.setdiff1d(tried, [without[i]]), queries[i])
@@ -206,20 +247,30 @@ class Index:
                 least[i] = max(0.0, np.partition(exact, len(exact) - k)[len(exact) - k])
             # a sum of n products of numbers rounded once is wrong by less than n + 3 units in the last place
             needed[i] = (bounds[i] > 0) & (bounds[i] * (1 + 2 * (len(terms) + 3) * 2.0**-23) >= least[i])
-            kept = needed[i, self.entry_block[places]]
-            if 2 * np.count_nonzero(kept) < len(kept):
-                entries.append((self.entry_at[places[kept]], self.entry_at[places[kept] + 1], own[kept]))
-            else:  # one range for a whole list is faster than one for each of most of its blocks
-                entries.append((self.entry_at[self.at[terms[rare]]], self.entry_at[self.at[terms[rare] + 1]], weights[rare]))
+            kept = needed[i, blocks]
+            if SHORT * np.count_nonzero(kept) < len(kept):
+                places = _spans(begins, ends)[0][kept]
+                entries.append((self.entry_at[places], self.entry_at[places + 1], each[kept]))
+            else:  # one range for a whole list is faster than one for each of many of its blocks
+                entries.append((self.entry_at[begins], self.entry_at[ends], own))
         union = np.flatnonzero(needed.any(axis=0))
-        scores = across @ self.dense[union].reshape(len(union) * BLOCK, across.shape[1]).T
+        if 2 * len(union) > self.blocks:  # the whole matrix is not copied
+            union = np.arange(self.blocks)
+            scores = across @ self.dense.reshape(self.blocks * BLOCK, across.shape[1]).T
+        else:
+            scores = across @ self.dense[union].reshape(len(union) * BLOCK, across.shape[1]).T
         for i, query in enumerate(queries):
             own = scores[i]
             begins, ends, weights = entries[i]
-            postings, lengths, _ = _spans(begins, ends)
-            if len(postings):
-                products = np.repeat(weights, lengths) * self.posted_weights[postings]
-                own += np.bincount(self.posted[postings], products, self.blocks * BLOCK).reshape(-1, BLOCK)[union].ravel().astype(np.float32)
+            if len(begins) > len(query[0]):
+                postings, lengths, _ = _spans(begins, ends)
+                posted, products = self.posted[postings], self.posted_weights[postings]
+            else:
+                lengths = ends - begins
+                posted, products = _joined(self.posted, begins, ends), _joined(self.posted_weights, begins, ends)
+            if len(posted):
+                found = np.bincount(posted, np.repeat(weights, lengths) * products, self.blocks * BLOCK).astype(np.float32)
+                own += found if len(union) == self.blocks else found.reshape(-1, BLOCK)[union].ravel()
             own.reshape(-1, BLOCK)[~needed[i, union]] = 0
             # both the k-th best and an example may be wrong by their rounding
             slack = 2 * (len(query[0]) + 3) * 2.0**-23
@@ -235,12 +286,15 @@ class Index:
     def _cosines(self, examples: np.ndarray, query: Vector) -> np.ndarray:
         """Exact cosines, in double precision."""
         terms, weights = query
-        places, lengths, cuts = _spans(self.starts[examples], self.starts[examples + 1])
+        starts, ends = self.starts[examples], self.starts[examples + 1]
+        lengths = ends - starts
+        cuts = np.cumsum(lengths) - lengths
         out = np.zeros(len(examples))
         some = lengths > 0
         if some.any():
             self._query[terms] = weights
-            out[some] = np.add.reduceat(self.weights[places] * self._query[self.terms[places]], cuts[some])
+            held = self._query[_joined(self.terms, starts, ends)]
+            out[some] = np.add.reduceat(_joined(self.weights, starts, ends) * held, cuts[some])
             self._query[terms] = 0
         return out
 
@@ -291,11 +345,11 @@ class _Numbers(dict):
 
 @dataclass(frozen=True)
 class Examples:
-    """Vocabulary, idf, packed terms and counts, labels and ids of the examples."""
+    """Vocabulary, idf, the folder of the index, labels and ids of the examples."""
 
     vocabulary: dict[bytes, int]
     idf: np.ndarray
-    packed: list[bytes]
+    folder: str | None
     labels: np.ndarray
     ids: list
 
@@ -308,8 +362,8 @@ class Examples:
 
     @cached_property
     def index(self) -> Index:
-        """Made by each worker from the packed rows, which are a small part of it."""
-        return Index(map(self.weighed, map(_unpacked, self.packed)), len(self.vocabulary))
+        """The saved one, mapped; without examples an empty one."""
+        return Index.mapped(self.folder) if self.folder else Index([], len(self.vocabulary))
 
     def counts(self, texts: Iterable[bytes | None]) -> Iterator[Vector]:
         """The vocabulary's terms in each text and how often each occurs."""
@@ -363,6 +417,11 @@ def fit_examples(docs: DataFrame, labels: DataFrame) -> Model:
     documents teaches one of their texts. Null and empty texts are examples without terms. Texts of any length are read
     whole. Empty tables teach nothing. Without any example of both labels every score is the share of label 1.
     """
+    with setting(docs.sparkSession, CLEANUP, "true"):
+        return _fitted(docs, labels)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame) -> Model:
     context = docs.sparkSession.sparkContext
     known = labels.where("doc_id is not null and toxic in (0, 1)")
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -373,7 +432,7 @@ def fit_examples(docs: DataFrame, labels: DataFrame) -> Model:
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     if not one or not zero:
         flat = np.array([share if counts else 0.0] * 2)
-        nothing = Examples({}, np.zeros(0), [], np.zeros(0, int), [])
+        nothing = Examples({}, np.zeros(0), None, np.zeros(0, int), [])
         return Model(context.broadcast(nothing), np.array([0.0, 1.0]), flat)
 
     def distinct(batches):
@@ -384,7 +443,7 @@ def fit_examples(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = texts.select("text").mapInArrow(distinct, "term binary").distinct().toArrow().column("term").to_pylist()
     vocabulary = {term: i for i, term in enumerate(sorted(chosen))}
     del chosen
-    counter = context.broadcast(Examples(vocabulary, np.zeros(0), [], np.zeros(0, int), []))
+    counter = context.broadcast(Examples(vocabulary, np.zeros(0), None, np.zeros(0, int), []))
     idf = _idf(docs, counter, len(vocabulary))
 
     def counted(batches):
@@ -393,10 +452,27 @@ def fit_examples(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "label", "packed"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    found = texts.mapInArrow(counted, f"doc_id {kind}, label int, packed binary").toArrow()
-    found = found.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("packed", "ascending")])
-    y = found.column("label").to_numpy()
-    fitted = Examples(vocabulary, idf, found.column("packed").to_pylist(), y, found.column("doc_id").to_pylist())
+    found = texts.mapInArrow(counted, f"doc_id {kind}, label int, packed binary")
+    weigher, size = Examples({}, idf, None, np.zeros(0, int), []), len(vocabulary)
+    folder = mounted_folder(docs.sparkSession, "toxicity-index")
+
+    def write_index(batches):
+        kept = []
+
+        def rows():
+            for batch in batches:
+                kept.append(batch.select(["doc_id", "label"]))
+                for row in batch.column(2):
+                    yield weigher.weighed(_unpacked(row.as_py()))
+
+        Index(rows(), size).save(folder)
+        yield from kept
+
+    # the sample is bounded, so one task can hold it
+    ordered = found.repartition(1).sortWithinPartitions("doc_id", "label", "packed")
+    kept = ordered.mapInArrow(write_index, f"doc_id {kind}, label int").toArrow()
+    y = kept.column("label").to_numpy()
+    fitted = Examples(vocabulary, idf, folder, y, kept.column("doc_id").to_pylist())
     counter.unpersist()
     shared = context.broadcast(fitted)
 

@@ -311,6 +311,28 @@ def test_blocks_bound_their_examples():
     assert passed > index.blocks * len(left_out) / 2
 
 
+def test_workers_map_the_index(spark, tmp_path):
+    """A saved index answers as the one in memory does, from arrays that stay in files; workers are sent none of its rows."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(400):
+        own = np.unique(rng.zipf(1.4, 40) % 500).astype(np.int32)
+        weight = rng.random(len(own)) + 0.1
+        rows.append((own, weight / np.sqrt((weight * weight).sum())))
+    rows += [(np.zeros(0, np.int32), np.zeros(0)), *[rows[2]] * 30]
+    index = toxicity.Index(rows, 500)
+    index.save(str(tmp_path))
+    mapped = toxicity.Index.mapped(str(tmp_path))
+    wanted = list(index.nearest_of(rows, toxicity.NEIGHBOURS, list(range(len(rows)))))
+    assert list(mapped.nearest_of(rows, toxicity.NEIGHBOURS, list(range(len(rows))))) == wanted
+    frame = docs(spark, [(i, f"plain words {i}" if i % 4 else f"nastyword {i}", "en") for i in range(60)])
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int")
+    fitted = toxicity.fit_examples(frame, labels).examples.value
+    assert fitted.index.size == 60
+    for used in (mapped, fitted.index):
+        assert all(isinstance(getattr(used, name).base, np.memmap) for name in ("terms", "weights", "posted", "posted_weights", "dense"))
+
+
 def test_labelled_ids_are_bounded(spark):
     """As many rows as ids, however often an id is labelled and however many documents it has."""
     import pyspark.sql.functions as F
