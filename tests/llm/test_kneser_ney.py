@@ -103,6 +103,22 @@ def test_sent_rows_come_back():
     assert small.dtype == np.uint32 and small.tolist() == [0, (1 << 24) + 1]
 
 
+def test_each_kind_of_row_is_sorted_once(monkeypatch):
+    """Rows of places are sorted as one number, and no context apart from the rows that end at the token before."""
+    rng = np.random.default_rng(4)
+    numbers = np.unique(rng.integers(0, 1 << 32, 900, np.uint64)).astype(np.uint32)
+    before, last = rng.integers(0, 20, (2, 3000)).astype(np.uint32), rng.integers(0, len(numbers), 3000).astype(np.uint32)
+    shard, counts = ((before[0] + last) % 3).astype(np.int32), np.ones(3000, np.uint8)
+    wanted = kneser_ney._sent(numbers[before], numbers[last], shard, counts)
+    sorts = []
+    kinds = kneser_ney._kinds
+    monkeypatch.setattr(kneser_ney, "_kinds", lambda keys: sorts.append(len(keys)) or kinds(keys))
+    assert kneser_ney._sent(before, last, shard, counts, numbers) == wanted and not sorts
+    model = kneser_ney.Model("/nowhere", 1, 3, np.array([kneser_ney.BEGIN], np.uint64), 9, 9, (np.zeros(4),) * 2, 1, np.zeros(4), 1.0)
+    kneser_ney.Model.log_probabilities(model, [kneser_ney.tokens(b"a b a b c"), kneser_ney.tokens(None)])
+    assert len(sorts) == 3
+
+
 def test_chances_add_up_to_one():
     plain = Plain([r[1] for r in corpus(2)])
     for u in ["<begin>", "the", "of", "w3", "never seen"]:
