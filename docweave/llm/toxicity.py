@@ -44,8 +44,6 @@ BLOCK, LEADERS, TRIED = 16, 64, 2
 AT_ONCE, GROUP = 256, 32
 #: Postings of a term in more than this share of the examples are dense.
 COMMON = 1 / 9
-#: Blocks of a query's lists are taken one by one if less than one in so many is needed, and else whole lists.
-SHORT = 4
 #: Words of which a worker remembers the terms.
 REMEMBERED = 1 << 18
 CUT = 0.3
@@ -91,16 +89,17 @@ def _joined(array: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 #: What a saved index consists of.
 _ARRAYS = (
     *("starts", "terms", "weights", "examples", "column", "dense", "dense_most"),
-    *("posted", "posted_weights", "entry_block", "entry_most", "entry_at", "at"),
+    *("pairs", "posted_at"),
 )
 
 
 class Index:
     """Weighted examples behind a block-max inverted index. ``rows`` are dictionaries or vectors.
 
-    Examples that are alike stand together, ``BLOCK`` of them in a block. A posting list has, for each block that
-    holds its term, the largest weight there and the postings. A query's sum of largest weights bounds
-    every cosine of a block, so blocks whose bound is below the k-th best cosine that is known already are passed over.
+    Examples that are alike stand together, ``BLOCK`` of them in a block, and a block knows the largest weights of its
+    terms. Rare terms are summed for all examples by their postings; the largest of these sums in a block and the block's
+    largest weights of common terms bound its cosines, so the common terms, which hold most products, are passed over
+    in blocks whose bound is below the k-th best cosine that is known already.
     """
 
     def __init__(self, rows: Iterable[dict[int, float] | Vector], n_terms: int):
@@ -138,6 +137,8 @@ class Index:
             setattr(index, name, array.view(np.ndarray))
         index.size, index.n_terms = len(index.starts) - 1, len(index.column)
         index.blocks = len(index.dense)
+        pairs = index.pairs.base
+        index.posted, index.posted_weights = pairs.view(np.int32)[::2].view(np.ndarray), pairs.view(np.float32)[1::2].view(np.ndarray)
         index._query = np.zeros(index.n_terms)
         index._ready = True
         return index
@@ -175,16 +176,19 @@ class Index:
         self.dense_most = self.dense.max(axis=1)
         terms, weights, number = terms[~dense], weights[~dense], number[~dense]
         order = np.argsort(terms, kind="stable")
-        terms, self.posted, self.posted_weights = terms[order], number[order].astype(np.min_scalar_type(n)), weights[order]
+        terms, self.pairs = terms[order], np.empty(len(terms), np.int64)
+        #: A posting's example and weight share eight bytes, so a list is taken at once.
+        self.posted, self.posted_weights = self.pairs.view(np.int32)[::2], self.pairs.view(np.float32)[1::2]
+        self.posted[:], self.posted_weights[:] = number[order], weights[order]
         del order, number, weights
+        self.posted_at = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=self.n_terms))])
         block = self.posted // BLOCK
         first = np.ones(len(terms), bool)
         first[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
         begins = np.flatnonzero(first)
-        #: For each term and block that holds it: the block, the largest weight, and where its postings begin.
+        #: For each rare term and block that holds it: the block and the largest weight, a bound that needs no postings.
         self.entry_block = block[begins]
         self.entry_most = np.maximum.reduceat(self.posted_weights, begins) if len(begins) else np.zeros(0, np.float32)
-        self.entry_at = np.append(begins, len(terms)).astype(np.int32 if len(terms) < 1 << 31 else np.int64)
         self.at = np.concatenate([[0], np.cumsum(np.bincount(terms[begins], minlength=self.n_terms))])
         self._query = np.zeros(self.n_terms)
         self._ready = True
@@ -232,46 +236,38 @@ class Index:
             yield from found
 
     def _best_of(self, queries: list[Vector], across: np.ndarray, bounds: np.ndarray, k: int, without: list[int]) -> Iterator[list[tuple[int, float]]]:
-        """The nearest of a few queries: bounds of all blocks, then the blocks that they leave."""
-        entries, least = [], np.zeros(len(queries))
+        """The nearest of a few queries: sums of rare terms, bounds of all blocks, then the blocks that they leave."""
+        rows, columns = self.blocks * BLOCK, across.shape[1]
+        dense = self.dense.reshape(rows, columns)
+        least = np.zeros(len(queries))
         needed = np.zeros(bounds.shape, bool)
+        sums = []
         for i, (terms, weights) in enumerate(queries):
             rare = self.column[terms] < 0
-            begins, ends, own = self.at[terms[rare]], self.at[terms[rare] + 1], weights[rare]
-            blocks, each = _joined(self.entry_block, begins, ends), np.repeat(own, ends - begins)
-            bounds[i] += np.bincount(blocks, each * _joined(self.entry_most, begins, ends), self.blocks).astype(np.float32)
+            begins, ends = self.posted_at[terms[rare]], self.posted_at[terms[rare] + 1]
+            pairs = _joined(self.pairs, begins, ends)
+            products = np.repeat(weights[rare], ends - begins) * pairs.view(np.float32)[1::2]
+            sums.append(np.bincount(pairs.view(np.int32)[::2], products, rows).astype(np.float32))
+            bounds[i] += sums[i].reshape(-1, BLOCK).max(axis=1)
             first = np.argpartition(-bounds[i], TRIED)[:TRIED] if self.blocks > TRIED else np.arange(self.blocks)
-            tried = self.examples[(first[:, None] * BLOCK + np.arange(BLOCK)).ravel().clip(max=len(self.examples) - 1)]
-            exact = self._cosines(np.setdiff1d(tried, [without[i]]), queries[i])
-            if len(exact) >= k:
-                least[i] = max(0.0, np.partition(exact, len(exact) - k)[len(exact) - k])
+            tried = (first[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            tried = tried[tried < len(self.examples)]
+            tried = tried[self.examples[tried] != without[i]]
+            known = sums[i][tried] + dense[tried] @ across[i]
             # a sum of n products of numbers rounded once is wrong by less than n + 3 units in the last place
-            needed[i] = (bounds[i] > 0) & (bounds[i] * (1 + 2 * (len(terms) + 3) * 2.0**-23) >= least[i])
-            kept = needed[i, blocks]
-            if SHORT * np.count_nonzero(kept) < len(kept):
-                places = _spans(begins, ends)[0][kept]
-                entries.append((self.entry_at[places], self.entry_at[places + 1], each[kept]))
-            else:  # one range for a whole list is faster than one for each of many of its blocks
-                entries.append((self.entry_at[begins], self.entry_at[ends], own))
+            slack = 2 * (len(terms) + 3) * 2.0**-23
+            if len(known) >= k:
+                least[i] = max(0.0, np.partition(known, len(known) - k)[len(known) - k] - slack)
+            needed[i] = (bounds[i] > 0) & (bounds[i] * (1 + slack) >= least[i] - slack)
         union = np.flatnonzero(needed.any(axis=0))
         if 2 * len(union) > self.blocks:  # the whole matrix is not copied
             union = np.arange(self.blocks)
-            scores = across @ self.dense.reshape(self.blocks * BLOCK, across.shape[1]).T
+            scores = across @ dense.T
         else:
-            scores = across @ self.dense[union].reshape(len(union) * BLOCK, across.shape[1]).T
+            scores = across @ self.dense[union].reshape(len(union) * BLOCK, columns).T
         for i, query in enumerate(queries):
             own = scores[i]
-            begins, ends, weights = entries[i]
-            if len(begins) > len(query[0]):
-                postings, lengths, _ = _spans(begins, ends)
-                posted, products = self.posted[postings], self.posted_weights[postings]
-            else:
-                lengths = ends - begins
-                posted, products = _joined(self.posted, begins, ends), _joined(self.posted_weights, begins, ends)
-            if len(posted):
-                found = np.bincount(posted, np.repeat(weights, lengths) * products, self.blocks * BLOCK).astype(np.float32)
-                own += found if len(union) == self.blocks else found.reshape(-1, BLOCK)[union].ravel()
-            own.reshape(-1, BLOCK)[~needed[i, union]] = 0
+            own += sums[i] if len(union) == self.blocks else sums[i].reshape(-1, BLOCK)[union].ravel()
             # both the k-th best and an example may be wrong by their rounding
             slack = 2 * (len(query[0]) + 3) * 2.0**-23
             near = np.flatnonzero((own > 0) & (own >= least[i] - slack))
@@ -293,7 +289,7 @@ class Index:
         some = lengths > 0
         if some.any():
             self._query[terms] = weights
-            held = self._query[_joined(self.terms, starts, ends)]
+            held = self._query.take(_joined(self.terms, starts, ends))
             out[some] = np.add.reduceat(_joined(self.weights, starts, ends) * held, cuts[some])
             self._query[terms] = 0
         return out
@@ -331,15 +327,15 @@ def _unpacked(row: bytes) -> Vector:
 
 
 class _Numbers(dict):
-    """Numbers of the vocabulary's terms that a word gives; the last words are remembered."""
+    """Numbers of the vocabulary's terms that a word gives, four bytes each; the last words are remembered."""
 
     def __init__(self, vocabulary: dict[bytes, int]):
         self.vocabulary = vocabulary
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = self[word] = tuple(n for t in terms_of(word) if (n := self.vocabulary.get(t)) is not None)
+        found = self[word] = array("i", [n for n in map(self.vocabulary.get, terms_of(word)) if n is not None]).tobytes()
         return found
 
 
@@ -371,8 +367,9 @@ class Examples:
         for text in texts:
             own = words(text)
             found = list(map(numbers.__getitem__, own))
-            terms = np.fromiter(chain.from_iterable(found), np.int32)
-            times = np.repeat(np.fromiter(own.values(), np.int64, len(own)), np.fromiter(map(len, found), np.int64, len(own)))
+            terms = np.frombuffer(b"".join(found), np.int32)
+            lengths = np.fromiter(map(len, found), np.int64, len(own)) // terms.itemsize
+            times = np.repeat(np.fromiter(own.values(), np.int64, len(own)), lengths)
             kinds, at = np.unique(terms, return_inverse=True)
             yield kinds, np.bincount(at, times, len(kinds))
 

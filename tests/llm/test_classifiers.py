@@ -311,6 +311,26 @@ def test_blocks_bound_their_examples():
     assert passed > index.blocks * len(left_out) / 2
 
 
+def test_lists_are_taken_once(monkeypatch):
+    """One pass over the postings of a query's rare terms, and no other list of the length of these."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(600):
+        own = np.unique(rng.zipf(1.2, 60) % 900).astype(np.int32)
+        rows.append((own, np.full(len(own), len(own) ** -0.5)))
+    index = toxicity.Index(rows, 900)
+    index._prepare()
+    lengths, taken = np.diff(index.posted_at), []
+    joined = toxicity._joined
+    monkeypatch.setattr(toxicity, "_joined", lambda array, *ranges: taken.append((array, joined(array, *ranges))) or taken[-1][1])
+    for terms, weights in rows[:50]:
+        taken.clear()
+        near = next(index.nearest_of([(terms, weights)], toxicity.NEIGHBOURS))
+        lists = [part for array, part in taken if array is not index.terms and array is not index.weights]
+        assert len(lists) == 1 and len(lists[0]) == lengths[terms].sum()
+        assert near[0][1] == pytest.approx(1.0)
+
+
 def test_workers_map_the_index(spark, tmp_path):
     """A saved index answers as the one in memory does, from arrays that stay in files; workers are sent none of its rows."""
     rng = np.random.default_rng(8)
