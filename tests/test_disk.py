@@ -1,0 +1,85 @@
+"""What a load, and the query of redelivered records, leave on disk."""
+
+from __future__ import annotations
+
+import glob
+import os
+import time
+
+import pytest
+from feed import record, rows, write_feed
+from pyspark.sql import functions as F
+
+from catalogue import QUERIES
+from docweave.plans import jobs
+from docweave.plans.jobs import load_changes
+from docweave.sinks.tables import compact, read_changes, read_current
+from docweave.workspace import scratch_folder
+
+
+def _folders(spark, purpose):
+    return set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file:')}/docweave/{purpose}-*"))
+
+
+def _shuffles(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = (f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()))
+    return {name for name in files if name.startswith("shuffle_")}
+
+
+def _versions(tmp_path):
+    return write_feed(tmp_path / "feed", [record({"leadId": "A", "products": [f"p{i}"]}, i) for i in range(2)])
+
+
+def test_documents_and_shuffles_of_a_load_go_with_it(spark, tmp_path):
+    out, small = str(tmp_path / "table"), str(tmp_path / "small")
+    feed, documents, shuffles = _versions(tmp_path), _folders(spark, "documents"), _shuffles(spark)
+    load_changes(spark, feed, out, str(tmp_path / "bad"), 1, scope="key")
+    compact(spark, out, small, ["leadId"], "Sequence_No")
+    assert _folders(spark, "documents") == documents
+    until = time.time() + 20
+    while (left := _shuffles(spark) - shuffles) and time.time() < until:  # files are removed behind the query
+        time.sleep(0.1)
+    assert not left
+    assert rows(read_changes(spark, out).select("products_0", "Sequence_No")) == [(p, s) for p in ("p0", "p1") for s in "01"]
+    assert rows(read_current(spark, small, ["leadId"], "Sequence_No").select("products_0", "Sequence_No")) == [("p0", "1"), ("p1", "1")]
+
+
+def test_documents_of_a_load_that_fails_go_too(spark, tmp_path, monkeypatch):
+    seen = []
+
+    def fail(*args, **more):
+        seen.extend(_folders(spark, "documents") - before)
+        raise OSError("no space")
+
+    before = _folders(spark, "documents")
+    monkeypatch.setattr(jobs, "append_batch", fail)
+    with pytest.raises(OSError, match="no space"):
+        load_changes(spark, _versions(tmp_path), str(tmp_path / "table"), str(tmp_path / "bad"), 1, scope="key")
+    assert len(seen) == 1 and not os.path.exists(seen[0])
+
+
+def test_scratch_folder_that_was_never_written(spark):
+    with scratch_folder(spark, "nothing") as folder:
+        assert not os.path.exists(folder)
+
+
+def test_feed_of_redelivered_records_is_compressed(spark, tmp_path):
+    n = 1200
+    orders = spark.range(n).select(
+        F.col("id").alias("o_orderkey"), F.lit("F").alias("o_orderstatus"), F.lit("1-URGENT").alias("o_orderpriority")
+    )
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    before = _folders(spark, "feed")
+    found = QUERIES["redelivered_records"](spark, str(tmp_path))
+    feeds = _folders(spark, "feed") - before
+    assert len(feeds) == 2
+    for feed in feeds:
+        parts = glob.glob(f"{feed}/part-*")
+        lines = spark.read.text(feed)
+        assert lines.count() == 2 * (n + n // 4)
+        assert 5 * sum(map(os.path.getsize, parts)) < lines.agg(F.sum(F.octet_length("value"))).first()[0]
+    old, new = n * 3 // 4, n // 4
+    counts = {(row.scope, row.Sequence_No): row["count"] for row in found.groupBy("scope", "Sequence_No").count().collect()}
+    want = {(scope, "7"): 3 * old for scope in ("version", "key", "compacted")}
+    assert counts == want | {("version", "8"): 2 * new, ("compacted", "8"): 2 * new, ("key", "8"): 5 * new}
