@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from feed import record, rows, write_feed
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalogue import ORACLES, QUERIES
 from docweave.plans.jobs import Counts, load_changes, store_changes
 from docweave.schemas import feed_schema
 from docweave.sinks.tables import read_changes
@@ -48,3 +50,27 @@ def test_key_scope_of_lists_without_items(spark, tmp_path):
     feed = write_feed(tmp_path / "feed", [record({"leadId": "A", "products": []}, i) for i in range(2)])
     load_changes(spark, feed, str(tmp_path / "table"), str(tmp_path / "bad"), 1, scope="key")
     assert rows(read_changes(spark, str(tmp_path / "table")).drop("batch_id")) == [("A", s, False) for s in "01"]
+
+
+def test_lines_without_a_key_meet(spark, tmp_path):
+    """All lines of order 0, and those without a number, are versions of the NULL key; other lines meet only their like."""
+    lines = [(0, 1, "a"), (0, 2, "b"), (0, 2, "c"), (3, None, "d"), (1, 1, "e"), (1, 1, "f"), (1, 2, "g")]
+    text = "bigint, l_linenumber int, l_returnflag string"
+    df = spark.createDataFrame(lines, f"l_orderkey {text}").selectExpr(
+        "*", "ascii(l_returnflag) + 0L as l_partkey", "-ascii(l_returnflag) + 0L as l_suppkey", "'O' as l_linestatus",
+        "1D as l_quantity", "2.5D as l_extendedprice", "0D as l_discount", "0D as l_tax", "timestamp'2024-01-02' as l_shipdate",
+    )
+    df.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = QUERIES["flatten_key_scope"](spark, str(tmp_path))
+    pairs = found.where("`personalDetails_partyList_role` = 'part'").select(
+        "status_flag", F.char(F.col("personalDetails_partyList_id").cast("int")).alias("of")
+    )
+    groups = ("abcd", "ef", "g")
+    # Each line has the partners of all lines of its key, once for each of their amounts.
+    assert rows(pairs) == sorted((x, y) for group in groups for x in group for y in group for _ in group)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    columns = sorted(found.columns)
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    want = con.execute(f"SELECT {quoted} FROM ({ORACLES['flatten_key_scope']})").fetchall()
+    assert rows(found.select(columns)) == sorted(want, key=repr)
